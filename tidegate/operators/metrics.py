@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Histogram bounds in seconds, and the export interval.
@@ -22,24 +22,22 @@ def histogram(
 ) -> DataFrame:
     """Rows per bucket and up to it, for every bucket, also the empty ones.
 
-    ``le`` is the bucket's inclusive upper bound, null for the last one.  Only one row per
-    label set and used bucket leaves the map side.
+    ``le`` is the bucket's inclusive upper bound, null for the last one.  One pass counts
+    the rows up to each bound, map-side; a bucket is the difference of two such counts.
     """
-    bucket = F.lit(len(bounds))
-    for i in reversed(range(len(bounds))):
-        bucket = F.when(F.col(value) <= F.lit(bounds[i]), i).otherwise(bucket)
-    used = (
-        df.where(F.col(value).isNotNull()).groupBy(*labels, bucket.alias("bucket"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy(*labels).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("_tg_n"))
-    )
-    upper = F.array(*[F.lit(float(b)) for b in bounds], F.lit(None).cast("double"))
-    up_to = Window.partitionBy(*labels).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        used.select(*labels, "_tg_n", F.posexplode(upper).alias("bucket", "le"))
-        .select(*labels, "bucket", "le", F.coalesce(F.try_element_at("_tg_n", F.col("bucket")), F.lit(0)).alias("n"))
-        .withColumn("cumulative", F.sum("n").over(up_to))
-    )
+    v = F.col(value)
+    up_to = [F.count_if(v <= F.lit(float(b))) for b in bounds] + [F.count(v)]
+    counted = df.groupBy(*labels).agg(F.array(*up_to).alias("_tg_n"))
+    rows = []
+    for i, bound in enumerate([*bounds, None]):
+        here = F.col("_tg_n")[i]
+        rows.append(F.struct(
+            F.lit(i).alias("bucket"),
+            F.lit(bound).cast("double").alias("le"),
+            (here if i == 0 else here - F.col("_tg_n")[i - 1]).alias("n"),
+            here.alias("cumulative"),
+        ))
+    return counted.select(*labels, F.inline(F.array(*rows)))
 
 
 def counter_windows(
