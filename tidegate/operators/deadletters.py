@@ -40,5 +40,5 @@ def from_dlq(df: DataFrame, value: str = "dead_letter") -> DataFrame:
     """Envelope back to columns; unknown fields are ignored, absent ones become empty."""
     others = [c for c in df.columns if c != value]
     parsed = F.from_json(F.col(value), DEAD_LETTER)
-    fields = [F.coalesce(parsed[f], F.lit("")).alias(f) for f in DEAD_LETTER.fieldNames()]
+    fields = [F.coalesce(parsed[f], F.lit("")).alias(f) for f in ("component", "error", "original_message", "reason")]
     return df.select(*others, *fields)

@@ -83,6 +83,15 @@ def old_shard_count(existing: DataFrame) -> DataFrame:
     return existing.agg(F.greatest(F.count(F.lit(1)) - 1, F.lit(0)).cast("bigint").alias("old_count"))
 
 
-def list_shards(names: DataFrame, prefix: str, pipeline_id: Column) -> DataFrame:
-    """The names that belong to a pipeline: those beginning ``prefix-hash-``."""
-    return names.where(F.col("name").startswith(F.concat(F.lit(f"{prefix}-"), short_hash(pipeline_id), F.lit("-"))))
+def list_shards(names: DataFrame, prefix: str, pipelines: DataFrame) -> DataFrame:
+    """The names that belong to the pipelines: those of the form ``prefix-hash-...``.
+
+    The hash is cut out of each name, so this is an equi-join and not a prefix test per pair.
+    """
+    head = f"{prefix}-"
+    found = F.when(
+        F.col("name").startswith(head) & (F.substring("name", len(head) + 9, 1) == "-"),
+        F.substring("name", len(head) + 1, 8),
+    )
+    owners = pipelines.select("pipeline_id", short_hash(F.col("pipeline_id")).alias("_tg_hash")).distinct()
+    return names.withColumn("_tg_hash", found).join(owners, "_tg_hash").drop("_tg_hash")

@@ -9,7 +9,7 @@ from tidegate.functions.exprs import blank_to_null
 from tidegate.operators.history import OK, TRANSITIONS, requested_check
 from tidegate.operators.skew import lookup_join
 from tidegate.operators.stages import decode
-from tidegate.schemas import SIGNAL
+from tidegate.schemas import SIGNAL, as_struct
 
 # The back-pressure reason, the state a signal asks for, and the actions.
 BACKPRESSURE = "stream back-pressure"
@@ -20,7 +20,7 @@ RETRY, NOTIFY, SKIP, STOP = "retry", "notify", "ack", "stop"
 def signals(raw: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
     """Decoded signals, absent fields empty; and the malformed rows, to be delivered again."""
     good, bad = decode(raw, SIGNAL, value)
-    return good.withColumns({f: F.coalesce(f, F.lit("")) for f in SIGNAL.fieldNames()}), bad
+    return good.withColumns({f: F.coalesce(f, F.lit("")) for f in as_struct(SIGNAL).fieldNames()}), bad
 
 
 def route_signals(decoded: DataFrame, pipelines: DataFrame) -> DataFrame:

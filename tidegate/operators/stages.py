@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tidegate.functions.exprs import parse_bytes
 from tidegate.operators.deadletters import to_dlq
+from tidegate.schemas import Schema, as_struct
 
 _CORRUPT = "_corrupt_record"
 
@@ -30,11 +31,12 @@ def transform_stage(df: DataFrame, columns: Mapping[str, str | Column], keep_res
     return df.select(*[e.alias(name) for name, e in exprs.items()])
 
 
-def decode(df: DataFrame, schema: T.StructType, value: str = "value") -> tuple[DataFrame, DataFrame]:
+def decode(df: DataFrame, schema: Schema, value: str = "value") -> tuple[DataFrame, DataFrame]:
     """Split JSON payloads: (decoded columns beside the other ones, rows that do not parse).
 
     Both frames are narrow branches over the same input; only their own part is computed.
     """
+    schema = as_struct(schema)
     with_corrupt = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
     others = [c for c in df.columns if c != value]
     parsed = df.withColumn(
@@ -46,7 +48,7 @@ def decode(df: DataFrame, schema: T.StructType, value: str = "value") -> tuple[D
 
 
 def decode_or_dlq(
-    df: DataFrame, schema: T.StructType, component: str, value: str = "value", error: str = "malformed payload"
+    df: DataFrame, schema: Schema, component: str, value: str = "value", error: str = "malformed payload"
 ) -> tuple[DataFrame, DataFrame]:
     """Decoded rows, and one dead letter per failed row under the failing component's name."""
     good, bad = decode(df, schema, value)

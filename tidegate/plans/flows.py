@@ -11,12 +11,12 @@ from dataclasses import dataclass, field
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import types as T
 
 from tidegate.functions.exprs import from_nanos
 from tidegate.operators.dedup import dedup
 from tidegate.operators.joins import temporal_join
 from tidegate.operators.stages import filter_stage, transform_stage
+from tidegate.schemas import Schema
 from tidegate.sources.otlp import otlp_source
 from tidegate.streaming.dedup_stream import dedup_stream
 from tidegate.streaming.joins import temporal_join_stream
@@ -79,7 +79,7 @@ class Feed:
 
     rows: DataFrame
     signal: str
-    record: T.StructType
+    record: Schema
     columns: Mapping[str, str | Column]
     ts: str
 

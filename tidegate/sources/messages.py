@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegate.functions.exprs import block_of
 from tidegate.operators.blocks import SEQ_BLOCK, previous
+from tidegate.operators.skew import lookup_join
 
 
 def scan_messages(messages: DataFrame, stream: str | None = None, lo: int | None = None, hi: int | None = None) -> DataFrame:
@@ -21,6 +22,15 @@ def scan_messages(messages: DataFrame, stream: str | None = None, lo: int | None
     return rows
 
 
+def scan_ranges(messages: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Messages inside the range asked for their stream; ``ranges``: one (stream, lo, hi) per stream."""
+    return (
+        lookup_join(messages, ranges.select("stream", "lo", "hi"), ["stream"], "inner")
+        .where(F.col("seq").between(F.col("lo"), F.col("hi")))
+        .drop("lo", "hi")
+    )
+
+
 def seq_range(messages: DataFrame) -> DataFrame:
     """First and last sequence and message count per stream."""
     return messages.groupBy("stream").agg(

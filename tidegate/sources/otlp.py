@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidegate.schemas import Schema, as_struct
+
 # The array names of the public telemetry JSON encoding, outermost first.
 PATHS = {
     "logs": ("resourceLogs", "scopeLogs", "logRecords"),
@@ -23,8 +25,8 @@ PATHS = {
 POINT_KINDS = ("gauge", "sum", "histogram", "exponentialHistogram", "summary")
 
 KEY_VALUES = "array<struct<key: string, value: struct<stringValue: string, intValue: string, doubleValue: double, boolValue: boolean>>>"
-RESOURCE = T.StructType.fromDDL(f"attributes {KEY_VALUES}")
-SCOPE = T.StructType.fromDDL("name string, version string")
+RESOURCE = f"attributes {KEY_VALUES}"
+SCOPE = "name string, version string"
 
 
 def _array(name: str, fields: list[T.StructField]) -> T.StructField:
@@ -32,8 +34,8 @@ def _array(name: str, fields: list[T.StructField]) -> T.StructField:
 
 
 def otlp_source(
-    df: DataFrame, signal: str, record: T.StructType, value: str = "value",
-    resource: T.StructType = RESOURCE, scope: T.StructType = SCOPE, kinds: Sequence[str] = ("gauge", "sum"),
+    df: DataFrame, signal: str, record: Schema, value: str = "value",
+    resource: Schema = RESOURCE, scope: Schema = SCOPE, kinds: Sequence[str] = ("gauge", "sum"),
 ) -> DataFrame:
     """Columns besides ``value``, then signal, resource, scope, record; for metrics also name and kind.
 
@@ -42,6 +44,7 @@ def otlp_source(
     if signal not in PATHS:
         raise ValueError(f"unknown signal {signal}")
     outer, middle, inner = PATHS[signal]
+    record, resource, scope = as_struct(record), as_struct(resource), as_struct(scope)
     if signal == "metrics":
         unknown = set(kinds) - set(POINT_KINDS)
         if unknown:

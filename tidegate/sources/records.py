@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegate.schemas import PIPELINE_SPEC
+from tidegate.schemas import PIPELINE_SPEC, Schema, as_struct
 
 # Source kinds, sink kinds and the shortest pipeline id.
 SOURCE_TYPES = ("kafka", "otlp.logs", "otlp.traces", "otlp.metrics")
@@ -17,7 +17,7 @@ MAX_TOPICS = 2
 _CORRUPT = "_corrupt_record"
 
 
-def read_specs(df: DataFrame, schema: T.StructType = PIPELINE_SPEC) -> tuple[DataFrame, DataFrame]:
+def read_specs(df: DataFrame, schema: Schema = PIPELINE_SPEC) -> tuple[DataFrame, DataFrame]:
     """Typed specs and rejected rows with a ``reason``.
 
     The stored config counts whenever it is there, even if blank; the inline one only
@@ -26,7 +26,7 @@ def read_specs(df: DataFrame, schema: T.StructType = PIPELINE_SPEC) -> tuple[Dat
     inline = F.nullif(F.col("inline_config"), F.lit(""))
     config = F.coalesce(F.col("stored_config"), inline)
     body = T.StructType(
-        [f for f in schema.fields if f.name != "pipeline_id"] + [T.StructField(_CORRUPT, T.StringType())]
+        [f for f in as_struct(schema).fields if f.name != "pipeline_id"] + [T.StructField(_CORRUPT, T.StringType())]
     )
     rows = df.withColumn("_tg_config", config).withColumn(
         "_tg_spec", F.from_json("_tg_config", body, {"columnNameOfCorruptRecord": _CORRUPT})

@@ -6,9 +6,9 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidegate.operators.stages import decode_or_dlq
+from tidegate.schemas import Schema
 
 
 def kafka_topic(
@@ -27,14 +27,14 @@ def kafka_topic(
 
 
 def kafka_source(
-    spark: SparkSession, topic: str, schema: T.StructType, options: Mapping[str, str], streaming: bool = True
+    spark: SparkSession, topic: str, schema: Schema, options: Mapping[str, str], streaming: bool = True
 ) -> tuple[DataFrame, DataFrame]:
     """A topic decoded with the caller's schema, and dead letters for what does not parse."""
     return decode_or_dlq(kafka_topic(spark, topic, options, streaming), schema, "ingestor")
 
 
 def replay(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, pattern: str | None = None,
+    spark: SparkSession, path: str, schema: Schema | None = None, pattern: str | None = None,
     streaming: bool = True, files_per_batch: int | None = None, fmt: str = "parquet",
 ) -> DataFrame:
     """Rows of a topic stored as files, as a table or as a stream in file order."""
