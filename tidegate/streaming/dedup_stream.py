@@ -41,7 +41,7 @@ class _Dedup(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         first = None
         for frame in rows:
-            new = list(frame[["_tg_t", "_tg_tie", "_tg_body"]].itertuples(index=False, name=None))
+            new = list(frame[["at", "tie", "body"]].itertuples(index=False, name=None))
             if new:
                 self.held.appendList(new)
                 low = min(t for t, _, _ in new)
@@ -93,15 +93,16 @@ def dedup_stream(df: DataFrame, keys: Sequence[str], ts: str, window: timedelta,
     no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     rows = df.withWatermark(ts, delay)
     body_schema = df.schema
+    # Spark hands these rows over as named tuples, so no name may begin with an underscore.
     state_rows = rows.where(~no_key).select(
-        *[F.col(k).alias(f"_tg_k{i}") for i, k in enumerate(keys)],
-        F.col(ts).alias("_tg_ts"),
-        micros(F.col(ts)).alias("_tg_t"),
-        F.col(tie).alias("_tg_tie"),
-        F.to_json(F.struct(*[F.col(c) for c in df.columns]), _JSON).alias("_tg_body"),
+        *[F.col(k).alias(f"key{i}") for i, k in enumerate(keys)],
+        F.col(ts).alias("event_time"),
+        micros(F.col(ts)).alias("at"),
+        F.col(tie).alias("tie"),
+        F.to_json(F.struct(*[F.col(c) for c in df.columns]), _JSON).alias("body"),
     )
     kept = (
-        state_rows.groupBy(*[f"_tg_k{i}" for i in range(len(keys))])
+        state_rows.groupBy(*[f"key{i}" for i in range(len(keys))])
         .transformWithStateInPandas(
             _Dedup(to_micros(window), df.schema[tie].dataType.simpleString()), "body string", "Append", "EventTime"
         )
