@@ -1,8 +1,11 @@
 """Running values over an ordered group that may be too big for one task.
 
 A plain window gives each group to one task.  Here the group is cut into blocks along its
-order; the window runs inside a block, one summary row per block carries the state over,
-and the summary is joined back.  ``block`` must be non-decreasing in the order columns.
+order.  Each block's end state is a small aggregate; running over those gives the state
+every block starts from.  That state joins the block as one more row at its head, so a
+window per block yields the running value, and the rows are shuffled once.
+
+``block`` must be non-decreasing in the order columns.
 """
 
 from __future__ import annotations
@@ -12,41 +15,38 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegate.operators.skew import lookup_join
+
 SEQ_BLOCK = 1 << 20
 
-_BLOCK, _IN, _CARRY, _FIRST = "_tg_block", "_tg_in", "_tg_carry", "_tg_first"
+_BLOCK, _VALUE, _REAL = "_tg_block", "_tg_value", "_tg_real"
 
 
-def _join_carry(inner: DataFrame, carry: DataFrame, part: Sequence[str]) -> DataFrame:
-    renamed = carry.select(
-        *[F.col(c).alias(f"_tg_k{i}") for i, c in enumerate(part)],
-        F.col(_BLOCK).alias("_tg_kb"),
-        _CARRY,
+def _over_blocks(
+    rows: DataFrame, heads: DataFrame, part: Sequence[str], order: Sequence[Column | str], value: str, out: str, run
+) -> DataFrame:
+    """Put each block's head row before its own rows and evaluate ``run(window)`` there."""
+    both = rows.withColumn(_REAL, F.lit(1)).unionByName(
+        heads.withColumnRenamed("head", value).withColumn(_REAL, F.lit(0)), allowMissingColumns=True
     )
-    cond = F.col(_BLOCK) == F.col("_tg_kb")
-    for i, c in enumerate(part):
-        cond = cond & F.col(c).eqNullSafe(F.col(f"_tg_k{i}"))
-    return inner.join(renamed, cond, "left").drop("_tg_kb", *[f"_tg_k{i}" for i in range(len(part))])
+    window = Window.partitionBy(*part, _BLOCK).orderBy(_REAL, *order)
+    return both.withColumn(out, run(window)).where(f"{_REAL} = 1").drop(_REAL, _BLOCK, value)
+
+
+def _up_to_here(window):
+    return window.rowsBetween(Window.unboundedPreceding, 0)
 
 
 def running_sum(
     df: DataFrame, part: Sequence[str], order: Sequence[Column], block: Column, value: Column, out: str
 ) -> DataFrame:
     """Add ``out``: the sum of ``value`` up to and including the row, within ``part``."""
-    rows = df.withColumn(_BLOCK, block).withColumn(_IN, value.cast("bigint"))
-    here = Window.partitionBy(*part, _BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.withColumn(_BLOCK, block).withColumn(_VALUE, value.cast("bigint"))
     before = Window.partitionBy(*part).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        rows.groupBy(*part, _BLOCK)
-        .agg(F.sum(_IN).alias("_tg_total"))
-        .select(*part, _BLOCK, F.coalesce(F.sum("_tg_total").over(before), F.lit(0)).alias(_CARRY))
-    )
-    inner = rows.withColumn(out, F.sum(_IN).over(here))
-    return (
-        _join_carry(inner, carry, part)
-        .withColumn(out, F.col(out) + F.col(_CARRY))
-        .drop(_BLOCK, _IN, _CARRY)
+    heads = rows.groupBy(*part, _BLOCK).agg(F.sum(_VALUE).alias("total")).select(
+        *part, _BLOCK, F.sum("total").over(before).alias("head")
     )
+    return _over_blocks(rows, heads, part, order, _VALUE, out, lambda w: F.sum(_VALUE).over(_up_to_here(w)))
 
 
 def row_index(df: DataFrame, part: Sequence[str], order: Sequence[Column], block: Column, out: str) -> DataFrame:
@@ -65,20 +65,14 @@ def previous(
     value = F.struct(*[F.col(c) for c in cols])
     if block is None:
         return df.withColumn(out, F.lag(value).over(Window.partitionBy(*part).orderBy(*order)))
-    rows = df.withColumn(_BLOCK, block)
-    here = Window.partitionBy(*part, _BLOCK).orderBy(*order)
+    rows = df.withColumn(_BLOCK, block).withColumn(_VALUE, value)
     across = Window.partitionBy(*part).orderBy(_BLOCK)
-    carry = (
+    heads = (
         rows.groupBy(*part, _BLOCK)
-        .agg(F.max_by(value, F.struct(*[F.col(c) for c in order])).alias("_tg_tail"))
-        .select(*part, _BLOCK, F.lag("_tg_tail").over(across).alias(_CARRY))
-    )
-    inner = rows.withColumn(out, F.lag(value).over(here)).withColumn(_FIRST, F.row_number().over(here) == 1)
-    return (
-        _join_carry(inner, carry, part)
-        .withColumn(out, F.when(F.col(_FIRST), F.col(_CARRY)).otherwise(F.col(out)))
-        .drop(_BLOCK, _FIRST, _CARRY)
+        .agg(F.max_by(F.col(_VALUE), F.struct(*[F.col(c) for c in order])).alias("tail"))
+        .select(*part, _BLOCK, F.lag("tail").over(across).alias("head"))
     )
+    return _over_blocks(rows, heads, part, order, _VALUE, out, lambda w: F.lag(_VALUE).over(w))
 
 
 def latest(
@@ -87,21 +81,50 @@ def latest(
 ) -> DataFrame:
     """Add ``out``: the newest non-null ``value`` at or before the row within ``part``."""
     if block is None:
-        here = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(out, F.last_value(value, True).over(here))
-    rows = df.withColumn(_BLOCK, block).withColumn(_IN, value)
-    here = Window.partitionBy(*part, _BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(
+            out, F.last_value(value, True).over(_up_to_here(Window.partitionBy(*part).orderBy(*order)))
+        )
+    rows = df.withColumn(_BLOCK, block).withColumn(_VALUE, value)
     before = Window.partitionBy(*part).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     # Rows without a value have a null ordering, which max_by passes over.
-    tail = F.max_by(F.col(_IN), F.when(F.col(_IN).isNotNull(), F.struct(*order)))
-    carry = (
-        rows.groupBy(*part, _BLOCK)
-        .agg(tail.alias("_tg_tail"))
-        .select(*part, _BLOCK, F.last_value("_tg_tail", True).over(before).alias(_CARRY))
+    tail = F.max_by(F.col(_VALUE), F.when(F.col(_VALUE).isNotNull(), F.struct(*order)))
+    heads = rows.groupBy(*part, _BLOCK).agg(tail.alias("tail")).select(
+        *part, _BLOCK, F.last_value("tail", True).over(before).alias("head")
+    )
+    return _over_blocks(
+        rows, heads, part, order, _VALUE, out, lambda w: F.last_value(_VALUE, True).over(_up_to_here(w))
     )
-    inner = rows.withColumn(out, F.last_value(F.col(_IN), True).over(here))
+
+
+def split_at(
+    df: DataFrame, part: Sequence[str], order: Sequence[Column], block: Column, value: Column, limit: int
+) -> tuple[DataFrame, DataFrame]:
+    """(rows while the running sum of ``value`` is at most ``limit``, the rest), per ``part``.
+
+    ``value`` must not be negative.  Block totals tell in which one block a group passes
+    the limit; rows of other blocks are judged by their block alone and never shuffled.
+    """
+    total, cut, base, sure = "_tg_total", "_tg_cut", "_tg_base", "_tg_sure"
+    rows = df.withColumn(_BLOCK, block)
+    upto = Window.partitionBy(*part).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, 0)
+    cuts = (
+        rows.groupBy(*part, _BLOCK).agg(F.sum(value.cast("bigint")).alias(total))
+        .withColumn(base, F.sum(total).over(upto))
+        .where(F.col(base) > limit)
+        .groupBy(*part)
+        .agg(F.min_by(F.struct(F.col(_BLOCK).alias("b"), (F.col(base) - F.col(total)).alias("sum")), _BLOCK).alias(cut))
+    )
+    judged = lookup_join(rows, cuts, part).withColumn(
+        sure, F.when(F.col(cut).isNull(), F.lit(-1)).otherwise(F.signum(F.col(_BLOCK) - F.col(f"{cut}.b")).cast("int"))
+    )
+    inside, beyond = judged.where(F.col(sure) < 0), judged.where(F.col(sure) > 0)
+    running = F.sum(value.cast("bigint")).over(_up_to_here(Window.partitionBy(*part).orderBy(*order)))
+    edge = judged.where(F.col(sure) == 0).withColumn(base, F.col(f"{cut}.sum") + running)
+
+    def plain(frame: DataFrame) -> DataFrame:
+        return frame.select(*df.columns)
+
     return (
-        _join_carry(inner, carry, part)
-        .withColumn(out, F.coalesce(out, _CARRY))
-        .drop(_BLOCK, _IN, _CARRY)
+        plain(inside).unionByName(plain(edge.where(F.col(base) <= limit))),
+        plain(beyond).unionByName(plain(edge.where(F.col(base) > limit))),
     )

@@ -51,11 +51,12 @@ def dedup(
     for key in keys:
         if isinstance(df.schema[key].dataType, (T.StructType, T.ArrayType, T.MapType)):
             raise TypeError(f"dedup key {key} must be an atomic column")
-    rows = df.withColumn(_LOOSE, _any_null(keys))
-    if is_skewed(df.where(~_any_null(keys)), keys, hot_rows):
-        return _dedup_sliced(rows, keys, ts, width, tie)
-    # Rows without a key are spread by time: they never meet anyway.
-    spread = F.when(F.col(_LOOSE), F.xxhash64(ts, *tie)).otherwise(F.xxhash64(*keys))
+    loose = _any_null(keys)
+    if is_skewed(df.where(~loose), keys, hot_rows):
+        return _dedup_sliced(df.where(~loose), keys, ts, width, tie).unionByName(df.where(loose))
+    rows = df.withColumn(_LOOSE, loose)
+    # Rows without a key never meet, so they are spread evenly.
+    spread = F.when(loose, F.xxhash64(ts, *tie, F.spark_partition_id())).otherwise(F.xxhash64(*keys))
     placed = rows.repartition(spread).sortWithinPartitions(_LOOSE, *keys, ts, *tie)
     return placed.mapInArrow(_fold(list(keys), ts, width), df.schema)
 
@@ -160,15 +161,18 @@ def _fold(keys: list[str], ts: str, width: int, anchors: dict[int, int] | None =
 
 def _dedup_sliced(rows: DataFrame, keys: Sequence[str], ts: str, width: int, tie: Sequence[str]) -> DataFrame:
     slices = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    schema = T.StructType([f for f in rows.schema.fields if f.name != _LOOSE])
+    # Of rows with equal key and time only the first can be kept.  Dropping the others
+    # map-side leaves no two rows alike, so any key can be cut anywhere.
+    first = F.min_by(F.struct(*[F.col(c) for c in rows.columns]), F.struct(*tie))
+    distinct = rows.groupBy(*keys, ts).agg(first.alias("_tg_first")).select("_tg_first.*")
     # The slices are written once: both passes below must see the same cuts.
     sliced = cut_lineage(
-        rows.repartitionByRange(slices, _LOOSE, *keys, ts, *tie)
-        .sortWithinPartitions(_LOOSE, *keys, ts, *tie)
-        .withColumn(_SLICE, F.spark_partition_id())
+        distinct.repartitionByRange(slices, *keys, ts)
+        .sortWithinPartitions(*keys, ts)
+        .withColumns({_SLICE: F.spark_partition_id(), _LOOSE: F.lit(False)})
     )
     anchors = _entry_anchors(sliced, keys, ts, width)
-    return sliced.mapInArrow(_fold(list(keys), ts, width, anchors), schema)
+    return sliced.mapInArrow(_fold(list(keys), ts, width, anchors), rows.schema)
 
 
 def _entry_anchors(sliced: DataFrame, keys: Sequence[str], ts: str, width: int) -> dict[int, int]:
@@ -183,8 +187,7 @@ def _entry_anchors(sliced: DataFrame, keys: Sequence[str], ts: str, width: int)
     rows per slice.
     """
     runs = cut_lineage(
-        sliced.where(~F.col(_LOOSE))
-        .select(F.to_json(F.struct(*keys)).alias("key"), F.col(ts), F.col(_SLICE))
+        sliced.select(F.to_json(F.struct(*keys)).alias("key"), F.col(ts), F.col(_SLICE))
         .mapInArrow(_slice_runs(width), "key string, slice int, t bigint, ends bigint")
     )
     bounds = runs.groupBy("key", "slice").agg(F.max("t").alias("hi"))

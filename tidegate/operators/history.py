@@ -1,8 +1,8 @@
 """Pipeline status and its history (H1-H8, K5).
 
 A status change has (pipeline_id, ts, seq, status); ``seq`` breaks ties.  Functions that
-look at the row before take ``block``, a column non-decreasing in (ts, seq), for tables in
-which one pipeline may be too heavy for a task.
+look at the row before first count rows; where a pipeline has more than ``hot_rows`` of
+them, its history is cut into time blocks.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidegate.functions.exprs import blank_to_null, interval, parse_rfc3339
 from tidegate.operators.blocks import previous
+from tidegate.operators.skew import HOT_ROWS, lookup_join, time_blocks
 
 # Status names and the moves allowed from each.
 TRANSITIONS = {
@@ -66,34 +67,35 @@ def latest_status(changes: DataFrame) -> DataFrame:
     )
 
 
-def _with_previous(changes: DataFrame, block: Column | None) -> DataFrame:
+def _with_previous(changes: DataFrame, hot_rows: int) -> DataFrame:
+    block = time_blocks(changes, ["pipeline_id"], "ts", hot_rows)
     return previous(changes, ["pipeline_id"], _ORDER, ["status"], "_tg_prev", block).withColumn(
         "from_status", F.col("_tg_prev.status")
     )
 
 
-def check_transitions(changes: DataFrame, mode: str = "recorded", block: Column | None = None) -> DataFrame:
+def check_transitions(changes: DataFrame, mode: str = "recorded", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Verdict on each status against the one before it; a pipeline's first row has none."""
     check = {"recorded": recorded_check, "requested": requested_check}[mode]
     return (
-        _with_previous(changes, block)
+        _with_previous(changes, hot_rows)
         .where("_tg_prev is not null")
         .select("pipeline_id", *_ORDER, "from_status", F.col("status").alias("to_status"),
                 check(F.col("from_status"), F.col("status")).alias("verdict"))
     )
 
 
-def drop_unchanged(changes: DataFrame, block: Column | None = None) -> DataFrame:
+def drop_unchanged(changes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """A status equal to the one before is neither an update nor a history row."""
-    return _with_previous(changes, block).where(
+    return _with_previous(changes, hot_rows).where(
         F.col("_tg_prev").isNull() | ~F.col("status").eqNullSafe(F.col("from_status"))
     ).select(*changes.columns)
 
 
-def transition_counts(changes: DataFrame, block: Column | None = None) -> DataFrame:
+def transition_counts(changes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Real transitions by from, to and pipeline."""
     return (
-        _with_previous(changes, block)
+        _with_previous(changes, hot_rows)
         .where(F.col("_tg_prev").isNotNull() & ~F.col("status").eqNullSafe(F.col("from_status")))
         .groupBy("from_status", F.col("status").alias("to_status"), "pipeline_id")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -137,8 +139,8 @@ def apply_status(pipelines: DataFrame, changes: DataFrame) -> tuple[DataFrame, D
         F.coalesce("_tg_at", "updated_at").alias("updated_at"),
     )
     ids = pipelines.select(F.col("id").alias("pipeline_id"))
-    known = changes.join(ids, "pipeline_id", "left_semi")
-    missing = changes.join(ids, "pipeline_id", "left_anti").select(
+    known = lookup_join(changes, ids, ["pipeline_id"], "left_semi")
+    missing = lookup_join(changes, ids, ["pipeline_id"], "left_anti").select(
         "pipeline_id", *_ORDER, "status", F.lit(NOT_FOUND).alias("error")
     )
     return state, history_events(known), missing

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidegate.functions.exprs import block_of, interval, micros, to_micros
 from tidegate.operators.blocks import latest
-from tidegate.operators.skew import HOT_ROWS, drop_salt, is_skewed, lookup_join, salt_for_join
+from tidegate.operators.skew import HOT_ROWS, lookup_join, salt_both, time_blocks
 
 _BUCKET = "_tg_time"
 
@@ -18,14 +18,17 @@ _BUCKET = "_tg_time"
 def temporal_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], left_ts: str, right_ts: str,
     left_ttl: timedelta, right_ttl: timedelta, hot_rows: int = HOT_ROWS,
+    left_load: DataFrame | None = None, right_load: DataFrame | None = None,
 ) -> DataFrame:
     """Inner join on equal keys where ``-right_ttl <= right time - left time <= left_ttl``.
 
     A key with a long history would pair all its rows before the time test.  So time is cut
     into buckets as wide as the whole interval: a right row lies in one bucket, a left row
     looks into the at most two its interval touches, and (key, bucket) is an equi-join.
-    Each pair meets in exactly one bucket.  Hot (key, bucket) groups are salted.  The same
-    plan serves two streams, where watermarks on both times bound the state.
+    Each pair meets in exactly one bucket.  Hot (key, bucket) groups are salted; their
+    rows are counted on ``left_load`` and ``right_load`` if given, frames with the same key
+    and time columns that are cheaper to read than the sides themselves.  The same plan
+    serves two streams, where watermarks on both times bound the state.
     """
     clash = set(left.columns) & set(right.columns) - set(on)
     if clash:
@@ -34,14 +37,23 @@ def temporal_join(
     if before < 0 or after < 0:
         raise ValueError("a buffer time must not be negative")
     width = max(before + after, 1)
-    at = micros(F.col(left_ts))
-    left_rows = left.withColumn(
-        _BUCKET, F.explode(F.sequence(block_of(at - F.lit(before), width), block_of(at + F.lit(after), width)))
-    )
-    right_rows = right.withColumn(_BUCKET, block_of(micros(F.col(right_ts)), width))
-    cols = [*on, _BUCKET]
+
+    def look_into(df: DataFrame) -> DataFrame:
+        at = micros(F.col(left_ts))
+        first, last = block_of(at - F.lit(before), width), block_of(at + F.lit(after), width)
+        return df.withColumn(_BUCKET, F.explode(F.sequence(first, last)))
+
+    def lie_in(df: DataFrame) -> DataFrame:
+        return df.withColumn(_BUCKET, block_of(micros(F.col(right_ts)), width))
+
+    left_rows, right_rows, cols = look_into(left), lie_in(right), [*on, _BUCKET]
     if not (left.isStreaming or right.isStreaming):
-        right_rows, left_rows, cols = salt_for_join(right_rows, left_rows, cols, hot_rows)
+        # A null key joins nothing, so it must not count as a hot one.
+        loads = (left if left_load is None else left_load, right if right_load is None else right_load)
+        counted = [df.dropna(subset=list(on)) for df in loads]
+        left_rows, right_rows, cols = salt_both(
+            left_rows, right_rows, cols, hot_rows, look_into(counted[0]), lie_in(counted[1])
+        )
     l, r = left_rows.alias("l"), right_rows.alias("r")
     cond = F.col(f"l.{cols[0]}") == F.col(f"r.{cols[0]}")
     for c in cols[1:]:
@@ -81,9 +93,7 @@ def latest_join(
     both = right_rows.unionByName(left_rows, allowMissingColumns=True)
     for c in on:
         both = both.where(F.col(c).isNotNull())
-    block = None
-    if is_skewed(both, on, hot_rows):
-        block = block_of(micros(F.col("_tg_at")), max(to_micros(ttl) // 8, 1_000_000))
+    block = time_blocks(both, on, "_tg_at", hot_rows)
     order = [F.col("_tg_at"), F.col("_tg_side"), F.col("_tg_tie")]
     filled = latest(both, on, order, F.col("_tg_right"), "_tg_found", block)
     return (

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.operators.blocks import previous
+from tidegate.operators.skew import HOT_ROWS, time_blocks
 
 # The order in which components are torn down.
 DRAIN_ORDER = ("dedup", "join", "sink")
@@ -79,8 +80,9 @@ def drain_blocker(lags: DataFrame) -> DataFrame:
     )
 
 
-def drain_progress(samples: DataFrame, block: Column | None = None) -> DataFrame:
+def drain_progress(samples: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Each check against the one before: ``extend`` while the total falls, else ``stalled``."""
+    block = time_blocks(samples, ["pipeline_id"], "ts", hot_rows)
     prev = previous(samples, ["pipeline_id"], ["ts", "check_id"], ["total"], "_tg_prev", block)
     before = F.col("_tg_prev.total")
     return prev.select(

@@ -1,7 +1,8 @@
 """Retention of message tables.
 
 A stream's messages have unique, rising ``seq``; blocks of 2**20 sequence numbers bound
-what one task holds, however large the stream is.
+what one task holds, however large the stream is.  The count and size limits sort only the
+one block of each stream in which the limit falls.
 """
 
 from __future__ import annotations
@@ -12,11 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.functions.exprs import block_of, interval
-from tidegate.operators.blocks import SEQ_BLOCK, row_index, running_sum
+from tidegate.operators.blocks import SEQ_BLOCK, split_at
 from tidegate.operators.skew import lookup_join
 
-_RUN = "_tg_run"
-
 
 def _seq_block():
     return block_of(F.col("seq"), SEQ_BLOCK)
@@ -34,26 +33,23 @@ def trim_age(messages: DataFrame, age: timedelta, as_of: datetime, time: str = "
 def admit_msgs(messages: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """Refuse-new: the first ``n`` messages of each stream, and the refused ones; n <= 0 = unlimited."""
     if n <= 0:
-        return messages, messages.limit(0)
-    ranked = row_index(messages, ["stream"], [F.col("seq")], _seq_block(), _RUN)
-    return ranked.where(F.col(_RUN) <= n).drop(_RUN), ranked.where(F.col(_RUN) > n).drop(_RUN)
+        return messages, messages.where(F.lit(False))
+    return split_at(messages, ["stream"], [F.col("seq")], _seq_block(), F.lit(1), n)
 
 
 def trim_msgs(messages: DataFrame, n: int) -> DataFrame:
     """Drop-old: the last ``n`` messages of each stream; n <= 0 = unlimited."""
     if n <= 0:
         return messages
-    ranked = row_index(messages, ["stream"], [F.desc("seq")], -_seq_block(), _RUN)
-    return ranked.where(F.col(_RUN) <= n).drop(_RUN)
+    return split_at(messages, ["stream"], [F.desc("seq")], -_seq_block(), F.lit(1), n)[0]
 
 
 def admit_bytes(messages: DataFrame, limit: int, data: str = "data") -> tuple[DataFrame, DataFrame]:
     """Refuse-new by size: rows up to the first that lifts the running total over ``limit``."""
     if limit <= 0:
-        return messages, messages.limit(0)
-    size = F.octet_length(F.col(data))
-    summed = running_sum(messages, ["stream"], [F.col("seq")], _seq_block(), F.coalesce(size, F.lit(0)), _RUN)
-    return summed.where(F.col(_RUN) <= limit).drop(_RUN), summed.where(F.col(_RUN) > limit).drop(_RUN)
+        return messages, messages.where(F.lit(False))
+    size = F.coalesce(F.octet_length(F.col(data)), F.lit(0))
+    return split_at(messages, ["stream"], [F.col("seq")], _seq_block(), size, limit)
 
 
 def retain_workqueue(messages: DataFrame, acks: DataFrame) -> DataFrame:
@@ -70,8 +66,7 @@ def retain_interest(messages: DataFrame, consumers: DataFrame, acks: DataFrame)
     wanted = consumers.select("stream", "consumer").distinct()
     need = wanted.groupBy("stream").agg(F.count(F.lit(1)).alias("_tg_need"))
     have = (
-        acks.select("stream", "seq", "consumer").distinct()
-        .join(wanted, ["stream", "consumer"], "left_semi")
+        lookup_join(acks.select("stream", "seq", "consumer").distinct(), wanted, ["stream", "consumer"], "left_semi")
         .groupBy("stream", "seq").agg(F.count(F.lit(1)).alias("_tg_have"))
     )
     counted = lookup_join(messages, need, ["stream"], "left").join(have, ["stream", "seq"], "left")

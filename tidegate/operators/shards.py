@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegate.functions.exprs import short_hash
 from tidegate.operators.blocks import row_index
+from tidegate.operators.skew import HOT_ROWS, spread_by
 
 
 def shard_count(writers: int, readers: int) -> int:
@@ -29,9 +30,9 @@ def shard_by_key(df: DataFrame, keys: Sequence[str], n: int, out: str = "shard",
     return df.withColumn(out, F.pmod(head, F.lit(n)).cast("int"))
 
 
-def lay_out(df: DataFrame, n: int, shard: str = "shard") -> DataFrame:
-    """Physical layout: as many partitions as shards, each shard whole in one of them."""
-    return df.repartition(n, shard)
+def lay_out(df: DataFrame, shard: str = "shard", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Physical layout before a partitioned write: a shard's rows together, a hot one over several tasks."""
+    return spread_by(df, [shard], hot_rows)
 
 
 def shard_round_robin(

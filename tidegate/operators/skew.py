@@ -1,18 +1,26 @@
-"""Hot groups: cheap detection, and joins that split them.
+"""Hot groups: cheap detection, and joins and layouts that split them.
 
 Rows are counted per hash bucket, not per key: the result has at most ``BUCKETS`` rows
 whatever the data holds, it combines map-side, and a bucket's count bounds the load of
 every key inside it.  Splitting a bucket splits each key in it, so the answer stays exact.
+
+The counting job runs when the plan is built and reads only the key columns.  Where a
+frame is costly to compute, pass ``measure``: any frame with the same key columns whose
+rows include those of the frame (say, the rows before deduplication).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from math import ceil
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegate.functions.exprs import block_of, micros
+from tidegate.session import cut_lineage
+
 HOT_ROWS = 2_000_000
 BUCKETS = 4096
 SMALL_ROWS = 200_000
@@ -20,7 +28,7 @@ SMALL_ROWS = 200_000
 _BUCKET, _PARTS, _SALT = "_tg_bucket", "_tg_parts", "_tg_salt"
 
 
-def _bucket(cols: Sequence[str]):
+def _bucket(cols: Sequence[str]) -> Column:
     return F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(BUCKETS)).cast("int")
 
 
@@ -28,63 +36,127 @@ def _bucket_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.groupBy(_bucket(cols).alias(_BUCKET)).agg(F.count(F.lit(1)).alias("n"))
 
 
-def load_limit(df: DataFrame, cols: Sequence[str], floor: int = HOT_ROWS) -> tuple[int, int]:
-    """(rows of the fullest bucket, rows a bucket may hold before it counts as hot)."""
-    top = _bucket_counts(df, cols).agg(F.max("n").alias("top"), F.sum("n").alias("total")).first()
-    if not top["total"]:
-        return 0, floor
-    return top["top"], max(floor, ceil(4 * top["total"] / BUCKETS))
+@dataclass(frozen=True)
+class Load:
+    """Rows of the fullest bucket, and how many a bucket may hold: twice the mean, or ``floor``."""
+
+    top: int
+    limit: int
+
+    @property
+    def hot(self) -> bool:
+        return self.top > self.limit
+
+
+def measure_load(df: DataFrame, cols: Sequence[str], floor: int = HOT_ROWS) -> Load:
+    row = _bucket_counts(df, cols).agg(F.max("n").alias("top"), F.sum("n").alias("total")).first()
+    return Load(row["top"] or 0, max(floor, ceil(2 * (row["total"] or 0) / BUCKETS), 1))
 
 
 def is_skewed(df: DataFrame, cols: Sequence[str], floor: int = HOT_ROWS) -> bool:
-    """True when hashing on ``cols`` would overload a task.  One narrow counting job."""
-    top, limit = load_limit(df, cols, floor)
-    return top > limit
+    """True when hashing on ``cols`` would overload a task."""
+    return measure_load(df, cols, floor).hot
+
+
+def time_blocks(df: DataFrame, cols: Sequence[str], ts: str, floor: int = HOT_ROWS) -> Column | None:
+    """A time block column that cuts the groups of ``cols`` to task size; null if none is hot.
+
+    The width follows from the fullest bucket: its time span over the number of tasks its
+    rows need, and half of that, since rows are not spread evenly.
+    """
+    at = micros(F.col(ts))
+    row = (
+        df.groupBy(_bucket(cols).alias(_BUCKET))
+        .agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("lo"), F.max(at).alias("hi"))
+        .agg(F.max(F.struct("n", "lo", "hi")).alias("top"), F.sum("n").alias("total"))
+        .first()
+    )
+    if row["top"] is None or row["top"]["lo"] is None:
+        return None
+    load = Load(row["top"]["n"], max(floor, ceil(2 * row["total"] / BUCKETS), 1))
+    if not load.hot:
+        return None
+    pieces = 2 * ceil(load.top / load.limit)
+    return block_of(at, max((row["top"]["hi"] - row["top"]["lo"]) // pieces, 1))
+
+
+def _parts(measured: DataFrame, cols: Sequence[str], load: Load) -> DataFrame:
+    """How many ways each hot bucket is split.  At most BUCKETS rows, so fit to broadcast at any size."""
+    return F.broadcast(
+        _bucket_counts(measured, cols)
+        .where(F.col("n") > load.limit)
+        .select(_BUCKET, F.ceil(F.col("n") / F.lit(load.limit)).cast("int").alias(_PARTS))
+    )
+
+
+def _with_parts(df: DataFrame, cols: Sequence[str], parts: DataFrame) -> DataFrame:
+    joined = df.withColumn(_BUCKET, _bucket(cols)).join(parts, _BUCKET, "left")
+    return joined.withColumn(_PARTS, F.coalesce(_PARTS, F.lit(1))).drop(_BUCKET)
+
+
+def _row_salt(df: DataFrame) -> Column:
+    """Spreads rows, also copies of one row, and is the same when a task is run again.
+
+    The partition number tells copies apart; unlike a row number or a random value it does
+    not depend on the order in which rows arrive.
+    """
+    row = F.xxhash64(*[F.col(c) for c in df.columns], F.spark_partition_id())
+    return F.pmod(row, F.col(_PARTS)).cast("int")
 
 
 def salt_for_join(
-    heavy: DataFrame, other: DataFrame, on: Sequence[str], floor: int = HOT_ROWS
+    heavy: DataFrame, other: DataFrame, on: Sequence[str], floor: int = HOT_ROWS,
+    measure: DataFrame | None = None, salt: str = _SALT,
 ) -> tuple[DataFrame, DataFrame, list[str]]:
     """Spread hot join keys: ``heavy`` rows get a salt, ``other`` rows are repeated per salt.
 
     Every heavy row has one salt and every other row is present under it once, so an inner
-    join, or a left join from ``heavy``, gives exactly the unsalted rows.  Returns both
+    join, or any left join from ``heavy``, gives exactly the unsalted rows.  Returns both
     sides and the columns to join on; nothing changes when no bucket is hot.
     """
-    top, limit = load_limit(heavy, on, floor)
-    if top <= limit:
+    measured = heavy if measure is None else measure
+    load = measure_load(measured, on, floor)
+    if not load.hot:
         return heavy, other, list(on)
-    # At most BUCKETS rows by construction, so it may be broadcast at any data size.
-    parts = F.broadcast(
-        _bucket_counts(heavy, on)
-        .where(F.col("n") > limit)
-        .select(_BUCKET, F.ceil(F.col("n") / F.lit(limit)).cast("int").alias(_PARTS))
+    parts = _parts(measured, on, load)
+    salted = _with_parts(heavy, on, parts).withColumn(salt, _row_salt(heavy)).drop(_PARTS)
+    repeated = _with_parts(other, on, parts).withColumn(
+        salt, F.explode(F.sequence(F.lit(0), F.col(_PARTS) - F.lit(1)))
     )
+    return salted, repeated.drop(_PARTS), [*on, salt]
 
-    def with_parts(df: DataFrame) -> DataFrame:
-        joined = df.withColumn(_BUCKET, _bucket(on)).join(parts, _BUCKET, "left")
-        return joined.withColumn(_PARTS, F.coalesce(_PARTS, F.lit(1)))
-
-    row_hash = F.xxhash64(*[F.col(c) for c in heavy.columns])
-    salted = with_parts(heavy).withColumn(_SALT, F.pmod(row_hash, F.col(_PARTS)).cast("int"))
-    repeated = with_parts(other).withColumn(
-        _SALT, F.explode(F.sequence(F.lit(0), F.col(_PARTS) - F.lit(1)))
-    )
-    return salted.drop(_BUCKET, _PARTS), repeated.drop(_BUCKET, _PARTS), [*on, _SALT]
 
-
-def drop_salt(df: DataFrame) -> DataFrame:
-    return df.drop(_SALT)
+def salt_both(
+    left: DataFrame, right: DataFrame, on: Sequence[str], floor: int = HOT_ROWS,
+    left_measure: DataFrame | None = None, right_measure: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """For inner joins whose hot keys may be on either side, or on both."""
+    right, left, cols = salt_for_join(right, left, on, floor, right_measure, "_tg_salt_r")
+    measure = left_measure if len(cols) == len(on) else None
+    left, right, cols = salt_for_join(left, right, cols, floor, measure, "_tg_salt_l")
+    return left, right, cols
 
 
 def lookup_join(
-    facts: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", small: int = SMALL_ROWS
+    facts: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", small: int = SMALL_ROWS,
+    floor: int = HOT_ROWS,
 ) -> DataFrame:
-    """Join facts with a lookup table (unique on ``on``); broadcast only after counting it.
+    """Join facts with a lookup table (unique on ``on``), from the left side.
 
-    A table above ``small`` rows is joined by shuffle instead, with hot fact keys salted.
+    The table's first ``small`` rows are computed once and kept; if that is all of it, it
+    is broadcast.  A larger one is joined by shuffle, with hot fact keys salted.
     """
-    if table.limit(small + 1).count() <= small:
-        return facts.join(F.broadcast(table), list(on), how)
-    heavy, other, cols = salt_for_join(facts, table, on)
-    return drop_salt(heavy.join(other, cols, how))
+    head = cut_lineage(table.limit(small + 1))
+    if head.count() <= small:
+        return facts.join(F.broadcast(head), list(on), how)
+    heavy, other, cols = salt_for_join(facts, table, on, floor)
+    return heavy.join(other, cols, how).drop(_SALT)
+
+
+def spread_by(df: DataFrame, cols: Sequence[str], floor: int = HOT_ROWS) -> DataFrame:
+    """Repartition by ``cols``, hot groups over as many tasks as their rows need."""
+    load = measure_load(df, cols, floor)
+    if not load.hot:
+        return df.repartition(*cols)
+    salted = _with_parts(df, cols, _parts(df, cols, load)).withColumn(_SALT, _row_salt(df))
+    return salted.drop(_PARTS).repartition(*cols, _SALT).drop(_SALT)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegate.operators.deadletters import RETRY_EXHAUSTED_ON_STOP, to_dlq
 from tidegate.operators.joins import consumer_map_join
+from tidegate.operators.skew import lookup_join
 from tidegate.sources.messages import seq_gaps, seq_range
 
 # Outcome labels.
@@ -38,7 +39,7 @@ def sweep_outcomes(streams: DataFrame, messages: DataFrame, failed: DataFrame) -
     ``sweep_failed``, the rest ``swept``; a stream without messages gives one
     ``stream_empty`` row with a null sequence.
     """
-    stored = messages.join(streams.select("stream"), "stream", "left_semi")
+    stored = lookup_join(messages, streams.select("stream"), ["stream"], "left_semi")
     tried = (
         stored.select("stream", "seq")
         .join(failed.select("stream", "seq").distinct().withColumn("_tg_bad", F.lit(True)), ["stream", "seq"], "left")
@@ -53,7 +54,7 @@ def sweep_counts(streams: DataFrame, messages: DataFrame, failed: DataFrame) ->
 
     Deleted sequences are counted from the range, not spelled out.
     """
-    stored = messages.join(streams.select("stream"), "stream", "left_semi")
+    stored = lookup_join(messages, streams.select("stream"), ["stream"], "left_semi")
     ranges = seq_range(stored)
     bad = (
         stored.select("stream", "seq")

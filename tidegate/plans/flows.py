@@ -120,7 +120,10 @@ class Flow:
             j = self.join
             if l.isStreaming or r.isStreaming:
                 return temporal_join_stream(l, r, j.on, left.ts, right.ts, j.left_ttl, j.right_ttl, self.delay)
-            return temporal_join(l, r, j.on, left.ts, right.ts, j.left_ttl, j.right_ttl)
+            # Load is measured before deduplication, which would otherwise run twice.
+            return temporal_join(
+                l, r, j.on, left.ts, right.ts, j.left_ttl, j.right_ttl, left_load=left.rows, right_load=right.rows
+            )
         topic = self.topics[0]
         rows = self._deduped(topic)
         return rows if self.stage is None else self.stage.apply(rows, topic.ts, self.delay)

@@ -42,17 +42,22 @@ def seq_gaps(messages: DataFrame) -> DataFrame:
     """Every deleted sequence between a stream's first and last one.
 
     Gaps come from neighbouring sequences, block by block; a long gap is cut into pieces
-    of one block before it is spelled out, so no single row explodes without bound.
+    of one block, spread over the tasks, before it is spelled out.
     """
     block = block_of(F.col("seq"), SEQ_BLOCK)
     stepped = previous(messages.select("stream", "seq"), ["stream"], ["seq"], ["seq"], "_tg_prev", block)
     gaps = stepped.where(F.col("seq") - F.col("_tg_prev.seq") > 1).select(
         "stream", (F.col("_tg_prev.seq") + 1).alias("lo"), (F.col("seq") - 1).alias("hi")
     )
-    pieces = gaps.select(
-        "stream", "lo", "hi",
-        F.explode(F.sequence(block_of(F.col("lo"), SEQ_BLOCK), block_of(F.col("hi"), SEQ_BLOCK))).alias("b"),
+    short = F.col("hi") - F.col("lo") < SEQ_BLOCK
+    pieces = (
+        gaps.where(~short)
+        .withColumn("b", F.explode(F.sequence(block_of(F.col("lo"), SEQ_BLOCK), block_of(F.col("hi"), SEQ_BLOCK))))
+        .select(
+            "stream",
+            F.greatest(F.col("lo"), F.col("b") * F.lit(SEQ_BLOCK)).alias("lo"),
+            F.least(F.col("hi"), F.col("b") * F.lit(SEQ_BLOCK) + F.lit(SEQ_BLOCK - 1)).alias("hi"),
+        )
+        .repartition("stream", "lo")
     )
-    start = F.greatest(F.col("lo"), F.col("b") * F.lit(SEQ_BLOCK))
-    end = F.least(F.col("hi"), F.col("b") * F.lit(SEQ_BLOCK) + F.lit(SEQ_BLOCK - 1))
-    return pieces.select("stream", F.explode(F.sequence(start, end)).alias("seq"))
+    return gaps.where(short).unionByName(pieces).select("stream", F.explode(F.sequence("lo", "hi")).alias("seq"))

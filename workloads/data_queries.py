@@ -359,6 +359,38 @@ def latest_join(spark: SparkSession, sf: str) -> DataFrame:
     return joins.latest_join(left, right, ["user_id"], "view_ts", "buy_ts", 6 * H, ["buy_id"])
 
 
+_BY_KIND = """l AS (SELECT event_type AS kind, event_id AS cheap_id, ts AS cheap_ts FROM events WHERE value < 50),
+r AS (SELECT event_type AS kind, event_id AS dear_id, ts AS dear_ts FROM events WHERE value >= 50)"""
+
+
+def _by_kind(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    ev = I.table(spark, sf, "events")
+    return (
+        ev.where("value < 50").selectExpr("event_type AS kind", "event_id AS cheap_id", "ts AS cheap_ts"),
+        ev.where("value >= 50").selectExpr("event_type AS kind", "event_id AS dear_id", "ts AS dear_ts"),
+    )
+
+
+@query("latest_join_hot_key", f"""
+WITH {_BY_KIND}, d AS (SELECT kind, dear_ts, max(dear_id) AS dear_id FROM r GROUP BY kind, dear_ts)
+SELECT l.*, d.dear_id, d.dear_ts FROM l ASOF JOIN d ON l.kind = d.kind AND l.cheap_ts >= d.dear_ts
+WHERE d.dear_ts >= l.cheap_ts - INTERVAL 6 HOURS""")
+def latest_join_hot_key(spark: SparkSession, sf: str) -> DataFrame:
+    """Five keys share all rows: the plan that cuts them into time blocks, at any data size."""
+    left, right = _by_kind(spark, sf)
+    return joins.latest_join(left, right, ["kind"], "cheap_ts", "dear_ts", 6 * H, ["dear_id"], hot_rows=0)
+
+
+@query("temporal_join_hot_key", f"""
+WITH {_BY_KIND} SELECT l.*, r.dear_id, r.dear_ts FROM l JOIN r ON l.kind = r.kind
+  AND r.dear_ts BETWEEN l.cheap_ts - INTERVAL 1 MINUTE AND l.cheap_ts + INTERVAL 2 MINUTES""")
+def temporal_join_hot_key(spark: SparkSession, sf: str) -> DataFrame:
+    """The same five keys in a temporal join, with both sides salted."""
+    left, right = _by_kind(spark, sf)
+    minute = timedelta(minutes=1)
+    return joins.temporal_join(left, right, ["kind"], "cheap_ts", "dear_ts", 2 * minute, minute, hot_rows=0)
+
+
 @query("consumer_label", f"""
 WITH {I.MSGS}, {I.COMPONENTS}
 SELECT m.stream, m.seq, coalesce(c.component, 'no consumer') AS component FROM msgs m LEFT JOIN components c ON m.stream = c.stream""")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidegate.functions.exprs import block_of, short_hash
 from tidegate.operators import history as H
 from tidegate.operators import lag as G
+from tidegate.operators.blocks import SEQ_BLOCK
 from tidegate.operators import metrics, notifications, retention, shards, signals, sweep
 from workloads import inputs as I
 from workloads.registry import query
@@ -26,7 +27,7 @@ _MD5_SHARD = "CAST(('0x' || substr(md5(CAST(user_id AS VARCHAR) || '|' || event_
 def shard_key(spark: SparkSession, sf: str) -> DataFrame:
     n = shards.shard_count(4, SHARDS)
     keyed = shards.shard_by_key(I.table(spark, sf, "events"), ["user_id", "event_type"], n)
-    return shards.lay_out(keyed, n).select("event_id", "shard")
+    return shards.lay_out(keyed).select("event_id", "shard")
 
 
 @query("shard_rr", """
@@ -34,7 +35,7 @@ SELECT event_id, CAST((rn - 1) % 3 AS INTEGER) AS subject, CAST(((rn - 1) % 3) %
 FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS rn FROM events)""")
 def shard_rr(spark: SparkSession, sf: str) -> DataFrame:
     rows = I.table(spark, sf, "events")
-    block = block_of(F.col("event_id"), 4096)
+    block = block_of(F.col("event_id"), SEQ_BLOCK)
     return shards.shard_round_robin(rows, [F.col("event_id")], block, sources=3, targets=2).select(
         "event_id", "subject", "shard")
 
@@ -195,7 +196,7 @@ def drain_progress(spark: SparkSession, sf: str) -> DataFrame:
     samples = I.table(spark, sf, "events").selectExpr(
         "'pipe-' || CAST(user_id AS STRING) AS pipeline_id", "ts", "event_id AS check_id",
         "CAST(floor(value) AS BIGINT) AS total")
-    return G.drain_progress(samples, _day()).withColumn(
+    return G.drain_progress(samples).withColumn(
         "previous_total", F.coalesce("previous_total", F.lit(-1)))
 
 
@@ -213,11 +214,6 @@ def _streams(msgs: DataFrame) -> DataFrame:
     return names.unionByName(names.select(F.concat(F.lit("old_"), "stream").alias("stream")))
 
 
-def _day():
-    """Time blocks of a day: one pipeline's history is split at midnights."""
-    return F.unix_date(F.col("ts").cast("date"))
-
-
 # --- orphan sweep ------------------------------------------------------------------------
 
 _LETTER = """'{"component":"' || c.component || '","error":"retry_exhausted_on_stop","original_message":"' ||
@@ -285,7 +281,16 @@ WITH {_PREV}, {_MATRIX}
 SELECT s.pipeline_id, s.ts, s.seq, s.prev AS from_status, s.status AS to_status, {_RECORDED} AS verdict
 FROM steps s LEFT JOIN matrix x ON x.a = s.prev AND x.b = s.status WHERE s.rn > 1""")
 def status_transitions(spark: SparkSession, sf: str) -> DataFrame:
-    return H.check_transitions(I.status_changes(spark, sf), "recorded", _day())
+    return H.check_transitions(I.status_changes(spark, sf), "recorded")
+
+
+@query("status_transitions_hot", f"""
+WITH {_PREV}, {_MATRIX}
+SELECT s.pipeline_id, s.ts, s.seq, s.prev AS from_status, s.status AS to_status, {_RECORDED} AS verdict
+FROM steps s LEFT JOIN matrix x ON x.a = s.prev AND x.b = s.status WHERE s.rn > 1""")
+def status_transitions_hot(spark: SparkSession, sf: str) -> DataFrame:
+    """The plan that cuts long histories into time blocks, at any data size."""
+    return H.check_transitions(I.status_changes(spark, sf), "recorded", hot_rows=0)
 
 
 @query("status_requests", f"""
@@ -296,19 +301,19 @@ SELECT s.pipeline_id, s.ts, s.seq, s.prev AS from_status, s.status AS to_status,
             ELSE {_RECORDED} END AS verdict
 FROM steps s LEFT JOIN matrix x ON x.a = s.prev AND x.b = s.status WHERE s.rn > 1""")
 def status_requests(spark: SparkSession, sf: str) -> DataFrame:
-    return H.check_transitions(I.status_changes(spark, sf), "requested", _day())
+    return H.check_transitions(I.status_changes(spark, sf), "requested")
 
 
 @query("status_changes", f"WITH {_PREV} SELECT pipeline_id, ts, seq, status FROM steps WHERE rn = 1 OR status <> prev")
 def status_changes(spark: SparkSession, sf: str) -> DataFrame:
-    return H.drop_unchanged(I.status_changes(spark, sf), _day()).select("pipeline_id", "ts", "seq", "status")
+    return H.drop_unchanged(I.status_changes(spark, sf)).select("pipeline_id", "ts", "seq", "status")
 
 
 @query("transition_counts", f"""
 WITH {_PREV} SELECT prev AS from_status, status AS to_status, pipeline_id, count(*) AS n
 FROM steps WHERE rn > 1 AND status <> prev GROUP BY ALL""")
 def transition_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return H.transition_counts(I.status_changes(spark, sf), _day())
+    return H.transition_counts(I.status_changes(spark, sf))
 
 
 _EVENT = """'{"type":"' || CASE WHEN error IS NULL THEN 'status' ELSE 'error' END ||
@@ -500,7 +505,7 @@ SELECT '{{"installation_id":"inst-1","event_name":"pipeline_status_change","even
   strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '","properties":{{"pipeline_id_hash":"' || md5(pipeline_id) || '","status":"' || status ||
   '","cluster_provider":"local"}}}}' AS payload FROM steps WHERE rn = 1 OR status <> prev""")
 def status_usage_events(spark: SparkSession, sf: str) -> DataFrame:
-    real = H.drop_unchanged(I.status_changes(spark, sf), _day())
+    real = H.drop_unchanged(I.status_changes(spark, sf))
     return notifications.usage_json(notifications.status_usage_events(real, "inst-1", "local"))
 
 
