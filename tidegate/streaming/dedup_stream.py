@@ -24,89 +24,97 @@ from tidegate.functions.exprs import micros, to_micros
 # Rows travel through the state as JSON, which keeps integers and microseconds exact.
 _JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
+GROUPS_PER_PARTITION = 32
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 class _Dedup(StatefulProcessor):
-    """State per key: ``anchor``, the time of the last kept row, and ``held``, rows waiting."""
+    """State of one group of keys: ``held``, the rows waiting, and ``anchors``, last kept times."""
 
     def __init__(self, width: int, tie_type: str):
         self.width, self.tie_type = width, tie_type
 
     def init(self, handle):
         self.handle = handle
-        self.anchor = handle.getValueState("anchor", "t bigint")
-        self.held = handle.getListState("held", f"t bigint, tie {self.tie_type}, body string")
+        self.held = handle.getListState("held", f"name string, at bigint, tie {self.tie_type}, body string")
+        self.anchors = handle.getListState("anchors", "name string, at bigint")
 
     def handleInputRows(self, key, rows, timerValues):
-        first = None
-        for frame in rows:
-            new = list(frame[["at", "tie", "body"]].itertuples(index=False, name=None))
-            if new:
-                self.held.appendList(new)
-                low = min(t for t, _, _ in new)
-                first = low if first is None else min(first, low)
-        if first is not None:
-            self.wake(first)
+        columns = ["name", "at", "tie", "body"]
+        new = [row for frame in rows for row in frame[columns].itertuples(index=False, name=None)]
+        self.held.appendList(new)
+        self.wake(min(row[1] for row in new))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         limit = timerValues.getCurrentWatermarkInMs() * 1000
         due, waiting = [], []
         for row in self.held.get():
-            (due if row[0] <= limit else waiting).append(tuple(row))
-        if waiting:
-            self.held.put(waiting)
-            self.wake(min(row[0] for row in waiting))
-        else:
-            self.held.clear()
-        anchor = self.anchor.get()[0] if self.anchor.exists() else None
+            (due if row[1] <= limit else waiting).append(tuple(row))
+        anchors = dict(tuple(row) for row in self.anchors.get())
         kept = []
-        for t, _, body in sorted(due, key=lambda row: row[:2]):
-            if anchor is None or t >= anchor + self.width:
-                anchor = t
+        for name, at, _, body in sorted(due, key=lambda row: row[:3]):
+            anchor = anchors.get(name)
+            if anchor is None or at >= anchor + self.width:
+                anchors[name] = at
                 kept.append(body)
-        if kept:
-            self.anchor.update((anchor,))
-        elif not waiting and anchor is not None and anchor + self.width <= limit:
-            self.anchor.clear()
-        if anchor is not None and not waiting and self.anchor.exists():
-            self.wake(anchor + self.width)
+        # An anchor a whole window behind the watermark can hold no later row back.
+        live = [(name, at) for name, at in anchors.items() if at + self.width > limit]
+        if waiting and due:
+            self.held.put(waiting)
+        elif not waiting:
+            self.held.clear()
+        if not live:
+            self.anchors.clear()
+        elif kept or len(live) < len(anchors):
+            self.anchors.put(live)
+        if waiting:
+            self.wake(min(row[1] for row in waiting))
+        elif live:
+            self.wake(max(at for _, at in live) + self.width)
         if kept:
             yield pd.DataFrame({"body": kept})
 
-    def wake(self, t):
+    def wake(self, at):
         """Timers fire once the watermark (milliseconds) is past them."""
-        self.handle.registerTimer(-(-t // 1000))
+        self.handle.registerTimer(-(-at // 1000))
 
     def close(self):
         pass
 
 
-def dedup_stream(df: DataFrame, keys: Sequence[str], ts: str, window: timedelta, tie: str, delay: str) -> DataFrame:
+def dedup_stream(
+    df: DataFrame, keys: Sequence[str], ts: str, window: timedelta, tie: str, delay: str, groups: int | None = None
+) -> DataFrame:
     """Streaming form of ``operators.dedup.dedup``; ``delay`` is how late a row may come.
 
-    ``ts`` must be a timestamp with zone, ``tie`` a column that orders rows of equal time.
-    An anchor is forgotten when the watermark is a whole window past it.  Rows with a null
-    key go straight through.  Needs the RocksDB state store.
+    ``ts`` must be a timestamp with zone, ``tie`` a column without nulls that orders rows of
+    equal time.  Rows with a null key go straight through.  Needs the RocksDB state store.
+
+    Each access to the state is a call out of the Python worker, so keys share ``groups``
+    state entries by hash: more groups mean more calls, fewer mean that more anchors are
+    rewritten when one of them moves.  By default there are 32 per shuffle partition; like
+    that setting, the number must stay the same for the life of a checkpoint.
     """
+    if groups is None:
+        groups = GROUPS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     rows = df.withWatermark(ts, delay)
-    body_schema = df.schema
     # Spark hands these rows over as named tuples, so no name may begin with an underscore.
     state_rows = rows.where(~no_key).select(
-        *[F.col(k).alias(f"key{i}") for i, k in enumerate(keys)],
+        F.pmod(F.xxhash64(*keys), F.lit(groups)).cast("int").alias("bucket"),
+        F.to_json(F.struct(*keys)).alias("name"),
         F.col(ts).alias("event_time"),
         micros(F.col(ts)).alias("at"),
         F.col(tie).alias("tie"),
         F.to_json(F.struct(*[F.col(c) for c in df.columns]), _JSON).alias("body"),
     )
+    tie_type = df.schema[tie].dataType.simpleString()
     kept = (
-        state_rows.groupBy(*[f"key{i}" for i in range(len(keys))])
-        .transformWithStateInPandas(
-            _Dedup(to_micros(window), df.schema[tie].dataType.simpleString()), "body string", "Append", "EventTime"
-        )
-        .select(F.from_json("body", body_schema, _JSON).alias("r"))
+        state_rows.groupBy("bucket")
+        .transformWithStateInPandas(_Dedup(to_micros(window), tie_type), "body string", "Append", "EventTime")
+        .select(F.from_json("body", df.schema, _JSON).alias("r"))
         .select("r.*")
     )
     return kept.unionByName(rows.where(no_key))
