@@ -101,7 +101,7 @@ def format_rfc3339(ts: Column) -> Column:
 def format_rfc3339_nano(ts: Column) -> Column:
     """Fraction without trailing zeros, UTC."""
     full = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    return F.concat(F.regexp_replace(full, r"\.?0+$", ""), F.lit("Z"))
+    return F.concat(F.rtrim(F.rtrim(full, F.lit("0")), F.lit(".")), F.lit("Z"))
 
 
 def blank_to_null(value: Column) -> Column:

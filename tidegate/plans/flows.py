@@ -132,5 +132,5 @@ class Flow:
         if topic.dedup is None:
             return topic.rows
         if topic.rows.isStreaming and self.join is not None:
-            raise ValueError("on streams, deduplicate each topic into a table of its own and join those")
+            raise ValueError("run a streaming join of deduplicated topics with streaming.run.run_flow")
         return topic.dedup.apply(topic.rows, topic.ts, self.delay)

@@ -1,13 +1,17 @@
-"""Running a stream over what is there, into a table in the shared folder."""
+"""Running streams: one query into a table, or a whole flow."""
 
 from __future__ import annotations
 
 from contextlib import contextmanager
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
+from tidegate.plans.flows import Flow, Topic
 from tidegate.session import ENGINE_CONF, new_run_dir
 from tidegate.sinks.tables import stream_sink
+from tidegate.sources.topics import replay
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
@@ -26,11 +30,54 @@ def rocksdb_state(spark: SparkSession):
             spark.conf.set(_PROVIDER, before)
 
 
+def read_table(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """The table a stream has written, with the stream's columns."""
+    return spark.read.schema(like.schema).option("basePath", path).parquet(path).select(*like.columns)
+
+
 def drain(df: DataFrame, label: str, output_mode: str = "append") -> DataFrame:
     """Process all available input in micro-batches and return the table that was written."""
     spark = df.sparkSession
     run = new_run_dir(spark, label)
     with rocksdb_state(spark):
-        query = stream_sink(df, f"{run}/table", f"{run}/checkpoint", output_mode=output_mode)
+        stream_sink(df, f"{run}/table", f"{run}/checkpoint", output_mode=output_mode).awaitTermination()
+    return read_table(spark, f"{run}/table", df)
+
+
+def _stage_table(topic: Topic, delay: str, path: str, available_now: bool) -> tuple[StreamingQuery, Topic]:
+    """Deduplicate a topic into a table, and read that table as the topic.
+
+    Spark's own file sink logs which files belong to a finished batch, and its file source
+    reads by that log, so nothing is lost or doubled between the two queries.
+    """
+    rows = topic.dedup.apply(topic.rows, topic.ts, delay)
+    writer = rows.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").option(
+        "path", f"{path}/rows")
+    query = (writer.trigger(availableNow=True) if available_now else writer).start()
+    if available_now:
         query.awaitTermination()
-    return spark.read.schema(df.schema).option("basePath", f"{run}/table").parquet(f"{run}/table").select(*df.columns)
+    return query, replace(topic, rows=replay(rows.sparkSession, f"{path}/rows", rows.schema), dedup=None)
+
+
+def run_flow(flow: Flow, target: str, work: str, available_now: bool = True) -> list[StreamingQuery]:
+    """Start a streaming flow into a table at ``target``; state and checkpoints go below ``work``.
+
+    A join flow runs as up to three queries: Spark takes no watermark after a custom
+    stateful step, so each deduplicated topic becomes a table that the join reads on.
+    With ``available_now`` the queries run one after the other over what is there.
+    """
+    spark = (flow.feed or flow.topics[0]).rows.sparkSession
+    queries = []
+    with rocksdb_state(spark):
+        if flow.join is not None:
+            topics = []
+            for side, topic in zip(("left", "right"), flow.topics):
+                if topic.dedup is not None:
+                    query, topic = _stage_table(topic, flow.delay, f"{work}/{side}", available_now)
+                    queries.append(query)
+                topics.append(topic)
+            flow = replace(flow, topics=topics)
+        queries.append(stream_sink(flow.build(), target, f"{work}/sink", available_now=available_now))
+        if available_now:
+            queries[-1].awaitTermination()
+    return queries

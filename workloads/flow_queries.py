@@ -14,7 +14,7 @@ from tidegate.sinks.tables import table_sink
 from tidegate.sources.topics import replay
 from tidegate.streaming.dedup_stream import dedup_stream
 from tidegate.streaming.joins import temporal_join_stream
-from tidegate.streaming.run import drain
+from tidegate.streaming.run import drain, run_flow
 from workloads import inputs as I
 from workloads.data_queries import JOIN_SQL, kept_sql, sides
 from workloads.registry import query
@@ -47,7 +47,7 @@ def pipe_stage(spark: SparkSession, sf: str) -> DataFrame:
     return Flow("stage-flow", [Topic(I.events(spark, sf), "ts")], stage=stage).build()
 
 
-@query("pipe_join", f"""
+PIPE_JOIN_SQL = f"""
 WITH RECURSIVE views AS (SELECT * FROM events WHERE event_type = 'view'),
 buys AS (SELECT * FROM events WHERE event_type = 'purchase'),
 {kept_sql('user_id', '1 HOUR', 'views', 'kept_views')}, {kept_sql('user_id', '6 HOURS', 'buys', 'kept_buys')}
@@ -55,10 +55,11 @@ SELECT l.user_id, l.event_id AS view_id, l.ts AS view_ts, l.value AS view_value,
        r.event_id AS buy_id, r.ts AS buy_ts, r.value AS buy_value
 FROM (SELECT * FROM views SEMI JOIN kept_views USING (event_id)) l
 JOIN (SELECT * FROM buys SEMI JOIN kept_buys USING (event_id)) r ON l.user_id = r.user_id
-  AND r.ts BETWEEN l.ts - INTERVAL 12 HOURS AND l.ts + INTERVAL 24 HOURS""")
-def pipe_join(spark: SparkSession, sf: str) -> DataFrame:
+  AND r.ts BETWEEN l.ts - INTERVAL 12 HOURS AND l.ts + INTERVAL 24 HOURS"""
+
+
+def _join_flow(left: DataFrame, right: DataFrame, delay: str = "0 seconds") -> Flow:
     """Two topics, each deduplicated in its own window, joined in time."""
-    left, right = sides(I.table(spark, sf, "events"))
     return Flow(
         "join-flow",
         [
@@ -66,7 +67,13 @@ def pipe_join(spark: SparkSession, sf: str) -> DataFrame:
             Topic(right, "buy_ts", DedupRule(["user_id"], 6 * H, "buy_id")),
         ],
         join=TemporalJoin(["user_id"], 24 * H, 12 * H),
-    ).build()
+        delay=delay,
+    )
+
+
+@query("pipe_join", PIPE_JOIN_SQL)
+def pipe_join(spark: SparkSession, sf: str) -> DataFrame:
+    return _join_flow(*sides(I.table(spark, sf, "events"))).build()
 
 
 @query("pipe_otlp", f"""
@@ -137,6 +144,19 @@ def temporal_join_stream_rows(spark: SparkSession, sf: str) -> DataFrame:
     return _plain(drain(joined, "join"), "view_ts", "buy_ts")
 
 
+@query("pipe_join_stream", PIPE_JOIN_SQL)
+def pipe_join_stream(spark: SparkSession, sf: str) -> DataFrame:
+    left, right = sides(_zoned(I.table(spark, sf, "events"), "ts"))
+    flow = _join_flow(
+        _as_stream(left, "view_ts", "flow-left", _end_row(left, "view_ts")),
+        _as_stream(right, "buy_ts", "flow-right", _end_row(right, "buy_ts")), LATE,
+    )
+    run = new_run_dir(spark, "flow")
+    run_flow(flow, f"{run}/table", f"{run}/work")
+    written = spark.read.option("basePath", f"{run}/table").parquet(f"{run}/table").drop("batch_id")
+    return _plain(written, "view_ts", "buy_ts")
+
+
 @query("counter_10s", """
 SELECT time_bucket(INTERVAL 10 SECONDS, ts) AS window_start, time_bucket(INTERVAL 10 SECONDS, ts) + INTERVAL 10 SECONDS AS window_end,
        event_type, count(*) AS n FROM events GROUP BY ALL""")
