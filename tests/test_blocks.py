@@ -67,3 +67,16 @@ def test_long_gaps_are_spelled_out_whole(spark):
     gaps = seq_gaps(msgs).where("stream = 's'").agg(F.count("*"), F.countDistinct("seq"), F.min("seq"), F.max("seq")).first()
     n = seqs[-1] - seqs[0] + 1 - len(seqs)
     assert tuple(gaps) == (n, n, 3, seqs[-1] - 1)
+
+
+def test_sliced_groups_with_copies(spark, rows):
+    """Hot groups are cut by range; a third of the rows are copies of one row."""
+    copies = spark.createDataFrame([(400, "hot", 9, 400)] * 500, "id long, g string, v long, mark long")
+    both = rows.where("id <> 400").unionByName(copies.repartition(8))
+    cut = blocks.slices(both, ["g"], ["id"])
+    assert cut.groupBy("_tg_slice").count().agg(F.max("count")).first()[0] < 500
+    same(blocks.previous(both, ["g"], ["id"], ["v", "mark"], "p", hot_rows=0),
+         both.withColumn("p", F.lag(F.struct("v", "mark")).over(here())))
+    up_to = here().rowsBetween(Window.unboundedPreceding, 0)
+    same(blocks.latest(both, ["g"], [F.col("id")], F.col("mark"), "m", hot_rows=0),
+         both.withColumn("m", F.last_value("mark", True).over(up_to)))

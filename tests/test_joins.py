@@ -43,7 +43,7 @@ def test_temporal_join_refuses_clashing_columns(spark):
                       timedelta(1), timedelta(1))
 
 
-@pytest.mark.parametrize("hot_rows", [10**9, 0], ids=["one task per key", "time blocks"])
+@pytest.mark.parametrize("hot_rows", [10**9, 0], ids=["one task per key", "slices"])
 @pytest.mark.parametrize("ttl", [0, 7, 100000])
 def test_latest_join(spark, ttl, hot_rows):
     left, right = sides(spark, n=300)

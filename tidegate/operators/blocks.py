@@ -5,7 +5,8 @@ order.  Each block's end state is a small aggregate; running over those gives th
 every block starts from.  That state joins the block as one more row at its head, so a
 window per block yields the running value, and the rows are shuffled once.
 
-``block`` must be non-decreasing in the order columns.
+A block column must be non-decreasing in the order columns.  Where rows carry a unique
+number, blocks of that number do; otherwise ``slices`` cuts the rows by range.
 """
 
 from __future__ import annotations
@@ -15,11 +16,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegate.operators.skew import lookup_join
+from tidegate.operators.skew import HOT_ROWS, is_skewed, lookup_join
+from tidegate.session import cut_lineage
 
 SEQ_BLOCK = 1 << 20
 
-_BLOCK, _VALUE, _REAL = "_tg_block", "_tg_value", "_tg_real"
+_BLOCK, _VALUE, _REAL, _SLICE, _COPY = "_tg_block", "_tg_value", "_tg_real", "_tg_slice", "_tg_copy"
+
+
+def slices(df: DataFrame, part: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
+    """Cut the rows into slices of about equal size along (part, order), however they are distributed.
+
+    The slices are written once, so that every later step sees the same cuts.  The number
+    of the partition a row comes from tells copies apart, so they can be cut as well.
+    """
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(
+        df.withColumn(_COPY, F.spark_partition_id())
+        .repartitionByRange(count, *part, *order, _COPY)
+        .withColumn(_SLICE, F.spark_partition_id())
+    )
 
 
 def _over_blocks(
@@ -56,15 +72,18 @@ def row_index(df: DataFrame, part: Sequence[str], order: Sequence[Column], block
 
 def previous(
     df: DataFrame, part: Sequence[str], order: Sequence[str], cols: Sequence[str], out: str,
-    block: Column | None = None,
+    block: Column | None = None, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``out``: a struct of ``cols`` from the row before, null on the first row of ``part``.
 
-    Without ``block`` one task sorts each group; pass it when a group may be hot.
+    Without ``block`` the rows are counted first, and sliced only if a group is hot.
     """
     value = F.struct(*[F.col(c) for c in cols])
     if block is None:
-        return df.withColumn(out, F.lag(value).over(Window.partitionBy(*part).orderBy(*order)))
+        if not is_skewed(df, part, hot_rows):
+            return df.withColumn(out, F.lag(value).over(Window.partitionBy(*part).orderBy(*order)))
+        cut = slices(df, part, order)
+        return previous(cut, part, [*order, _COPY], cols, out, F.col(_SLICE)).drop(_SLICE, _COPY)
     rows = df.withColumn(_BLOCK, block).withColumn(_VALUE, value)
     across = Window.partitionBy(*part).orderBy(_BLOCK)
     heads = (
@@ -77,13 +96,15 @@ def previous(
 
 def latest(
     df: DataFrame, part: Sequence[str], order: Sequence[Column], value: Column, out: str,
-    block: Column | None = None,
+    block: Column | None = None, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``out``: the newest non-null ``value`` at or before the row within ``part``."""
     if block is None:
-        return df.withColumn(
-            out, F.last_value(value, True).over(_up_to_here(Window.partitionBy(*part).orderBy(*order)))
-        )
+        if not is_skewed(df, part, hot_rows):
+            here = Window.partitionBy(*part).orderBy(*order)
+            return df.withColumn(out, F.last_value(value, True).over(_up_to_here(here)))
+        cut = slices(df, part, order)
+        return latest(cut, part, [*order, F.col(_COPY)], value, out, F.col(_SLICE)).drop(_SLICE, _COPY)
     rows = df.withColumn(_BLOCK, block).withColumn(_VALUE, value)
     before = Window.partitionBy(*part).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     # Rows without a value have a null ordering, which max_by passes over.

@@ -1,8 +1,8 @@
 """Pipeline status and its history (H1-H8, K5).
 
 A status change has (pipeline_id, ts, seq, status); ``seq`` breaks ties.  Functions that
-look at the row before first count rows; where a pipeline has more than ``hot_rows`` of
-them, its history is cut into time blocks.
+look at the row before first count rows; where a pipeline has too many of them for a task
+(``hot_rows``), the histories are cut into slices.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidegate.functions.exprs import blank_to_null, interval, parse_rfc3339
 from tidegate.operators.blocks import previous
-from tidegate.operators.skew import HOT_ROWS, lookup_join, time_blocks
+from tidegate.operators.skew import HOT_ROWS, lookup_join
 
 # Status names and the moves allowed from each.
 TRANSITIONS = {
@@ -68,8 +68,7 @@ def latest_status(changes: DataFrame) -> DataFrame:
 
 
 def _with_previous(changes: DataFrame, hot_rows: int) -> DataFrame:
-    block = time_blocks(changes, ["pipeline_id"], "ts", hot_rows)
-    return previous(changes, ["pipeline_id"], _ORDER, ["status"], "_tg_prev", block).withColumn(
+    return previous(changes, ["pipeline_id"], _ORDER, ["status"], "_tg_prev", hot_rows=hot_rows).withColumn(
         "from_status", F.col("_tg_prev.status")
     )
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidegate.functions.exprs import block_of, interval, micros, to_micros
 from tidegate.operators.blocks import latest
-from tidegate.operators.skew import HOT_ROWS, lookup_join, salt_both, time_blocks
+from tidegate.operators.skew import HOT_ROWS, lookup_join, salt_both
 
 _BUCKET = "_tg_time"
 
@@ -74,7 +74,7 @@ def latest_join(
     """Each left row with the newest right row of its key at or before it and at most ``ttl`` old.
 
     Both sides go into one ordered run per key and the last right row is carried down it:
-    no pairs are formed.  Rows of hot keys are cut into time blocks (see ``blocks``).
+    no pairs are formed.  Hot keys are cut into slices (see ``blocks``).
     Left rows that find nothing, or have a null key, drop out.
     """
     clash = set(left.columns) & set(right.columns) - set(on)
@@ -93,9 +93,8 @@ def latest_join(
     both = right_rows.unionByName(left_rows, allowMissingColumns=True)
     for c in on:
         both = both.where(F.col(c).isNotNull())
-    block = time_blocks(both, on, "_tg_at", hot_rows)
     order = [F.col("_tg_at"), F.col("_tg_side"), F.col("_tg_tie")]
-    filled = latest(both, on, order, F.col("_tg_right"), "_tg_found", block)
+    filled = latest(both, on, order, F.col("_tg_right"), "_tg_found", hot_rows=hot_rows)
     return (
         filled.where("_tg_side = 1")
         .where(F.col(f"_tg_found.{right_ts}") >= F.col("_tg_at") - interval(ttl))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.operators.blocks import previous
-from tidegate.operators.skew import HOT_ROWS, time_blocks
+from tidegate.operators.skew import HOT_ROWS
 
 # The order in which components are torn down.
 DRAIN_ORDER = ("dedup", "join", "sink")
@@ -26,20 +26,29 @@ def lag(
 ) -> tuple[DataFrame, DataFrame]:
     """Lag per requested (stream, consumer): undelivered (pending) and delivered but not acked.
 
-    ``deliveries`` and ``acks`` are (stream, seq, consumer).  Row-level joins are on
-    (stream, seq), which is unique per consumer; everything else joins aggregates.  A
-    requested consumer that does not exist comes back in the second frame with an error.
+    ``deliveries`` and ``acks`` are (stream, seq, consumer), repeats allowed.  The three row
+    tables meet in one aggregation on (stream, seq), whose sets hold at most the stream's
+    consumers; the rest joins aggregates.  A requested consumer that does not exist comes
+    back in the second frame with an error.
     """
     known = consumers.select("stream", "consumer").distinct()
     asked = requests.select("stream", "consumer").distinct()
-    here = deliveries.select("stream", "seq", "consumer").distinct().join(
-        messages.select("stream", "seq"), ["stream", "seq"], "left_semi"
+
+    def marks(df: DataFrame, name: str) -> DataFrame:
+        return df.select("stream", "seq", F.col("consumer").alias(name))
+
+    per_message = (
+        messages.select("stream", "seq", F.lit(True).alias("stored"))
+        .unionByName(marks(deliveries, "sent"), allowMissingColumns=True)
+        .unionByName(marks(acks, "acked"), allowMissingColumns=True)
+        .groupBy("stream", "seq")
+        .agg(F.max("stored").alias("stored"), F.collect_set("sent").alias("sent"), F.collect_set("acked").alias("acked"))
+        .where("stored")
     )
-    done = acks.select("stream", "seq", "consumer").distinct().withColumn("_tg_acked", F.lit(1))
     delivered = (
-        here.join(done, ["stream", "seq", "consumer"], "left")
+        per_message.select("stream", F.explode("sent").alias("consumer"), "acked")
         .groupBy("stream", "consumer")
-        .agg(F.count(F.lit(1)).alias("_tg_sent"), F.count_if(F.col("_tg_acked").isNull()).alias("unacked"))
+        .agg(F.count(F.lit(1)).alias("_tg_sent"), F.count_if(~F.array_contains("acked", F.col("consumer"))).alias("unacked"))
     )
     stored = messages.groupBy("stream").agg(F.count(F.lit(1)).alias("_tg_msgs"))
     good = (
@@ -82,8 +91,7 @@ def drain_blocker(lags: DataFrame) -> DataFrame:
 
 def drain_progress(samples: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Each check against the one before: ``extend`` while the total falls, else ``stalled``."""
-    block = time_blocks(samples, ["pipeline_id"], "ts", hot_rows)
-    prev = previous(samples, ["pipeline_id"], ["ts", "check_id"], ["total"], "_tg_prev", block)
+    prev = previous(samples, ["pipeline_id"], ["ts", "check_id"], ["total"], "_tg_prev", hot_rows=hot_rows)
     before = F.col("_tg_prev.total")
     return prev.select(
         *samples.columns, before.alias("previous_total"),

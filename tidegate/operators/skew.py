@@ -18,7 +18,6 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.functions.exprs import block_of, micros
 from tidegate.session import cut_lineage
 
 HOT_ROWS = 2_000_000
@@ -58,28 +57,6 @@ def is_skewed(df: DataFrame, cols: Sequence[str], floor: int = HOT_ROWS) -> bool
     return measure_load(df, cols, floor).hot
 
 
-def time_blocks(df: DataFrame, cols: Sequence[str], ts: str, floor: int = HOT_ROWS) -> Column | None:
-    """A time block column that cuts the groups of ``cols`` to task size; null if none is hot.
-
-    The width follows from the fullest bucket: its time span over the number of tasks its
-    rows need, and half of that, since rows are not spread evenly.
-    """
-    at = micros(F.col(ts))
-    row = (
-        df.groupBy(_bucket(cols).alias(_BUCKET))
-        .agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("lo"), F.max(at).alias("hi"))
-        .agg(F.max(F.struct("n", "lo", "hi")).alias("top"), F.sum("n").alias("total"))
-        .first()
-    )
-    if row["top"] is None or row["top"]["lo"] is None:
-        return None
-    load = Load(row["top"]["n"], max(floor, ceil(2 * row["total"] / BUCKETS), 1))
-    if not load.hot:
-        return None
-    pieces = 2 * ceil(load.top / load.limit)
-    return block_of(at, max((row["top"]["hi"] - row["top"]["lo"]) // pieces, 1))
-
-
 def _parts(measured: DataFrame, cols: Sequence[str], load: Load) -> DataFrame:
     """How many ways each hot bucket is split.  At most BUCKETS rows, so fit to broadcast at any size."""
     return F.broadcast(

@@ -376,7 +376,7 @@ WITH {_BY_KIND}, d AS (SELECT kind, dear_ts, max(dear_id) AS dear_id FROM r GROU
 SELECT l.*, d.dear_id, d.dear_ts FROM l ASOF JOIN d ON l.kind = d.kind AND l.cheap_ts >= d.dear_ts
 WHERE d.dear_ts >= l.cheap_ts - INTERVAL 6 HOURS""")
 def latest_join_hot_key(spark: SparkSession, sf: str) -> DataFrame:
-    """Five keys share all rows: the plan that cuts them into time blocks, at any data size."""
+    """Five keys share all rows: the plan that cuts them into slices, at any data size."""
     left, right = _by_kind(spark, sf)
     return joins.latest_join(left, right, ["kind"], "cheap_ts", "dear_ts", 6 * H, ["dear_id"], hot_rows=0)
 

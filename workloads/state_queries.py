@@ -289,7 +289,7 @@ WITH {_PREV}, {_MATRIX}
 SELECT s.pipeline_id, s.ts, s.seq, s.prev AS from_status, s.status AS to_status, {_RECORDED} AS verdict
 FROM steps s LEFT JOIN matrix x ON x.a = s.prev AND x.b = s.status WHERE s.rn > 1""")
 def status_transitions_hot(spark: SparkSession, sf: str) -> DataFrame:
-    """The plan that cuts long histories into time blocks, at any data size."""
+    """The plan that cuts long histories into slices, at any data size."""
     return H.check_transitions(I.status_changes(spark, sf), "recorded", hot_rows=0)
 
 
