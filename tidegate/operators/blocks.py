@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegate.operators.skew import HOT_ROWS, is_skewed, lookup_join
+from tidegate.operators.skew import HOT_ROWS, lookup_join, split_hot
 from tidegate.session import cut_lineage
 
 SEQ_BLOCK = 1 << 20
@@ -24,17 +24,21 @@ SEQ_BLOCK = 1 << 20
 _BLOCK, _VALUE, _REAL, _SLICE, _COPY = "_tg_block", "_tg_value", "_tg_real", "_tg_slice", "_tg_copy"
 
 
-def slices(df: DataFrame, part: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    """Cut the rows into slices of about equal size along (part, order), however they are distributed.
+def slices(
+    df: DataFrame, part: Sequence[str], order: Sequence[Column | str], name: str = _SLICE, copy: str = _COPY
+) -> DataFrame:
+    """Cut the rows into sorted slices of about equal size along (part, order), however they lie.
 
-    The slices are written once, so that every later step sees the same cuts.  The number
-    of the partition a row comes from tells copies apart, so they can be cut as well.
+    Adds the slice number and a ``copy`` column: the partition a row comes from, which ends
+    the order and tells copies of one row apart, so that they can be cut as well.  The
+    slices are written once, so that every later step sees the same cuts.
     """
     count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return cut_lineage(
-        df.withColumn(_COPY, F.spark_partition_id())
-        .repartitionByRange(count, *part, *order, _COPY)
-        .withColumn(_SLICE, F.spark_partition_id())
+        df.withColumn(copy, F.spark_partition_id())
+        .repartitionByRange(count, *part, *order, copy)
+        .sortWithinPartitions(*part, *order, copy)
+        .withColumn(name, F.spark_partition_id())
     )
 
 
@@ -76,14 +80,17 @@ def previous(
 ) -> DataFrame:
     """Add ``out``: a struct of ``cols`` from the row before, null on the first row of ``part``.
 
-    Without ``block`` the rows are counted first, and sliced only if a group is hot.
+    Without ``block`` the rows are counted first, and only hot groups are sliced.
     """
     value = F.struct(*[F.col(c) for c in cols])
     if block is None:
-        if not is_skewed(df, part, hot_rows):
-            return df.withColumn(out, F.lag(value).over(Window.partitionBy(*part).orderBy(*order)))
-        cut = slices(df, part, order)
-        return previous(cut, part, [*order, _COPY], cols, out, F.col(_SLICE)).drop(_SLICE, _COPY)
+        hot, rest = split_hot(df, part, hot_rows)
+        plain = rest.withColumn(out, F.lag(value).over(Window.partitionBy(*part).orderBy(*order)))
+        if hot is None:
+            return plain
+        cut = slices(hot, part, order)
+        return plain.unionByName(
+            previous(cut, part, [*order, _COPY], cols, out, F.col(_SLICE)).drop(_SLICE, _COPY))
     rows = df.withColumn(_BLOCK, block).withColumn(_VALUE, value)
     across = Window.partitionBy(*part).orderBy(_BLOCK)
     heads = (
@@ -100,11 +107,14 @@ def latest(
 ) -> DataFrame:
     """Add ``out``: the newest non-null ``value`` at or before the row within ``part``."""
     if block is None:
-        if not is_skewed(df, part, hot_rows):
-            here = Window.partitionBy(*part).orderBy(*order)
-            return df.withColumn(out, F.last_value(value, True).over(_up_to_here(here)))
-        cut = slices(df, part, order)
-        return latest(cut, part, [*order, F.col(_COPY)], value, out, F.col(_SLICE)).drop(_SLICE, _COPY)
+        hot, rest = split_hot(df, part, hot_rows)
+        here = Window.partitionBy(*part).orderBy(*order)
+        plain = rest.withColumn(out, F.last_value(value, True).over(_up_to_here(here)))
+        if hot is None:
+            return plain
+        cut = slices(hot, part, order)
+        return plain.unionByName(
+            latest(cut, part, [*order, F.col(_COPY)], value, out, F.col(_SLICE)).drop(_SLICE, _COPY))
     rows = df.withColumn(_BLOCK, block).withColumn(_VALUE, value)
     before = Window.partitionBy(*part).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     # Rows without a value have a null ordering, which max_by passes over.

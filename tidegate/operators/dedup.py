@@ -5,9 +5,9 @@ row of its key was kept before, or when at least ``window`` has passed since the
 one; dropped rows do not move that anchor.  Rows with a null key are always kept.
 
 Plan: one shuffle on the key, a sort inside the partition, and a fold over Arrow batches
-that keeps one anchor per task.  When a key is too heavy for a task the rows are
-range-partitioned by (key, time) instead, so the key is cut into slices of equal size, and
-the anchor that enters each slice is worked out first (``_entry_anchors``).
+that keeps one anchor per task.  Keys too heavy for a task are range-partitioned by
+(key, time) instead, so that each is cut into slices of equal size, and the anchor that
+enters each slice is worked out first (``_entry_anchors``).
 """
 
 from __future__ import annotations
@@ -27,10 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegate.functions.exprs import to_micros
-from tidegate.operators.skew import HOT_ROWS, is_skewed
+from tidegate.operators.blocks import slices
+from tidegate.operators.skew import HOT_ROWS, hot_filter
 from tidegate.session import cut_lineage
 
-_LOOSE, _SLICE = "_tg_loose", "_tg_slice"
+_LOOSE, _SLICE, _COPY = "_tg_loose", "_tg_slice", "_tg_copy"
 
 # The partition functions below travel with the job: executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -52,13 +53,15 @@ def dedup(
         if isinstance(df.schema[key].dataType, (T.StructType, T.ArrayType, T.MapType)):
             raise TypeError(f"dedup key {key} must be an atomic column")
     loose = _any_null(keys)
-    if is_skewed(df.where(~loose), keys, hot_rows):
-        return _dedup_sliced(df.where(~loose), keys, ts, width, tie).unionByName(df.where(loose))
-    rows = df.withColumn(_LOOSE, loose)
+    hot = hot_filter(df.where(~loose), keys, hot_rows)
+    rest = df if hot is None else df.where(loose | ~hot)
     # Rows without a key never meet, so they are spread evenly.
     spread = F.when(loose, F.xxhash64(ts, *tie, F.spark_partition_id())).otherwise(F.xxhash64(*keys))
-    placed = rows.repartition(spread).sortWithinPartitions(_LOOSE, *keys, ts, *tie)
-    return placed.mapInArrow(_fold(list(keys), ts, width), df.schema)
+    placed = rest.withColumn(_LOOSE, loose).repartition(spread).sortWithinPartitions(*keys, ts, *tie)
+    kept = placed.mapInArrow(_fold(list(keys), ts, width), df.schema)
+    if hot is None:
+        return kept
+    return kept.unionByName(_dedup_sliced(df.where(~loose & hot), keys, ts, width, tie))
 
 
 def dedup_all(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str]) -> DataFrame:
@@ -108,7 +111,7 @@ def _walk(time: np.ndarray, i: int, end: int, width: int, keep: np.ndarray) -> N
 
 
 def _fold(keys: list[str], ts: str, width: int, anchors: dict[int, int] | None = None):
-    """Partition function: rows sorted by (loose, keys, time) in, kept rows out.
+    """Partition function: rows sorted by (keys, time) in, kept rows out.
 
     ``anchors`` gives, per slice, the anchor its first key brings along from earlier slices.
     """
@@ -121,7 +124,7 @@ def _fold(keys: list[str], ts: str, width: int, anchors: dict[int, int] | None =
                 continue
             table = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             time = _micros(table[ts])
-            new = table[_LOOSE].to_numpy(zero_copy_only=False).copy()
+            new = table[_LOOSE].to_numpy(zero_copy_only=False).copy() if _LOOSE in table else np.zeros(n, bool)
             for key in keys:
                 new[1:] |= _changes(table[key])
             if last_key is not None:
@@ -151,7 +154,7 @@ def _fold(keys: list[str], ts: str, width: int, anchors: dict[int, int] | None =
                 anchor = int(time[kept[-1]])
             last_key = [table[key].slice(n - 1, 1) for key in keys]
             last_time = int(time[-1])
-            yield batch.filter(pa.array(keep)).drop_columns([c for c in (_LOOSE, _SLICE) if c in table])
+            yield batch.filter(pa.array(keep)).drop_columns([c for c in (_LOOSE, _SLICE, _COPY) if c in table])
 
     return run
 
@@ -160,17 +163,7 @@ def _fold(keys: list[str], ts: str, width: int, anchors: dict[int, int] | None =
 
 
 def _dedup_sliced(rows: DataFrame, keys: Sequence[str], ts: str, width: int, tie: Sequence[str]) -> DataFrame:
-    slices = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Of rows with equal key and time only the first can be kept.  Dropping the others
-    # map-side leaves no two rows alike, so any key can be cut anywhere.
-    first = F.min_by(F.struct(*[F.col(c) for c in rows.columns]), F.struct(*tie))
-    distinct = rows.groupBy(*keys, ts).agg(first.alias("_tg_first")).select("_tg_first.*")
-    # The slices are written once: both passes below must see the same cuts.
-    sliced = cut_lineage(
-        distinct.repartitionByRange(slices, *keys, ts)
-        .sortWithinPartitions(*keys, ts)
-        .withColumns({_SLICE: F.spark_partition_id(), _LOOSE: F.lit(False)})
-    )
+    sliced = slices(rows, keys, [ts, *tie], _SLICE, _COPY)
     anchors = _entry_anchors(sliced, keys, ts, width)
     return sliced.mapInArrow(_fold(list(keys), ts, width, anchors), rows.schema)
 

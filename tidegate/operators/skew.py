@@ -35,6 +35,10 @@ def _bucket_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.groupBy(_bucket(cols).alias(_BUCKET)).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _limit(total: int, floor: int) -> int:
+    return max(floor, ceil(2 * total / BUCKETS), 1)
+
+
 @dataclass(frozen=True)
 class Load:
     """Rows of the fullest bucket, and how many a bucket may hold: twice the mean, or ``floor``."""
@@ -49,12 +53,24 @@ class Load:
 
 def measure_load(df: DataFrame, cols: Sequence[str], floor: int = HOT_ROWS) -> Load:
     row = _bucket_counts(df, cols).agg(F.max("n").alias("top"), F.sum("n").alias("total")).first()
-    return Load(row["top"] or 0, max(floor, ceil(2 * (row["total"] or 0) / BUCKETS), 1))
+    return Load(row["top"] or 0, _limit(row["total"] or 0, floor))
+
+
+def hot_filter(df: DataFrame, cols: Sequence[str], floor: int = HOT_ROWS) -> Column | None:
+    """A condition true for rows of hot buckets, or None if there are none.
+
+    The bucket counts, at most BUCKETS rows, come to the driver.
+    """
+    counts = {row[_BUCKET]: row["n"] for row in _bucket_counts(df, cols).collect()}
+    limit = _limit(sum(counts.values()), floor)
+    hot = sorted(bucket for bucket, n in counts.items() if n > limit)
+    return _bucket(cols).isin(hot) if hot else None
 
 
-def is_skewed(df: DataFrame, cols: Sequence[str], floor: int = HOT_ROWS) -> bool:
-    """True when hashing on ``cols`` would overload a task."""
-    return measure_load(df, cols, floor).hot
+def split_hot(df: DataFrame, cols: Sequence[str], floor: int = HOT_ROWS) -> tuple[DataFrame | None, DataFrame]:
+    """(rows of hot buckets or None, all other rows).  A group lies whole in one of the two."""
+    hot = hot_filter(df, cols, floor)
+    return (None, df) if hot is None else (df.where(hot), df.where(~hot))
 
 
 def _parts(measured: DataFrame, cols: Sequence[str], load: Load) -> DataFrame:
