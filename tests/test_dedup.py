@@ -1,4 +1,5 @@
 import random
+import sys
 from datetime import timedelta
 
 import pytest
@@ -47,13 +48,18 @@ def test_matches_the_rule(spark, seed, span, step, width, hot_rows):
     assert run(spark, rows, width, hot_rows) == kept_ids(rows, width)
 
 
-def test_many_slices_of_one_key(spark):
-    """More slices than windows, and more windows than slices."""
-    rows = [("x", 1, t, t) for t in range(4000)]
+@pytest.mark.parametrize("way", ["_follow", "_double"])
+def test_many_slices_of_one_key(spark, monkeypatch, way):
+    """More slices than windows, and more windows than slices; both ways to find the anchors."""
+    module = sys.modules["tidegate.operators.dedup"]
+    follow, double = module._follow, module._double
+    monkeypatch.setattr(module, "_follow", lambda r, o, w, s: double(r, o, w, s, 64) if way == "_double" else follow(r, o, w, s))
+    monkeypatch.setattr(module, "_double", lambda r, o, w, s, n: follow(r, o, w, s) if way == "_follow" else double(r, o, w, s, n))
+    rows = [("x", 1, t, t) for t in range(4000)] + make(11, 1000, 4000)
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "24")
     try:
-        for width in (7, 700):
+        for width in (7, 30, 700):
             assert run(spark, rows, width, 0) == kept_ids(rows, width)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)

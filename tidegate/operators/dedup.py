@@ -13,6 +13,7 @@ enters each slice is worked out first (``_entry_anchors``).
 from __future__ import annotations
 
 import sys
+from bisect import bisect_left
 from collections.abc import Sequence
 from datetime import timedelta
 from functools import reduce
@@ -22,14 +23,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegate.functions.exprs import to_micros
 from tidegate.operators.blocks import slices
 from tidegate.operators.skew import HOT_ROWS, hot_filter
-from tidegate.session import cut_lineage
+from tidegate.session import cut_lineage, new_run_dir
 
 _LOOSE, _SLICE, _COPY = "_tg_loose", "_tg_slice", "_tg_copy"
 
@@ -173,29 +174,80 @@ def _entry_anchors(sliced: DataFrame, keys: Sequence[str], ts: str, width: int)
 
     Where the rule leaves a slice depends only on the row it enters at, and it enters
     within one window of the slice's first row.  So each slice reports, for those rows,
-    where a walk from there ends.  Walks that meet stay together, so a slice has few
-    distinct ends; linking each end to the next slice's entry gives a graph with one step
-    per slice, and following it from each key's first row by pointer doubling takes
-    log2(slices) joins, spread over all tasks.  What reaches the driver is at most two
-    rows per slice.
+    where a walk from there ends (``runs``).  Linking each end to the entry it leads to
+    gives a graph with at most one step per slice and per window, which is followed from
+    each key's first row.  What reaches the driver is at most two rows per slice.
     """
-    runs = cut_lineage(
-        sliced.select(F.to_json(F.struct(*keys)).alias("key"), F.col(ts), F.col(_SLICE))
-        .mapInArrow(_slice_runs(width), "key string, slice int, t bigint, ends bigint")
-    )
-    bounds = runs.groupBy("key", "slice").agg(F.max("t").alias("hi"))
-    split = bounds.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
-    spans: dict[str, list[tuple[int, int]]] = {}
+    spark = sliced.sparkSession
+    path = new_run_dir(spark, "dedup-runs")
+    schema = "key string, slice int, t bigint, ends bigint"
+    sliced.select(F.to_json(F.struct(*keys)).alias("key"), F.col(ts), F.col(_SLICE)).mapInArrow(
+        _slice_runs(width), schema
+    ).write.partitionBy("slice").parquet(path)
+    runs = spark.read.schema(schema).parquet(path)
+
+    bounds = runs.groupBy("key", "slice").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count("t").alias("n"))
+    split = bounds.withColumn("parts", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("parts > 1")
+    spans: dict[str, list[Row]] = {}
     for row in split.orderBy("key", "slice").collect():
-        spans.setdefault(row["key"], []).append((row["slice"], row["hi"]))
+        spans.setdefault(row["key"], []).append(row)
     if not spans:
         return {}
 
-    runs = runs.join(F.broadcast(split.select("key").distinct()), "key", "left_semi")
-    reached = runs.groupBy("key").agg(F.min_by(F.struct("slice", "ends"), F.struct("t", "slice")).alias("r"))
-    reached = cut_lineage(reached.select("key", "r.slice", "r.ends"))
-    jump = cut_lineage(_link_ends(runs, width, spans))
-    for _ in range(ceil(log2(max(len(parts) for parts in spans.values())))):
+    # The keys that were cut, at most one per slice.
+    cut = runs.join(F.broadcast(split.select("key").distinct()), "key", "left_semi")
+    roots = cut.groupBy("key").agg(F.min_by(F.struct("slice", "ends"), F.struct("t", "slice")).alias("r"))
+    roots = roots.select("key", "r.slice", "r.ends")
+    steps = max(min(len(parts), (parts[-1]["hi"] - parts[0]["lo"]) // width + 2) for parts in spans.values())
+    # A step is one small job on one slice per key; doubling shuffles all reported rows.
+    if steps <= 16 + sum(row["n"] for parts in spans.values() for row in parts) // 100_000:
+        reached = _follow(runs, roots, width, spans)
+    else:
+        reached = _double(cut, roots, width, spans, steps)
+
+    done: dict[str, list[tuple[int, int]]] = {}
+    for key, number, end in reached:
+        done.setdefault(key, []).append((number, end))
+    return {
+        row["slice"]: max(end for number, end in done[key] if number < row["slice"])
+        for key, parts in spans.items() for row in parts[1:]
+    }
+
+
+def _follow(runs: DataFrame, roots: DataFrame, width: int, spans: dict[str, list[Row]]) -> list[tuple[str, int, int]]:
+    """Step by step, all keys at once; a step reads only the slices it leads to."""
+    numbers = {key: ([row["hi"] for row in parts], [row["slice"] for row in parts]) for key, parts in spans.items()}
+    reached = [tuple(row) for row in roots.collect()]
+    front = reached
+    while front:
+        asked = []
+        for key, _, end in front:
+            at = bisect_left(numbers[key][0], end + width)
+            if at < len(numbers[key][0]):
+                asked.append((key, numbers[key][1][at], end + width))
+        if not asked:
+            break
+        asks = F.broadcast(runs.sparkSession.createDataFrame(asked, "key string, slice int, at bigint"))
+        found = (
+            runs.where(F.col("slice").isin(sorted({number for _, number, _ in asked})))
+            .join(asks, ["key", "slice"]).where("t >= at")
+            .groupBy("key", "slice").agg(F.min(F.struct("t", "ends")).alias("r"))
+        )
+        front = [tuple(row) for row in found.select("key", "slice", "r.ends").collect()]
+        reached.extend(front)
+    return reached
+
+
+def _double(
+    runs: DataFrame, roots: DataFrame, width: int, spans: dict[str, list[Row]], steps: int
+) -> list[tuple[str, int, int]]:
+    """By pointer doubling: log2(steps) joins, spread over all tasks.
+
+    Walks that meet stay together, so a slice has few distinct ends when it holds many
+    windows, and the graph is small where there are many steps.
+    """
+    reached, jump = cut_lineage(roots), cut_lineage(_link_ends(runs, width, spans))
+    for _ in range(ceil(log2(steps)) + 1):
         step = reached.join(jump, ["key", "slice", "ends"]).select(
             "key", F.col("to_slice").alias("slice"), F.col("to_ends").alias("ends")
         )
@@ -206,14 +258,7 @@ def _entry_anchors(sliced: DataFrame, keys: Sequence[str], ts: str, width: int)
                 "key", "slice", "ends", F.col("far_slice").alias("to_slice"), F.col("far_ends").alias("to_ends")
             )
         )
-    anchors: dict[int, int] = {}
-    done: dict[str, list[tuple[int, int]]] = {}
-    for row in reached.collect():
-        done.setdefault(row["key"], []).append((row["slice"], row["ends"]))
-    for key, parts in spans.items():
-        for number, _ in parts[1:]:
-            anchors[number] = max(end for slice_, end in done[key] if slice_ < number)
-    return anchors
+    return [tuple(row) for row in reached.select("key", "slice", "ends").collect()]
 
 
 def _slice_runs(width: int):
@@ -259,13 +304,16 @@ def _slice_runs(width: int):
     return run
 
 
-def _link_ends(runs: DataFrame, width: int, spans: dict[str, list[tuple[int, int]]]) -> DataFrame:
+def _link_ends(runs: DataFrame, width: int, spans: dict[str, list[Row]]) -> DataFrame:
     """(key, slice, end) -> the slice and end of the walk that goes on from there.
 
     The next entry is the first reported row at or after ``end + width``.  The slice it
     lies in follows from the slice bounds; inside it one sorted pass finds the row.
     """
-    tops = {key: tuple(np.array(col) for col in zip(*parts)) for key, parts in spans.items()}
+    tops = {
+        key: (np.array([row["slice"] for row in parts]), np.array([row["hi"] for row in parts]))
+        for key, parts in spans.items()
+    }
 
     def aim(batches):
         for batch in batches:
@@ -273,6 +321,8 @@ def _link_ends(runs: DataFrame, width: int, spans: dict[str, list[tuple[int, int
             target = np.full(batch.num_rows, -1, np.int32)
             codes = batch.column(0).dictionary_encode()
             for code, key in enumerate(codes.dictionary.to_pylist()):
+                if key not in tops:
+                    continue
                 numbers, tops_of_key = tops[key]
                 mine = np.flatnonzero(codes.indices.to_numpy() == code)
                 at = np.searchsorted(tops_of_key, probe[mine])
