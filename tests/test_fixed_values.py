@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidegate.functions import exprs as X
 from tidegate.operators import deadletters, history, lag, metrics, notifications, retention, shards, signals, stages, sweep
+from tidegate.sinks.tables import append_letters, notify_sink
 from tidegate.sources.records import read_specs
 
 
@@ -300,3 +301,21 @@ def test_specs(spark):
     assert {r.pipeline_id: r.reason for r in bad.collect()} == {
         "pipe-3": "no config", "pipe-4": "empty config", "pipe-5": "malformed config", "p": "pipeline id too short",
         "pipe-6": "unknown source type", "pipe-7": "unknown sink type"}
+
+
+def test_notify_sink(spark, tmp_path):
+    schema = ("notification_id string, pipeline_id string, timestamp string, severity string, event_type string, title string, "
+              "message string, metadata struct<source: string, tags: array<string>, custom_fields: map<string, string>>")
+    rows = [("n1", "p", "t", "info", "e", "ti", "m", ("me", [], {})), ("n2", "", "t", "info", "e", "ti", "m", ("me", ["a"], {"k": "v"}))]
+    invalid = notify_sink(spark.createDataFrame(rows, schema), str(tmp_path / "out"))
+    assert [(r.notification_id, r.invalid) for r in invalid.collect()] == [("n2", "pipeline_id is required")]
+    payloads = [json.loads(r.payload) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert payloads == [{"notification_id": "n1", "pipeline_id": "p", "timestamp": "t", "severity": "info", "event_type": "e",
+                         "title": "ti", "message": "m", "metadata": {"source": "me"}}]
+
+
+def test_dead_letters_are_appended(spark, tmp_path):
+    letters = deadletters.to_dlq(spark.range(3), F.lit("sink"), F.col("id").cast("string"))
+    for _ in range(2):
+        append_letters(letters, str(tmp_path / "dlq"))
+    assert spark.read.parquet(str(tmp_path / "dlq")).count() == 6

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidegate.operators.dedup import dedup
 from tidegate.operators.joins import temporal_join
-from tidegate.operators.metrics import counter_windows
+from tidegate.operators.metrics import counter_stream
 from tidegate.plans.flows import DedupRule, Flow, Stage, TemporalJoin, Topic
 from tidegate.sinks.tables import stream_sink
 from tidegate.sources.topics import replay
@@ -117,11 +117,11 @@ def test_join_state_is_bounded(spark, tmp_path):
     assert max(op.numRowsTotal for p in query.recentProgress for op in p.stateOperators) < 400
 
 
-def test_counter_windows(spark, tmp_path):
+def test_counter_stream(spark, tmp_path):
     rows = make(6, 300, 500)
-    expected = counter_windows(frame(spark, rows), "ts", ["k"])
+    expected = counter_stream(frame(spark, rows), "ts", ["k"])
     source = stream(spark, [*cut(rows, 3, 7, 20), [("end", END, -1, 0)]], str(tmp_path / "in"))
-    got = drain(counter_windows(source, "ts", ["k"], late="21 seconds"), "t-count")
+    got = drain(counter_stream(source, "ts", ["k"], late="21 seconds"), "t-count")
     key = lambda r: (str(r[2]), r[0])
     assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, expected.collect()), key=key)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Unit suffixes (powers of 1024) and the size used when a text is unreadable.
@@ -38,6 +38,15 @@ def block_of(value: Column, width: int) -> Column:
     return F.call_function("div", value - F.pmod(value, F.lit(width)), F.lit(width))
 
 
+def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that later filters and projections will use several times.
+
+    Filters are pushed through a projection by repeating its expression, which would parse
+    a payload once per use; they are not pushed through a generator, here of one row.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def short_hash(value: Column) -> Column:
     """First eight hex digits of SHA-256."""
     return F.substring(F.sha2(value, 256), 1, 8)

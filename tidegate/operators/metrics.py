@@ -40,7 +40,7 @@ def histogram(
     return counted.select(*labels, F.inline(F.array(*rows)))
 
 
-def counter_windows(
+def counter_stream(
     df: DataFrame, ts: str, labels: Sequence[str], every: str = EXPORT_INTERVAL, late: str | None = None
 ) -> DataFrame:
     """Increment per export interval.  On a stream, ``late`` is the watermark delay."""

@@ -19,8 +19,7 @@ SUCCESS = {
 }
 BACKPRESSURE = (
     "warn", "pipeline_backpressure", "Pipeline Back-Pressure Detected",
-    "Your OTLP pipeline is under back-pressure — the stream buffer is full. "
-    "Scale up your sink to resume normal ingestion.",
+    "Your OTLP pipeline is under back-pressure — the stream buffer is full. Scale up your sink to resume normal ingestion.",
 )
 REQUIRED = ("notification_id", "pipeline_id", "timestamp", "event_type", "title", "message")
 

@@ -93,7 +93,8 @@ def _row_salt(df: DataFrame) -> Column:
     The partition number tells copies apart; unlike a row number or a random value it does
     not depend on the order in which rows arrive.
     """
-    row = F.xxhash64(*[F.col(c) for c in df.columns], F.spark_partition_id())
+    hashable = [F.col(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    row = F.xxhash64(*hashable, F.spark_partition_id())
     return F.pmod(row, F.col(_PARTS)).cast("int")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegate.functions.exprs import parse_bytes
+from tidegate.functions.exprs import compute_once, parse_bytes
 from tidegate.operators.deadletters import to_dlq
 from tidegate.schemas import Schema, as_struct
 
@@ -39,9 +39,8 @@ def decode(df: DataFrame, schema: Schema, value: str = "value") -> tuple[DataFra
     schema = as_struct(schema)
     with_corrupt = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
     others = [c for c in df.columns if c != value]
-    parsed = df.withColumn(
-        "_tg_v", F.from_json(F.col(value).cast("string"), with_corrupt, {"columnNameOfCorruptRecord": _CORRUPT})
-    )
+    body = F.from_json(F.col(value).cast("string"), with_corrupt, {"columnNameOfCorruptRecord": _CORRUPT})
+    parsed = compute_once(df, "_tg_v", body)
     bad = F.col("_tg_v").isNull() | F.col(f"_tg_v.{_CORRUPT}").isNotNull()
     good_cols = [F.col(f"_tg_v.{f.name}").alias(f.name) for f in schema.fields]
     return parsed.where(~bad).select(*others, *good_cols), parsed.where(bad).drop("_tg_v")

@@ -1,4 +1,4 @@
-"""Table sink (K1), dead-letter and notification appends (K2, K4)."""
+"""Table sink (K1), dead-letter and notification sinks (K2, K4)."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidegate.operators.notifications import notification_json, validate_notifications
+
 
 def table_sink(
     df: DataFrame, target: str, mode: str = "append", writers: int | None = None, fmt: str = "parquet",
@@ -50,3 +52,9 @@ def stream_sink(
 def append_letters(letters: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Dead letters are only ever appended; no retention limit applies to their table."""
     table_sink(letters, path, "append", partition_by=partition_by)
+
+
+def notify_sink(notifications: DataFrame, path: str) -> DataFrame:
+    """Append valid notifications as JSON payloads; returns the invalid ones with the reason."""
+    table_sink(notification_json(notifications), path)
+    return validate_notifications(notifications).where("invalid IS NOT NULL")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidegate.functions.exprs import compute_once
 from tidegate.schemas import PIPELINE_SPEC, Schema, as_struct
 
 # Source kinds, sink kinds and the shortest pipeline id.
@@ -28,9 +29,8 @@ def read_specs(df: DataFrame, schema: Schema = PIPELINE_SPEC) -> tuple[DataFrame
     body = T.StructType(
         [f for f in as_struct(schema).fields if f.name != "pipeline_id"] + [T.StructField(_CORRUPT, T.StringType())]
     )
-    rows = df.withColumn("_tg_config", config).withColumn(
-        "_tg_spec", F.from_json("_tg_config", body, {"columnNameOfCorruptRecord": _CORRUPT})
-    )
+    parsed = F.from_json("_tg_config", body, {"columnNameOfCorruptRecord": _CORRUPT})
+    rows = compute_once(df.withColumn("_tg_config", config), "_tg_spec", parsed)
     spec = F.col("_tg_spec")
     reason = (
         F.when(F.col("_tg_config").isNull(), "no config")

@@ -7,7 +7,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.operators.metrics import counter_windows
+from tidegate.operators.metrics import counter_stream
 from tidegate.plans.flows import DedupRule, Feed, Flow, Stage, TemporalJoin, Topic
 from tidegate.session import new_run_dir
 from tidegate.sinks.tables import table_sink
@@ -163,4 +163,4 @@ SELECT time_bucket(INTERVAL 10 SECONDS, ts) AS window_start, time_bucket(INTERVA
 def counter_10s(spark: SparkSession, sf: str) -> DataFrame:
     rows = _zoned(I.table(spark, sf, "events").select("ts", "event_type"), "ts")
     stream = _as_stream(rows, "ts", "counter-input", _end_row(rows, "ts"))
-    return drain(counter_windows(stream, "ts", ["event_type"], late=LATE), "counter")
+    return drain(counter_stream(stream, "ts", ["event_type"], late=LATE), "counter")
