@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.functions.exprs import blank_to_null, format_rfc3339, format_rfc3339_nano, random_id
+from tidegate.functions.exprs import blank_to_null, compute_once, format_rfc3339, format_rfc3339_nano, random_id
 
 # Operation -> (severity, event type, title, message).
 SUCCESS = {
@@ -90,17 +90,21 @@ def validate_notifications(df: DataFrame) -> DataFrame:
 
 def notification_json(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Valid notifications as JSON; empty tags and custom fields are left out."""
-    empty_tags = F.size(F.col("metadata.tags")) <= 0
-    empty_custom = F.size(F.col("metadata.custom_fields")) <= 0
+    fields = ("notification_id", "pipeline_id", "timestamp", "severity", "event_type", "title", "message", "metadata")
+    rows = compute_once(df.select(*keep, *fields), "_tg_n", F.struct(*fields))
+    n = F.col("_tg_n")
+    for field in REQUIRED:
+        rows = rows.where(n[field] != "")
+    tags, custom = n["metadata"]["tags"], n["metadata"]["custom_fields"]
     body = F.struct(
-        *[F.col(c) for c in ("notification_id", "pipeline_id", "timestamp", "severity", "event_type", "title", "message")],
+        *[n[field].alias(field) for field in fields[:-1]],
         F.struct(
-            F.col("metadata.source").alias("source"),
-            F.when(~empty_tags, F.col("metadata.tags")).alias("tags"),
-            F.when(~empty_custom, F.col("metadata.custom_fields")).alias("custom_fields"),
+            n["metadata"]["source"].alias("source"),
+            F.when(F.size(tags) > 0, tags).alias("tags"),
+            F.when(F.size(custom) > 0, custom).alias("custom_fields"),
         ).alias("metadata"),
     )
-    return validate_notifications(df).where("invalid is null").select(*keep, F.to_json(body).alias("payload"))
+    return rows.select(*keep, F.to_json(body).alias("payload"))
 
 
 def usage_events(outcomes: DataFrame, installation_id: str, provider: str, at: str = "ended") -> DataFrame:
