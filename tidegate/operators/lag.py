@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.operators.blocks import previous
-from tidegate.operators.skew import HOT_ROWS
+from tidegate.operators.skew import HOT_ROWS, lookup_join
 
 # The order in which components are torn down.
 DRAIN_ORDER = ("dedup", "join", "sink")
@@ -27,38 +27,37 @@ def lag(
     """Lag per requested (stream, consumer): undelivered (pending) and delivered but not acked.
 
     ``deliveries`` and ``acks`` are (stream, seq, consumer), repeats allowed.  The three row
-    tables meet in one aggregation on (stream, seq), whose sets hold at most the stream's
-    consumers; the rest joins aggregates.  A requested consumer that does not exist comes
-    back in the second frame with an error.
+    tables meet in one aggregation on (stream, seq, consumer), a key no group of rows is
+    heavy in; each message counts once per consumer of its stream.  A requested consumer
+    that does not exist comes back in the second frame with an error.
     """
     known = consumers.select("stream", "consumer").distinct()
     asked = requests.select("stream", "consumer").distinct()
+    readers = known.groupBy("stream").agg(F.collect_set("consumer").alias("consumers"))
+    stored = lookup_join(messages.select("stream", "seq"), readers, ["stream"], "inner").select(
+        "stream", "seq", F.explode("consumers").alias("consumer")
+    )
 
-    def marks(df: DataFrame, name: str) -> DataFrame:
-        return df.select("stream", "seq", F.col("consumer").alias(name))
+    def marked(df: DataFrame, mark: str) -> DataFrame:
+        flags = [F.lit(int(name == mark)).alias(name) for name in ("stored", "sent", "acked")]
+        return df.select("stream", "seq", "consumer", *flags)
 
     per_message = (
-        messages.select("stream", "seq", F.lit(True).alias("stored"))
-        .unionByName(marks(deliveries, "sent"), allowMissingColumns=True)
-        .unionByName(marks(acks, "acked"), allowMissingColumns=True)
-        .groupBy("stream", "seq")
-        .agg(F.max("stored").alias("stored"), F.collect_set("sent").alias("sent"), F.collect_set("acked").alias("acked"))
-        .where("stored")
+        marked(stored, "stored").unionByName(marked(deliveries, "sent")).unionByName(marked(acks, "acked"))
+        .groupBy("stream", "seq", "consumer")
+        .agg(*[F.max(name).alias(name) for name in ("stored", "sent", "acked")])
+        .where("stored = 1")
     )
-    delivered = (
-        per_message.select("stream", F.explode("sent").alias("consumer"), "acked")
-        .groupBy("stream", "consumer")
-        .agg(F.count(F.lit(1)).alias("_tg_sent"), F.count_if(~F.array_contains("acked", F.col("consumer"))).alias("unacked"))
+    counted = per_message.groupBy("stream", "consumer").agg(
+        F.count_if(F.col("sent") == 0).alias("pending"),
+        F.count_if((F.col("sent") == 1) & (F.col("acked") == 0)).alias("unacked"),
     )
-    stored = messages.groupBy("stream").agg(F.count(F.lit(1)).alias("_tg_msgs"))
     good = (
         asked.join(known, ["stream", "consumer"], "left_semi")
-        .join(stored, "stream", "left")
-        .join(delivered, ["stream", "consumer"], "left")
+        .join(counted, ["stream", "consumer"], "left")
         .select(
             "stream", "consumer",
-            (F.coalesce("_tg_msgs", F.lit(0)) - F.coalesce("_tg_sent", F.lit(0))).alias("pending"),
-            F.coalesce("unacked", F.lit(0)).alias("unacked"),
+            F.coalesce("pending", F.lit(0)).alias("pending"), F.coalesce("unacked", F.lit(0)).alias("unacked"),
         )
     )
     missing = asked.join(known, ["stream", "consumer"], "left_anti").withColumn("error", F.lit(NO_CONSUMER))

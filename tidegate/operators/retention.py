@@ -61,14 +61,16 @@ def retain_interest(messages: DataFrame, consumers: DataFrame, acks: DataFrame)
     """A row leaves when every consumer of its stream has acked it.
 
     ``consumers``: (stream, consumer); ``acks``: (stream, seq, consumer), repeats allowed.
-    A stream without consumers keeps nothing, as nobody is interested.  The sets hold at
-    most a stream's consumers.
+    A stream without consumers keeps nothing, as nobody is interested.  One
+    shuffle on (stream, seq) serves the distinct acks, their count and the join.
     """
     wanted = consumers.select("stream", "consumer").distinct()
     need = wanted.groupBy("stream").agg(F.count(F.lit(1)).alias("_tg_need"))
     have = (
         lookup_join(acks.select("stream", "seq", "consumer"), wanted, ["stream", "consumer"], "left_semi")
-        .groupBy("stream", "seq").agg(F.size(F.collect_set("consumer")).alias("_tg_have"))
+        .repartition("stream", "seq")
+        .distinct()
+        .groupBy("stream", "seq").agg(F.count(F.lit(1)).alias("_tg_have"))
     )
     counted = lookup_join(messages, need, ["stream"], "left").join(have, ["stream", "seq"], "left")
     left_over = F.coalesce("_tg_have", F.lit(0)) < F.coalesce("_tg_need", F.lit(0))
