@@ -73,7 +73,7 @@ def test_sliced_groups_with_copies(spark, rows):
     """Hot groups are cut by range; a third of the rows are copies of one row."""
     copies = spark.createDataFrame([(400, "hot", 9, 400)] * 500, "id long, g string, v long, mark long")
     both = rows.where("id <> 400").unionByName(copies.repartition(8))
-    cut = blocks.slices(both, ["g"], ["id"])
+    cut = blocks.slices(both, 1500, ["g"], ["id"])
     assert cut.groupBy("_tg_slice").count().agg(F.max("count")).first()[0] < 500
     same(blocks.previous(both, ["g"], ["id"], ["v", "mark"], "p", hot_rows=0),
          both.withColumn("p", F.lag(F.struct("v", "mark")).over(here())))

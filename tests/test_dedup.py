@@ -56,6 +56,7 @@ def test_many_slices_of_one_key(spark, monkeypatch, way):
     monkeypatch.setattr(module, "_follow", lambda r, o, w, s: double(r, o, w, s, 64) if way == "_double" else follow(r, o, w, s))
     monkeypatch.setattr(module, "_double", lambda r, o, w, s, n: follow(r, o, w, s) if way == "_follow" else double(r, o, w, s, n))
     rows = [("x", 1, t, t) for t in range(4000)] + make(11, 1000, 4000)
+    monkeypatch.setattr(sys.modules["tidegate.operators.blocks"], "SLICE_ROWS", 100)
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "24")
     try:

@@ -12,28 +12,34 @@ number, blocks of that number do; otherwise ``slices`` cuts the rows by range.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegate.operators.skew import HOT_ROWS, lookup_join, split_hot
+from tidegate.operators.skew import HOT_ROWS, hot_filter, lookup_join
 from tidegate.session import cut_lineage
 
 SEQ_BLOCK = 1 << 20
+SLICE_ROWS = 1_000_000
 
 _BLOCK, _VALUE, _REAL, _SLICE, _COPY = "_tg_block", "_tg_value", "_tg_real", "_tg_slice", "_tg_copy"
 
 
 def slices(
-    df: DataFrame, part: Sequence[str], order: Sequence[Column | str], name: str = _SLICE, copy: str = _COPY
+    df: DataFrame, rows: int, part: Sequence[str], order: Sequence[Column | str], name: str = _SLICE, copy: str = _COPY
 ) -> DataFrame:
     """Cut the rows into sorted slices of about equal size along (part, order), however they lie.
 
+    There are as many slices as shuffle partitions, or fewer for few ``rows``.
+
     Adds the slice number and a ``copy`` column: the partition a row comes from, which ends
     the order and tells copies of one row apart, so that they can be cut as well.  The
     slices are written once, so that every later step sees the same cuts.
     """
-    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = df.sparkSession
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    count = min(most, max(spark.sparkContext.defaultParallelism, ceil(rows / SLICE_ROWS)))
     return cut_lineage(
         df.withColumn(copy, F.spark_partition_id())
         .repartitionByRange(count, *part, *order, copy)
@@ -84,11 +90,12 @@ def previous(
     """
     value = F.struct(*[F.col(c) for c in cols])
     if block is None:
-        hot, rest = split_hot(df, part, hot_rows)
+        hot = hot_filter(df, part, hot_rows)
+        rest = df if hot is None else df.where(~hot.condition)
         plain = rest.withColumn(out, F.lag(value).over(Window.partitionBy(*part).orderBy(*order)))
         if hot is None:
             return plain
-        cut = slices(hot, part, order)
+        cut = slices(df.where(hot.condition), hot.rows, part, order)
         return plain.unionByName(
             previous(cut, part, [*order, _COPY], cols, out, F.col(_SLICE)).drop(_SLICE, _COPY))
     rows = df.withColumn(_BLOCK, block).withColumn(_VALUE, value)
@@ -107,12 +114,13 @@ def latest(
 ) -> DataFrame:
     """Add ``out``: the newest non-null ``value`` at or before the row within ``part``."""
     if block is None:
-        hot, rest = split_hot(df, part, hot_rows)
+        hot = hot_filter(df, part, hot_rows)
+        rest = df if hot is None else df.where(~hot.condition)
         here = Window.partitionBy(*part).orderBy(*order)
         plain = rest.withColumn(out, F.last_value(value, True).over(_up_to_here(here)))
         if hot is None:
             return plain
-        cut = slices(hot, part, order)
+        cut = slices(df.where(hot.condition), hot.rows, part, order)
         return plain.unionByName(
             latest(cut, part, [*order, F.col(_COPY)], value, out, F.col(_SLICE)).drop(_SLICE, _COPY))
     rows = df.withColumn(_BLOCK, block).withColumn(_VALUE, value)

@@ -55,14 +55,16 @@ def dedup(
             raise TypeError(f"dedup key {key} must be an atomic column")
     loose = _any_null(keys)
     hot = hot_filter(df.where(~loose), keys, hot_rows)
-    rest = df if hot is None else df.where(loose | ~hot)
+    rest = df if hot is None else df.where(loose | ~hot.condition)
     # Rows without a key never meet, so they are spread evenly.
     spread = F.when(loose, F.xxhash64(ts, *tie, F.spark_partition_id())).otherwise(F.xxhash64(*keys))
     placed = rest.withColumn(_LOOSE, loose).repartition(spread).sortWithinPartitions(*keys, ts, *tie)
     kept = placed.mapInArrow(_fold(list(keys), ts, width), df.schema)
     if hot is None:
         return kept
-    return kept.unionByName(_dedup_sliced(df.where(~loose & hot), keys, ts, width, tie))
+    heavy = slices(df.where(~loose & hot.condition), hot.rows, keys, [ts, *tie], _SLICE, _COPY)
+    anchors = _entry_anchors(heavy, keys, ts, width)
+    return kept.unionByName(heavy.mapInArrow(_fold(list(keys), ts, width, anchors), df.schema))
 
 
 def dedup_all(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str]) -> DataFrame:
@@ -163,12 +165,6 @@ def _fold(keys: list[str], ts: str, width: int, anchors: dict[int, int] | None =
 # --- keys too heavy for one task -------------------------------------------------------
 
 
-def _dedup_sliced(rows: DataFrame, keys: Sequence[str], ts: str, width: int, tie: Sequence[str]) -> DataFrame:
-    sliced = slices(rows, keys, [ts, *tie], _SLICE, _COPY)
-    anchors = _entry_anchors(sliced, keys, ts, width)
-    return sliced.mapInArrow(_fold(list(keys), ts, width, anchors), rows.schema)
-
-
 def _entry_anchors(sliced: DataFrame, keys: Sequence[str], ts: str, width: int) -> dict[int, int]:
     """For each slice that begins inside a key: the last kept time before it.
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from math import ceil
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,21 +57,19 @@ def measure_load(df: DataFrame, cols: Sequence[str], floor: int = HOT_ROWS) -> L
     return Load(row["top"] or 0, _limit(row["total"] or 0, floor))
 
 
-def hot_filter(df: DataFrame, cols: Sequence[str], floor: int = HOT_ROWS) -> Column | None:
-    """A condition true for rows of hot buckets, or None if there are none.
+class Hot(NamedTuple):
+    """Which rows lie in hot buckets, and how many there are."""
 
-    The bucket counts, at most BUCKETS rows, come to the driver.
-    """
-    counts = {row[_BUCKET]: row["n"] for row in _bucket_counts(df, cols).collect()}
-    limit = _limit(sum(counts.values()), floor)
-    hot = sorted(bucket for bucket, n in counts.items() if n > limit)
-    return _bucket(cols).isin(hot) if hot else None
+    condition: Column
+    rows: int
 
 
-def split_hot(df: DataFrame, cols: Sequence[str], floor: int = HOT_ROWS) -> tuple[DataFrame | None, DataFrame]:
-    """(rows of hot buckets or None, all other rows).  A group lies whole in one of the two."""
-    hot = hot_filter(df, cols, floor)
-    return (None, df) if hot is None else (df.where(hot), df.where(~hot))
+def hot_filter(df: DataFrame, cols: Sequence[str], floor: int = HOT_ROWS) -> Hot | None:
+    """The hot buckets, or None.  The bucket counts, at most BUCKETS rows, come to the driver."""
+    counts = {row[_BUCKET]: row["n"] for row in _bucket_counts(df, cols).collect()}
+    limit = _limit(sum(counts.values()), floor)
+    hot = {bucket: n for bucket, n in counts.items() if n > limit}
+    return Hot(_bucket(cols).isin(sorted(hot)), sum(hot.values())) if hot else None
 
 
 def _parts(measured: DataFrame, cols: Sequence[str], load: Load) -> DataFrame:

@@ -17,17 +17,26 @@ _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 @contextmanager
-def rocksdb_state(spark: SparkSession):
-    """Queries started inside use the RocksDB state store; the session setting is put back."""
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, ENGINE_CONF[_PROVIDER])
+def rocksdb_state(spark: SparkSession, partitions: int | None = None):
+    """Queries started inside keep state in RocksDB, in ``partitions`` parts if given.
+
+    Each part costs some time in every micro-batch, and its number is fixed by the first
+    run of a checkpoint.  The session's settings are put back.
+    """
+    settings = {_PROVIDER: ENGINE_CONF[_PROVIDER]}
+    if partitions is not None:
+        settings["spark.sql.shuffle.partitions"] = str(partitions)
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_PROVIDER)
-        else:
-            spark.conf.set(_PROVIDER, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def read_table(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
@@ -35,11 +44,11 @@ def read_table(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     return spark.read.schema(like.schema).option("basePath", path).parquet(path).select(*like.columns)
 
 
-def drain(df: DataFrame, label: str, output_mode: str = "append") -> DataFrame:
+def drain(df: DataFrame, label: str, output_mode: str = "append", partitions: int | None = None) -> DataFrame:
     """Process all available input in micro-batches and return the table that was written."""
     spark = df.sparkSession
     run = new_run_dir(spark, label)
-    with rocksdb_state(spark):
+    with rocksdb_state(spark, partitions):
         stream_sink(df, f"{run}/table", f"{run}/checkpoint", output_mode=output_mode).awaitTermination()
     return read_table(spark, f"{run}/table", df)
 
@@ -59,7 +68,9 @@ def _stage_table(topic: Topic, delay: str, path: str, available_now: bool) -> tu
     return query, replace(topic, rows=replay(rows.sparkSession, f"{path}/rows", rows.schema), dedup=None)
 
 
-def run_flow(flow: Flow, target: str, work: str, available_now: bool = True) -> list[StreamingQuery]:
+def run_flow(
+    flow: Flow, target: str, work: str, available_now: bool = True, partitions: int | None = None
+) -> list[StreamingQuery]:
     """Start a streaming flow into a table at ``target``; state and checkpoints go below ``work``.
 
     A join flow runs as up to three queries: Spark takes no watermark after a custom
@@ -68,7 +79,7 @@ def run_flow(flow: Flow, target: str, work: str, available_now: bool = True) ->
     """
     spark = (flow.feed or flow.topics[0]).rows.sparkSession
     queries = []
-    with rocksdb_state(spark):
+    with rocksdb_state(spark, partitions):
         if flow.join is not None:
             topics = []
             for side, topic in zip(("left", "right"), flow.topics):

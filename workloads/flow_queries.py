@@ -113,6 +113,11 @@ def _as_stream(rows: DataFrame, ts: str, label: str, end_row: DataFrame | None =
     return replay(spark, f"{path}/*", rows.schema, streaming=True, files_per_batch=1)
 
 
+def _cores(spark: SparkSession) -> int:
+    """One part of the state per core of the cluster."""
+    return spark.sparkContext.defaultParallelism
+
+
 def _zoned(rows: DataFrame, *cols: str) -> DataFrame:
     return rows.withColumns({c: F.col(c).cast("timestamp") for c in cols})
 
@@ -131,7 +136,8 @@ WITH RECURSIVE {kept_sql('user_id, event_type', '6 HOURS')} SELECT e.* FROM even
 def dedup_stream_rows(spark: SparkSession, sf: str) -> DataFrame:
     rows = _zoned(I.table(spark, sf, "events"), "ts")
     stream = _as_stream(rows, "ts", "dedup-input", _end_row(rows, "ts"))
-    return _plain(drain(dedup_stream(stream, ["user_id", "event_type"], "ts", 6 * H, "event_id", LATE), "dedup"), "ts")
+    kept = dedup_stream(stream, ["user_id", "event_type"], "ts", 6 * H, "event_id", LATE, groups=32 * _cores(spark))
+    return _plain(drain(kept, "dedup", partitions=_cores(spark)), "ts")
 
 
 @query("temporal_join_stream", JOIN_SQL)
@@ -141,7 +147,7 @@ def temporal_join_stream_rows(spark: SparkSession, sf: str) -> DataFrame:
         _as_stream(left, "view_ts", "join-left"), _as_stream(right, "buy_ts", "join-right"),
         ["user_id"], "view_ts", "buy_ts", 2 * H, H, LATE,
     )
-    return _plain(drain(joined, "join"), "view_ts", "buy_ts")
+    return _plain(drain(joined, "join", partitions=_cores(spark)), "view_ts", "buy_ts")
 
 
 @query("pipe_join_stream", PIPE_JOIN_SQL)
@@ -152,7 +158,7 @@ def pipe_join_stream(spark: SparkSession, sf: str) -> DataFrame:
         _as_stream(right, "buy_ts", "flow-right", _end_row(right, "buy_ts")), LATE,
     )
     run = new_run_dir(spark, "flow")
-    run_flow(flow, f"{run}/table", f"{run}/work")
+    run_flow(flow, f"{run}/table", f"{run}/work", partitions=_cores(spark))
     written = spark.read.option("basePath", f"{run}/table").parquet(f"{run}/table").drop("batch_id")
     return _plain(written, "view_ts", "buy_ts")
 
@@ -163,4 +169,4 @@ SELECT time_bucket(INTERVAL 10 SECONDS, ts) AS window_start, time_bucket(INTERVA
 def counter_10s(spark: SparkSession, sf: str) -> DataFrame:
     rows = _zoned(I.table(spark, sf, "events").select("ts", "event_type"), "ts")
     stream = _as_stream(rows, "ts", "counter-input", _end_row(rows, "ts"))
-    return drain(counter_stream(stream, "ts", ["event_type"], late=LATE), "counter")
+    return drain(counter_stream(stream, "ts", ["event_type"], late=LATE), "counter", partitions=_cores(spark))
