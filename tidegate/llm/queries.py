@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import simhash
+import public_tokenizers
+from tidegate.llm import bpe, langid, mixing, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +24,19 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+# Where the public vocabularies are.
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
+# Weights 5, 2 and 1 as areas: the first fades, the second is level, the third grows.
+CURRICULUM = [[(0, 7.5), (1, 2.5)], [(0, 2), (1, 2)], [(0, 0.5), (1, 1.5)]]
+BUDGET = 1.5
+
+
+def vocabulary() -> str:
+    with open(VOCABULARY, encoding="utf-8") as f:
+        return f.read()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -32,3 +46,78 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four-word shingles, links at four bits or fewer, over all documents."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, k=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op5_curriculum_mix", """
+WITH RECURSIVE sized AS (
+    SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size
+    FROM documents
+), src AS (
+    SELECT source, sum(size)::BIGINT AS source_size, sum(size)::BIGINT * 2.0::DOUBLE AS lim,
+           [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1]::DOUBLE AS weight
+    FROM sized GROUP BY source
+), total AS (SELECT sum(source_size) * 1.5::DOUBLE AS words FROM src
+), rounds(step, rate, capped, done) AS (
+    SELECT 0, 0.0::DOUBLE, -1::BIGINT, false
+    UNION ALL
+    SELECT r.step + 1,
+        CASE WHEN x.n = r.capped OR x.weight = 0 THEN r.rate ELSE ((SELECT words FROM total) - x.fixed) / x.weight END,
+        x.n, x.n = r.capped OR x.weight = 0
+    FROM rounds r, LATERAL (
+        SELECT count(*) FILTER (weight * r.rate > lim) AS n,
+               coalesce(sum(CASE WHEN weight * r.rate > lim THEN lim ELSE 0 END), 0) AS fixed,
+               coalesce(sum(CASE WHEN weight * r.rate > lim THEN 0 ELSE weight END), 0) AS weight FROM src) x
+    WHERE NOT r.done
+), goals AS (
+    SELECT source, source_size, least(weight * (SELECT rate FROM rounds ORDER BY step DESC LIMIT 1), lim) AS target FROM src
+), placed AS (
+    SELECT s.doc_id, s.size, g.source_size, g.target, sum(s.size) OVER (
+        PARTITION BY s.source ORDER BY md5(concat_ws('/', s.doc_id::VARCHAR, s.size::VARCHAR)), s.doc_id, s.size
+        ROWS UNBOUNDED PRECEDING) - s.size AS ahead
+    FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source
+)
+SELECT doc_id, size, source_size, target,
+       (greatest(least(size, floor(target)::BIGINT - ahead), 0)
+        + greatest(least(size, floor(target)::BIGINT - ahead - source_size), 0))::BIGINT AS taken
+FROM placed
+""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights 5, 2, 1 in turn, 150 % of all words, each source along its curriculum."""
+    sizes = mixing.sized(table(spark, sf_dir, "documents"))
+    mixed = mixing.mix(sizes, mixing.targets(sizes, mixing.cycle(sizes, CURRICULUM), BUDGET))
+    first = F.array_min(F.transform("copies", lambda c: c["time"]))
+    return mixed.orderBy(first.asc_nulls_last(), "draw", "doc_id").select(
+        "doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op6_cross_parsing_language_id")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learn from the documents that are not held out, predict the language of all."""
+    documents = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = langid.fit(documents.where(~held_out).select("doc_id", "text", "lang"))
+    found = langid.predict(documents, model)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query("op7_bpe_trie_round_trip")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode and decode all documents; digests of ids and of the decoded text."""
+    found = bpe.encode(table(spark, sf_dir, "documents"), vocabulary(), decoded=True)
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def grades(labels: DataFrame) -> DataFrame:
+    """Severity: 0 not toxic, 1 toxic, 2 toxic and of low quality."""
+    return labels.select("doc_id", F.when(F.col("toxic") == 0, 0).when(
+        F.col("toxic") == 1, F.when(F.col("quality") == 0, 2).otherwise(1)).alias("grade"))
+
+
+@query("op10_ordinal_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fit on the labelled documents, expected severity of all documents."""
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.fit(documents, grades(table(spark, sf_dir, "labels")))
+    return toxicity.severity(documents, model).select(
+        "doc_id", "severity", (F.col("severity") >= 0.5).alias("toxic"))
