@@ -8,46 +8,106 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegate.llm.common import stored
+
 _WORDS = re.compile(r"[^\W\d_]+").findall
+# Beginnings of words that are features beside whole words: insults come with many endings.
+PREFIXES = (4, 5, 7)
+# A feature says of a term: it occurs; it occurs twice; twice and in this share of the words.
+LEVELS = 3
+DENSE = 0.005
+# Words whose terms a Python worker remembers.
+_REMEMBERED = 300_000
+
+
+def terms(word: str) -> list[str]:
+    """The word and its beginnings, marked by a star."""
+    return [word, *(word[:n] + "*" for n in PREFIXES if len(word) >= n)]
+
+
+class _Known(dict):
+    """The numbers of a word's terms that are features."""
+
+    def __init__(self, number: dict[str, int]):
+        super().__init__()
+        self.number = number
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= _REMEMBERED:
+            self.clear()
+        found = self[word] = tuple(self.number[t] for t in terms(word) if t in self.number)
+        return found
+
+
+def features(text: str | None, known: _Known) -> list[int]:
+    """The features that a whole text has."""
+    words = _WORDS(text.lower()) if text else []
+    counts = Counter(t for w in words if (found := known[w]) for t in found)
+    return [
+        t * LEVELS + level for t, n in sorted(counts.items())
+        for level in range(1 if n < 2 else 3 if n >= DENSE * len(words) else 2)
+    ]
 
 
 @dataclass(frozen=True)
 class OrdinalModel:
-    weights: dict[str, float]
+    """The terms, ``LEVELS`` weights for each, and the thresholds between the grades."""
+
+    terms: tuple[str, ...]
+    weights: tuple[float, ...]
     thresholds: tuple[float, ...]
 
     def severity(self, text: str | None) -> float:
-        score = sum(self.weights[w] for w in self.weights.keys() & set(_WORDS(text.lower()))) if text else 0.0
+        score = sum(self.weights[f] for f in features(text, _known(self.terms)))
         return sum(_sigmoid(score - t) for t in self.thresholds)
 
 
+@lru_cache(maxsize=2)
+def _known(chosen: tuple[str, ...]) -> _Known:
+    return _Known({t: i for i, t in enumerate(chosen)})
+
+
 def _sigmoid(x):
     return 0.5 * (1 + np.tanh(x / 2))
 
 
-def _words(docs: DataFrame, keep: frozenset[str] | None = None) -> DataFrame:
-    """``grade`` and the different ``words`` of a text; of ``keep`` only, if given."""
+def _terms(docs: DataFrame) -> DataFrame:
+    """``grade`` and the different ``terms`` of a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sorted({t for w in set(_WORDS(x.lower())) for t in terms(w)}) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(found, pa.list_(pa.string()))], ["grade", "terms"])
+
+    return docs.select("grade", "text").mapInArrow(run, "grade int, terms array<string>")
+
+
+def _features(docs: DataFrame, chosen: tuple[str, ...]) -> DataFrame:
+    """``grade`` and ``features`` of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _known(chosen)
         for batch in batches:
-            sets = (set(_WORDS((t.as_py() or "").lower())) for t in batch.column(1))
-            found = [sorted(s if keep is None else s & keep) for s in sets]
+            found = [features(t, known) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int32()), pa.array(found, pa.list_(pa.string()))], ["grade", "words"])
+                [batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["grade", "features"])
 
-    return docs.select("grade", "text").mapInArrow(run, "grade int, words array<string>")
+    return docs.select("grade", "text").mapInArrow(run, "grade int, features array<int>")
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_features: int, l2: float = 1.0,
-                steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_features: int, l2: float = 0.3,
+                steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds of the likelihood of ``grades``, given the features that
     each row has.  Grades are 0..K-1 and each occurs."""
     k = int(grades.max())
@@ -80,50 +140,46 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_features: int, l2:
     return x[:n_features], x[n_features] + np.concatenate([[0.0], np.cumsum(gaps)])
 
 
-def fit(docs: DataFrame, grades: DataFrame, fit_rows: int = 20_000, max_words: int = 2_000) -> OrdinalModel:
+def fit(docs: DataFrame, grades: DataFrame, fit_rows: int = 16_000, max_terms: int = 1_500) -> OrdinalModel:
     """Fit on the labelled documents.
 
     ``docs`` has ``doc_id`` and ``text``, ``grades`` has ``doc_id`` and ``grade`` (0: clean).  At
     most ``fit_rows`` labels are used, those with the smallest hash of their id; rows with a
-    null id, text or grade teach nothing, and equal texts count once.  A word becomes a feature
-    if it sets the graded texts apart more than the strongest of as many random words would
-    (log likelihood ratio above the logarithm of their number; the 20 best where fewer are),
-    at most ``max_words``.  Grades that do not occur get no threshold of their own.  Without two
-    different grades the model has none, and every severity is 0.
+    null id, text or grade teach nothing, and equal texts count once, with the highest grade.
+    A term becomes a feature if it sets the graded texts apart more than the strongest of as
+    many random terms would (log likelihood ratio above the logarithm of their number; the 20
+    best where fewer are), at most ``max_terms``.  Grades that do not occur share the threshold
+    of the next one.  Without two different grades the model has none, and every severity is 0.
     """
     sample = (
-        grades.where("doc_id IS NOT NULL AND grade IS NOT NULL").select("doc_id", "grade")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(fit_rows)
+        grades.where("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id")
+        .agg(F.max("grade").cast("int").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     )
     # At most fit_rows rows of two numbers: a proven bound.
-    taught = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(sample), "doc_id")
-    once = taught.groupBy(F.xxhash64("text").alias("h")).agg(
-        F.max("grade").alias("grade"), F.min("doc_id").alias("doc_id"))
-    taught = taught.select("doc_id", "text").join(F.broadcast(once), "doc_id").dropDuplicates(["h"])
-    words = _words(taught).where("size(words) > 0")
-    totals = {g: n for g, n in words.groupBy("grade").count().collect()}
+    taught = stored(
+        docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(sample), "doc_id")
+        .groupBy("text").agg(F.max("grade").alias("grade")), "toxicity-sample")
+    totals = dict(taught.groupBy("grade").count().collect())
     n, n1 = sum(totals.values()), sum(c for g, c in totals.items() if g > 0)
     if len(totals) < 2 or not 0 < n1 < n:
-        return OrdinalModel({}, ())
+        return OrdinalModel((), (), ())
     base = n1 / n
     d1, d = F.col("d1"), F.col("d")
     ratio = d1 * F.log(d1 / (d * base)) + F.when(d > d1, (d - d1) * F.log((d - d1) / (d * (1 - base)))).otherwise(0.0)
-    counted = (
-        words.select("grade", F.explode("words").alias("word")).groupBy("word")
+    counted = stored(
+        _terms(taught).select("grade", F.explode("terms").alias("term")).groupBy("term")
         .agg(F.count("*").cast("double").alias("d"), F.count_if(F.col("grade") > 0).cast("double").alias("d1"))
-    )
-    top = counted.where((d1 >= 3) & (d1 > d * base)).select("word", ratio.alias("ratio")).orderBy(
-        F.desc("ratio"), "word").limit(max_words).collect()
+        .where("d >= 3"), "toxicity-terms")
+    top = counted.where((d1 >= 3) & (d1 > d * base)).select("term", ratio.alias("ratio")).orderBy(
+        F.desc("ratio"), "term").limit(max_terms).collect()
     bar = math.log(max(counted.count(), 2))
-    chosen = [r.word for i, r in enumerate(top) if r.ratio >= bar or i < 20]
-    number = {w: i for i, w in enumerate(chosen)}
-    rows = _words(taught, frozenset(chosen)).collect()
+    chosen = tuple(r.term for i, r in enumerate(top) if r.ratio >= bar or i < 20)
+    rows = _features(taught, chosen).collect()
     present = sorted({r.grade for r in rows})
     y = np.array([present.index(r.grade) for r in rows])
-    weights, theta = fit_ordinal([np.array([number[w] for w in r.words], np.int64) for r in rows], y, len(chosen))
-    # One threshold for each grade up to the highest: grades that do not occur share the next one's.
+    weights, theta = fit_ordinal([np.array(r.features, np.int64) for r in rows], y, len(chosen) * LEVELS)
     thresholds = tuple(float(theta[sum(p < g for p in present) - 1]) for g in range(1, present[-1] + 1))
-    return OrdinalModel(dict(zip(chosen, map(float, weights))), thresholds)
+    return OrdinalModel(chosen, tuple(map(float, weights)), thresholds)
 
 
 def severity(docs: DataFrame, model: OrdinalModel) -> DataFrame:
