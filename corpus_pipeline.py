@@ -14,7 +14,7 @@ from tidegate.llm.common import stored
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Toxic documents go: those whose expected severity is 0.5 or more."""
+    """Toxic documents go: those whose expected severity is ``toxicity.REJECT`` or more."""
     grades = queries.grades(queries.table(spark, sf_dir, "labels"))
     return toxicity.keep_clean(docs, toxicity.fit(docs, grades))
 

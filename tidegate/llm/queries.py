@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tidegate.llm import bpe, langid, mixing, simhash, toxicity
+from tidegate.llm import bpe, chat, langid, mixing, simhash, token_counts, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,14 +26,15 @@ def query(name: str, sql: str | None = None):
 
 # Where the public vocabularies are.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("byte_bpe_50k.json")
 
 # Weights 5, 2 and 1 as areas: the first fades, the second is level, the third grows.
 CURRICULUM = [[(0, 7.5), (1, 2.5)], [(0, 2), (1, 2)], [(0, 0.5), (1, 1.5)]]
 BUDGET = 1.5
 
 
-def vocabulary() -> str:
-    with open(VOCABULARY, encoding="utf-8") as f:
+def vocabulary(path: str = VOCABULARY) -> str:
+    with open(path, encoding="utf-8") as f:
         return f.read()
 
 
@@ -41,6 +42,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"),
+             ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+@query("op2_url_rules", r"""
+WITH cut AS (
+    SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+    SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+        coalesce(regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1), '') AS path
+    FROM cut
+), rules(rule_host, rule_path, rule_verdict) AS (
+    VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+), judged AS (
+    SELECT *, (SELECT {rule: rule_host || rule_path, verdict: rule_verdict} FROM rules
+               WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+               ORDER BY length(rule_host || rule_path) DESC, length(rule_host) DESC LIMIT 1) AS best
+    FROM parts
+)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM judged
+""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four nested rules against the url of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_rules.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op3_linear_token_counts")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy word pieces of all documents, pieces from a public byte-level vocabulary."""
+    return token_counts.counts(table(spark, sf_dir, "documents"), vocabulary(PIECES))
+
+
 @query("op4_simhash_near_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four-word shingles, links at four bits or fewer, over all documents."""
@@ -108,6 +144,63 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+# The template's own strings in both turns of an extra conversation.
+CONTROL = "</s>[INST] ok [/INST]"
+
+
+@query("op9_chat_windows", r"""
+WITH given AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), sized AS (
+    SELECT *, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS tokens,
+        length(replace(replace(replace(replace(replace(replace(replace(replace(replace(text, '\', '\\'),
+            '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]'),
+            '<<SYS>>', '<\<SYS>>'), '<</SYS>>', '<\</SYS>>'), '[ROLE]', '[\ROLE]'), '[/ROLE]', '[\/ROLE]'))
+        + CASE role WHEN 'user' THEN 20 WHEN 'system' THEN 22 WHEN 'assistant' THEN 7 ELSE 20 + length(role) END AS chars
+    FROM given
+), placed AS (
+    SELECT *, row_number() OVER o AS nr, sum(tokens) OVER o - tokens AS start
+    FROM sized WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)
+), cells AS (
+    SELECT *, start // 512 AS a, greatest(start, start + tokens - 1) // 512 AS b, (nr - 1) // 64 AS c FROM placed
+), heads AS (
+    SELECT *, coalesce(lag(a) OVER o <> a OR lag(b) OVER o <> b OR lag(c) OVER o <> c, true) AS head,
+        first(role = 'system') OVER o AS led, first(chars) OVER o AS led_chars
+    FROM cells WINDOW o AS (PARTITION BY conv_id ORDER BY nr)
+), repeated AS (
+    SELECT h.conv_id, h.nr, CASE WHEN h.led AND h.nr > 1 THEN h.led_chars ELSE 0 END
+        + coalesce((SELECT sum(p.chars) FROM heads p WHERE p.conv_id IS NOT DISTINCT FROM h.conv_id
+            AND p.nr BETWEEN h.nr - 4 AND h.nr - 1 AND p.start >= h.start - 128 AND NOT (h.led AND p.nr = 1)), 0) AS chars
+    FROM heads h WHERE h.head
+), extra AS (SELECT conv_id, sum(chars) AS chars FROM repeated GROUP BY conv_id
+), whole AS (
+    SELECT conv_id, count(*) AS n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nr)) AS turns_sha256,
+        coalesce(string_agg(text, '' ORDER BY nr) FILTER (role = 'assistant'), '') AS loss, sum(chars) AS chars
+    FROM heads GROUP BY conv_id
+)
+SELECT w.conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256,
+    (w.chars + e.chars)::BIGINT AS formatted_chars
+FROM whole w JOIN extra e ON w.conv_id IS NOT DISTINCT FROM e.conv_id
+""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one that consists of control strings, read back from the windows."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{CONTROL}'), (-7L, 1L, 'assistant', '{CONTROL}')")
+    read = chat.read_back(chat.windows(turns.unionAll(extra.toDF("conv_id", "turn", "role", "text"))))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    whole = read.groupBy("conv_id").agg(
+        F.sum(F.size("turns")).alias("n_turns"), F.sum(F.length("formatted")).alias("formatted_chars"),
+        F.sort_array(F.collect_list(F.struct(
+            "window", lines.alias("turns"), F.array_join("targets", "").alias("targets")))).alias("parts"))
+    joined = lambda field: F.array_join(F.transform("parts", lambda p: p[field]), "")
+    return whole.select(
+        "conv_id", "n_turns", F.sha2(joined("turns"), 256).alias("turns_sha256"),
+        F.length(joined("targets")).cast("long").alias("loss_chars"), F.sha2(joined("targets"), 256).alias("loss_sha256"),
+        "formatted_chars")
+
+
 def grades(labels: DataFrame) -> DataFrame:
     """Severity: 0 not toxic, 1 toxic, 2 toxic and of low quality."""
     return labels.select("doc_id", F.when(F.col("toxic") == 0, 0).when(
@@ -120,4 +213,4 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = toxicity.fit(documents, grades(table(spark, sf_dir, "labels")))
     return toxicity.severity(documents, model).select(
-        "doc_id", "severity", (F.col("severity") >= 0.5).alias("toxic"))
+        "doc_id", "severity", (F.col("severity") >= toxicity.REJECT).alias("toxic"))

@@ -26,6 +26,8 @@ PREFIXES = (4, 5, 7)
 # A feature says of a term: it occurs; it occurs twice; twice and in this share of the words.
 LEVELS = 3
 DENSE = 0.005
+# Expected grade from which a text counts as toxic.
+REJECT = 0.35
 # Words whose terms a Python worker remembers.
 _REMEMBERED = 300_000
 
@@ -106,7 +108,7 @@ def _features(docs: DataFrame, chosen: tuple[str, ...]) -> DataFrame:
     return docs.select("grade", "text").mapInArrow(run, "grade int, features array<int>")
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_features: int, l2: float = 0.3,
+def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_features: int, l2: float = 0.03,
                 steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds of the likelihood of ``grades``, given the features that
     each row has.  Grades are 0..K-1 and each occurs."""
@@ -195,7 +197,7 @@ def severity(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, severity double")
 
 
-def keep_clean(docs: DataFrame, model: OrdinalModel, limit: float = 0.5) -> DataFrame:
+def keep_clean(docs: DataFrame, model: OrdinalModel, limit: float = REJECT) -> DataFrame:
     """The rows of ``docs`` whose severity is below ``limit``, with all their columns."""
     text = docs.columns.index("text")
 
