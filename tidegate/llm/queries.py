@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tidegate.llm import bpe, chat, langid, mixing, simhash, token_counts, toxicity, url_rules
+from tidegate.llm import ann, bpe, chat, embed_dedup, langid, mixing, simhash, token_counts, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -214,3 +214,17 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(documents, grades(table(spark, sf_dir, "labels")))
     return toxicity.severity(documents, model).select(
         "doc_id", "severity", (F.col("severity") >= toxicity.REJECT).alias("toxic"))
+
+
+@query("op1_embedding_near_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links at a cosine of 0.95 or more between all vectors."""
+    found = embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+    return found.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+@query("op8_kmeans_tree_search")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest of all vectors for each whose id is divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 50 = 0"), k=5)
