@@ -12,20 +12,54 @@ from __future__ import annotations
 import json
 import re
 import struct
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-# Encoded chunks that a Python worker remembers.
-REMEMBERED = 600_000
+from tidegate.llm.common import portions, resident
+
+# What a Python worker remembers: chunks between white space, words, and tokens that fit together.
+# Of each as many as have come since it last was full, and as many from before.
+CHUNKS = 100_000
+WORDS = 250_000
 # Characters of text whose new words go into one trie.
-_TRIE_CHARS = 1 << 22
+_TRIE_CHARS = 1 << 20
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile(r"(?:(?![\x1c-\x1f])\s)+")
+# With these settings printable ASCII text without white space is lower-cased and
+# split as _PLAIN does it; other text, and other settings, are left to the library.
+_PLAIN_SPEC = [
+    {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+]
+_PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[!-/:-@\[-`{-~]+").findall
+
+
+class _Recent:
+    """What was computed lately, by key; what has not been asked for during a whole generation is
+    forgotten."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def get_all(self, keys: set[str], compute: Callable[[set[str]], dict[str, bytes]]) -> dict[str, bytes]:
+        """A table that has all the keys."""
+        lacking = keys - self.now.keys()
+        if len(self.now) + len(lacking) > self.most:
+            self.now, self.before = {k: self.now[k] for k in keys - lacking}, self.now
+        old = lacking & self.before.keys()
+        self.now.update({k: self.before[k] for k in old})
+        self.now.update(compute(lacking - old))
+        return self.now
 
 
 class WordBPE:
@@ -38,6 +72,7 @@ class WordBPE:
             raise ValueError("a BPE vocabulary with a word end is needed")
         library = Tokenizer.from_str(spec)
         self._normal, self._split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        self._plain = [given["normalizer"], given["pre_tokenizer"]] == _PLAIN_SPEC
         self.end: str = model["end_of_word_suffix"]
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in given["added_tokens"]}
@@ -55,11 +90,16 @@ class WordBPE:
             self._merge[vocab[a], vocab[b]] = when
             self._made[token], self._left[token], self._right[token] = when, vocab[a], vocab[b]
         # Word ends are one symbol with the character before them.
-        self._inner = {n: i for n, i in vocab.items() if not n.endswith(self.end)}
-        self._last = {n[: -len(self.end)]: i for n, i in vocab.items() if n.endswith(self.end)}
-        self._longest = max(map(len, [*self._inner, *self._last]))
-        self._fits: dict[tuple[int, int], bool] = {}
-        self._known: dict[str, bytes] = {}
+        # Tokens by what they end with, character by character from the last to the first.
+        self._inner, self._last = {}, {}
+        for name, i in vocab.items():
+            final = name.endswith(self.end)
+            node = self._last if final else self._inner
+            for c in reversed(name[: -len(self.end)] if final else name):
+                node = node.setdefault(c, {})
+            node[""] = i
+        self._fits: dict[int, bool] = {}
+        self._chunk_ids, self._word_ids = _Recent(CHUNKS), _Recent(WORDS)
 
     def neighbours(self, a: int, b: int) -> bool:
         """Whether merging the symbols of ``a`` followed by ``b`` ends with just these two.
@@ -68,7 +108,7 @@ class WordBPE:
         border must not have come before what made either side.  Of equal merges the left one
         comes first.
         """
-        known = self._fits.get((a, b))
+        known = self._fits.get(a << 32 | b)
         if known is None:
             x, y, before = a, b, len(self._merge)
             known = True
@@ -83,9 +123,9 @@ class WordBPE:
                     before, x = self._made[x], self._right[x]
                 else:
                     before, y = self._made[y] + 1, self._left[y]
-            if len(self._fits) > REMEMBERED:
+            if len(self._fits) > WORDS:
                 self._fits.clear()
-            self._fits[a, b] = known
+            self._fits[a << 32 | b] = known
         return known
 
     def encode_words(self, words: list[str]) -> dict[str, list[int]]:
@@ -114,24 +154,32 @@ class WordBPE:
             before = word
         return out
 
-    def _last_token(self, word: str, at: int, ending: dict[str, int], tokens: list[int]) -> tuple[int, int]:
-        for start in range(max(0, at - self._longest), at):
-            token = ending.get(word[start:at])
+    def _last_token(self, word: str, at: int, ending: dict, tokens: list[int]) -> tuple[int, int]:
+        """The one token that may end ``word[:at]``, and where it begins."""
+        start = at
+        while start > 0:
+            start -= 1
+            ending = ending.get(word[start])
+            if ending is None:
+                break
+            token = ending.get("")
             if token is not None and (start == 0 or self.neighbours(tokens[start], token)):
                 return token, start
         raise ValueError(f"no token ends {word[:at]!r}")
 
-    def _learn(self, chunks: set[str]) -> None:
-        """Encode the chunks, all their words in one trie."""
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """Encode the chunks, all their new words in one trie."""
         split = {
-            # The splitter would only lower the case of plain letters.
-            c: [c.lower()] if c.isascii() and c.isalpha() else [w for w, _ in self._split(self._normal(c))]
+            # The library would do the same to plain characters.
+            c: _PLAIN(c.lower()) if self._plain and c.isascii() and c.isprintable()
+            else [w for w, _ in self._split(self._normal(c))]
             for c in chunks
         }
-        ids = self.encode_words([w for words in split.values() for w in words])
-        packed = {w: struct.pack(f"<{len(i)}I", *i) for w, i in ids.items()}
-        for chunk, words in split.items():
-            self._known[chunk] = packed[words[0]] if len(words) == 1 else b"".join([packed[w] for w in words])
+        ids = self._word_ids.get_all({w for words in split.values() for w in words}, self._encode_packed)
+        return {c: ids[w[0]] if len(w) == 1 else b"".join([ids[x] for x in w]) for c, w in split.items()}
+
+    def _encode_packed(self, words: set[str]) -> dict[str, bytes]:
+        return {w: struct.pack(f"<{len(i)}I", *i) for w, i in self.encode_words(list(words)).items()}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each whole text as little-endian unsigned 32-bit integers; a null text has none.
@@ -148,12 +196,7 @@ class WordBPE:
                 # Every other part is a special token.
                 parts.append([p if i % 2 else self._chunks(p) for i, p in enumerate(self._cut.split(text))])
                 at += 1
-            needed = set().union(*(p for text in parts for p in text[::2]))
-            new = needed - self._known.keys()
-            if len(self._known) + len(new) > REMEMBERED:
-                self._known = {c: self._known[c] for c in needed - new}
-            self._learn(new)
-            known = self._known
+            known = self._chunk_ids.get_all(set().union(*(p for text in parts for p in text[::2])), self._learn)
             for text in parts:
                 out.append(b"".join([
                     struct.pack("<I", self.special[p]) if i % 2 else b"".join([known[c] for c in p])
@@ -170,12 +213,6 @@ class WordBPE:
         return " ".join(map(self.names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(maxsize=2)
-def load(spec: str) -> WordBPE:
-    """One per Python worker and vocabulary."""
-    return WordBPE(spec)
-
-
 def encode(docs: DataFrame, spec: str, decoded: bool = False, id_col: str = "doc_id",
            text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit integers) of every whole
@@ -187,8 +224,8 @@ def encode(docs: DataFrame, spec: str, decoded: bool = False, id_col: str = "doc
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(spec)
-        for batch in batches:
+        bpe = resident(WordBPE, spec)
+        for batch in portions(batches):
             ids = bpe.encode(batch.column(1).to_pylist())
             columns = {"doc_id": batch.column(0), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
                        "ids": pa.array(ids, pa.binary())}
@@ -205,8 +242,8 @@ def decode(encoded: DataFrame, spec: str) -> DataFrame:
     kind = encoded.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(spec)
-        for batch in batches:
+        bpe = resident(WordBPE, spec)
+        for batch in portions(batches):
             texts = [bpe.decode(x or b"") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame, name: str = "row") -> DataFrame:
+    """All columns of ``df`` as one, so that no name can clash with those added to it; ``name.*``
+    gives them back."""
+    return df.select(F.struct(*(df[f"`{c}`"] for c in df.columns)).alias(name))
+
+
 def deal(rows: DataFrame, cell: list[str], home: Column, salt: Column, limit: int,
          within: bool = True) -> DataFrame:
     """Units of bounded size that together hold every pair of home and other rows of a cell.
@@ -70,6 +76,26 @@ def deal(rows: DataFrame, cell: list[str], home: Column, salt: Column, limit: in
     )
 
 
+_resident: list = [None, None]
+
+
+def resident(build: Callable, *args):
+    """``build(*args)``, made once in a Python worker and kept until another is asked for: workers
+    serve one query after the other, and should hold the tables of one operator at a time."""
+    key = (build, args)
+    if _resident[0] != key:
+        _resident[:] = None, None
+        _resident[:] = key, build(*args)
+    return _resident[1]
+
+
+def portions(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that what is made of a text need not be held for many."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, smallest node of its component) for the nodes of the links a-b that are not
     that smallest node themselves."""

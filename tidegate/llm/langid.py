@@ -11,13 +11,14 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegate.llm.common import portions, resident
+
 UNKNOWN = "und"
 # Symbols: 0 ends a piece, 1 is any run of characters that are no letters, 2 a letter that no
 # sample has, the rest the letters of the samples.
@@ -36,7 +37,7 @@ class LanguageModel:
 
     @property
     def tables(self) -> Tables:
-        return _tables(self.samples)
+        return resident(_tables, self.samples)
 
 
 @dataclass(frozen=True)
@@ -80,9 +81,8 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return moves
 
 
-@lru_cache(maxsize=2)
 def _tables(samples: tuple[tuple[str, str], ...]) -> Tables:
-    """Built once in each Python worker: only the samples travel."""
+    """Built in each Python worker: only the samples travel."""
     letters = Counter(c for _, text in samples for c in text.lower() if c.isalpha())
     known = [c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:MAX_LETTERS]]
     symbol = np.full(0x110000, GAP, np.uint8)
@@ -96,18 +96,20 @@ def _tables(samples: tuple[tuple[str, str], ...]) -> Tables:
     for _, text in samples:
         own = symbols_of([text], symbol)[0]
         states = suffix_automaton(own.tolist())
-        table = np.zeros((len(states), width), np.int64)
+        lost = len(states)  # one state more, after a symbol that no phrase can hold
+        table = np.zeros((len(states) + 1, width), np.int64)
         # Without a way on the phrase ends, and the next begins with this symbol.
-        fresh = np.array([states[0].get(c, 0) for c in range(width)])
+        fresh = np.array([states[0].get(c, lost) for c in range(width)])
         table[:] = (rows + fresh) * width * 2 + 1
-        table[:, END] = (rows + np.arange(len(states))) * width * 2
+        table[0] -= 1  # nothing has been read: no phrase ends
+        table[:, END] = (rows + np.arange(len(table))) * width * 2
         for s, ways in enumerate(states):
             for c, to in ways.items():
                 table[s, c] = (rows + to) * width * 2
         parts.append(table)
         starts.append(rows * width)
         bits.append(math.log2(len(own) + 2))
-        rows += len(states)
+        rows += len(table)
     moves = np.concatenate(parts).ravel() if parts else np.empty(0, np.int64)
     if len(moves) < 1 << 30:
         moves = moves.astype(np.int32)
@@ -204,7 +206,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """``doc_id``, ``lang_pred`` and ``score`` of every row, from the whole text alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 1_024):
             found = classify(batch.column(1).to_pylist(), model)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([x for x, _ in found], pa.string()),
@@ -220,7 +222,7 @@ def keep_known(docs: DataFrame, model: LanguageModel) -> DataFrame:
     text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 1_024):
             found = classify(batch.column(text).to_pylist(), model)
             yield batch.filter(pa.array([lang != UNKNOWN for lang, _ in found], pa.bool_()))
 

@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidegate.llm.common import portions, resident
+
 # Words whose counts a Python worker remembers.
 REMEMBERED = 500_000
 _START, _INNER = 0, 1
@@ -97,9 +98,7 @@ def byte_level_pieces(spec: str) -> tuple[list[bytes], list[bytes]]:
     return [t[1:] for t in tokens if t[:1] == b" " and len(t) > 1], [t for t in tokens if t[:1] != b" "]
 
 
-@lru_cache(maxsize=2)
 def load(spec: str) -> PieceCounter:
-    """One per Python worker and vocabulary."""
     return PieceCounter(*byte_level_pieces(spec))
 
 
@@ -113,8 +112,8 @@ def counts(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = load(spec)
-        for batch in batches:
+        pieces = resident(load, spec)
+        for batch in portions(batches):
             words, tokens, unknown = [], [], []
             for text in batch.column(1).cast(pa.large_binary()):
                 found = [pieces[w] for w in (text.as_py() or b"").split()]

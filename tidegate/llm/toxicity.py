@@ -11,14 +11,13 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import stored
+from tidegate.llm.common import portions, resident, stored
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 # Beginnings of words that are features beside whole words: insults come with many endings.
@@ -29,7 +28,7 @@ DENSE = 0.005
 # Expected grade from which a text counts as toxic.
 REJECT = 0.35
 # Words whose terms a Python worker remembers.
-_REMEMBERED = 300_000
+_REMEMBERED = 100_000
 
 
 def terms(word: str) -> list[str]:
@@ -70,11 +69,10 @@ class OrdinalModel:
     thresholds: tuple[float, ...]
 
     def severity(self, text: str | None) -> float:
-        score = sum(self.weights[f] for f in features(text, _known(self.terms)))
+        score = sum(self.weights[f] for f in features(text, resident(_known, self.terms)))
         return sum(_sigmoid(score - t) for t in self.thresholds)
 
 
-@lru_cache(maxsize=2)
 def _known(chosen: tuple[str, ...]) -> _Known:
     return _Known({t: i for i, t in enumerate(chosen)})
 
@@ -87,7 +85,7 @@ def _terms(docs: DataFrame) -> DataFrame:
     """``grade`` and the different ``terms`` of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 128):
             found = [sorted({t for w in set(_WORDS(x.lower())) for t in terms(w)}) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(found, pa.list_(pa.string()))], ["grade", "terms"])
@@ -99,8 +97,8 @@ def _features(docs: DataFrame, chosen: tuple[str, ...]) -> DataFrame:
     """``grade`` and ``features`` of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _known(chosen)
-        for batch in batches:
+        known = resident(_known, chosen)
+        for batch in portions(batches, 128):
             found = [features(t, known) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["grade", "features"])
@@ -189,7 +187,7 @@ def severity(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     a text without any of the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 128):
             found = [model.severity(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["doc_id", "severity"])
 
@@ -202,7 +200,7 @@ def keep_clean(docs: DataFrame, model: OrdinalModel, limit: float = REJECT) -> D
     text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 128):
             yield batch.filter(pa.array([model.severity(t.as_py()) < limit for t in batch.column(text)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
