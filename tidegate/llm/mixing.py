@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import WORD, stored
+from tidegate.llm.common import WORD, packed, stored
 
 # Rows whose running sum is formed at a time, about; a source's rows are spread over such buckets.
 BUCKET_ROWS = 4_096
@@ -158,13 +158,13 @@ def in_order(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", source_c
     one document that occurs several times.
     """
     copy = F.explode(F.filter("copies", lambda c: c["words"] * 2 >= F.col("size")))
-    times = mixed.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "draw", copy.alias("_copy"))
-    rows = docs.withColumn("_row", row_key(id_col, source_col, text_col))
+    times = mixed.select("doc_id", "key", "draw", copy.alias("copy"))
+    rows = packed(docs).withColumn("row_key", row_key(f"row.{id_col}", f"row.{source_col}", f"row.{text_col}"))
     if not mixed.groupBy("doc_id", "key").count().where("count > 1").isEmpty():
-        rows = rows.dropDuplicates([id_col, "_row"])
+        rows = rows.dropDuplicates(["row_key"])
     return (
-        rows.join(times, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_key")))
-        .orderBy("_copy.time", "draw", "_key").select(*docs.columns)
+        rows.join(times, F.col(f"row.{id_col}").eqNullSafe(F.col("doc_id")) & (F.col("row_key") == F.col("key")))
+        .orderBy("copy.time", "draw", "key").select("row.*")
     )
 
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import components, deal, forest, grouped, stored
+from tidegate.llm.common import components, deal, forest, grouped, packed, portions, stored
 
 BITS = 64
 SEED = 42
@@ -57,16 +57,20 @@ def fingerprint(text: bytes | None, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``fp`` (the 64 bits as a signed long) of every row."""
+    """``doc_id``, ``key`` (hash of the text, as ``xxhash64`` gives it) and ``fp`` (the 64 bits as a
+    signed long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary())
-            found = np.fromiter((fingerprint(t.as_py(), words) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        for batch in portions(batches):
+            keys, found = np.full(batch.num_rows, SEED, np.uint64), np.zeros(batch.num_rows, np.uint64)
+            for i, value in enumerate(batch.column(1).cast(pa.large_binary())):
+                if (text := value.as_py()) is not None:
+                    keys[i], found[i] = xxhash.xxh64_intdigest(text, SEED), fingerprint(text, words)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(keys.view(np.int64)), pa.array(found.view(np.int64))], ["doc_id", "key", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, key long, fp long")
 
 
 def bit_counts(prints: DataFrame) -> tuple[int, np.ndarray]:
@@ -245,8 +249,8 @@ def links(prints: DataFrame, k: int = 4, unit_rows: int = UNIT_ROWS) -> DataFram
 
 def near_duplicates(docs: DataFrame, words: int = 4, k: int = 4, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``fp`` and ``component_id`` (smallest id reachable over links of at most
-    ``k`` differing bits) of every row.
+    """``doc_id``, ``key``, ``fp`` and ``component_id`` (smallest id reachable over links of at most
+    ``k`` differing bits) of every row; ``key`` is the hash of its text.
 
     Copies meet as one fingerprint before anything is paired.  A text without words, empty or
     null, has fingerprint zero and is linked like any other.  Repeated rows are returned as
@@ -260,22 +264,23 @@ def near_duplicates(docs: DataFrame, words: int = 4, k: int = 4, id_col: str = "
         "fp", "first_id", F.coalesce("component", "fp").alias("component"))
     smallest = classes.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = classes.join(smallest, "component").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(named, "fp").select("doc_id", "key", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 4, k: int = 4, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are their group's first: one document of each group.
 
-    Rows that share id and text are one document.  A group whose rows all lack an id keeps one
-    row for each different text.
+    Rows that share id and text are one document.  Where a group's smallest id occurs with several
+    texts, or no row of it has an id, one row of each such text stays.
     """
     marked = near_duplicates(docs, words, k, id_col, text_col)
     firsts = stored(
         marked.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy(F.col("doc_id").alias("_first")).agg(F.count("*").alias("_rows")), "simhash-firsts")
-    kept = docs.join(firsts, F.col(id_col).eqNullSafe(F.col("_first")), "inner")
-    if firsts.where("_rows > 1").isEmpty():
-        return kept.select(*docs.columns)
-    once = kept.where("_rows = 1").select(*docs.columns)
-    return once.unionAll(kept.where("_rows > 1").select(*docs.columns).dropDuplicates([id_col, text_col]))
+        .groupBy("doc_id", "key").agg(F.count("*").alias("n_rows")), "simhash-firsts")
+    kept = packed(docs).withColumn("text_key", F.xxhash64(f"row.{text_col}")).join(
+        firsts, F.col(f"row.{id_col}").eqNullSafe(F.col("doc_id")) & (F.col("text_key") == F.col("key")))
+    if firsts.where("n_rows > 1").isEmpty():
+        return kept.select("row.*")
+    once = kept.where("n_rows = 1").select("row.*")
+    return once.unionAll(kept.where("n_rows > 1").select("row.*").dropDuplicates([id_col, text_col]))

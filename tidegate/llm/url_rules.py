@@ -14,6 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegate.llm.common import packed
 from tidegate.session import cut_lineage
 
 ALLOW, BLOCK = "allow", "block"
@@ -56,8 +57,8 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame
     parent hosts that have no more labels than a rule.  Keys are sorted by range, however many
     share a host; a partition's sweep begins with the rules that are prefixes of its first key.
     """
-    table = pages.drop("host", "path", "rule", "verdict").withColumn("host", host(F.col(url_col))).withColumn(
-        "path", path(F.col(url_col)))
+    url = F.col(f"page.{url_col}")
+    table = packed(pages, "page").select("page", host(url).alias("host"), path(url).alias("path"))
     known = (
         rules.where("host <> '' AND path IS NOT NULL AND verdict IS NOT NULL")
         .select(F.translate("host", _UPPER, _LOWER).alias("host"), "path", "verdict")
@@ -83,9 +84,9 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame
     size = F.struct(F.length(F.concat("rule_host", "rule_path")), F.length("rule_host"))
     best = fits.groupBy("host", "path").agg(F.max_by(
         F.struct(F.concat("rule_host", "rule_path").alias("rule"), "verdict"), size).alias("best"))
+    given = [F.col(f"page.`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     return table.join(best, ["host", "path"], "left").select(
-        *[c for c in table.columns], F.col("best.rule").alias("rule"),
-        F.coalesce("best.verdict", F.lit(ALLOW)).alias("verdict"))
+        *given, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(ALLOW)).alias("verdict"))
 
 
 def _around(ordered: DataFrame, rules: DataFrame) -> dict[int, list[tuple[str, str, str, str]]]:
