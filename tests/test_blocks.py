@@ -48,12 +48,14 @@ def test_latest(rows, width):
 
 @pytest.mark.parametrize("width", [1, 64, 10**6])
 @pytest.mark.parametrize("limit", [0, 1, 500, 10**9])
-def test_split_at(rows, width, limit):
-    rows = rows.where("g IS NOT NULL")
-    run = rows.withColumn("s", F.sum("v").over(here().rowsBetween(Window.unboundedPreceding, 0)))
-    kept, rest = blocks.split_at(rows, ["g"], [F.col("id")], block_of(F.col("id"), width), F.col("v"), limit)
-    same(kept, run.where(F.col("s") <= limit).drop("s"))
-    same(rest, run.where(F.col("s") > limit).drop("s"))
+def test_admit(rows, width, limit):
+    """Null groups are limited like the others, from either end."""
+    both = {False: here(), True: Window.partitionBy("g").orderBy(F.desc("id"))}
+    for last, order in both.items():
+        run = rows.withColumn("s", F.sum("v").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        got = blocks.admit(rows, ["g"], "id", width, F.col("v"), limit, "ok", last)
+        assert got.columns == [*rows.columns, "ok"]
+        same(got, run.withColumn("ok", F.col("s") <= limit).drop("s"))
 
 
 def test_blocks_below_zero(spark):

@@ -107,6 +107,50 @@ def test_nested_keys_are_refused(spark):
         dedup(df, ["a"], "ts", timedelta(seconds=1), ["id"])
 
 
+TYPED = [
+    "CASE WHEN id % 5 < 2 THEN timestamp'2024-01-01 00:00:00' ELSE timestamp'2024-01-01 00:00:00.000001' END AS at",
+    "CASE WHEN id % 5 < 2 THEN -0.0D WHEN id % 5 = 2 THEN 0.0D ELSE double('NaN') END AS real",
+    "CASE WHEN id % 5 < 2 THEN X'00FF' ELSE X'00FE' END AS raw",
+    "CASE WHEN id % 5 < 2 THEN 1.10BD ELSE 1.1000000001BD END AS price",
+]
+
+
+@pytest.mark.parametrize("key", ["at", "real", "raw", "price"])
+def test_one_answer_for_typed_keys(spark, key):
+    """Keys a microsecond, a byte or a digit apart are different keys in either plan."""
+    df = spark.range(0, 600).selectExpr("id", "timestamp_seconds(id div 3) AS ts", *TYPED)
+    value = {r.id: str(r.v) for r in df.select("id", (F.hex(key) if key == "raw" else F.col(key).cast("string")).alias("v")).collect()}
+    value = {i: "0.0" if v == "-0.0" else v for i, v in value.items()}
+    anchors, want = {}, []
+    for i in range(600):
+        if value[i] not in anchors or i // 3 >= anchors[value[i]] + 9:
+            anchors[value[i]] = i // 3
+            want.append(i)
+    for hot_rows in (10**9, 0):
+        out = dedup(df.repartition(3), [key], "ts", timedelta(seconds=9), ["id"], hot_rows=hot_rows)
+        assert sorted(r.id for r in out.collect()) == want
+
+
+@pytest.mark.parametrize("hot_rows", [10**9, 0])
+@pytest.mark.parametrize("width", [0, 10])
+def test_null_times_are_kept(spark, hot_rows, width):
+    rows = [("a", 1, None, 0), ("a", 1, None, 1), ("b", 1, None, 2), (None, 1, None, 3)]
+    rows += [("a", 1, t, 10 + t) for t in range(0, 40, 2)] + [("b", 1, t, 100 + t) for t in range(0, 40, 3)]
+    want = sorted([0, 1, 2, 3] + kept_ids([r for r in rows if r[2] is not None], width or 10**9))
+    df = frame(spark, rows, 1).union(frame(spark, [], 1))
+    out = dedup(df, ["k", "g"], "ts", timedelta(seconds=width), ["id"], hot_rows=hot_rows)
+    assert sorted(r.id for r in out.collect()) == want
+
+
+def test_a_hot_key_is_split_whatever_the_total(spark):
+    """Many keys below the bound add up to far more than it; only the one above it is hot."""
+    from tidegate.operators.skew import hot_filter
+    df = spark.range(0, 60_000).selectExpr("CASE WHEN id < 200 THEN -1 ELSE id div 60 END AS k")
+    hot = hot_filter(df, ["k"], 100)
+    assert hot.rows == 200 and df.where(hot.condition).distinct().count() == 1
+    assert hot_filter(df, ["k"], 200) is None
+
+
 def test_window_zero_keeps_the_first(spark):
     rows = make(9, 500, 100)
     expected = kept_ids(rows, 10**9)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Unit suffixes (powers of 1024) and the size used when a text is unreadable.
 BYTE_UNITS = {"KB": 1024, "MB": 1024**2, "GB": 1024**3, "TB": 1024**4}
@@ -33,6 +35,21 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+def identity(df: DataFrame, cols: Sequence[str]) -> Column:
+    """One text per key, the same exactly where all values are: timestamps to the microsecond, and
+    -0.0 is 0.0."""
+    def exact(name: str) -> Column:
+        kind, col = df.schema[name].dataType, F.col(name)
+        if isinstance(kind, T.TimestampType):
+            return F.unix_micros(col).alias(name)
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            return (col + F.lit(0.0).cast(kind)).alias(name)
+        if isinstance(kind, (T.TimestampNTZType, T.DayTimeIntervalType, T.YearMonthIntervalType)):
+            return col.cast("string").alias(name)
+        return col
+    return F.to_json(F.struct(*[exact(c) for c in cols]))
+
+
 def block_of(value: Column, width: int) -> Column:
     """Index of the half-open block of ``width`` holding an integer, exact below zero too."""
     return F.call_function("div", value - F.pmod(value, F.lit(width)), F.lit(width))

@@ -17,6 +17,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegate.functions.exprs import block_of
 from tidegate.operators.skew import HOT_ROWS, hot_filter, lookup_join
 from tidegate.session import cut_lineage
 
@@ -31,15 +32,14 @@ def slices(
 ) -> DataFrame:
     """Cut the rows into sorted slices of about equal size along (part, order), however they lie.
 
-    There are as many slices as shuffle partitions, or fewer for few ``rows``.
+    There are as many slices as ``rows`` need at ``SLICE_ROWS`` each, at least one per core.
 
     Adds the slice number and a ``copy`` column: the partition a row comes from, which ends
     the order and tells copies of one row apart, so that they can be cut as well.  The
     slices are written once, so that every later step sees the same cuts.
     """
     spark = df.sparkSession
-    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    count = min(most, max(spark.sparkContext.defaultParallelism, ceil(rows / SLICE_ROWS)))
+    count = max(spark.sparkContext.defaultParallelism, ceil(rows / SLICE_ROWS))
     return cut_lineage(
         df.withColumn(copy, F.spark_partition_id())
         .repartitionByRange(count, *part, *order, copy)
@@ -82,15 +82,16 @@ def row_index(df: DataFrame, part: Sequence[str], order: Sequence[Column], block
 
 def previous(
     df: DataFrame, part: Sequence[str], order: Sequence[str], cols: Sequence[str], out: str,
-    block: Column | None = None, hot_rows: int = HOT_ROWS,
+    block: Column | None = None, hot_rows: int = HOT_ROWS, measure: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``out``: a struct of ``cols`` from the row before, null on the first row of ``part``.
 
-    Without ``block`` the rows are counted first, and only hot groups are sliced.
+    Without ``block`` the rows are counted first (or those of ``measure``, see ``skew``), and only
+    hot groups are sliced.
     """
     value = F.struct(*[F.col(c) for c in cols])
     if block is None:
-        hot = hot_filter(df, part, hot_rows)
+        hot = hot_filter(df if measure is None else measure, part, hot_rows)
         rest = df if hot is None else df.where(~hot.condition)
         plain = rest.withColumn(out, F.lag(value).over(Window.partitionBy(*part).orderBy(*order)))
         if hot is None:
@@ -110,11 +111,11 @@ def previous(
 
 def latest(
     df: DataFrame, part: Sequence[str], order: Sequence[Column], value: Column, out: str,
-    block: Column | None = None, hot_rows: int = HOT_ROWS,
+    block: Column | None = None, hot_rows: int = HOT_ROWS, measure: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``out``: the newest non-null ``value`` at or before the row within ``part``."""
     if block is None:
-        hot = hot_filter(df, part, hot_rows)
+        hot = hot_filter(df if measure is None else measure, part, hot_rows)
         rest = df if hot is None else df.where(~hot.condition)
         here = Window.partitionBy(*part).orderBy(*order)
         plain = rest.withColumn(out, F.last_value(value, True).over(_up_to_here(here)))
@@ -135,35 +136,33 @@ def latest(
     )
 
 
-def split_at(
-    df: DataFrame, part: Sequence[str], order: Sequence[Column], block: Column, value: Column, limit: int
-) -> tuple[DataFrame, DataFrame]:
-    """(rows while the running sum of ``value`` is at most ``limit``, the rest), per ``part``.
+def admit(
+    df: DataFrame, part: Sequence[str], number: str, block_rows: int, value: Column, limit: int, out: str,
+    last: bool = False,
+) -> DataFrame:
+    """Add the boolean ``out``: is the running sum of ``value`` up to the row at most ``limit``?
 
-    ``value`` must not be negative.  Block totals tell in which one block a group passes
-    the limit; rows of other blocks are judged by their block alone and never shuffled.
+    Rows of a group run by their unique ``number``, from the first on or from the ``last`` one
+    back; ``value`` must not be negative.  A null group is a group like any other.  Block
+    totals tell in which one block a group passes the limit; only that block's numbers and
+    values are sorted, which gives the number at which the group passes.  All rows are then
+    judged by that number alone, in one pass without a shuffle where the groups are few.
     """
-    total, cut, base, sure = "_tg_total", "_tg_cut", "_tg_base", "_tg_sure"
-    rows = df.withColumn(_BLOCK, block)
-    upto = Window.partitionBy(*part).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, 0)
+    run, n, v, total, upto = "_tg_run", "_tg_number", "_tg_value", "_tg_total", "_tg_upto"
+    # Equal as a whole also where fields are null.
+    group = F.struct(*[F.col(c) for c in part]) if part else F.struct(F.lit(0).alias("one"))
+    signed = -F.col(number) if last else F.col(number)
+    slim = df.select(group.alias(run), signed.alias(n), value.cast("bigint").alias(v)).withColumn(
+        _BLOCK, block_of(F.col(n), block_rows))
+    before = Window.partitionBy(run).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, 0)
     cuts = (
-        rows.groupBy(*part, _BLOCK).agg(F.sum(value.cast("bigint")).alias(total))
-        .withColumn(base, F.sum(total).over(upto))
-        .where(F.col(base) > limit)
-        .groupBy(*part)
-        .agg(F.min_by(F.struct(F.col(_BLOCK).alias("b"), (F.col(base) - F.col(total)).alias("sum")), _BLOCK).alias(cut))
-    )
-    judged = lookup_join(rows, cuts, part).withColumn(
-        sure, F.when(F.col(cut).isNull(), F.lit(-1)).otherwise(F.signum(F.col(_BLOCK) - F.col(f"{cut}.b")).cast("int"))
-    )
-    inside, beyond = judged.where(F.col(sure) < 0), judged.where(F.col(sure) > 0)
-    running = F.sum(value.cast("bigint")).over(_up_to_here(Window.partitionBy(*part).orderBy(*order)))
-    edge = judged.where(F.col(sure) == 0).withColumn(base, F.col(f"{cut}.sum") + running)
-
-    def plain(frame: DataFrame) -> DataFrame:
-        return frame.select(*df.columns)
-
-    return (
-        plain(inside).unionByName(plain(edge.where(F.col(base) <= limit))),
-        plain(beyond).unionByName(plain(edge.where(F.col(base) > limit))),
+        slim.groupBy(run, _BLOCK).agg(F.sum(v).alias(total)).withColumn(upto, F.sum(total).over(before))
+        .where(F.col(upto) > limit).groupBy(run)
+        .agg(F.min_by(F.struct(F.col(_BLOCK).alias("block"), (F.col(upto) - F.col(total)).alias("base")), _BLOCK).alias("cut"))
+        .select(run, F.col("cut.block").alias(_BLOCK), F.col("cut.base").alias("base"))
     )
+    inside = lookup_join(slim, cuts, [run, _BLOCK], "inner").withColumn(
+        upto, F.col("base") + F.sum(v).over(_up_to_here(Window.partitionBy(run).orderBy(n))))
+    ends = inside.where(F.col(upto) > limit).groupBy(run).agg(F.min(n).alias("_tg_end"))
+    judged = lookup_join(df.withColumn(run, group), ends, [run])
+    return judged.withColumn(out, F.coalesce(signed < F.col("_tg_end"), F.lit(True))).select(*df.columns, out)

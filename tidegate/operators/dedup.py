@@ -2,7 +2,8 @@
 
 Rule: the rows of a key are read in (event time, tie-break) order.  A row is kept when no
 row of its key was kept before, or when at least ``window`` has passed since the last kept
-one; dropped rows do not move that anchor.  Rows with a null key are always kept.
+one; dropped rows do not move that anchor.  Rows with a null key or a null event time have no
+place in that order and are always kept.
 
 Plan: one shuffle on the key, a sort inside the partition, and a fold over Arrow batches
 that keeps one anchor per task.  Keys too heavy for a task are range-partitioned by
@@ -27,12 +28,14 @@ from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegate.functions.exprs import to_micros
+from tidegate.functions.exprs import identity, to_micros
 from tidegate.operators.blocks import slices
 from tidegate.operators.skew import HOT_ROWS, hot_filter
 from tidegate.session import cut_lineage, new_run_dir
 
 _LOOSE, _SLICE, _COPY = "_tg_loose", "_tg_slice", "_tg_copy"
+# So many steps at most are followed one by one.
+FOLLOW_STEPS = 16
 
 # The partition functions below travel with the job: executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -45,16 +48,20 @@ def dedup(
     window: timedelta,
     tie: Sequence[str],
     hot_rows: int = HOT_ROWS,
+    measure: DataFrame | None = None,
 ) -> DataFrame:
-    """Keep the first row of each key, then the next one at least ``window`` later, and so on."""
+    """Keep the first row of each key, then the next one at least ``window`` later, and so on.
+
+    ``measure`` may name a cheaper frame with the same keys to count, see ``skew``.
+    """
     width = to_micros(window)
     if width <= 0:
         return dedup_all(df, keys, ts, tie)
     for key in keys:
         if isinstance(df.schema[key].dataType, (T.StructType, T.ArrayType, T.MapType)):
             raise TypeError(f"dedup key {key} must be an atomic column")
-    loose = _any_null(keys)
-    hot = hot_filter(df.where(~loose), keys, hot_rows)
+    loose = _any_null([*keys, ts])
+    hot = hot_filter((df if measure is None else measure).where(~_any_null(keys)), keys, hot_rows)
     rest = df if hot is None else df.where(loose | ~hot.condition)
     # Rows without a key never meet, so they are spread evenly.
     spread = F.when(loose, F.xxhash64(ts, *tie, F.spark_partition_id())).otherwise(F.xxhash64(*keys))
@@ -69,10 +76,10 @@ def dedup(
 
 def dedup_all(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str]) -> DataFrame:
     """Window 0: only the first row of each key.  Aggregates map-side, so no key is heavy."""
-    loose = df.where(_any_null(keys))
+    loose = _any_null([*keys, ts])
     first = F.min_by(F.struct(*[F.col(c) for c in df.columns]), F.struct(ts, *tie))
-    kept = df.where(~_any_null(keys)).groupBy(*keys).agg(first.alias("_tg_first"))
-    return kept.select("_tg_first.*").unionByName(loose)
+    kept = df.where(~loose).groupBy(*keys).agg(first.alias("_tg_first"))
+    return kept.select("_tg_first.*").unionByName(df.where(loose))
 
 
 def dedup_sides(
@@ -103,14 +110,20 @@ def _changes(col: pa.Array) -> np.ndarray:
 
 
 def _micros(col: pa.Array) -> np.ndarray:
-    return col.cast(pa.int64()).to_numpy(zero_copy_only=False)
+    return col.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
 
 
 def _walk(time: np.ndarray, i: int, end: int, width: int, keep: np.ndarray) -> None:
     """Mark row ``i`` and every next row at least ``width`` later, up to ``end``."""
-    while i < end:
-        keep[i] = True
-        i += int(np.searchsorted(time[i:end], time[i] + width))
+    if i >= end:
+        return
+    part = time[i:end]
+    onward = np.searchsorted(part, part + width).tolist()
+    at, marks = 0, []
+    while at < len(onward):
+        marks.append(at)
+        at = onward[at]
+    keep[i + np.array(marks)] = True
 
 
 def _fold(keys: list[str], ts: str, width: int, anchors: dict[int, int] | None = None):
@@ -121,13 +134,17 @@ def _fold(keys: list[str], ts: str, width: int, anchors: dict[int, int] | None =
 
     def run(batches):
         last_key = last_time = anchor = None
+        last_loose = False
         for batch in batches:
             n = batch.num_rows
             if n == 0:
                 continue
             table = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             time = _micros(table[ts])
-            new = table[_LOOSE].to_numpy(zero_copy_only=False).copy() if _LOOSE in table else np.zeros(n, bool)
+            loose = table[_LOOSE].to_numpy(zero_copy_only=False) if _LOOSE in table else np.zeros(n, bool)
+            # A row without a key or a time stands for itself and says nothing about the next one.
+            new = loose | np.append(last_loose, loose[:-1])
+            last_loose = bool(loose[-1])
             for key in keys:
                 new[1:] |= _changes(table[key])
             if last_key is not None:
@@ -177,7 +194,7 @@ def _entry_anchors(sliced: DataFrame, keys: Sequence[str], ts: str, width: int)
     spark = sliced.sparkSession
     path = new_run_dir(spark, "dedup-runs")
     schema = "key string, slice int, t bigint, ends bigint"
-    sliced.select(F.to_json(F.struct(*keys)).alias("key"), F.col(ts), F.col(_SLICE)).mapInArrow(
+    sliced.select(identity(sliced, keys).alias("key"), F.col(ts), F.col(_SLICE)).mapInArrow(
         _slice_runs(width), schema
     ).write.partitionBy("slice").parquet(path)
     runs = spark.read.schema(schema).parquet(path)
@@ -196,7 +213,7 @@ def _entry_anchors(sliced: DataFrame, keys: Sequence[str], ts: str, width: int)
     roots = roots.select("key", "r.slice", "r.ends")
     steps = max(min(len(parts), (parts[-1]["hi"] - parts[0]["lo"]) // width + 2) for parts in spans.values())
     # A step is one small job on one slice per key; doubling shuffles all reported rows.
-    if steps <= 16 + sum(row["n"] for parts in spans.values() for row in parts) // 100_000:
+    if steps <= FOLLOW_STEPS:
         reached = _follow(runs, roots, width, spans)
     else:
         reached = _double(cut, roots, width, spans, steps)

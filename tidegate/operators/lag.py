@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.operators.blocks import previous
-from tidegate.operators.skew import HOT_ROWS, lookup_join
+from tidegate.operators.skew import HOT_ROWS
 
 # The order in which components are torn down.
 DRAIN_ORDER = ("dedup", "join", "sink")
@@ -26,38 +26,33 @@ def lag(
 ) -> tuple[DataFrame, DataFrame]:
     """Lag per requested (stream, consumer): undelivered (pending) and delivered but not acked.
 
-    ``deliveries`` and ``acks`` are (stream, seq, consumer), repeats allowed.  The three row
-    tables meet in one aggregation on (stream, seq, consumer), a key no group of rows is
-    heavy in; each message counts once per consumer of its stream.  A requested consumer
-    that does not exist comes back in the second frame with an error.
+    ``deliveries`` and ``acks`` are (stream, seq, consumer), repeats allowed; a message has one
+    (stream, seq).  Pending is what the stream holds less what was delivered of it, so messages
+    are counted and never paired with consumers.  Deliveries and acks meet the messages in one
+    shuffle on (stream, seq), which no group is heavy in.  A requested consumer that does not
+    exist comes back in the second frame with an error.
     """
     known = consumers.select("stream", "consumer").distinct()
     asked = requests.select("stream", "consumer").distinct()
-    readers = known.groupBy("stream").agg(F.collect_set("consumer").alias("consumers"))
-    stored = lookup_join(messages.select("stream", "seq"), readers, ["stream"], "inner").select(
-        "stream", "seq", F.explode("consumers").alias("consumer")
-    )
 
-    def marked(df: DataFrame, mark: str) -> DataFrame:
-        flags = [F.lit(int(name == mark)).alias(name) for name in ("stored", "sent", "acked")]
-        return df.select("stream", "seq", "consumer", *flags)
+    def marked(df: DataFrame, sent: int, acked: int) -> DataFrame:
+        return df.select("stream", "seq", "consumer", F.lit(sent).alias("sent"), F.lit(acked).alias("acked"))
 
-    per_message = (
-        marked(stored, "stored").unionByName(marked(deliveries, "sent")).unionByName(marked(acks, "acked"))
-        .groupBy("stream", "seq", "consumer")
-        .agg(*[F.max(name).alias(name) for name in ("stored", "sent", "acked")])
-        .where("stored = 1")
-    )
-    counted = per_message.groupBy("stream", "consumer").agg(
-        F.count_if(F.col("sent") == 0).alias("pending"),
-        F.count_if((F.col("sent") == 1) & (F.col("acked") == 0)).alias("unacked"),
+    counted = (
+        marked(deliveries, 1, 0).unionByName(marked(acks, 0, 1)).repartition("stream", "seq")
+        .groupBy("stream", "seq", "consumer").agg(F.max("sent").alias("sent"), F.max("acked").alias("acked"))
+        .where("sent = 1")
+        .join(messages.select("stream", "seq"), ["stream", "seq"], "left_semi")
+        .groupBy("stream", "consumer").agg(F.count(F.lit(1)).alias("sent"), F.count_if(F.col("acked") == 0).alias("unacked"))
     )
+    held = messages.groupBy("stream").agg(F.count(F.lit(1)).alias("held"))
     good = (
         asked.join(known, ["stream", "consumer"], "left_semi")
-        .join(counted, ["stream", "consumer"], "left")
+        .join(held, "stream", "left").join(counted, ["stream", "consumer"], "left")
         .select(
             "stream", "consumer",
-            F.coalesce("pending", F.lit(0)).alias("pending"), F.coalesce("unacked", F.lit(0)).alias("unacked"),
+            (F.coalesce("held", F.lit(0)) - F.coalesce("sent", F.lit(0))).alias("pending"),
+            F.coalesce("unacked", F.lit(0)).alias("unacked"),
         )
     )
     missing = asked.join(known, ["stream", "consumer"], "left_anti").withColumn("error", F.lit(NO_CONSUMER))

@@ -2,23 +2,21 @@
 
 A stream's messages have unique, rising ``seq``; blocks of 2**20 sequence numbers bound
 what one task holds, however large the stream is.  The count and size limits sort only the
-one block of each stream in which the limit falls.
+one block of each stream in which the limit falls.  A limit of 0 or less is none, and rows
+whose stream is null are a stream of their own.
 """
 
 from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegate.functions.exprs import block_of, interval
-from tidegate.operators.blocks import SEQ_BLOCK, split_at
+from tidegate.functions.exprs import interval
+from tidegate.operators.blocks import SEQ_BLOCK, admit
 from tidegate.operators.skew import lookup_join
-
-
-def _seq_block():
-    return block_of(F.col("seq"), SEQ_BLOCK)
+from tidegate.session import cut_lineage
 
 
 def trim_age(messages: DataFrame, age: timedelta, as_of: datetime, time: str = "time") -> DataFrame:
@@ -30,26 +28,62 @@ def trim_age(messages: DataFrame, age: timedelta, as_of: datetime, time: str = "
     return messages.where(F.col(time) >= limit)
 
 
-def admit_msgs(messages: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """Refuse-new: the first ``n`` messages of each stream, and the refused ones; n <= 0 = unlimited."""
-    if n <= 0:
+def _limited(messages: DataFrame, value: Column, limit: int, last: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows within the limit, the rest); a limit of 0 or less is none."""
+    if limit <= 0:
         return messages, messages.where(F.lit(False))
-    return split_at(messages, ["stream"], [F.col("seq")], _seq_block(), F.lit(1), n)
+    judged = admit(messages, ["stream"], "seq", SEQ_BLOCK, value, limit, "_tg_in", last)
+    return judged.where("_tg_in").drop("_tg_in"), judged.where("NOT _tg_in").drop("_tg_in")
+
+
+def _size(data: str) -> Column:
+    return F.coalesce(F.octet_length(F.col(data)), F.lit(0))
+
+
+def admit_msgs(messages: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """Refuse-new: the first ``n`` messages of each stream, and the refused ones."""
+    return _limited(messages, F.lit(1), n)
 
 
 def trim_msgs(messages: DataFrame, n: int) -> DataFrame:
-    """Drop-old: the last ``n`` messages of each stream; n <= 0 = unlimited."""
-    if n <= 0:
-        return messages
-    return split_at(messages, ["stream"], [F.desc("seq")], -_seq_block(), F.lit(1), n)[0]
+    """Drop-old: the last ``n`` messages of each stream."""
+    return _limited(messages, F.lit(1), n, last=True)[0]
 
 
-def admit_bytes(messages: DataFrame, limit: int, data: str = "data") -> tuple[DataFrame, DataFrame]:
-    """Refuse-new by size: rows up to the first that lifts the running total over ``limit``."""
-    if limit <= 0:
-        return messages, messages.where(F.lit(False))
-    size = F.coalesce(F.octet_length(F.col(data)), F.lit(0))
-    return split_at(messages, ["stream"], [F.col("seq")], _seq_block(), size, limit)
+def admit_bytes(messages: DataFrame, limit: int, data: str = "data", rule: str = "prefix") -> tuple[DataFrame, DataFrame]:
+    """Refuse-new by size.
+
+    With ``rule`` "prefix" a stream is full at the first row that lifts its running total over
+    ``limit``.  With "fitting" later rows that still fit in what is left are taken, one by one in
+    the order of arrival, as a log does that refuses single messages.  Each round takes a
+    prefix of what could still fit; it ends when nothing is left that could.
+    """
+    if rule not in ("prefix", "fitting"):
+        raise ValueError(f"unknown rule {rule}")
+    good, rest = _limited(messages, _size(data), limit)
+    if rule == "prefix" or limit <= 0:
+        return good, rest
+    taken = cut_lineage(good.select("stream", "seq", _size(data).alias("size")))
+    while True:
+        # Sizes and numbers only: a row fits while it is no larger than what its stream has left.
+        left = taken.groupBy("stream").agg((F.lit(limit) - F.sum("size")).alias("left"), F.max("seq").alias("newest"))
+        slim = messages.select("stream", "seq", _size(data).alias("size")).withColumn("key", F.struct("stream"))
+        ahead = slim.join(left.select(F.struct("stream").alias("key"), "left", "newest"), "key", "left").where(
+            (F.col("seq") > F.coalesce("newest", F.lit(-(1 << 62)))) & (F.col("size") <= F.coalesce("left", F.lit(limit))))
+        run = F.sum("size").over(Window.partitionBy("stream").orderBy("seq"))
+        more = cut_lineage(ahead.withColumn("run", run).where(F.col("run") <= F.coalesce("left", F.lit(limit))).select(
+            "stream", "seq", "size"))
+        if more.isEmpty():
+            break
+        taken = cut_lineage(taken.unionByName(more))
+    keys = taken.select(F.struct("stream", "seq").alias("_tg_key"))
+    keyed = messages.withColumn("_tg_key", F.struct("stream", "seq"))
+    return tuple(keyed.join(keys, "_tg_key", how).select(*messages.columns) for how in ("left_semi", "left_anti"))
+
+
+def trim_bytes(messages: DataFrame, limit: int, data: str = "data") -> DataFrame:
+    """Drop-old by size: the newest rows of each stream that together have at most ``limit`` bytes."""
+    return _limited(messages, _size(data), limit, last=True)[0]
 
 
 def retain_workqueue(messages: DataFrame, acks: DataFrame) -> DataFrame:
@@ -95,4 +129,4 @@ def retain(
         rows = trim_age(rows, max_age, as_of)
     if max_msgs > 0:
         rows = admit_msgs(rows, max_msgs)[0] if discard == "new" else trim_msgs(rows, max_msgs)
-    return admit_bytes(rows, max_bytes)[0]
+    return admit_bytes(rows, max_bytes)[0] if discard == "new" else trim_bytes(rows, max_bytes)

@@ -1,10 +1,12 @@
 """Hot groups: cheap detection, and joins and layouts that split them.
 
-Rows are counted per hash bucket, not per key: the result has at most ``BUCKETS`` rows
-whatever the data holds, it combines map-side, and a bucket's count bounds the load of
-every key inside it.  Splitting a bucket splits each key in it, so the answer stays exact.
+Rows are counted per hash bucket first: the result has at most ``BUCKETS`` rows whatever the
+data holds, and it combines map-side.  Only where a bucket holds more than ``floor`` rows are
+the keys inside it counted, by their hash; those with more than ``floor`` rows are hot.  The
+bound is absolute, so what one task gets does not grow with the data, and there are at most
+rows / ``floor`` hot keys.  Two keys with one hash are split together, which stays exact.
 
-The counting job runs when the plan is built and reads only the key columns.  Where a
+The counting jobs run when the plan is built and read only the key columns.  Where a
 frame is costly to compute, pass ``measure``: any frame with the same key columns whose
 rows include those of the frame (say, the rows before deduplication).
 """
@@ -12,7 +14,6 @@ rows include those of the frame (say, the rows before deduplication).
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 from math import ceil
 from typing import NamedTuple
 
@@ -23,67 +24,49 @@ from tidegate.session import cut_lineage
 
 HOT_ROWS = 2_000_000
 BUCKETS = 4096
+# A lookup table is broadcast up to so many rows and bytes (as JSON text).
 SMALL_ROWS = 200_000
+SMALL_BYTES = 64 << 20
 
-_BUCKET, _PARTS, _SALT = "_tg_bucket", "_tg_parts", "_tg_salt"
+_HASH, _PARTS, _SALT = "_tg_hash", "_tg_parts", "_tg_salt"
 
 
-def _bucket(cols: Sequence[str]) -> Column:
-    return F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(BUCKETS)).cast("int")
-
-
-def _bucket_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.groupBy(_bucket(cols).alias(_BUCKET)).agg(F.count(F.lit(1)).alias("n"))
-
-
-def _limit(total: int, floor: int) -> int:
-    return max(floor, ceil(2 * total / BUCKETS), 1)
-
-
-@dataclass(frozen=True)
-class Load:
-    """Rows of the fullest bucket, and how many a bucket may hold: twice the mean, or ``floor``."""
-
-    top: int
-    limit: int
-
-    @property
-    def hot(self) -> bool:
-        return self.top > self.limit
+def _hash(cols: Sequence[str]) -> Column:
+    return F.xxhash64(*[F.col(c) for c in cols])
 
 
-def measure_load(df: DataFrame, cols: Sequence[str], floor: int = HOT_ROWS) -> Load:
-    row = _bucket_counts(df, cols).agg(F.max("n").alias("top"), F.sum("n").alias("total")).first()
-    return Load(row["top"] or 0, _limit(row["total"] or 0, floor))
+def _bucket(cols: Sequence[str]) -> Column:
+    return F.pmod(_hash(cols), F.lit(BUCKETS)).cast("int")
 
 
 class Hot(NamedTuple):
-    """Which rows lie in hot buckets, and how many there are."""
+    """The hot keys: by hash their rows, and which rows of a frame they are."""
 
+    keys: dict[int, int]
     condition: Column
-    rows: int
+
+    @property
+    def rows(self) -> int:
+        return sum(self.keys.values())
 
 
 def hot_filter(df: DataFrame, cols: Sequence[str], floor: int = HOT_ROWS) -> Hot | None:
-    """The hot buckets, or None.  The bucket counts, at most BUCKETS rows, come to the driver."""
-    counts = {row[_BUCKET]: row["n"] for row in _bucket_counts(df, cols).collect()}
-    limit = _limit(sum(counts.values()), floor)
-    hot = {bucket: n for bucket, n in counts.items() if n > limit}
-    return Hot(_bucket(cols).isin(sorted(hot)), sum(hot.values())) if hot else None
-
-
-def _parts(measured: DataFrame, cols: Sequence[str], load: Load) -> DataFrame:
-    """How many ways each hot bucket is split.  At most BUCKETS rows, so fit to broadcast at any size."""
-    return F.broadcast(
-        _bucket_counts(measured, cols)
-        .where(F.col("n") > load.limit)
-        .select(_BUCKET, F.ceil(F.col("n") / F.lit(load.limit)).cast("int").alias(_PARTS))
-    )
+    """The keys with more than ``floor`` rows, or None."""
+    buckets = df.groupBy(_bucket(cols).alias("b")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > floor).collect()
+    if not buckets:
+        return None
+    inside = df.where(_bucket(cols).isin(sorted(row["b"] for row in buckets)))
+    counts = inside.groupBy(_hash(cols).alias("h")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > floor)
+    keys = {row["h"]: row["n"] for row in counts.collect()}
+    return Hot(keys, _hash(cols).isin(sorted(keys))) if keys else None
 
 
-def _with_parts(df: DataFrame, cols: Sequence[str], parts: DataFrame) -> DataFrame:
-    joined = df.withColumn(_BUCKET, _bucket(cols)).join(parts, _BUCKET, "left")
-    return joined.withColumn(_PARTS, F.coalesce(_PARTS, F.lit(1))).drop(_BUCKET)
+def _with_parts(df: DataFrame, cols: Sequence[str], hot: Hot, floor: int) -> DataFrame:
+    """How many ways each row's key is split.  There are at most rows / floor hot keys: fit to broadcast."""
+    parts = df.sparkSession.createDataFrame(
+        [(h, ceil(n / max(floor, 1))) for h, n in hot.keys.items()], f"{_HASH} bigint, {_PARTS} int")
+    joined = df.withColumn(_HASH, _hash(cols)).join(F.broadcast(parts), _HASH, "left")
+    return joined.withColumn(_PARTS, F.coalesce(_PARTS, F.lit(1))).drop(_HASH)
 
 
 def _row_salt(df: DataFrame) -> Column:
@@ -107,27 +90,34 @@ def salt_for_join(
     join, or any left join from ``heavy``, gives exactly the unsalted rows.  Returns both
     sides and the columns to join on; nothing changes when no bucket is hot.
     """
-    measured = heavy if measure is None else measure
-    load = measure_load(measured, on, floor)
-    if not load.hot:
-        return heavy, other, list(on)
-    parts = _parts(measured, on, load)
-    salted = _with_parts(heavy, on, parts).withColumn(salt, _row_salt(heavy)).drop(_PARTS)
-    repeated = _with_parts(other, on, parts).withColumn(
+    hot = hot_filter(heavy if measure is None else measure, on, floor)
+    return _salted(heavy, other, on, on, hot, floor, salt)
+
+
+def _salted(
+    heavy: DataFrame, other: DataFrame, on: Sequence[str], cols: Sequence[str], hot: Hot | None, floor: int, salt: str
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    if hot is None:
+        return heavy, other, list(cols)
+    salted = _with_parts(heavy, on, hot, floor).withColumn(salt, _row_salt(heavy)).drop(_PARTS)
+    repeated = _with_parts(other, on, hot, floor).withColumn(
         salt, F.explode(F.sequence(F.lit(0), F.col(_PARTS) - F.lit(1)))
     )
-    return salted, repeated.drop(_PARTS), [*on, salt]
+    return salted, repeated.drop(_PARTS), [*cols, salt]
 
 
 def salt_both(
     left: DataFrame, right: DataFrame, on: Sequence[str], floor: int = HOT_ROWS,
     left_measure: DataFrame | None = None, right_measure: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame, list[str]]:
-    """For inner joins whose hot keys may be on either side, or on both."""
-    right, left, cols = salt_for_join(right, left, on, floor, right_measure, "_tg_salt_r")
-    measure = left_measure if len(cols) == len(on) else None
-    left, right, cols = salt_for_join(left, right, cols, floor, measure, "_tg_salt_l")
-    return left, right, cols
+    """For inner joins whose hot keys may be on either side, or on both.
+
+    Both sides are counted as they come in, before either is repeated.
+    """
+    hot_left = hot_filter(left if left_measure is None else left_measure, on, floor)
+    hot_right = hot_filter(right if right_measure is None else right_measure, on, floor)
+    right, left, cols = _salted(right, left, on, on, hot_right, floor, "_tg_salt_r")
+    return _salted(left, right, on, cols, hot_left, floor, "_tg_salt_l")
 
 
 def lookup_join(
@@ -136,20 +126,24 @@ def lookup_join(
 ) -> DataFrame:
     """Join facts with a lookup table (unique on ``on``), from the left side.
 
-    The table's first ``small`` rows are computed once and kept; if that is all of it, it
-    is broadcast.  A larger one is joined by shuffle, with hot fact keys salted.
+    The table's first ``small`` rows are computed once and kept; if that is all of it, and
+    they have at most ``SMALL_BYTES``, it is broadcast.  A larger one is joined by shuffle, with
+    hot fact keys salted.
     """
     head = cut_lineage(table.limit(small + 1))
-    if head.count() <= small:
+    rows, size = head.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    if rows <= small and (size or 0) <= SMALL_BYTES:
         return facts.join(F.broadcast(head), list(on), how)
     heavy, other, cols = salt_for_join(facts, table, on, floor)
     return heavy.join(other, cols, how).drop(_SALT)
 
 
-def spread_by(df: DataFrame, cols: Sequence[str], floor: int = HOT_ROWS) -> DataFrame:
+def spread_by(
+    df: DataFrame, cols: Sequence[str], floor: int = HOT_ROWS, measure: DataFrame | None = None
+) -> DataFrame:
     """Repartition by ``cols``, hot groups over as many tasks as their rows need."""
-    load = measure_load(df, cols, floor)
-    if not load.hot:
+    hot = hot_filter(df if measure is None else measure, cols, floor)
+    if hot is None:
         return df.repartition(*cols)
-    salted = _with_parts(df, cols, _parts(df, cols, load)).withColumn(_SALT, _row_salt(df))
+    salted = _with_parts(df, cols, hot, floor).withColumn(_SALT, _row_salt(df))
     return salted.drop(_PARTS).repartition(*cols, _SALT).drop(_SALT)

@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 
 from tidegate.functions.exprs import from_nanos
 from tidegate.operators.dedup import dedup
@@ -84,6 +84,16 @@ class Feed:
     ts: str
 
 
+@dataclass(frozen=True)
+class Input:
+    """What a stored spec does not say of a topic: its rows, their time, and what makes rows equal."""
+
+    rows: DataFrame
+    ts: str
+    keys: Sequence[str] = ()
+    tie: str = ""
+
+
 @dataclass(frozen=True)
 class Flow:
     """Topic(s) or feed to sink.  ``build`` returns what the sink would write."""
@@ -109,9 +119,54 @@ class Flow:
         elif len(self.topics) != 1:
             raise ValueError("a flow without join has one topic")
 
+    @staticmethod
+    def from_spec(
+        spec: Row, inputs: Mapping[str, Input], feed: Feed | None = None, on: Sequence[str] = (),
+        where: str | Column | None = None, columns: Mapping[str, str | Column] | None = None, delay: str = "0 seconds",
+    ) -> Flow:
+        """The flow that a spec of ``sources.records.read_specs`` describes.
+
+        ``inputs`` holds the spec's topics by name, ``feed`` the rows of a telemetry source.  A
+        join that is enabled takes deduplication from each topic's own switch and window, both
+        in nanoseconds, and joins on ``on``.  Any other source has one stage if a transform is
+        enabled: ``where`` counts if filters are, ``columns`` if the stateless transform is, and
+        deduplication in the first topic's window if that is.
+        """
+        flags = spec["transform"] or {}
+        on_ = lambda name: bool(flags and flags[name])
+        topics = list(spec["sources"]["topics"] or [])
+
+        def rule(topic: Row, given: Input) -> DedupRule:
+            return DedupRule(given.keys, from_nanos(topic["dedup_window"] or 0), given.tie)
+
+        def read(topic: Row, dedup: bool) -> Topic:
+            given = inputs[topic["topic_name"]]
+            return Topic(given.rows, given.ts, rule(topic, given) if dedup else None)
+
+        telemetry = spec["sources"]["type"].startswith("otlp.")
+        joined = spec["join"]
+        if not telemetry and joined and joined["enabled"]:
+            join = TemporalJoin.from_spec(on, joined["left_buffer_ttl"] or 0, joined["right_buffer_ttl"] or 0)
+            sides = [read(t, bool(t["deduplication"] and t["deduplication"]["enabled"])) for t in topics]
+            return Flow(spec["pipeline_id"], sides, join=join, delay=delay)
+        stage = None
+        if any(map(on_, ("is_dedup_enabled", "is_filter_enabled", "is_stateless_transform_enabled"))):
+            dedup = None
+            if on_("is_dedup_enabled"):
+                if not topics:
+                    raise ValueError("deduplication takes its window from a topic")
+                dedup = rule(topics[0], inputs[topics[0]["topic_name"]])
+            stage = Stage(where if on_("is_filter_enabled") else None,
+                          columns if on_("is_stateless_transform_enabled") else None, dedup)
+        if telemetry:
+            if feed is None or f"otlp.{feed.signal}" != spec["sources"]["type"]:
+                raise ValueError(f"a feed of {spec['sources']['type']} is needed")
+            return Flow(spec["pipeline_id"], feed=feed, stage=stage, delay=delay)
+        return Flow(spec["pipeline_id"], [read(t, False) for t in topics], stage=stage, delay=delay)
+
     def build(self) -> DataFrame:
         if self.feed is not None:
-            flat = otlp_source(self.feed.rows, self.feed.signal, self.feed.record)
+            flat, _ = otlp_source(self.feed.rows, self.feed.signal, self.feed.record)
             rows = transform_stage(flat, self.feed.columns)
             return rows if self.stage is None else self.stage.apply(rows, self.feed.ts, self.delay)
         if self.join is not None:
@@ -128,6 +183,12 @@ class Flow:
         rows = self._deduped(topic)
         return rows if self.stage is None else self.stage.apply(rows, topic.ts, self.delay)
 
+    def dead_letters(self) -> DataFrame:
+        """Of a feed: one letter for each payload that does not parse."""
+        if self.feed is None:
+            raise ValueError("only a feed decodes payloads")
+        return otlp_source(self.feed.rows, self.feed.signal, self.feed.record, component=self.id)[1]
+
     def _deduped(self, topic: Topic) -> DataFrame:
         if topic.dedup is None:
             return topic.rows

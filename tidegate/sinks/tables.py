@@ -36,8 +36,8 @@ def stream_sink(
 ) -> StreamingQuery:
     """Write a stream; a batch that is repeated after a failure replaces its own earlier output.
 
-    File tables get one folder per batch id, written in overwrite mode.  For JDBC the batch
-    id is written along, so that the target can drop repeats.
+    File tables get one folder per batch id, written in overwrite mode.  JDBC is at least once:
+    the batch id is written along, and it is the target that must drop repeats by it.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         if fmt == "jdbc":

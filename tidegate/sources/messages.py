@@ -38,17 +38,24 @@ def seq_range(messages: DataFrame) -> DataFrame:
     )
 
 
-def seq_gaps(messages: DataFrame) -> DataFrame:
-    """Every deleted sequence between a stream's first and last one.
+def seq_gap_ranges(messages: DataFrame) -> DataFrame:
+    """The deleted sequences between a stream's first and last one as ranges: (stream, lo, hi, n).
 
-    Gaps come from neighbouring sequences, block by block; a long gap is cut into pieces
-    of one block, spread over the tasks, before it is spelled out.
+    Ranges come from neighbouring sequences, block by block; a hot stream is spread over tasks.
     """
     block = block_of(F.col("seq"), SEQ_BLOCK)
     stepped = previous(messages.select("stream", "seq"), ["stream"], ["seq"], ["seq"], "_tg_prev", block)
-    gaps = stepped.where(F.col("seq") - F.col("_tg_prev.seq") > 1).select(
-        "stream", (F.col("_tg_prev.seq") + 1).alias("lo"), (F.col("seq") - 1).alias("hi")
-    )
+    before = F.col("_tg_prev.seq")
+    return stepped.where(F.col("seq") - before > 1).select(
+        "stream", (before + 1).alias("lo"), (F.col("seq") - 1).alias("hi"), (F.col("seq") - before - 1).alias("n"))
+
+
+def seq_gaps(messages: DataFrame) -> DataFrame:
+    """Every deleted sequence, spelled out; prefer ``seq_gap_ranges`` where numbers are sparse.
+
+    A long gap is cut into pieces of one block, spread over the tasks, before it is spelled out.
+    """
+    gaps = seq_gap_ranges(messages).drop("n")
     short = F.col("hi") - F.col("lo") < SEQ_BLOCK
     pieces = (
         gaps.where(~short)

@@ -2,20 +2,24 @@
 
 A payload is one JSON export request: resources, each with scopes, each with records.
 The caller gives the schemas of resource, scope and record; the operator parses only
-those fields and unnests by path.
+those fields and unnests by path.  A payload that does not parse becomes a dead letter.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidegate.functions.exprs import compute_once
+from tidegate.operators.deadletters import to_dlq
 from tidegate.schemas import Schema, as_struct
 
+_CORRUPT = "_corrupt_record"
+
 # The array names of the public telemetry JSON encoding, outermost first.
 PATHS = {
     "logs": ("resourceLogs", "scopeLogs", "logRecords"),
@@ -33,52 +37,82 @@ def _array(name: str, fields: list[T.StructField]) -> T.StructField:
     return T.StructField(name, T.ArrayType(T.StructType(fields)))
 
 
-def otlp_source(
-    df: DataFrame, signal: str, record: Schema, value: str = "value",
-    resource: Schema = RESOURCE, scope: Schema = SCOPE, kinds: Sequence[str] = ("gauge", "sum"),
-) -> DataFrame:
-    """Columns besides ``value``, then signal, resource, scope, record; for metrics also name and kind.
+# What the data points of each kind hold, as far as the public encoding names it.
+_POINT = f"attributes {KEY_VALUES}, startTimeUnixNano string, timeUnixNano string"
+_BUCKETS = "struct<offset: int, bucketCounts: array<string>>"
+POINTS = {
+    "gauge": f"{_POINT}, asDouble double, asInt string",
+    "sum": f"{_POINT}, asDouble double, asInt string",
+    "histogram": f"{_POINT}, count string, sum double, bucketCounts array<string>, explicitBounds array<double>, min double, max double",
+    "exponentialHistogram": f"{_POINT}, count string, sum double, scale int, zeroCount string, positive {_BUCKETS}, negative {_BUCKETS}",
+    "summary": f"{_POINT}, count string, sum double, quantileValues array<struct<quantile: double, value: double>>",
+}
+
 
-    For metrics ``record`` is the data point; ``kinds`` names the point lists to read.
+def otlp_source(
+    df: DataFrame, signal: str, record: Schema | Mapping[str, Schema] | None = None, value: str = "value",
+    resource: Schema = RESOURCE, scope: Schema = SCOPE, component: str = "otlp", error: str = "malformed payload",
+) -> tuple[DataFrame, DataFrame]:
+    """The records, and a dead letter for each payload that does not parse (a null one too).
+
+    Records have the columns besides ``value``, then signal, resource, scope and record.  For
+    metrics ``record`` gives the schema of the data points by kind (default: ``POINTS``, all
+    five); there is one row per point with its metric's name and unit, its kind, and a column
+    for each kind, null but for its own.  With one schema for all kinds that column is
+    ``record``.  A request without records gives no row and no letter.
     """
     if signal not in PATHS:
         raise ValueError(f"unknown signal {signal}")
     outer, middle, inner = PATHS[signal]
-    record, resource, scope = as_struct(record), as_struct(resource), as_struct(scope)
+    resource, scope = as_struct(resource), as_struct(scope)
+    points: dict[str, T.StructType] = {}
     if signal == "metrics":
-        unknown = set(kinds) - set(POINT_KINDS)
+        given = POINTS if record is None else record
+        points = {k: as_struct(s) for k, s in given.items()} if isinstance(given, Mapping) else {
+            k: as_struct(given) for k in POINT_KINDS}
+        unknown = set(points) - set(POINT_KINDS)
         if unknown:
             raise ValueError(f"unknown metric kinds {sorted(unknown)}")
         leaf = [T.StructField("name", T.StringType()), T.StructField("unit", T.StringType())] + [
-            T.StructField(k, T.StructType([T.StructField("dataPoints", T.ArrayType(record))])) for k in kinds
+            T.StructField(k, T.StructType([T.StructField("dataPoints", T.ArrayType(s))])) for k, s in points.items()
         ]
     else:
-        leaf = record.fields
+        if record is None:
+            raise ValueError(f"{signal} need the schema of a record")
+        leaf = as_struct(record).fields
     schema = T.StructType([
-        _array(outer, [T.StructField("resource", resource), _array(middle, [T.StructField("scope", scope), _array(inner, leaf)])])
+        _array(outer, [T.StructField("resource", resource), _array(middle, [T.StructField("scope", scope), _array(inner, leaf)])]),
+        T.StructField(_CORRUPT, T.StringType()),
     ])
     others = [c for c in df.columns if c != value]
+    body = F.from_json(F.col(value).cast("string"), schema, {"columnNameOfCorruptRecord": _CORRUPT})
+    parsed = compute_once(df, "_tg_v", body)
+    bad = F.col("_tg_v").isNull() | F.col(f"_tg_v.{_CORRUPT}").isNotNull()
+    letters = to_dlq(parsed.where(bad), F.lit(component), F.col(value).cast("string"), error=F.lit(error))
     tag = F.lit(signal).alias("signal")
     rows = (
-        df.select(*others, F.explode(F.from_json(F.col(value), schema)[outer]).alias("_r"))
+        parsed.where(~bad).select(*others, F.explode(F.col(f"_tg_v.{outer}")).alias("_r"))
         .select(*others, F.col("_r.resource").alias("resource"), F.explode(F.col(f"_r.{middle}")).alias("_s"))
         .select(*others, "resource", F.col("_s.scope").alias("scope"), F.explode(F.col(f"_s.{inner}")).alias("_i"))
     )
     if signal != "metrics":
-        return rows.select(*others, tag, "resource", "scope", F.col("_i").alias("record"))
+        return rows.select(*others, tag, "resource", "scope", F.col("_i").alias("record")), letters
+
+    one = record is not None and not isinstance(record, Mapping)
 
-    def points(kind: str) -> Column:
-        found = F.transform(
-            F.col(f"_i.{kind}.dataPoints"), lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("record"))
-        )
-        return F.coalesce(found, F.array().cast(T.ArrayType(T.StructType([
-            T.StructField("kind", T.StringType(), False), T.StructField("record", record)]))))
+    def of_kind(kind: str) -> Column:
+        def point(p: Column) -> Column:
+            if one:
+                return F.struct(F.lit(kind).alias("kind"), p.alias("record"))
+            columns = [(p if k == kind else F.lit(None).cast(s)).alias(k) for k, s in points.items()]
+            return F.struct(F.lit(kind).alias("kind"), *columns)
+        found = F.transform(F.col(f"_i.{kind}.dataPoints"), point)
+        return F.coalesce(found, F.filter(F.array(point(F.lit(None).cast(points[kind]))), lambda p: F.lit(False)))
 
-    merged = reduce(F.concat, [points(k) for k in kinds])
     return rows.select(
         *others, tag, "resource", "scope", F.col("_i.name").alias("name"), F.col("_i.unit").alias("unit"),
-        F.inline(merged),
-    )
+        F.inline(reduce(F.concat, [of_kind(k) for k in points])),
+    ), letters
 
 
 def attribute(attributes: Column, key: str) -> Column:

@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from tidegate.functions.exprs import micros, to_micros
+from tidegate.functions.exprs import identity, micros, to_micros
 
 # Rows travel through the state as JSON, which keeps integers and microseconds exact.
 _JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 GROUPS_PER_PARTITION = 32
+# Microseconds: a window that no later row is beyond.
+NEVER = 1 << 61
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -72,7 +74,7 @@ class _Dedup(StatefulProcessor):
         if waiting:
             self.wake(min(row[1] for row in waiting))
         elif live:
-            self.wake(max(at for _, at in live) + self.width)
+            self.wake(min(max(at for _, at in live) + self.width, NEVER))
         if kept:
             yield pd.DataFrame({"body": kept})
 
@@ -90,7 +92,8 @@ def dedup_stream(
     """Streaming form of ``operators.dedup.dedup``; ``delay`` is how late a row may come.
 
     ``ts`` must be a timestamp with zone, ``tie`` a column without nulls that orders rows of
-    equal time.  Rows with a null key go straight through.  Needs the RocksDB state store.
+    equal time.  Rows with a null key or a null time go straight through.  Window 0 keeps the first
+    row of each key for good, which takes one anchor per key for ever.  Needs the RocksDB state store.
 
     Each access to the state is a call out of the Python worker, so keys share ``groups``
     state entries by hash: more groups mean more calls, fewer mean that more anchors are
@@ -99,12 +102,13 @@ def dedup_stream(
     """
     if groups is None:
         groups = GROUPS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    width = to_micros(window)
+    loose = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in [*keys, ts]])
     rows = df.withWatermark(ts, delay)
     # Spark hands these rows over as named tuples, so no name may begin with an underscore.
-    state_rows = rows.where(~no_key).select(
+    state_rows = rows.where(~loose).select(
         F.pmod(F.xxhash64(*keys), F.lit(groups)).cast("int").alias("bucket"),
-        F.to_json(F.struct(*keys)).alias("name"),
+        identity(df, keys).alias("name"),
         F.col(ts).alias("event_time"),
         micros(F.col(ts)).alias("at"),
         F.col(tie).alias("tie"),
@@ -113,8 +117,8 @@ def dedup_stream(
     tie_type = df.schema[tie].dataType.simpleString()
     kept = (
         state_rows.groupBy("bucket")
-        .transformWithStateInPandas(_Dedup(to_micros(window), tie_type), "body string", "Append", "EventTime")
+        .transformWithStateInPandas(_Dedup(width if width > 0 else NEVER, tie_type), "body string", "Append", "EventTime")
         .select(F.from_json("body", df.schema, _JSON).alias("r"))
         .select("r.*")
     )
-    return kept.unionByName(rows.where(no_key))
+    return kept.unionByName(rows.where(loose))

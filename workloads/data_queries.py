@@ -37,50 +37,74 @@ def src_topic(spark: SparkSession, sf: str) -> DataFrame:
     return drain(good, "src-topic")
 
 
-def _payload(outer: str, middle: str, inner: str, records: str):
-    return F.expr(f"""to_json(named_struct('{outer}', array(named_struct(
-        'resource', named_struct('attributes', array(named_struct('key', 'user.id',
-            'value', named_struct('stringValue', CAST(user_id AS STRING))))),
-        '{middle}', array(named_struct(
-            'scope', named_struct('name', event_type, 'version', '1'),
-            '{inner}', {records}))))))""")
+def _requests(events: DataFrame, outer: str, middle: str, inner: str, *scopes: str) -> DataFrame:
+    """Export requests of up to eight events: each event is a resource, with a scope for each entry of
+    ``scopes`` (its version is the position), which is the SQL of its records."""
+    found = ", ".join(
+        f"named_struct('scope', named_struct('name', event_type, 'version', '{i}'), '{inner}', {records})"
+        for i, records in enumerate(scopes))
+    entry = F.expr(f"""named_struct(
+        'resource', named_struct('attributes', array(
+            named_struct('key', 'user.id', 'value', named_struct('stringValue', CAST(user_id AS STRING))),
+            named_struct('key', 'event.id', 'value', named_struct('stringValue', CAST(event_id AS STRING))))),
+        '{middle}', array({found}))""")
+    return events.groupBy(F.expr("event_id div 8").alias("request")).agg(
+        F.to_json(F.struct(F.collect_list(entry).alias(outer))).alias("value"))
+
+
+def _resource(key: str):
+    return attribute(F.col("resource.attributes"), key)
 
 
 _NANOS = "CAST(unix_micros(CAST(ts AS TIMESTAMP)) * 1000 AS STRING)"
+_LOGS = ("resourceLogs", "scopeLogs", "logRecords")
 
 
 @query("otlp_logs", f"""
 WITH {I.EV}, bodies AS (
-  SELECT *, props AS body, 'INFO' AS severity FROM ev UNION ALL SELECT *, 'k=' || k, 'WARN' FROM ev)
-SELECT event_id, 'logs' AS signal, CAST(user_id AS VARCHAR) AS user_id, event_type AS scope_name,
+  SELECT *, props AS body, 'INFO' AS severity, '0' AS version FROM ev UNION ALL SELECT *, 'k=' || k, 'WARN', '0' FROM ev
+  UNION ALL SELECT *, event_type, 'DEBUG', '1' FROM ev)
+SELECT event_id, 'logs' AS signal, CAST(user_id AS VARCHAR) AS user_id, event_type AS scope_name, version,
        severity, body, CAST(epoch_us(ts) * 1000 AS VARCHAR) AS nanos
 FROM bodies""")
 def otlp_logs(spark: SparkSession, sf: str) -> DataFrame:
-    payloads = I.events(spark, sf).select("event_id", _payload(
-        "resourceLogs", "scopeLogs", "logRecords",
-        f"array(named_struct('timeUnixNano', {_NANOS}, 'severityText', 'INFO', 'body', named_struct('stringValue', props)),"
-        f"named_struct('timeUnixNano', {_NANOS}, 'severityText', 'WARN', 'body', named_struct('stringValue', 'k=' || CAST(k AS STRING))))",
-    ).alias("value"))
+    log = lambda severity, body: (f"named_struct('timeUnixNano', {_NANOS}, 'severityText', '{severity}', "
+                                  f"'body', named_struct('stringValue', {body}))")
+    requests = _requests(I.events(spark, sf), *_LOGS,
+                         f"array({log('INFO', 'props')}, {log('WARN', 'concat(chr(107), chr(61), CAST(k AS STRING))')})",
+                         f"array({log('DEBUG', 'event_type')})")
     record = "timeUnixNano string, severityText string, body struct<stringValue: string>"
-    return otlp_source(payloads, "logs", record).select(
-        "event_id", "signal", attribute(F.col("resource.attributes"), "user.id").alias("user_id"),
-        F.col("scope.name").alias("scope_name"), F.col("record.severityText").alias("severity"),
-        F.col("record.body.stringValue").alias("body"), F.col("record.timeUnixNano").alias("nanos"),
+    return otlp_source(requests, "logs", record)[0].select(
+        _resource("event.id").cast("bigint").alias("event_id"), "signal", _resource("user.id").alias("user_id"),
+        F.col("scope.name").alias("scope_name"), F.col("scope.version").alias("version"),
+        F.col("record.severityText").alias("severity"), F.col("record.body.stringValue").alias("body"),
+        F.col("record.timeUnixNano").alias("nanos"),
     )
 
 
+@query("otlp_dlq", """
+SELECT '{"component":"otlp","error":"malformed payload","original_message":"' || replace(raw, '"', '\\"') || '"}' AS dead_letter
+FROM (SELECT CASE event_id % 4 WHEN 0 THEN '{"resourceLogs":[' WHEN 1 THEN 'no json ' || event_type ELSE
+      '{"resourceLogs":[{"scopeLogs":"' || user_id || '"}]}' END AS raw FROM events WHERE event_id % 4 < 3)""")
+def otlp_dlq(spark: SparkSession, sf: str) -> DataFrame:
+    """Cut off, no JSON, of the wrong shape; every fourth request is good and gives no letter."""
+    payload = F.expr("""CASE event_id % 4 WHEN 0 THEN '{"resourceLogs":[' WHEN 1 THEN concat('no json ', event_type)
+        WHEN 2 THEN concat('{"resourceLogs":[{"scopeLogs":"', user_id, '"}]}')
+        ELSE concat('{"resourceLogs":[{"scopeLogs":[{"logRecords":[{"severityText":"', event_type, '"}]}]}]}') END""")
+    return otlp_source(I.table(spark, sf, "events").select(payload.alias("value")), "logs", "severityText string")[1]
+
+
 @query("otlp_traces", """
 SELECT event_id, 'traces' AS signal, CAST(user_id AS VARCHAR) AS user_id, event_type AS scope_name,
        md5(CAST(event_id AS VARCHAR)) AS trace_id, 'op ' || event_type AS name, value AS seconds
 FROM events""")
 def otlp_traces(spark: SparkSession, sf: str) -> DataFrame:
-    payloads = I.events(spark, sf).select("event_id", _payload(
-        "resourceSpans", "scopeSpans", "spans",
-        "array(named_struct('traceId', md5(CAST(CAST(event_id AS STRING) AS BINARY)), 'name', 'op ' || event_type, 'seconds', value))",
-    ).alias("value"))
+    requests = _requests(
+        I.events(spark, sf), "resourceSpans", "scopeSpans", "spans",
+        "array(named_struct('traceId', md5(CAST(CAST(event_id AS STRING) AS BINARY)), 'name', 'op ' || event_type, 'seconds', value))")
     record = "traceId string, name string, seconds double"
-    return otlp_source(payloads, "traces", record).select(
-        "event_id", "signal", attribute(F.col("resource.attributes"), "user.id").alias("user_id"),
+    return otlp_source(requests, "traces", record)[0].select(
+        _resource("event.id").cast("bigint").alias("event_id"), "signal", _resource("user.id").alias("user_id"),
         F.col("scope.name").alias("scope_name"), F.col("record.traceId").alias("trace_id"),
         F.col("record.name").alias("name"), F.col("record.seconds").alias("seconds"),
     )
@@ -88,23 +112,37 @@ def otlp_traces(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("otlp_metrics", f"""
 WITH {I.EV}
-SELECT event_id, 'metrics' AS signal, event_type AS scope_name, 'value' AS name, 'gauge' AS kind,
-       CAST(value AS DOUBLE) AS point FROM ev
-UNION ALL
-SELECT event_id, 'metrics', event_type, 'k', 'sum', CAST(k AS DOUBLE) FROM ev""")
+SELECT event_id, 'metrics' AS signal, event_type AS scope_name, name, kind, point FROM (
+  SELECT *, 'value' AS name, 'gauge' AS kind, CAST(value AS DOUBLE) AS point FROM ev
+  UNION ALL SELECT *, 'k', 'sum', CAST(k AS DOUBLE) FROM ev
+  UNION ALL SELECT *, 'spread', 'histogram', CAST(k + 1 AS DOUBLE) FROM ev
+  UNION ALL SELECT *, 'fine', 'exponentialHistogram', CAST(k + 2 AS DOUBLE) FROM ev
+  UNION ALL SELECT *, 'median', 'summary', CAST(value AS DOUBLE) FROM ev)""")
 def otlp_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    payloads = I.events(spark, sf).select("event_id", _payload(
-        "resourceMetrics", "scopeMetrics", "metrics",
-        "array(named_struct('name', 'value', 'gauge', named_struct('dataPoints', array(named_struct('asDouble', value))),"
-        "'sum', CAST(NULL AS STRUCT<dataPoints: ARRAY<STRUCT<asDouble: DOUBLE>>>)),"
-        "named_struct('name', 'k', 'gauge', CAST(NULL AS STRUCT<dataPoints: ARRAY<STRUCT<asDouble: DOUBLE>>>),"
-        "'sum', named_struct('dataPoints', array(named_struct('asDouble', CAST(k AS DOUBLE))))))",
-    ).alias("value"))
-    record = "asDouble double"
-    return otlp_source(payloads, "metrics", record).select(
-        "event_id", "signal", F.col("scope.name").alias("scope_name"), "name", "kind",
-        F.col("record.asDouble").alias("point"),
-    )
+    """All five kinds of points, in two scopes."""
+    def metric(name: str, kind: str, point: str) -> str:
+        return f"""'{{"name":"{name}","{kind}":{{"dataPoints":[{{{point}}}]}}}}'"""
+
+    text = lambda sql: f"' || CAST({sql} AS STRING) || '"
+    first = [metric("value", "gauge", f'"asDouble":{text("value")}'), metric("k", "sum", f'"asInt":"{text("k")}"')]
+    second = [metric("spread", "histogram", f'"count":"{text("k + 1")}","bucketCounts":["1","2"],"explicitBounds":[0.5]'),
+              metric("fine", "exponentialHistogram", f'"count":"{text("k + 2")}","scale":3,"positive":{{"offset":1,"bucketCounts":["4"]}}'),
+              metric("median", "summary", f'"quantileValues":[{{"quantile":0.5,"value":{text("value")}}}]')]
+    scope = lambda parts: (
+        "'{\"scope\":{\"name\":\"' || event_type || '\"},\"metrics\":[' || " + " || ',' || ".join(parts) + " || ']}'")
+    entry = F.expr(
+        "'{\"resource\":{\"attributes\":[{\"key\":\"event.id\",\"value\":{\"stringValue\":\"' || event_id || "
+        f"'\"}}}}]}},\"scopeMetrics\":[' || {scope(first)} || ',' || {scope(second)} || ']}}'")
+    requests = I.events(spark, sf).groupBy(F.expr("event_id div 8").alias("request")).agg(F.concat(
+        F.lit('{"resourceMetrics":['), F.array_join(F.collect_list(entry), ","), F.lit("]}")).alias("value"))
+    point = (F.when(F.col("kind") == "gauge", F.col("gauge.asDouble"))
+             .when(F.col("kind") == "sum", F.col("sum.asInt").cast("double"))
+             .when(F.col("kind") == "histogram", F.col("histogram.count").cast("double"))
+             .when(F.col("kind") == "exponentialHistogram", F.col("exponentialHistogram.count").cast("double"))
+             .otherwise(F.col("summary.quantileValues")[0]["value"]))
+    return otlp_source(requests, "metrics")[0].select(
+        _resource("event.id").cast("bigint").alias("event_id"), "signal", F.col("scope.name").alias("scope_name"),
+        "name", "kind", point.alias("point"))
 
 
 @query("seq_scan", f"""
@@ -124,6 +162,13 @@ def seq_range(spark: SparkSession, sf: str) -> DataFrame:
     return M.seq_range(I.messages(spark, sf))
 
 
+@query("seq_gap_ranges", f"""
+WITH {I.MSGS}, steps AS (SELECT stream, seq, lag(seq) OVER (PARTITION BY stream ORDER BY seq) AS prev FROM msgs)
+SELECT stream, prev + 1 AS lo, seq - 1 AS hi, seq - prev - 1 AS n FROM steps WHERE seq - prev > 1""")
+def seq_gap_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    return M.seq_gap_ranges(I.messages(spark, sf))
+
+
 @query("seq_gaps", f"""
 WITH {I.MSGS}, alls AS (
   SELECT stream, unnest(generate_series(min(seq), max(seq))) AS seq FROM msgs GROUP BY stream)
@@ -289,6 +334,42 @@ def dedup_hot_key(spark: SparkSession, sf: str) -> DataFrame:
     return dedup(I.table(spark, sf, "events"), ["event_type"], "ts", H, ["event_id"], hot_rows=0)
 
 
+_TYPED = "date_trunc('hour', ts) + INTERVAL 1 MICROSECOND * (event_id % 3)"
+
+
+@query("dedup_ts_key", f"""
+WITH RECURSIVE typed AS (SELECT event_id, ts, {_TYPED} AS slot FROM events), {kept_sql('slot', '10 MINUTES', 'typed')}
+SELECT typed.* FROM typed SEMI JOIN kept USING (event_id)""")
+def dedup_ts_key(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys are times a microsecond apart."""
+    return dedup(_typed(spark, sf), ["slot"], "ts", H / 6, ["event_id"])
+
+
+@query("dedup_ts_key_hot", f"""
+WITH RECURSIVE typed AS (SELECT event_id, ts, {_TYPED} AS slot FROM events), {kept_sql('slot', '10 MINUTES', 'typed')}
+SELECT typed.* FROM typed SEMI JOIN kept USING (event_id)""")
+def dedup_ts_key_hot(spark: SparkSession, sf: str) -> DataFrame:
+    """The same through the plan for hot keys."""
+    return dedup(_typed(spark, sf), ["slot"], "ts", H / 6, ["event_id"], hot_rows=0)
+
+
+def _typed(spark: SparkSession, sf: str) -> DataFrame:
+    return I.table(spark, sf, "events").selectExpr(
+        "event_id", "ts", "date_trunc('hour', ts) + make_dt_interval(0, 0, 0, CAST((event_id % 3) / 1e6 AS DECIMAL(18, 6))) AS slot"
+    ).withColumn("slot", F.col("slot").cast("timestamp_ntz"))
+
+
+@query("dedup_null_time", f"""
+WITH RECURSIVE timed AS (SELECT event_id, event_type, CASE WHEN event_id % 10 > 0 THEN ts END AS ts FROM events),
+known AS (SELECT * FROM timed WHERE ts IS NOT NULL), {kept_sql('event_type', '1 HOUR', 'known')}
+SELECT timed.* FROM timed SEMI JOIN kept USING (event_id) UNION ALL SELECT * FROM timed WHERE ts IS NULL""")
+def dedup_null_time(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows without a time are kept and disturb no other."""
+    timed = I.table(spark, sf, "events").selectExpr(
+        "event_id", "event_type", "CASE WHEN event_id % 10 > 0 THEN ts END AS ts")
+    return dedup(timed, ["event_type"], "ts", H, ["event_id"])
+
+
 @query("dedup_all", """
 SELECT event_id, ts, user_id, event_type, value, props FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1""")

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegate.functions.exprs import micros
 from tidegate.operators.metrics import counter_stream
-from tidegate.plans.flows import DedupRule, Feed, Flow, Stage, TemporalJoin, Topic
+from tidegate.plans.flows import DedupRule, Feed, Flow, Input, Stage, TemporalJoin, Topic
 from tidegate.session import new_run_dir
 from tidegate.sinks.tables import table_sink
+from tidegate.sources.records import read_specs
 from tidegate.sources.topics import replay
 from tidegate.streaming.dedup_stream import dedup_stream
 from tidegate.streaming.joins import temporal_join_stream
@@ -20,8 +23,8 @@ from workloads.data_queries import JOIN_SQL, kept_sql, sides
 from workloads.registry import query
 
 H = timedelta(hours=1)
-BATCHES = 4
-LATE = "9 days"
+# Parts of the time that a table is replayed in.
+PARTS = 4
 # A time after all data: its row lifts the watermark past everything and stays in state itself.
 END_OF_TIME = "2100-01-01 00:00:00"
 
@@ -76,6 +79,23 @@ def pipe_join(spark: SparkSession, sf: str) -> DataFrame:
     return _join_flow(*sides(I.table(spark, sf, "events"))).build()
 
 
+SPEC = """{"sources": {"type": "kafka", "topics": [
+    {"topic_name": "views", "dedup_window": 3600000000000, "deduplication": {"enabled": true}},
+    {"topic_name": "buys", "dedup_window": 21600000000000, "deduplication": {"enabled": true}}]},
+  "join": {"type": "temporal", "enabled": true, "left_buffer_ttl": 86400000000000, "right_buffer_ttl": 43200000000000},
+  "sink": {"type": "clickhouse"}, "transform": {}}"""
+
+
+@query("pipe_from_spec", PIPE_JOIN_SQL)
+def pipe_from_spec(spark: SparkSession, sf: str) -> DataFrame:
+    """The joined flow as a stored spec describes it."""
+    stored = spark.createDataFrame([("join-flow", SPEC, "")], "pipeline_id string, stored_config string, inline_config string")
+    spec = read_specs(stored)[0].first()
+    views, buys = sides(I.table(spark, sf, "events"))
+    inputs = {"views": Input(views, "view_ts", ["user_id"], "view_id"), "buys": Input(buys, "buy_ts", ["user_id"], "buy_id")}
+    return Flow.from_spec(spec, inputs, on=["user_id"]).build()
+
+
 @query("pipe_otlp", f"""
 WITH RECURSIVE kinds AS (SELECT event_id, ts, event_type AS kind, value FROM events WHERE value > 5),
 {kept_sql('kind', '30 MINUTES', 'kinds')}
@@ -98,19 +118,39 @@ def pipe_otlp(spark: SparkSession, sf: str) -> DataFrame:
 # --- streams -----------------------------------------------------------------------------
 
 
-def _as_stream(rows: DataFrame, ts: str, label: str, end_row: DataFrame | None = None) -> DataFrame:
-    """Write the rows week by week as files and read them back one file per micro-batch.
+@dataclass(frozen=True)
+class Cuts:
+    """Times (microseconds) that cut a table into ``PARTS``, and how late a row of a part may come."""
+
+    at: list[int]
+    late: str
+
+
+def _cuts(rows: DataFrame, ts: str) -> Cuts:
+    """Measured on the column, whatever span of time it covers."""
+    at = micros(F.col(ts))
+    shares = [i / PARTS for i in range(1, PARTS)]
+    first, last, inner = rows.agg(F.min(at), F.max(at), F.percentile_approx(at, shares)).first()
+    if first is None:
+        return Cuts([], "0 seconds")
+    edges = [first, *inner, last]
+    return Cuts(inner, f"{max(b - a for a, b in zip(edges, edges[1:])) // 10**6 + 2} seconds")
 
-    Files of one week come in any order, so a row may be up to eight days late.
+
+def _as_stream(rows: DataFrame, ts: str, label: str, cuts: Cuts, end_row: DataFrame | None = None) -> DataFrame:
+    """Write the rows part by part as files and read them back in that order.
+
+    Files of one part come in any order, so a row may be as late as the longest part is
+    long.  Rows without a time come with the first part.
     """
     spark = rows.sparkSession
     path = new_run_dir(spark, label)
-    week = F.expr(f"(dayofmonth({ts}) - 1) div 8")
-    for part in range(BATCHES):
-        table_sink(rows.where(week == part), f"{path}/{part}")
+    part = F.size(F.filter(F.array(*map(F.lit, cuts.at)).cast("array<bigint>"), lambda c: c < micros(F.col(ts))))
+    for number in range(PARTS):
+        table_sink(rows.where(F.coalesce(part, F.lit(0)) == number if cuts.at else F.lit(number == 0)), f"{path}/{number}")
     if end_row is not None:
         table_sink(end_row.coalesce(1), f"{path}/end")
-    return replay(spark, f"{path}/*", rows.schema, streaming=True, files_per_batch=1)
+    return replay(spark, f"{path}/*", rows.schema, streaming=True, files_per_batch=_cores(spark))
 
 
 def _cores(spark: SparkSession) -> int:
@@ -134,28 +174,45 @@ def _end_row(rows: DataFrame, ts: str) -> DataFrame:
 @query("dedup_stream", f"""
 WITH RECURSIVE {kept_sql('user_id, event_type', '6 HOURS')} SELECT e.* FROM events e SEMI JOIN kept USING (event_id)""")
 def dedup_stream_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return _dedup_stream(spark, sf, ["user_id", "event_type"], 6 * H)
+
+
+def _dedup_stream(spark: SparkSession, sf: str, keys: list[str], window: timedelta) -> DataFrame:
     rows = _zoned(I.table(spark, sf, "events"), "ts")
-    stream = _as_stream(rows, "ts", "dedup-input", _end_row(rows, "ts"))
-    kept = dedup_stream(stream, ["user_id", "event_type"], "ts", 6 * H, "event_id", LATE, groups=32 * _cores(spark))
+    cuts = _cuts(rows, "ts")
+    stream = _as_stream(rows, "ts", "dedup-input", cuts, _end_row(rows, "ts"))
+    kept = dedup_stream(stream, keys, "ts", window, "event_id", cuts.late, groups=4 * _cores(spark))
     return _plain(drain(kept, "dedup", partitions=_cores(spark)), "ts")
 
 
+@query("dedup_stream_all", """
+SELECT event_id, ts, user_id, event_type, value, props FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1""")
+def dedup_stream_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Window 0: the first row of each key for good."""
+    return _dedup_stream(spark, sf, ["user_id", "event_type"], timedelta(0))
+
+
 @query("temporal_join_stream", JOIN_SQL)
 def temporal_join_stream_rows(spark: SparkSession, sf: str) -> DataFrame:
-    left, right = sides(_zoned(I.table(spark, sf, "events"), "ts"))
+    events = _zoned(I.table(spark, sf, "events"), "ts")
+    cuts = _cuts(events, "ts")
+    left, right = sides(events)
     joined = temporal_join_stream(
-        _as_stream(left, "view_ts", "join-left"), _as_stream(right, "buy_ts", "join-right"),
-        ["user_id"], "view_ts", "buy_ts", 2 * H, H, LATE,
+        _as_stream(left, "view_ts", "join-left", cuts), _as_stream(right, "buy_ts", "join-right", cuts),
+        ["user_id"], "view_ts", "buy_ts", 2 * H, H, cuts.late,
     )
     return _plain(drain(joined, "join", partitions=_cores(spark)), "view_ts", "buy_ts")
 
 
 @query("pipe_join_stream", PIPE_JOIN_SQL)
 def pipe_join_stream(spark: SparkSession, sf: str) -> DataFrame:
-    left, right = sides(_zoned(I.table(spark, sf, "events"), "ts"))
+    events = _zoned(I.table(spark, sf, "events"), "ts")
+    cuts = _cuts(events, "ts")
+    left, right = sides(events)
     flow = _join_flow(
-        _as_stream(left, "view_ts", "flow-left", _end_row(left, "view_ts")),
-        _as_stream(right, "buy_ts", "flow-right", _end_row(right, "buy_ts")), LATE,
+        _as_stream(left, "view_ts", "flow-left", cuts, _end_row(left, "view_ts")),
+        _as_stream(right, "buy_ts", "flow-right", cuts, _end_row(right, "buy_ts")), cuts.late,
     )
     run = new_run_dir(spark, "flow")
     run_flow(flow, f"{run}/table", f"{run}/work", partitions=_cores(spark))
@@ -168,5 +225,6 @@ SELECT time_bucket(INTERVAL 10 SECONDS, ts) AS window_start, time_bucket(INTERVA
        event_type, count(*) AS n FROM events GROUP BY ALL""")
 def counter_10s(spark: SparkSession, sf: str) -> DataFrame:
     rows = _zoned(I.table(spark, sf, "events").select("ts", "event_type"), "ts")
-    stream = _as_stream(rows, "ts", "counter-input", _end_row(rows, "ts"))
-    return drain(counter_stream(stream, "ts", ["event_type"], late=LATE), "counter", partitions=_cores(spark))
+    cuts = _cuts(rows, "ts")
+    stream = _as_stream(rows, "ts", "counter-input", cuts, _end_row(rows, "ts"))
+    return drain(counter_stream(stream, "ts", ["event_type"], late=cuts.late), "counter", partitions=_cores(spark))

@@ -12,6 +12,8 @@ from tidegate.operators import history as H
 from tidegate.operators import lag as G
 from tidegate.operators.blocks import SEQ_BLOCK
 from tidegate.operators import metrics, notifications, retention, shards, signals, sweep
+from tidegate.session import new_run_dir
+from tidegate.sinks.tables import table_sink
 from workloads import inputs as I
 from workloads.registry import query
 
@@ -30,6 +32,15 @@ def shard_key(spark: SparkSession, sf: str) -> DataFrame:
     return shards.lay_out(keyed).select("event_id", "shard")
 
 
+@query("sink_sharded", f"SELECT event_id, {_MD5_SHARD.format(n=SHARDS)} AS shard FROM events")
+def sink_sharded(spark: SparkSession, sf: str) -> DataFrame:
+    """Written with one folder per shard, a hot shard by several tasks, and read back whole."""
+    target = new_run_dir(spark, "sink-sharded")
+    sharded = shards.shard_by_key(I.table(spark, sf, "events"), ["user_id", "event_type"], SHARDS).select("event_id", "shard")
+    table_sink(shards.lay_out(sharded), target, partition_by=["shard"])
+    return spark.read.parquet(target).select("event_id", "shard")
+
+
 @query("shard_rr", """
 SELECT event_id, CAST((rn - 1) % 3 AS INTEGER) AS subject, CAST(((rn - 1) % 3) % 2 AS INTEGER) AS shard
 FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS rn FROM events)""")
@@ -128,6 +139,23 @@ def admit_bytes(spark: SparkSession, sf: str) -> DataFrame:
         refused.select(*cols, F.lit(False).alias("admitted")))
 
 
+@query("trim_bytes", f"""
+WITH {I.MSGS} SELECT {_MSG_COLS} FROM (
+  SELECT *, sum(strlen(data)) OVER (PARTITION BY stream ORDER BY seq DESC) AS run FROM msgs) WHERE run <= 10240""")
+def trim_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    return retention.trim_bytes(_stored(spark, sf), 10240)
+
+
+@query("retain_drop_old", f"""
+WITH {I.MSGS}, fresh AS (SELECT * FROM msgs WHERE time >= TIMESTAMP '2024-01-31' - INTERVAL 14 DAYS),
+lasts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY seq DESC) AS rn FROM fresh) WHERE rn <= 2000)
+SELECT {_MSG_COLS} FROM (SELECT *, sum(strlen(data)) OVER (PARTITION BY stream ORDER BY seq DESC) AS run FROM lasts) WHERE run <= 6000""")
+def retain_drop_old(spark: SparkSession, sf: str) -> DataFrame:
+    """Age, count and size with the oldest messages dropped."""
+    return retention.retain(_stored(spark, sf), "Limits", max_age=timedelta(days=14), as_of=I.AS_OF,
+                            max_msgs=2000, max_bytes=6000, discard="old")
+
+
 @query("retain_workqueue", f"WITH {I.MSGS} SELECT {_MSG_COLS} FROM msgs WHERE NOT (value < 40)")
 def retain_workqueue(spark: SparkSession, sf: str) -> DataFrame:
     msgs = I.messages(spark, sf)
