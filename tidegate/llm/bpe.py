@@ -21,16 +21,16 @@ from tokenizers import Tokenizer
 
 from tidegate.llm.common import portions, resident
 
-# What a Python worker remembers: chunks between white space, words, and tokens that fit together.
-# Of each as many as have come since it last was full, and as many from before.
-CHUNKS = 100_000
+# What a Python worker remembers: words, tokens that fit together, and chunks of texts that are not
+# plain.  Of each as many as have come since it last was full, and as many from before.
 WORDS = 250_000
+CHUNKS = 50_000
 # Characters of text whose new words go into one trie.
 _TRIE_CHARS = 1 << 20
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile(r"(?:(?![\x1c-\x1f])\s)+")
-# With these settings printable ASCII text without white space is lower-cased and
-# split as _PLAIN does it; other text, and other settings, are left to the library.
+# With these settings text in Latin-1 and general punctuation is lower-cased and split
+# as _PLAIN does it; other text, and other settings, are left to the library.
 _PLAIN_SPEC = [
     {"type": "Sequence", "normalizers": [
         {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -39,7 +39,12 @@ _PLAIN_SPEC = [
          "behavior": "Removed", "invert": True},
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
 ]
-_PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[!-/:-@\[-`{-~]+").findall
+_LETTERS, _DIGITS = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
+_PLAIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\\s{_LETTERS}{_DIGITS}]+").findall
+_NOT_PLAIN = re.compile("[^\t-\r -~\x85\xa0-\xac\xae-\xff\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]").search
+# Byte-level vocabularies write bytes that are no printable Latin-1 characters as others, in order.
+_BYTE_CHARACTERS = {b: 256 + i for i, b in enumerate(
+    b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
 
 
 class _Recent:
@@ -90,16 +95,18 @@ class WordBPE:
             self._merge[vocab[a], vocab[b]] = when
             self._made[token], self._left[token], self._right[token] = when, vocab[a], vocab[b]
         # Word ends are one symbol with the character before them.
-        # Tokens by what they end with, character by character from the last to the first.
+        # Tokens by what they end with, from the last character to the first: a character leads to
+        # the token that is complete with it (or None) and to the characters before it.
         self._inner, self._last = {}, {}
-        for name, i in vocab.items():
+        for name, i in sorted(vocab.items(), key=lambda x: len(x[0])):
             final = name.endswith(self.end)
             node = self._last if final else self._inner
-            for c in reversed(name[: -len(self.end)] if final else name):
-                node = node.setdefault(c, {})
-            node[""] = i
+            first, *rest = name[: -len(self.end)] if final else name
+            for c in reversed(rest):
+                node = node.setdefault(c, (None, {}))[1]
+            node[first] = (i, node.get(first, (None, {}))[1])
         self._fits: dict[int, bool] = {}
-        self._chunk_ids, self._word_ids = _Recent(CHUNKS), _Recent(WORDS)
+        self._plain_ids, self._chunk_ids = _Recent(WORDS), _Recent(CHUNKS)
 
     def neighbours(self, a: int, b: int) -> bool:
         """Whether merging the symbols of ``a`` followed by ``b`` ends with just these two.
@@ -108,105 +115,110 @@ class WordBPE:
         border must not have come before what made either side.  Of equal merges the left one
         comes first.
         """
-        known = self._fits.get(a << 32 | b)
-        if known is None:
-            x, y, before = a, b, len(self._merge)
-            known = True
-            while True:
-                across = self._merge.get((x, y))
-                if across is not None and across < before:
-                    known = False
-                    break
-                if self._made[x] < 0 and self._made[y] < 0:
-                    break
-                if self._made[x] > self._made[y]:
-                    before, x = self._made[x], self._right[x]
-                else:
-                    before, y = self._made[y] + 1, self._left[y]
-            if len(self._fits) > WORDS:
-                self._fits.clear()
-            self._fits[a << 32 | b] = known
-        return known
+        x, y, before = a, b, len(self._merge)
+        while True:
+            across = self._merge.get((x, y))
+            if across is not None and across < before:
+                break
+            if self._made[x] < 0 and self._made[y] < 0:
+                across = None
+                break
+            if self._made[x] > self._made[y]:
+                before, x = self._made[x], self._right[x]
+            else:
+                before, y = self._made[y] + 1, self._left[y]
+        self._fits[a << 32 | b] = across is None
+        return across is None
 
     def encode_words(self, words: list[str]) -> dict[str, list[int]]:
         """Ids of the words (in byte characters)."""
         out: dict[str, list[int]] = {}
+        inner, last = self._inner, self._last
+        if len(self._fits) > WORDS:
+            self._fits.clear()
+        fits = self._fits
         # By depth: the last token of the prefix and where it begins.
         tokens, starts = [-1], [0]
         before = ""
         for word in sorted(set(words)):
-            depth, most = 0, min(len(word), len(before)) - 1
+            # The states of the prefix shared with the word before stay, the others are left behind.
+            depth, most = 0, min(len(tokens), len(word)) - 1
             while depth < most and word[depth] == before[depth]:
                 depth += 1
-            # The states of the shared prefix stay, the others are left behind.
-            depth = min(depth, len(tokens) - 1)
             del tokens[depth + 1:], starts[depth + 1:]
-            for at in range(depth + 1, len(word)):
-                token, start = self._last_token(word, at, self._inner, tokens)
-                tokens.append(token)
-                starts.append(start)
-            token, at = self._last_token(word, len(word), self._last, tokens)
+            size = len(word)
+            for at in range(depth + 1, size + 1):
+                # Of the tokens that end here, the one that goes with the last token before it.
+                ending = inner if at < size else last
+                start = at
+                while True:
+                    start -= 1
+                    found = ending.get(word[start]) if start >= 0 else None
+                    if found is None:
+                        raise ValueError(f"no token ends {word[:at]!r}")
+                    token, ending = found
+                    if token is not None:
+                        if start == 0:
+                            break
+                        known = fits.get(tokens[start] << 32 | token)
+                        if known or known is None and self.neighbours(tokens[start], token):
+                            break
+                if at < size:
+                    tokens.append(token)
+                    starts.append(start)
             ids = [token]
-            while at > 0:
-                ids.append(tokens[at])
-                at = starts[at]
+            while start > 0:
+                ids.append(tokens[start])
+                start = starts[start]
             out[word] = ids[::-1]
             before = word
         return out
 
-    def _last_token(self, word: str, at: int, ending: dict, tokens: list[int]) -> tuple[int, int]:
-        """The one token that may end ``word[:at]``, and where it begins."""
-        start = at
-        while start > 0:
-            start -= 1
-            ending = ending.get(word[start])
-            if ending is None:
-                break
-            token = ending.get("")
-            if token is not None and (start == 0 or self.neighbours(tokens[start], token)):
-                return token, start
-        raise ValueError(f"no token ends {word[:at]!r}")
-
-    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Encode the chunks, all their new words in one trie."""
-        split = {
-            # The library would do the same to plain characters.
-            c: _PLAIN(c.lower()) if self._plain and c.isascii() and c.isprintable()
-            else [w for w, _ in self._split(self._normal(c))]
-            for c in chunks
-        }
-        ids = self._word_ids.get_all({w for words in split.values() for w in words}, self._encode_packed)
-        return {c: ids[w[0]] if len(w) == 1 else b"".join([ids[x] for x in w]) for c, w in split.items()}
-
-    def _encode_packed(self, words: set[str]) -> dict[str, bytes]:
-        return {w: struct.pack(f"<{len(i)}I", *i) for w, i in self.encode_words(list(words)).items()}
+    def _learn_words(self, words: set[str]) -> dict[str, bytes]:
+        """Encode plain words, all in one trie."""
+        names = {w: w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_CHARACTERS) for w in words}
+        ids = self.encode_words(list(names.values()))
+        return {w: struct.pack(f"<{len(ids[n])}I", *ids[n]) for w, n in names.items()}
+
+    def _learn_chunks(self, chunks: set[str]) -> dict[str, bytes]:
+        """Encode what stands between white space, as the library normalises and splits it."""
+        split = {c: [w for w, _ in self._split(self._normal(c))] for c in chunks}
+        ids = self.encode_words([w for words in split.values() for w in words])
+        return {c: b"".join([struct.pack(f"<{len(ids[w])}I", *ids[w]) for w in words]) for c, words in split.items()}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each whole text as little-endian unsigned 32-bit integers; a null text has none.
 
-        White space ends a word, so each chunk between is encoded once and remembered.
+        Words (of plain texts) and chunks between white space (of others) are encoded once and
+        remembered.
         """
         out: list[bytes] = []
         at = 0
         while at < len(texts):
-            size, parts = 0, []
+            size, found = 0, []
             while at < len(texts) and (not size or size + len(texts[at] or "") <= _TRIE_CHARS):
                 text = texts[at] or ""
                 size += len(text)
                 # Every other part is a special token.
-                parts.append([p if i % 2 else self._chunks(p) for i, p in enumerate(self._cut.split(text))])
+                found.append([(p, []) if i % 2 else self._pieces(p) for i, p in enumerate(self._cut.split(text))])
                 at += 1
-            known = self._chunk_ids.get_all(set().union(*(p for text in parts for p in text[::2])), self._learn)
-            for text in parts:
+            known = {
+                memory: memory.get_all(set().union(*(p for text in found for m, p in text if m is memory)), learn)
+                for memory, learn in ((self._plain_ids, self._learn_words), (self._chunk_ids, self._learn_chunks))
+            }
+            for text in found:
                 out.append(b"".join([
-                    struct.pack("<I", self.special[p]) if i % 2 else b"".join([known[c] for c in p])
-                    for i, p in enumerate(text)
+                    struct.pack("<I", self.special[m]) if isinstance(m, str) else b"".join(map(known[m].__getitem__, pieces))
+                    for m, pieces in text
                 ]))
         return out
 
-    def _chunks(self, text: str) -> list[str]:
+    def _pieces(self, text: str) -> tuple[_Recent, list[str]]:
+        """Words or chunks, and where their ids are remembered."""
+        if self._plain and not _NOT_PLAIN(text):
+            return self._plain_ids, _PLAIN(text.lower())
         # str.split() also splits at four control characters that are no white space.
-        return [c for c in _SPACE.split(text) if c] if _ODD_SPACE.search(text) else text.split()
+        return self._chunk_ids, [c for c in _SPACE.split(text) if c] if _ODD_SPACE.search(text) else text.split()
 
     def decode(self, ids: bytes) -> str:
         """The names of the tokens, joined by spaces: the vocabulary names no decoder."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -86,6 +87,9 @@ def resident(build: Callable, *args):
     if _resident[0] != key:
         _resident[:] = None, None
         _resident[:] = key, build(*args)
+        # The tables stay as they are: the garbage collector need not look through them again.
+        gc.collect()
+        gc.freeze()
     return _resident[1]
 
 
