@@ -378,7 +378,7 @@ def dedup_all_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("dedup_per_side", f"""
-WITH RECURSIVE views AS (SELECT * FROM events WHERE event_type = 'view'),
+WITH RECURSIVE views AS (SELECT * FROM events WHERE event_type <> 'purchase'),
 buys AS (SELECT * FROM events WHERE event_type = 'purchase'),
 {kept_sql('user_id', '24 HOURS', 'views', 'kept_views')}
 SELECT 'left' AS side, event_id, ts, user_id FROM views SEMI JOIN kept_views USING (event_id)
@@ -387,7 +387,7 @@ def dedup_per_side(spark: SparkSession, sf: str) -> DataFrame:
     """The left topic with a window of a day, the right one with its switch off."""
     ev = I.table(spark, sf, "events")
     left, right = dedup_sides(
-        ev.where("event_type = 'view'"), ev.where("event_type = 'purchase'"), "ts", ["event_id"],
+        ev.where("event_type <> 'purchase'"), ev.where("event_type = 'purchase'"), "ts", ["event_id"],
         left_rule=(["user_id"], 24 * H),
     )
     cols = ["event_id", "ts", "user_id"]
@@ -398,14 +398,14 @@ def dedup_per_side(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sides(ev: DataFrame) -> tuple[DataFrame, DataFrame]:
-    left = ev.where("event_type = 'view'").select(
+    left = ev.where("event_type <> 'purchase'").select(
         "user_id", F.col("event_id").alias("view_id"), F.col("ts").alias("view_ts"), F.col("value").alias("view_value"))
     right = ev.where("event_type = 'purchase'").select(
         "user_id", F.col("event_id").alias("buy_id"), F.col("ts").alias("buy_ts"), F.col("value").alias("buy_value"))
     return left, right
 
 
-_SIDES = """l AS (SELECT user_id, event_id AS view_id, ts AS view_ts, value AS view_value FROM events WHERE event_type = 'view'),
+_SIDES = """l AS (SELECT user_id, event_id AS view_id, ts AS view_ts, value AS view_value FROM events WHERE event_type <> 'purchase'),
 r AS (SELECT user_id, event_id AS buy_id, ts AS buy_ts, value AS buy_value FROM events WHERE event_type = 'purchase')"""
 JOIN_SQL = f"""
 WITH {_SIDES} SELECT l.*, r.buy_id, r.buy_ts, r.buy_value FROM l JOIN r ON l.user_id = r.user_id

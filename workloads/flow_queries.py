@@ -51,7 +51,7 @@ def pipe_stage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 PIPE_JOIN_SQL = f"""
-WITH RECURSIVE views AS (SELECT * FROM events WHERE event_type = 'view'),
+WITH RECURSIVE views AS (SELECT * FROM events WHERE event_type <> 'purchase'),
 buys AS (SELECT * FROM events WHERE event_type = 'purchase'),
 {kept_sql('user_id', '1 HOUR', 'views', 'kept_views')}, {kept_sql('user_id', '6 HOURS', 'buys', 'kept_buys')}
 SELECT l.user_id, l.event_id AS view_id, l.ts AS view_ts, l.value AS view_value,

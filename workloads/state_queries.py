@@ -249,10 +249,13 @@ _LETTER = """'{"component":"' || c.component || '","error":"retry_exhausted_on_s
 
 
 @query("sweep_dlq", f"""
-WITH {I.MSGS}, {I.COMPONENTS} SELECT m.stream, m.seq, {_LETTER} FROM msgs m JOIN components c ON m.stream = c.stream""")
+WITH {I.MSGS}, {I.COMPONENTS} SELECT m.stream, m.seq, {_LETTER} FROM msgs m JOIN components c ON m.stream = c.stream
+UNION ALL SELECT m.stream, m.seq, 'nobody reads it' FROM msgs m WHERE NOT EXISTS (SELECT 1 FROM components c WHERE c.stream = m.stream)""")
 def sweep_dlq(spark: SparkSession, sf: str) -> DataFrame:
+    """Letters, and the messages of streams that nobody reads."""
     msgs = I.messages(spark, sf)
-    return sweep.sweep(msgs, I.components(msgs))[0]
+    letters, unmapped = sweep.sweep(msgs, I.components(msgs))
+    return letters.unionByName(unmapped.select("stream", "seq", F.lit("nobody reads it").alias("dead_letter")))
 
 
 @query("sweep_rerun", f"""
@@ -300,7 +303,14 @@ def status_latest(spark: SparkSession, sf: str) -> DataFrame:
 _PREV = f"""{I.CHANGES}, steps AS (
   SELECT *, lag(status) OVER (PARTITION BY pipeline_id ORDER BY ts, seq) AS prev,
          row_number() OVER (PARTITION BY pipeline_id ORDER BY ts, seq) AS rn FROM changes)"""
-_MATRIX = "matrix(a, b) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, bs in H.TRANSITIONS.items() for b in bs) + ")"
+# Fixed values, written out: the oracle does not read the engine's own table.
+_MATRIX = """matrix(a, b) AS (VALUES
+  ('Created', 'Running'), ('Created', 'Terminating'), ('Created', 'Failed'),
+  ('Running', 'Stopping'), ('Running', 'Terminating'), ('Running', 'Failed'),
+  ('Resuming', 'Running'), ('Resuming', 'Terminating'), ('Resuming', 'Failed'),
+  ('Stopping', 'Stopped'), ('Stopping', 'Terminating'), ('Stopping', 'Failed'),
+  ('Stopped', 'Resuming'), ('Stopped', 'Failed'), ('Terminating', 'Stopped'), ('Terminating', 'Failed'),
+  ('Failed', 'Resuming'))"""
 _RECORDED = """CASE WHEN s.prev = 'Paused' THEN 'unknown status' WHEN x.a IS NOT NULL THEN 'ok' ELSE 'invalid status transition' END"""
 
 
@@ -452,19 +462,32 @@ def signal_route(spark: SparkSession, sf: str) -> DataFrame:
         signals.retry_rows(bad).select(*cols, F.lit("").alias("stop_reason")))
 
 
-def _case(field: int) -> str:
-    whens = " ".join(f"WHEN '{op}' THEN '{v[field]}'" for op, v in notifications.SUCCESS.items())
-    return f"CASE operation {whens} END"
+# Fixed values, written out as above: severity, event type, title and message of each operation.
+_CASES = [
+    """CASE operation WHEN 'create' THEN 'info' WHEN 'resume' THEN 'info' WHEN 'edit' THEN 'info'
+       WHEN 'stop' THEN 'warn' WHEN 'terminate' THEN 'warn' WHEN 'delete' THEN 'warn' WHEN 'helm-uninstall' THEN 'warn' END""",
+    """CASE operation WHEN 'create' THEN 'pipeline_deployed' WHEN 'resume' THEN 'pipeline_resumed'
+       WHEN 'stop' THEN 'pipeline_stopped' WHEN 'terminate' THEN 'pipeline_stopped' WHEN 'edit' THEN 'pipeline_deployed'
+       WHEN 'delete' THEN 'pipeline_deleted' WHEN 'helm-uninstall' THEN 'pipeline_deleted' END""",
+    """CASE operation WHEN 'create' THEN 'Pipeline Deployed Successfully' WHEN 'resume' THEN 'Pipeline Resumed'
+       WHEN 'stop' THEN 'Pipeline Stopped' WHEN 'terminate' THEN 'Pipeline Terminated'
+       WHEN 'edit' THEN 'Pipeline Updated Successfully' WHEN 'delete' THEN 'Pipeline Deleted'
+       WHEN 'helm-uninstall' THEN 'Pipeline Uninstalled' END""",
+    """CASE operation WHEN 'create' THEN 'Pipeline has been deployed successfully' WHEN 'resume' THEN 'Pipeline has been resumed'
+       WHEN 'stop' THEN 'Pipeline has been stopped' WHEN 'terminate' THEN 'Pipeline has been terminated'
+       WHEN 'edit' THEN 'Pipeline has been updated successfully' WHEN 'delete' THEN 'Pipeline has been deleted'
+       WHEN 'helm-uninstall' THEN 'Pipeline has been uninstalled' END""",
+]
 
 
 _BUILT = f"""{I.EV}, {I.OUTCOMES}, built AS (
   SELECT *, status = 'failure' AS failed,
     regexp_replace(strftime(ended, '%Y-%m-%dT%H:%M:%S.%f'), '\\.?0+$', '') || 'Z' AS stamp,
-    CASE WHEN status = 'failure' THEN 'error' ELSE {_case(0)} END AS severity,
-    CASE WHEN status = 'failure' THEN 'pipeline_failed' ELSE {_case(1)} END AS event_type,
-    CASE WHEN status = 'failure' THEN 'Pipeline Operation Failed: ' || operation ELSE {_case(2)} END AS title,
+    CASE WHEN status = 'failure' THEN 'error' ELSE {_CASES[0]} END AS severity,
+    CASE WHEN status = 'failure' THEN 'pipeline_failed' ELSE {_CASES[1]} END AS event_type,
+    CASE WHEN status = 'failure' THEN 'Pipeline Operation Failed: ' || operation ELSE {_CASES[2]} END AS title,
     CASE WHEN status = 'failure' THEN 'Operation ' || operation || ' failed: ' || error
-         WHEN operation = 'stop' AND message <> '' THEN message ELSE {_case(3)} END AS msg
+         WHEN operation = 'stop' AND message <> '' THEN message ELSE {_CASES[3]} END AS msg
   FROM outcomes WHERE status = 'failure' OR operation <> 'unknown')"""
 
 
