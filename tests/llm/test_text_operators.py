@@ -47,7 +47,7 @@ def test_bpe_is_what_the_library_gives(spec):
     rnd = random.Random(5)
     texts = ["".join(rnd.choice(POOL) if rnd.random() < .05 else rnd.choice(rnd.choice(POOL))
                      for _ in range(rnd.randint(0, 60))) for _ in range(4000)]
-    texts += ["a" * 3000, "ab" * 2000, "thethethe" * 300, " ".join(["internationalization"] * 50)]
+    texts += [" ".join(texts[:2000]) + " x" * 900_000, "a" * 3000, "ab" * 2000, "thethethe" * 300, " ".join(["internationalization"] * 50)]
     for text, ids in zip(texts, own.encode(texts)):
         want = library.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(ids, "<u4").tolist() == want
@@ -169,6 +169,15 @@ def test_phrases_are_the_longest_matches(monkeypatch):
             assert count == want
 
 
+def test_long_texts_are_parsed_whole(monkeypatch):
+    model = langid.LanguageModel((("a", "abra kadabra, abra"), ("b", "simsalabim bam ba")))
+    text = "abra ka " * 100 + "simsalabim " * 400
+    whole = langid.classify([text, "abra"], model)
+    monkeypatch.setattr(langid, "_STEP_SYMBOLS", 512)
+    cut = langid.classify([text, "abra"], model)
+    assert [x for x, _ in cut] == [x for x, _ in whole] == ["b", "a"] and abs(cut[0][1] - whole[0][1]) < 0.02
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}

@@ -47,6 +47,15 @@ _BYTE_CHARACTERS = {b: 256 + i for i, b in enumerate(
     b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
 
 
+def _at_spaces(text: str) -> list[str]:
+    """The text in parts of about ``_TRIE_CHARS``, cut where no word and no special token is."""
+    cuts, at = [0], _TRIE_CHARS // 2
+    while at < len(text) and (space := text.find(" ", at)) >= 0:
+        cuts.append(space)
+        at = space + _TRIE_CHARS // 2
+    return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)])]
+
+
 class _Recent:
     """What was computed lately, by key; what has not been asked for during a whole generation is
     forgotten."""
@@ -195,6 +204,10 @@ class WordBPE:
         out: list[bytes] = []
         at = 0
         while at < len(texts):
+            if len(texts[at] or "") > _TRIE_CHARS and (parts := _at_spaces(texts[at]))[1:]:
+                out.append(b"".join([ids for part in parts for ids in self.encode([part])]))
+                at += 1
+                continue
             size, found = 0, []
             while at < len(texts) and (not size or size + len(texts[at] or "") <= _TRIE_CHARS):
                 text = texts[at] or ""

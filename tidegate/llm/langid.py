@@ -163,19 +163,26 @@ def classify(texts: list[str | None], model: LanguageModel) -> list[tuple[str, f
     text, one without a letter, and where nothing was learned."""
     tables = model.tables
     out = [(UNKNOWN, 0.0)] * len(texts)
-    ask = [i for i, t in enumerate(texts) if t and tables.languages and any(map(str.isalpha, t))]
+    # A very long text is parsed in stretches, whose phrases add up.
+    ask = [
+        (i, t[at: at + _STEP_SYMBOLS]) for i, t in enumerate(texts)
+        if t and tables.languages and any(map(str.isalpha, t)) for at in range(0, len(t), _STEP_SYMBOLS)
+    ]
+    total: dict[int, np.ndarray] = {}
     while ask:
         taken, size = 0, 0
-        while taken < len(ask) and (not taken or size + len(texts[ask[taken]]) <= _STEP_SYMBOLS):
-            size += len(texts[ask[taken]])
+        while taken < len(ask) and (not taken or size + len(ask[taken][1]) <= _STEP_SYMBOLS):
+            size += len(ask[taken][1])
             taken += 1
         now, ask = ask[:taken], ask[taken:]
-        counts, _ = phrases([texts[i] for i in now], tables)
-        cost = counts * tables.bits
-        order = np.argsort(cost, axis=1, kind="stable")
-        for i, row, rank in zip(now, cost, order):
-            score = 1.0 if len(rank) == 1 else float(1 - row[rank[0]] / row[rank[1]])
-            out[i] = (tables.languages[rank[0]], score)
+        counts, _ = phrases([t for _, t in now], tables)
+        for (i, _), row in zip(now, counts):
+            total[i] = total[i] + row if i in total else row
+    for i, row in total.items():
+        cost = row * tables.bits
+        rank = np.argsort(cost, kind="stable")
+        score = 1.0 if len(rank) == 1 else float(1 - cost[rank[0]] / cost[rank[1]])
+        out[i] = (tables.languages[rank[0]], score)
     return out
 
 

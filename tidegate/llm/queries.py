@@ -216,7 +216,20 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "severity", (F.col("severity") >= toxicity.REJECT).alias("toxic"))
 
 
-@query("op1_embedding_near_dedup")
+@query("op1_embedding_near_dedup", """
+WITH RECURSIVE given AS (
+    SELECT vec_id, embedding::DOUBLE[] AS e, coalesce(len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS usable FROM embeddings
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM given a JOIN given b ON a.usable AND b.usable AND len(a.e) = len(b.e)
+        AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95
+), reach(a, b) AS (
+    SELECT vec_id, vec_id FROM given UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT g.vec_id, coalesce(c.n, 0) AS n_links, r.component_id, g.vec_id = r.component_id AS kept
+FROM given g LEFT JOIN counts c ON c.a = g.vec_id
+JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = g.vec_id
+""")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links at a cosine of 0.95 or more between all vectors."""
     found = embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)

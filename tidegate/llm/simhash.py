@@ -31,6 +31,8 @@ UNIT_ROWS = 16_384
 # Groups up to this size are compared together, by shifted copies of the batch.
 SMALL_GROUP = 96
 _TILE = 1 << 20
+# Shingles of a text that are hashed at a time.
+_SHINGLES = 1 << 16
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
@@ -44,15 +46,18 @@ def fingerprint(text: bytes | None, words: int = 4) -> int:
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(len(tokens) - words + 1, 1)
     digest, seed = xxhash.xxh64_digest, SEED
-    hashes = b"".join([
-        digest(joined[s:e], seed)
-        for s, e in zip(starts[:n].tolist(), ends[min(words, len(tokens)) - 1:].tolist())
-    ])
-    columns = np.frombuffer(hashes, np.uint8).reshape(n, 8)
-    if n < 256:
-        set_ = np.unpackbits(columns, axis=1).sum(axis=0, dtype=np.int64)
-    else:
-        set_ = np.concatenate([np.bincount(columns[:, c], minlength=256) @ _BYTE_BITS for c in range(8)])
+    set_ = np.zeros(BITS, np.int64)
+    ends = ends[min(words, len(tokens)) - 1:]
+    for at in range(0, n, _SHINGLES):
+        hashes = b"".join([
+            digest(joined[s:e], seed)
+            for s, e in zip(starts[at: min(at + _SHINGLES, n)].tolist(), ends[at: at + _SHINGLES].tolist())
+        ])
+        columns = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
+        if len(columns) < 256:
+            set_ += np.unpackbits(columns, axis=1).sum(axis=0, dtype=np.int64)
+        else:
+            set_ += np.concatenate([np.bincount(columns[:, c], minlength=256) @ _BYTE_BITS for c in range(8)])
     return int.from_bytes(np.packbits(2 * set_ > n).tobytes(), "big")
 
 
