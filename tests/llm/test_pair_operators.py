@@ -7,6 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidegate.llm import ann, embed_dedup, queries, simhash
 from tidegate.llm.common import components, deal, forest
 
@@ -150,6 +151,45 @@ def test_simhash_edges(spark):
     assert simhash.near_duplicates(docs.limit(0)).collect() == [] and simhash.keep_one(docs.limit(0)).collect() == []
 
 
+def five_word_sets(texts):
+    tokens = [(t or "").lower().split() for t in texts]
+    return [{" ".join(t[i: i + 5]) for i in range(max(len(t) - 4, 1))} if t else set() for t in tokens]
+
+
+@pytest.mark.parametrize("most, unit", [(16, 16_384), (1, 40), (0, 5)])
+def test_near_duplicates_are_checked_by_similarity(spark, most, unit):
+    rnd = random.Random(8)
+    texts = [None, "", "one", "One", "one two three four five six"]
+    for size in (30, 60, 60, 200):
+        base = [f"w{rnd.randrange(5000)}" for _ in range(size)]
+        for _ in range(40):  # some at 0.8 or more, some below
+            own = list(base)
+            for _ in range(rnd.randint(0, size // 20)):
+                own[rnd.randrange(size)] = f"x{rnd.randrange(5000)}"
+            texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = simhash.similar_documents(docs, k=14, most=most, unit_rows=unit)
+    sets, prints = five_word_sets(texts), [plain_fingerprint(t, 5) for t in texts]
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a == b or (
+        (prints[i] ^ prints[j]).bit_count() <= 14 and len(a & b) >= 0.8 * len(a | b) - 1e-9)]
+    want = smallest(links, range(len(texts)))
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
+    assert len(set(want.values())) > 20
+
+
+def test_pipeline_drops_similar_and_keeps_other_documents(spark):
+    rnd = random.Random(3)
+    docs = []
+    for at in range(30):
+        base = [f"w{rnd.randrange(5000)}" for _ in range(90)]
+        docs += [(2 * at, " ".join(base)), (2 * at + 1, " ".join([*base[:40], "other", *base[41:]]))]
+    prints = [plain_fingerprint(t) for _, t in docs]
+    assert any((a ^ b).bit_count() > 4 for a, b in zip(prints[::2], prints[1::2]))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = corpus_pipeline.near_duplicate_filter(spark, frame, SF)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 60, 2))
+
+
 # Embeddings
 
 def vectors(seed, n=400, dim=24):

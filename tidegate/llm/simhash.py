@@ -11,7 +11,8 @@ checked on all bits.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -31,29 +32,36 @@ UNIT_ROWS = 16_384
 # Groups up to this size are compared together, by shifted copies of the batch.
 SMALL_GROUP = 96
 _TILE = 1 << 20
+# Buckets of a sketch of a set of shingles.
+SKETCH = 128
 # Shingles of a text that are hashed at a time.
 _SHINGLES = 1 << 16
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
-def fingerprint(text: bytes | None, words: int = 4) -> int:
-    """SimHash of the word shingles of a whole text, A-Z in lower case, repeats included."""
+def _digests(text: bytes | None, words: int) -> Iterator[bytes]:
+    """Hashes of the word shingles of a whole text, A-Z in lower case, repeats included."""
     tokens = text.lower().split() if text else []
     if not tokens:
-        return 0
+        return
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(len(tokens) - words + 1, 1)
     digest, seed = xxhash.xxh64_digest, SEED
-    set_ = np.zeros(BITS, np.int64)
     ends = ends[min(words, len(tokens)) - 1:]
     for at in range(0, n, _SHINGLES):
-        hashes = b"".join([
+        yield b"".join([
             digest(joined[s:e], seed)
             for s, e in zip(starts[at: min(at + _SHINGLES, n)].tolist(), ends[at: at + _SHINGLES].tolist())
         ])
+
+
+def _majority(digests: Iterable[bytes]) -> int:
+    n, set_ = 0, np.zeros(BITS, np.int64)
+    for hashes in digests:
         columns = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
+        n += len(columns)
         if len(columns) < 256:
             set_ += np.unpackbits(columns, axis=1).sum(axis=0, dtype=np.int64)
         else:
@@ -61,6 +69,15 @@ def fingerprint(text: bytes | None, words: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * set_ > n).tobytes(), "big")
 
 
+def fingerprint(text: bytes | None, words: int = 4) -> int:
+    """SimHash of the word shingles of a whole text, A-Z in lower case, repeats included."""
+    return _majority(_digests(text, words))
+
+
+def _set_of(digests: Iterable[bytes]) -> np.ndarray:
+    return np.unique(np.frombuffer(b"".join(digests), np.uint64))
+
+
 def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``key`` (hash of the text, as ``xxhash64`` gives it) and ``fp`` (the 64 bits as a
     signed long) of every row."""
@@ -221,35 +238,203 @@ def _links(k: int):
     return run
 
 
-def links(prints: DataFrame, k: int = 4, unit_rows: int = UNIT_ROWS) -> DataFrame:
-    """Links ``a``-``b`` that connect all fingerprints within ``k`` bits of one another.
-
-    ``prints`` holds different fingerprints in ``fp`` and should be a stored table.  Links that
-    add nothing to the components of a unit are left out.
-    """
-    n, both = bit_counts(prints)
-    probes = plan(n, both, k)
+def _units(prints: DataFrame, probes: list[tuple[int, int, list[int]]], cols: list[str], salt: str,
+           unit_rows: int) -> DataFrame:
+    """Every row in its own cell of each partition and in those it visits, dealt into units."""
     rows = None
     for part, (mask, _, flips) in enumerate(probes):
         own = F.col("fp").bitwiseAND(F.lit(mask))
-        cells = prints.select("fp", F.lit(part).alias("part"), own.alias("cell"), F.lit(True).alias("home"))
+        cells = prints.select(*cols, F.lit(part).alias("part"), own.alias("cell"), F.lit(True).alias("home"))
         if flips:
             # Of two values that differ, the larger visits the smaller.
             other = F.explode(F.array(*map(F.lit, flips)))
             visits = (
-                prints.select("fp", other.alias("flip"), own.alias("own"))
+                prints.select(*cols, other.alias("flip"), own.alias("own"))
                 .withColumn("cell", F.col("own").bitwiseXOR(F.col("flip"))).where("cell < own")
-                .select("fp", F.lit(part).alias("part"), "cell", F.lit(False).alias("home"))
+                .select(*cols, F.lit(part).alias("part"), "cell", F.lit(False).alias("home"))
             )
             cells = cells.unionAll(visits)
         rows = cells if rows is None else rows.unionAll(cells)
-    dealt = deal(rows, ["part", "cell"], F.col("home"), F.col("fp"), unit_rows)
+    dealt = deal(rows, ["part", "cell"], F.col("home"), F.col(salt), unit_rows)
+    keys = ["part", "cell", "unit_i", "unit_j"]
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).select(*cols, *keys, "side", "inner")
+
+
+def links(prints: DataFrame, k: int = 4, unit_rows: int = UNIT_ROWS) -> DataFrame:
+    """Links ``a``-``b`` that connect all fingerprints within ``k`` bits of one another.
+
+    ``prints`` holds different fingerprints in ``fp`` and should be a stored table.  Links that
+    add nothing to the components of a unit are left out.
+    """
+    n, both = bit_counts(prints)
+    probes = plan(n, both, k)
+    return _units(prints, probes, ["fp"], "fp", unit_rows).mapInArrow(_links(k), "a long, b long")
+
+
+def sets(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id``, ``key``, ``fp`` as ``fingerprints`` gives them, ``node`` (hash of the text's set of
+    shingles), ``n`` (their number) and ``sketch`` (how many fall into each of 128 buckets, at
+    most 255) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches):
+            keys, found = np.full(batch.num_rows, SEED, np.uint64), np.zeros(batch.num_rows, np.uint64)
+            nodes, n, sketches = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int64), []
+            for i, value in enumerate(batch.column(1).cast(pa.large_binary())):
+                if (text := value.as_py()) is not None:
+                    keys[i] = xxhash.xxh64_intdigest(text, SEED)
+                digests = list(_digests(text, words))
+                found[i], own = _majority(digests), _set_of(digests)
+                nodes[i], n[i] = xxhash.xxh64_intdigest(own.tobytes(), SEED), len(own)
+                buckets = np.bincount((own & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+                sketches.append(np.minimum(buckets, 255).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(x.view(np.int64)) for x in (keys, found, nodes)), pa.array(n),
+                 pa.array(sketches, pa.binary())], ["doc_id", "key", "fp", "node", "n", "sketch"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInArrow(
+        run, f"doc_id {kind}, key long, fp long, node long, n long, sketch binary")
+
+
+def _pairs(k: int, probes: list[tuple[int, int, list[int]]], similarity: float, most: int | None):
+    """Pairs of different labels within ``k`` bits whose numbers of shingles allow the similarity, each
+    from the first partition that finds it; of a row's pairs in a unit the ``most`` + 1 nearest,
+    the last of them with ``more``."""
     keys = ["part", "cell", "unit_i", "unit_j"]
-    return (
-        dealt.repartition(*keys).sortWithinPartitions(*keys)
-        .select("fp", "part", "cell", "unit_i", "unit_j", "side", "inner")
-        .mapInArrow(_links(k), "a long, b long")
-    )
+    masks = [np.uint64(mask % (1 << BITS)) for mask, _, _ in probes]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in grouped(batches, keys):
+            fp, node, label = (table[c].to_numpy() for c in ("fp", "node", "label"))
+            fp, n, part = fp.view(np.uint64), table["n"].to_numpy(), table["part"].to_numpy()
+            side, inner = table["side"].to_numpy(), table["inner"].to_numpy()
+
+            def records(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+                ok = (label[x] != label[y]) & (
+                    np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - 1e-9)
+                x, y = x[ok], y[ok]
+                bits = fp[x] ^ fp[y]
+                new = np.ones(len(x), bool)
+                for p, (mask, (_, t, _)) in enumerate(zip(masks, probes)):
+                    new &= (part[x] <= p) | (np.bitwise_count(bits & mask) > t)
+                x, y, far = x[new], y[new], np.bitwise_count(bits[new])
+                rank = np.zeros(len(x), np.int64)
+                if most is not None:
+                    order = np.lexsort((far, x))
+                    x, y = x[order], y[order]
+                    rank = np.arange(len(x)) - np.searchsorted(x, x)
+                    x, y, rank = x[rank <= most], y[rank <= most], rank[rank <= most]
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(node[x]), pa.array(node[y]), pa.array(rank == (-1 if most is None else most))],
+                    ["a", "b", "more"])
+
+            sizes = np.bincount(group)
+            small = np.flatnonzero(sizes[group] <= SMALL_GROUP)
+            s_fp, s_group, s_side, s_inner, found = fp[small], group[small], side[small], inner[small], []
+            for d in range(1, int(min(sizes.max(), SMALL_GROUP))):
+                ok = (s_group[d:] == s_group[:-d]) & np.where(
+                    s_side[d:] == s_side[:-d], s_inner[d:] & (s_side[d:] == 0), True)
+                at = np.flatnonzero(ok & _near(s_fp[d:], s_fp[:-d], k))
+                found.append((small[at], small[at + d]))
+            if found:
+                yield records(*(np.concatenate(z) for z in zip(*found)))
+            for g in np.flatnonzero(sizes > SMALL_GROUP):
+                at = np.arange(*np.searchsorted(group, [g, g + 1]))
+                left, right = at[side[at] == 0], at[side[at] == 1]
+                within = len(left) and inner[left].any()
+                right = np.concatenate([left, right]) if within else right
+                step = max(1, _TILE // max(len(right), 1))
+                for s in range(0, len(left), step):
+                    tile, first = left[s: s + step], s if within else 0
+                    x, y = np.nonzero(_near(fp[tile][:, None], fp[right[first:]][None, :], k))
+                    # Inside a unit each pair once, and no row with itself.
+                    ok = (y > x) if within else np.ones(len(x), bool)
+                    yield records(tile[x[ok]], right[first + y[ok]])
+
+    return run
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float, id_col: str,
+             text_col: str) -> DataFrame:
+    """The pairs whose sets of shingles have at least the Jaccard similarity.
+
+    What two sets share is at most what their sketches share; only pairs that this allows are
+    checked on their texts.
+    """
+    def enough(shared, n_a, n_b):
+        return shared >= similarity * (n_a + n_b - shared) - 1e-9
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches, 8_192):
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, SKETCH)
+                        for c in ("a_sketch", "b_sketch"))
+                shared = np.minimum(a, b).sum(axis=1, dtype=np.int64)
+                full = (a == 255).any(axis=1) | (b == 255).any(axis=1)
+                ok = full | enough(shared, batch["a_n"].to_numpy(), batch["b_n"].to_numpy())
+                yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        set_of = lru_cache(64)(lambda text: _set_of(_digests(text, words)))
+        for batch in portions(batches):
+            ok = []
+            for x, y in zip(*(batch[c].cast(pa.large_binary()).to_pylist() for c in ("a_text", "b_text"))):
+                own, other = set_of(x), set_of(y)
+                ok.append(enough(len(np.intersect1d(own, other, assume_unique=True)), len(own), len(other)))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    def with_both(table: DataFrame, left: DataFrame, *cols: str) -> DataFrame:
+        for end in ("a", "b"):
+            left = left.join(table.select(F.col("node").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in cols)), end)
+        return left
+
+    open_ = stored(with_both(nodes, pairs.select("a", "b"), "n", "sketch").mapInArrow(bound, "a long, b long"), "simhash-open")
+    needed = open_.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select(
+        "node", "first.doc_id", "first.key")
+    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
+    texts = stored(
+        given.join(needed, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("text_key") == F.col("key")))
+        .select("node", "text").dropDuplicates(["node"]), "simhash-texts")
+    return stored(with_both(texts, open_, "text").mapInArrow(check, "a long, b long"), "simhash-similar")
+
+
+def similar_documents(docs: DataFrame, words: int = 5, k: int = 14, similarity: float = 0.8, id_col: str = "doc_id",
+                      text_col: str = "text", most: int = 16, unit_rows: int = UNIT_ROWS) -> DataFrame:
+    """``doc_id``, ``key``, ``fp`` and ``component_id`` as of ``near_duplicates``, but linked are texts
+    whose fingerprints differ in at most ``k`` bits and whose sets of shingles have at least
+    the Jaccard ``similarity``, checked exactly.
+
+    Texts with one set of shingles meet as one, also those without words.  Each row is checked
+    against the nearest others of its units first.  Where that left any out, all pairs that these
+    links have not yet joined are checked in a second pass: a dense group is not paired in full.
+    """
+    rows = stored(sets(docs, words, id_col, text_col), "simhash-sets")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    nodes = stored(rows.groupBy("node").agg(
+        F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), first.alias("first")),
+        "simhash-nodes")
+    n, both = bit_counts(nodes)
+    probes = plan(n, both, k)
+
+    def paired(labelled: DataFrame, most: int | None) -> DataFrame:
+        units = _units(labelled.select("fp", "node", "n", "label"), probes, ["fp", "node", "n", "label"], "node", unit_rows)
+        return stored(units.mapInArrow(_pairs(k, probes, similarity, most), "a long, b long, more boolean"), "simhash-pairs")
+
+    def reached(links: DataFrame) -> DataFrame:
+        reach = components(links, "simhash-links").withColumnRenamed("node", "end")
+        return nodes.join(reach, nodes.node == F.col("end"), "left").withColumn(
+            "label", F.coalesce("component", "node")).drop("end", "component")
+
+    pairs = paired(nodes.withColumn("label", F.col("node")), most)
+    found = _similar(pairs, nodes, docs, words, similarity, id_col, text_col)
+    if not pairs.where("more").isEmpty():
+        rest = paired(stored(reached(found), "simhash-labels"), None).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+        found = found.unionAll(_similar(rest, nodes, docs, words, similarity, id_col, text_col))
+    named = stored(reached(found).select("node", "label", F.col("first.doc_id").alias("first_id")), "simhash-classes")
+    smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    return rows.join(named.join(smallest, "label").select("node", "component_id"), "node").select(
+        "doc_id", "key", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, k: int = 4, id_col: str = "doc_id",
@@ -273,13 +458,18 @@ def near_duplicates(docs: DataFrame, words: int = 4, k: int = 4, id_col: str = "
 
 
 def keep_one(docs: DataFrame, words: int = 4, k: int = 4, id_col: str = "doc_id",
-             text_col: str = "text") -> DataFrame:
+             text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """The rows of ``docs`` that are their group's first: one document of each group.
 
+    With a ``similarity`` the groups are those of ``similar_documents``.
+
     Rows that share id and text are one document.  Where a group's smallest id occurs with several
     texts, or no row of it has an id, one row of each such text stays.
     """
-    marked = near_duplicates(docs, words, k, id_col, text_col)
+    if similarity is None:
+        marked = near_duplicates(docs, words, k, id_col, text_col)
+    else:
+        marked = similar_documents(docs, words, k, similarity, id_col, text_col)
     firsts = stored(
         marked.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
         .groupBy("doc_id", "key").agg(F.count("*").alias("n_rows")), "simhash-firsts")
