@@ -263,3 +263,15 @@ def test_recall_and_scores(spark, leaf, unit):
     assert hits >= 0.9 * 5 * len(by)
     if leaf == 5000:  # one leaf
         assert hits == 5 * len(by)
+
+
+def test_outliers_among_groups_of_copies_get_all_ranks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "calibrate", lambda *_: 1)  # as where most rows lie in groups of copies
+    rnd = np.random.default_rng(5)
+    centres = rnd.normal(size=(20, 16))
+    x = np.concatenate([np.repeat(centres, 100, axis=0) + rnd.normal(size=(2000, 16)) * 0.001, rnd.normal(size=(40, 16))])
+    ids = [*range(2030), *[2030] * 10]  # ten rows of one id
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<float>")
+    got = ann.search(frame, frame.where("vec_id >= 2000").dropDuplicates(["vec_id"]), 5, leaf_rows=5)
+    ranks = got.groupBy("query_id").agg(F.sort_array(F.collect_list("rank")).alias("ranks")).collect()
+    assert {r.query_id: r.ranks for r in ranks} == {i: [1, 2, 3, 4, 5] for i in range(2000, 2031)}

@@ -55,10 +55,11 @@ class Tree:
                     open_.extend(self.children[at])
         return node
 
-    def visits(self, query: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves of a best-bin-first search."""
-        queue, out = [(-2.0, 0)], []
-        while queue and len(out) < most:
+    def visits(self, query: np.ndarray, most: int, rows: dict[int, int] | None = None, need: int = 0) -> list[int]:
+        """The first ``most`` leaves of a best-bin-first search, and further ones until they hold
+        ``need`` rows; ``rows`` has the number in each leaf."""
+        queue, out, held = [(-2.0, 0)], [], 0
+        while queue and (len(out) < most or held < need):
             _, node = heapq.heappop(queue)
             if self.children[node]:
                 ways = self.children[node]
@@ -66,6 +67,7 @@ class Tree:
                     heapq.heappush(queue, (-score, way))
             else:
                 out.append(node)
+                held += rows.get(node, 0) if rows else 0
         return out
 
 
@@ -180,7 +182,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float = R
     lengths the smallest).  Repeated rows are candidates of their own and may take several ranks.
 
     The tree is fitted on the ``fit_rows`` rows with the smallest hash of their id.  Every row is
-    filed.  A leaf's rows and the queries that visit it are compared in units of bounded size.
+    filed.  A query visits leaves until the calibrated number and ``k`` candidates are reached.  A
+    leaf's rows and the queries that visit it are compared in units of bounded size.
     """
     def prepared(table: DataFrame) -> DataFrame:
         rows = table.select(F.col(id_col).cast("long").alias("vec_id"),
@@ -206,21 +209,26 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float = R
     schema = "vec_id long, vec array<float>, leaf int"
     filed = stored(rows.mapInArrow(file, schema), "ann-leaves")
     most = calibrate(filed, tree, k, recall, calibration_rows)
+    held = {r.leaf: r.n for r in filed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = matrix(batch.column(1))
+            x, own = matrix(batch.column(1)), batch.column(2).to_numpy()
             for s in range(0, len(x), 64):
                 part = x[s: s + 64] / norms(x[s: s + 64])[:, None]
-                ways = [tree.visits(q, most) for q in part]
+                ways = [tree.visits(q, most, held, k + n) for q, n in zip(part, own[s: s + 64].tolist())]
                 at = np.repeat(np.arange(s, s + len(part)), [len(w) for w in ways])
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.take(pa.array(at)).columns, pa.array(np.concatenate(ways).astype(np.int32))],
+                    [*batch.select([0, 1]).take(pa.array(at)).columns, pa.array(np.concatenate(ways).astype(np.int32))],
                     ["vec_id", "vec", "leaf"])
 
-    asked = prepared(queries).where(F.size("vec") == dim).mapInArrow(route, schema)
+    asked = prepared(queries).where(F.size("vec") == dim)
+    # Rows with a query's own id are no candidates of it.
+    own = filed.join(asked.select("vec_id"), "vec_id", "left_semi").groupBy("vec_id").agg(F.count("*").alias("own"))
+    asked = asked.join(own, "vec_id", "left").select("vec_id", "vec", F.coalesce("own", F.lit(0)).alias("own")) \
+        .mapInArrow(route, schema)
     both = filed.withColumn("candidate", F.lit(True)).unionAll(asked.withColumn("candidate", F.lit(False)))
     dealt = deal(stored(both, "ann-visits"), ["leaf"], F.col("candidate"), F.col("vec_id"), unit_rows, within=False)
     keys = ["leaf", "unit_i", "unit_j"]
