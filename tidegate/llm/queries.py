@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tidegate.llm import ann, bpe, chat, embed_dedup, langid, mixing, simhash, token_counts, toxicity, url_rules
+from tidegate.llm import (
+    ann, bpe, chat, embed_dedup, langid, merkle, mixing, packing, simhash, token_counts, toxicity, url_rules,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -241,3 +243,91 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five nearest of all vectors for each whose id is divisible by 50."""
     vectors = table(spark, sf_dir, "embeddings")
     return ann.search(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+@query("op11_bounded_space_packing")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2048 ids, each followed by id 1."""
+    pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary(), end_id=1, window=2048)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op13_merkle_manifest", r"""
+WITH RECURSIVE given AS (
+    SELECT *, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+        lambda crc, c: list_reduce([xor(crc, c), 0, 0, 0, 0, 0, 0, 0, 0],
+            lambda a, z: xor(a >> 1, 3988292384::BIGINT * (a & 1)))) AS crc
+    FROM documents
+), framed AS (
+    SELECT doc_id, source, text, coalesce(xor(crc, 4294967295) % 2 = 0, false) AS tampered,
+        coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-')
+        || coalesce(octet_length(encode(source)) || ':' || source, '-')
+        || coalesce(octet_length(encode(lang)) || ':' || lang, '-')
+        || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') AS head,
+        replace(text, chr(10), '') AS cut
+    FROM given
+), leaves AS (
+    SELECT doc_id, source, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+        CASE WHEN tampered THEN sha256(head || coalesce(octet_length(encode(cut)) || ':' || cut, '-'))
+             ELSE sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) END AS shown
+    FROM framed
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank,
+        count(*) OVER (PARTITION BY source) AS size
+    FROM leaves
+), levels(lvl, source, rank, size, digest) AS (
+    SELECT 0, source, rank, size, leaf FROM ranked
+    UNION ALL
+    SELECT lvl + 1, source, rank // 3, (size + 2) // 3, sha256(string_agg(digest, '' ORDER BY rank))
+    FROM levels WHERE size > 1 GROUP BY lvl, source, rank // 3, size
+), subroots AS (
+    SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS rank, count(*) OVER () AS size
+    FROM levels WHERE size = 1
+), tops(lvl, rank, size, digest) AS (
+    SELECT 0, rank, size, subroot FROM subroots
+    UNION ALL
+    SELECT lvl + 1, rank // 3, (size + 2) // 3, sha256(string_agg(digest, '' ORDER BY rank))
+    FROM tops WHERE size > 1 GROUP BY lvl, rank // 3, size
+), siblings AS (
+    SELECT l.source, l.rank AS pos, s.lvl AS step, s.rank > (l.rank // (3 ** s.lvl)::BIGINT) AS after, s.rank, s.digest
+    FROM ranked l JOIN levels s ON l.source IS NOT DISTINCT FROM s.source AND s.size > 1
+        AND s.rank // 3 = l.rank // (3 ** (s.lvl + 1))::BIGINT AND s.rank <> l.rank // (3 ** s.lvl)::BIGINT
+    UNION ALL
+    SELECT l.source, l.rank, 1000 + s.lvl, s.rank > r.rank // (3 ** s.lvl)::BIGINT, s.rank, s.digest
+    FROM ranked l JOIN subroots r ON l.source IS NOT DISTINCT FROM r.source JOIN tops s ON s.size > 1
+        AND s.rank // 3 = r.rank // (3 ** (s.lvl + 1))::BIGINT AND s.rank <> r.rank // (3 ** s.lvl)::BIGINT
+), steps AS (
+    SELECT l.source, l.rank AS pos, row_number() OVER (PARTITION BY l.source, l.rank ORDER BY n.step) AS nr, n.step
+    FROM ranked l JOIN (
+        SELECT DISTINCT source, lvl AS step FROM levels WHERE size > 1
+        UNION ALL SELECT s.source, 1000 + t.lvl FROM subroots s JOIN (SELECT DISTINCT lvl FROM tops WHERE size > 1) t ON true
+    ) n ON l.source IS NOT DISTINCT FROM n.source
+), paths AS (
+    SELECT t.source, t.pos, t.nr, coalesce(string_agg(s.digest, '' ORDER BY s.rank) FILTER (NOT s.after), '') AS l,
+        coalesce(string_agg(s.digest, '' ORDER BY s.rank) FILTER (s.after), '') AS r
+    FROM steps t LEFT JOIN siblings s ON t.source IS NOT DISTINCT FROM s.source AND t.pos = s.pos AND t.step = s.step
+    GROUP BY t.source, t.pos, t.nr
+), folds(source, pos, nr, digest) AS (
+    SELECT source, rank, 0::BIGINT, shown FROM ranked
+    UNION ALL
+    SELECT f.source, f.pos, p.nr, sha256(p.l || f.digest || p.r)
+    FROM folds f JOIN paths p ON f.source IS NOT DISTINCT FROM p.source AND f.pos = p.pos AND p.nr = f.nr + 1
+), ends AS (SELECT source, pos, arg_max(digest, nr) AS folded_root FROM folds GROUP BY source, pos
+), proofs AS (SELECT source, pos, string_agg(l || r, '' ORDER BY nr) AS proof FROM paths GROUP BY source, pos
+), root AS (SELECT digest AS root FROM tops WHERE size = 1)
+SELECT k.doc_id, k.leaf, s.subroot, root.root, sha256(coalesce(p.proof, '')) AS proof_sha256, e.folded_root,
+    e.folded_root = root.root AS verified
+FROM ranked k JOIN subroots s ON k.source IS NOT DISTINCT FROM s.source
+JOIN ends e ON k.source IS NOT DISTINCT FROM e.source AND k.rank = e.pos
+LEFT JOIN proofs p ON k.source IS NOT DISTINCT FROM p.source AND k.rank = p.pos, root
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves of all documents; every second one, by its id's checksum, is shown without its line ends."""
+    text = F.col("text")
+    fields = lambda body: merkle.leaf(*map(F.col, ("doc_id", "source", "lang", "n_chars")), body)
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    rows = table(spark, sf_dir, "documents").select(
+        F.col("source").alias("tree"), F.col("doc_id").alias("id"), fields(text).alias("leaf"),
+        F.when(tampered, fields(F.replace(text, F.lit("\n"), F.lit("")))).otherwise(fields(text)).alias("shown"))
+    return merkle.proofs(rows, paths=False).select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
