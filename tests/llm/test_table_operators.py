@@ -23,7 +23,7 @@ def test_query(spark, name):
 def test_llm_queries_are_registered(spark):
     import __spark_entry__
     assert set(queries.QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
-    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
 
 
 # URL rules

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from tidegate.llm import (
-    ann, bpe, chat, embed_dedup, langid, merkle, mixing, packing, simhash, token_counts, toxicity, url_rules,
+    ann, bpe, chat, embed_dedup, langid, lexical, merkle, mixing, packing, simhash, token_counts, toxicity, url_rules,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -252,6 +252,36 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@query("op12_pipelined_lexical_search", r"""
+WITH terms AS (
+    SELECT row_nr, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+    FROM (SELECT row_number() OVER () AS row_nr, doc_id, text FROM documents)
+), sized AS (SELECT row_nr, doc_id, len(t)::BIGINT AS n FROM terms WHERE len(t) > 0
+), total AS (SELECT count(*)::BIGINT AS n_docs, coalesce(sum(n), 0)::BIGINT AS n_terms FROM sized
+), tf AS (SELECT row_nr, term, count(*)::BIGINT AS tf FROM (SELECT row_nr, unnest(t) AS term FROM terms) GROUP BY row_nr, term
+), weights AS (
+    SELECT term, floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w
+    FROM tf, total GROUP BY term, n_docs
+), wanted AS (
+    SELECT item_id, item_nr, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT row_number() OVER () AS item_nr, item_id, text FROM benchmark)
+), scores AS (
+    SELECT item_id, item_nr, doc_id, row_nr,
+        sum(w * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+    FROM wanted JOIN weights USING (term) JOIN tf USING (term) JOIN sized USING (row_nr), total GROUP BY ALL
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY item_nr ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank
+    FROM scores WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all documents for each benchmark item."""
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 @query("op13_merkle_manifest", r"""
 WITH RECURSIVE given AS (
     SELECT *, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
