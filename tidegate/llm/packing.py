@@ -11,6 +11,7 @@ sequences whose lengths are powers of two.
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tidegate.llm.bpe import WordBPE
 from tidegate.llm.common import portions, resident, stored
@@ -34,7 +36,19 @@ _ROUND_BITS, _COUNT_BITS = 56, 28
 # Bytes of ids that are handed on at a time.
 _OUT_BYTES = 8 << 20
 
-SCHEMA = "doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary, leftover int"
+SCHEMA = ("doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
+          "ids binary, leftover int")
+
+
+class _Library(WordBPE):
+    """Words are encoded by the tokenizers library: which method finds them does not matter here."""
+
+    def __init__(self, spec: str):
+        super().__init__(spec)
+        self._model = Tokenizer.from_str(spec).model
+
+    def encode_words(self, words: list[str]) -> dict[str, list[int]]:
+        return {w: [t.id for t in self._model.tokenize(w)] for w in set(words)}
 
 
 @dataclass
@@ -122,25 +136,28 @@ def _powers(row: list[_Piece]) -> Iterator[list[_Piece]]:
         yield out
 
 
-def _packed(pieces: Iterator[_Piece], kind: pa.DataType, window: int, most: int, rounds: int,
-            last: bool) -> Iterator[pa.RecordBatch]:
-    """Rows of ``SCHEMA``: complete sequences, and at the end the pieces of the leftover."""
+def _packed(pieces: Iterator[_Piece], kind: pa.DataType, window: int, most: int, rounds: int, last: bool,
+            with_ids: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of ``SCHEMA``: complete sequences, and at the end the pieces of the leftover, these always
+    with their ids."""
     packer, partition, count = Packer(window, most), TaskContext.get().partitionId(), 0
 
     def batch(sequences: list[list[_Piece]], leftover: int | None) -> pa.RecordBatch:
         nonlocal count
-        columns: list[list] = [[] for _ in range(8)]
+        columns: list[list] = [[] for _ in range(9)]
+        ids = with_ids or leftover is not None
         for row in sequences:
             offset, number = 0, rounds << _ROUND_BITS | partition << _COUNT_BITS | count
             count += 1
             for p in row:
-                for column, value in zip(columns, (p.doc, p.start, p.size, p.tokens, number, offset, p.ids, leftover)):
+                values = (p.doc, p.start, p.size, zlib.crc32(p.ids), p.tokens, number, offset, p.ids if ids else None, leftover)
+                for column, value in zip(columns, values):
                     column.append(value)
                 offset += p.size
-        types = [kind, *[pa.int64()] * 5, pa.binary(), pa.int32()]
+        types = [kind, *[pa.int64()] * 6, pa.binary(), pa.int32()]
         return pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(columns, types)],
-            ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids", "leftover"])
+            ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids", "leftover"])
 
     for piece in pieces:
         packer.add(piece)
@@ -154,10 +171,10 @@ def _packed(pieces: Iterator[_Piece], kind: pa.DataType, window: int, most: int,
 
 
 def pack(docs: DataFrame, spec: str, end_id: int = 1, window: int = WINDOW, open_windows: int = OPEN,
-         id_col: str = "doc_id", text_col: str = "text", fan_in: int = FAN_IN) -> DataFrame:
+         id_col: str = "doc_id", text_col: str = "text", fan_in: int = FAN_IN, with_ids: bool = True) -> DataFrame:
     """Pieces of all documents: ``doc_id``, ``start`` (ids of the document before it), ``length``,
-    ``doc_tokens``, ``sequence_id``, ``offset`` in the sequence and the ``ids`` themselves
-    (little-endian unsigned 32-bit integers).
+    ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset`` in the sequence and the ``ids`` themselves
+    (little-endian unsigned 32-bit integers), if they are asked for.
 
     A document is the ids of its whole text and ``end_id``; each id lies in one piece.  Every
     sequence holds ``window`` ids, but for a few at the end whose lengths are powers of two (if
@@ -175,7 +192,7 @@ def pack(docs: DataFrame, spec: str, end_id: int = 1, window: int = WINDOW, open
     end = end_id.to_bytes(4, "little")
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[_Piece]:
-        bpe = resident(WordBPE, spec)
+        bpe = resident(_Library, spec)
         for batch in portions(batches):
             for doc, ids in zip(batch.column(0).to_pylist(), bpe.encode(batch.column(1).to_pylist())):
                 yield _Piece(doc, 0, len(ids) // 4 + 1, memoryview(ids + end))
@@ -191,7 +208,7 @@ def pack(docs: DataFrame, spec: str, end_id: int = 1, window: int = WINDOW, open
             first = next(batches, None)
             if first is not None:
                 again = (b for part in ([first], batches) for b in part)
-                yield from _packed(read(again), first.column(0).type, window, open_windows, rounds, last)
+                yield from _packed(read(again), first.column(0).type, window, open_windows, rounds, last, with_ids)
 
         return stored(rows.mapInArrow(run, shape), "packing")
 
@@ -207,4 +224,4 @@ def pack(docs: DataFrame, spec: str, end_id: int = 1, window: int = WINDOW, open
         met = rest.repartition(parts, F.col("leftover") % parts).sortWithinPartitions("leftover", "offset")
         found = step(met, pieces, rounds, parts == 1)
         whole = whole.unionAll(found.where("leftover IS NULL"))
-    return whole.drop("leftover")
+    return whole.drop("leftover") if with_ids else whole.drop("leftover", "ids")
