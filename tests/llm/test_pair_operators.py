@@ -156,6 +156,36 @@ def five_word_sets(texts):
     return [{" ".join(t[i: i + 5]) for i in range(max(len(t) - 4, 1))} if t else set() for t in tokens]
 
 
+def similar_links(sets, prints, k):
+    """Pairs of equal sets, and those at 0.8 or more whose fingerprints lie within ``k`` bits."""
+    return [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a == b or (
+        min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) - 1e-9
+        and (prints[i] ^ prints[j]).bit_count() <= k and len(a & b) >= 0.8 * len(a | b) - 1e-9)]
+
+
+def test_similarity_edges(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, "a b c d e f", 1, "x", 2), (1, "a b c d e f", 1, "x", 2), (None, "a b c d e f", 1, "x", 2), (None, None, 1, "x", 2),
+            (3, "", 1, "x", 2), (4, long, 1, "x", 2), (5, long + " end", 1, "x", 2), (6, "other words of a clean text", 1, "x", 2), (None, "no id", 1, "x", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node long, unit string, component_id long")
+    got = sorted((str(r.doc_id), str(r.component_id)) for r in simhash.similar_documents(docs).collect())
+    assert got == sorted([("1", "1"), ("1", "1"), ("None", "1"), ("None", "3"), ("3", "3"), ("4", "4"), ("5", "4"), ("6", "6"), ("None", "None")])
+    kept = simhash.keep_one(docs, words=5, k=16, similarity=0.8)
+    assert kept.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "4", "6", "None"]
+    empty = docs.limit(0)
+    assert simhash.similar_documents(empty).collect() == [] and simhash.keep_one(empty, words=5, k=16, similarity=0.8).collect() == []
+
+
+@pytest.mark.parametrize("n", [10_000, 1_000_000, 100_000_000])
+def test_bands_lower_the_rows_of_a_plan(n):
+    both = np.full((64, 64), n / 4)
+    np.fill_diagonal(both, n / 2)
+    sent = lambda probes, own, visits: sum(own + visits * len(flips) for _, _, flips in probes)
+    banded = sent(simhash.plan(n, both, 14, [n // 20] * 20), 2, 1.5)
+    assert banded < 0.6 * sent(simhash.plan(n, both, 14), 1, 0.5)
+
+
 @pytest.mark.parametrize("most, unit", [(16, 16_384), (1, 40), (0, 5)])
 def test_near_duplicates_are_checked_by_similarity(spark, most, unit):
     rnd = random.Random(8)
@@ -170,9 +200,7 @@ def test_near_duplicates_are_checked_by_similarity(spark, most, unit):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = simhash.similar_documents(docs, k=14, most=most, unit_rows=unit)
     sets, prints = five_word_sets(texts), [plain_fingerprint(t, 5) for t in texts]
-    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a == b or (
-        (prints[i] ^ prints[j]).bit_count() <= 14 and len(a & b) >= 0.8 * len(a | b) - 1e-9)]
-    want = smallest(links, range(len(texts)))
+    want = smallest(similar_links(sets, prints, 14), range(len(texts)))
     assert {r.doc_id: r.component_id for r in got.collect()} == want
     assert len(set(want.values())) > 20
 

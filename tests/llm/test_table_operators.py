@@ -207,9 +207,12 @@ def test_pipeline(spark):
     # Every stage keeps rows of its predecessor as they are.
     for before, after in ((docs, clean), (clean, known), (known, once)):
         assert after.exceptAll(before).isEmpty()
-    from tests.llm.test_pair_operators import brute_components, plain_fingerprint
+    from tests.llm.test_pair_operators import five_word_sets, plain_fingerprint, similar_links, smallest
     rows = sorted(known.select("doc_id", "text").collect())
-    groups = brute_components([r.doc_id for r in rows], [plain_fingerprint(r.text) for r in rows], 4)
+    texts = [r.text for r in rows]
+    first = smallest(similar_links(five_word_sets(texts), [plain_fingerprint(t, 5) for t in texts], 16), range(len(rows)))
+    groups = [rows[at].doc_id for at in first.values()]
+    assert len(set(groups)) < len(rows)
     assert sorted(r.doc_id for r in once.collect()) == sorted(set(groups))
     copies = Counter(r.doc_id for r in mixed.collect())
     assert max(copies.values()) <= 2 and set(copies) <= set(groups)

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from tidegate.session import new_run_dir
 
+# Large cells up to this number are sent to all tasks.
+BROADCAST_CELLS = 100_000
+
 # A run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -41,13 +44,14 @@ def deal(rows: DataFrame, cell: list[str], home: Column, salt: Column, limit: in
     ``within`` false leaves out the pairs of two home rows.
     """
     rows = rows.withColumn("_home", home)
-    big = (
+    big = stored(
         rows.groupBy(*cell)
         .agg(F.count_if("_home").alias("_h"), F.count_if(~F.col("_home")).alias("_g"))
         .where((F.col("_h") > limit) | (F.col("_g") > limit))
         .select(*cell, F.greatest(F.ceil(F.col("_h") / limit), F.lit(1)).cast("int").alias("_k"),
-                F.ceil(F.col("_g") / limit).cast("int").alias("_f"))
-    )
+                F.ceil(F.col("_g") / limit).cast("int").alias("_f")), "large-cells")
+    # Counted: where few cells are large the rows need not be shuffled to learn of it.
+    big = F.broadcast(big) if big.count() <= BROADCAST_CELLS else big
     k, f, i = F.col("_k"), F.col("_f"), F.col("_i")
 
     def unit(a, b, side: int, inner) -> Column:

@@ -11,14 +11,13 @@ checked on all bits.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.llm.common import components, deal, forest, grouped, packed, portions, stored
@@ -27,8 +26,13 @@ BITS = 64
 SEED = 42
 # What a probe (a row in a shuffle) costs, in candidate checks.
 PROBE_COST = 60
+# The same where rows go through a Python task and their pairs are compared there: measured, some 3 us
+# for a row and 8 ns for a pair.
+ROW_COST = 400
 # Rows of either side that one task compares at a time.
 UNIT_ROWS = 16_384
+# Bytes of sketches or sets that one task checks pairs of at a time.
+UNIT_BYTES = 16 << 20
 # Groups up to this size are compared together, by shifted copies of the batch.
 SMALL_GROUP = 96
 _TILE = 1 << 20
@@ -136,12 +140,20 @@ def group_bits(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
     return groups
 
 
-def allocate(n: int, both: np.ndarray, groups: list[list[int]], k: int) -> tuple[float, list[int]]:
+def allocate(n: int, both: np.ndarray, groups: list[list[int]], k: int, bands: list[int] | None = None) -> tuple[float, list[int]]:
     """Thresholds with the least expected work, and that work.
 
     Candidates of a partition at threshold t are all pairs times the chance that at most t of
     its bits differ, from the bits' frequencies; probes are the values within t of each one.
+    With ``bands``, the numbers of rows by length band, only pairs in one band or in neighbouring
+    ones meet, and rows visit the next band too.
     """
+    # In an empty table a probe still costs something, else thresholds of any size would do.
+    n = max(n, 1)
+    pairs, own, visits, cost_of_row = n * (n - 1) / 2, 1.0, 0.5, PROBE_COST
+    if bands is not None:
+        pairs = sum(x * x / 2 + x * y for x, y in zip(bands, [0, *bands]))
+        own, visits, cost_of_row = 2.0, 1.5, ROW_COST
     p = np.diag(both) / max(n, 1)
     differ = 2 * p * (1 - p)
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
@@ -152,8 +164,8 @@ def allocate(n: int, both: np.ndarray, groups: list[list[int]], k: int) -> tuple
             dist[1:] = dist[1:] * (1 - differ[b]) + dist[:-1] * differ[b]
             dist[0] *= 1 - differ[b]
         cost = [0.0] + [
-            n * (n - 1) / 2 * dist[: t + 1].sum()
-            + PROBE_COST * n * (1 + sum(math.comb(len(group), x) for x in range(1, t + 1)) / 2)
+            pairs * dist[: t + 1].sum()
+            + cost_of_row * n * (own + sum(math.comb(len(group), x) for x in range(1, t + 1)) * visits)
             for t in range(min(k, len(group)) + 1)
         ]
         step: dict[int, tuple[float, list[int]]] = {}
@@ -166,15 +178,15 @@ def allocate(n: int, both: np.ndarray, groups: list[list[int]], k: int) -> tuple
     return best[k + 1]
 
 
-def plan(n: int, both: np.ndarray, k: int) -> list[tuple[int, int, list[int]]]:
+def plan(n: int, both: np.ndarray, k: int, bands: list[int] | None = None) -> list[tuple[int, int, list[int]]]:
     """(mask, threshold, flips) of the partitions that are probed; the number of partitions is
-    the one with the least expected work."""
+    the one with the least expected work.  ``bands`` as of ``allocate``."""
     options = []
     for parts in range(1, min(k + 1, BITS) + 1):
         groups = group_bits(n, both, parts)
         if max(map(len, groups)) > 40 and k > 1:
             continue  # too many values within the threshold
-        cost, thresholds = allocate(n, both, groups, k)
+        cost, thresholds = allocate(n, both, groups, k, bands)
         options.append((cost, parts, groups, thresholds))
     _, _, groups, thresholds = min(options, key=lambda o: o[:2])
     signed = lambda x: x - (1 << BITS) if x >> (BITS - 1) else x
@@ -239,11 +251,27 @@ def _links(k: int):
 
 
 def _units(prints: DataFrame, probes: list[tuple[int, int, list[int]]], cols: list[str], salt: str,
-           unit_rows: int) -> DataFrame:
-    """Every row in its own cell of each partition and in those it visits, dealt into units."""
+           unit_rows: int, band: Column | None = None) -> DataFrame:
+    """Every row in its own cell of each partition and in those it visits, dealt into units.
+
+    With a ``band``, cells are those of a band, its number times 64 in ``part``; a row is at home in
+    its own and visits all it may meet in the band below.
+    """
     rows = None
     for part, (mask, _, flips) in enumerate(probes):
         own = F.col("fp").bitwiseAND(F.lit(mask))
+        if band is not None:
+            # Of its own band: its cell, and of those within the threshold the smaller ones.
+            values = F.array(F.lit(0).cast("long"), *map(F.lit, flips))
+            visits = prints.select(*cols, own.alias("own"), (band * BITS + part).alias("here"), F.explode(values).alias("flip")).withColumn(
+                "cell", F.col("own").bitwiseXOR(F.col("flip")))
+            to = F.array(*(F.struct(p.alias("part"), h.alias("home"), ok.alias("ok")) for p, h, ok in (
+                (F.col("here"), F.col("flip") == 0, F.col("cell") <= F.col("own")),
+                (F.col("here") - BITS, F.lit(False), F.lit(True)))))
+            cells = visits.select(*cols, "cell", F.explode(F.filter(to, lambda t: t["ok"])).alias("to")).select(
+                *cols, "to.part", "cell", "to.home")
+            rows = cells if rows is None else rows.unionAll(cells)
+            continue
         cells = prints.select(*cols, F.lit(part).alias("part"), own.alias("cell"), F.lit(True).alias("home"))
         if flips:
             # Of two values that differ, the larger visits the smaller.
@@ -273,8 +301,8 @@ def links(prints: DataFrame, k: int = 4, unit_rows: int = UNIT_ROWS) -> DataFram
 
 def sets(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``key``, ``fp`` as ``fingerprints`` gives them, ``node`` (hash of the text's set of
-    shingles), ``n`` (their number) and ``sketch`` (how many fall into each of 128 buckets, at
-    most 255) of every row."""
+    shingles), ``n`` (their number) and ``sketch`` (``n`` and how many fall into each of 128 buckets,
+    at most 255) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches):
@@ -287,7 +315,7 @@ def sets(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "t
                 found[i], own = _majority(digests), _set_of(digests)
                 nodes[i], n[i] = xxhash.xxh64_intdigest(own.tobytes(), SEED), len(own)
                 buckets = np.bincount((own & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-                sketches.append(np.minimum(buckets, 255).astype(np.uint8).tobytes())
+                sketches.append(n[i].tobytes() + np.minimum(buckets, 255).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(x.view(np.int64)) for x in (keys, found, nodes)), pa.array(n),
                  pa.array(sketches, pa.binary())], ["doc_id", "key", "fp", "node", "n", "sketch"])
@@ -299,16 +327,19 @@ def sets(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "t
 
 def _pairs(k: int, probes: list[tuple[int, int, list[int]]], similarity: float, most: int | None):
     """Pairs of different labels within ``k`` bits whose numbers of shingles allow the similarity, each
-    from the first partition that finds it; of a row's pairs in a unit the ``most`` + 1 nearest,
-    the last of them with ``more``."""
+    from the first partition that finds it; of a row's pairs in a unit the ``most`` nearest, with
+    ``more`` where there are others.
+
+    A record holds what one row ``a`` of a ``unit`` is paired with, ``b``.
+    """
     keys = ["part", "cell", "unit_i", "unit_j"]
     masks = [np.uint64(mask % (1 << BITS)) for mask, _, _ in probes]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, group in grouped(batches, keys):
             fp, node, label = (table[c].to_numpy() for c in ("fp", "node", "label"))
-            fp, n, part = fp.view(np.uint64), table["n"].to_numpy(), table["part"].to_numpy()
-            side, inner = table["side"].to_numpy(), table["inner"].to_numpy()
+            fp, n, part = fp.view(np.uint64), table["n"].to_numpy(), table["part"].to_numpy() % BITS
+            side, inner, unit = (table[c].to_numpy() for c in ("side", "inner", "unit"))
 
             def records(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
                 ok = (label[x] != label[y]) & (
@@ -319,15 +350,17 @@ def _pairs(k: int, probes: list[tuple[int, int, list[int]]], similarity: float,
                 for p, (mask, (_, t, _)) in enumerate(zip(masks, probes)):
                     new &= (part[x] <= p) | (np.bitwise_count(bits & mask) > t)
                 x, y, far = x[new], y[new], np.bitwise_count(bits[new])
-                rank = np.zeros(len(x), np.int64)
+                order = np.lexsort((far, x))
+                x, y = x[order], y[order]
+                rows, first = np.unique(x, return_index=True)
+                counts = np.diff(np.r_[first, len(x)])
+                more = np.zeros(len(rows), bool)
                 if most is not None:
-                    order = np.lexsort((far, x))
-                    x, y = x[order], y[order]
-                    rank = np.arange(len(x)) - np.searchsorted(x, x)
-                    x, y, rank = x[rank <= most], y[rank <= most], rank[rank <= most]
+                    near = np.arange(len(x)) - np.repeat(first, counts) < most
+                    more, y, counts = counts > most, y[near], np.minimum(counts, most)
+                partners = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(node[y]))
                 return pa.RecordBatch.from_arrays(
-                    [pa.array(node[x]), pa.array(node[y]), pa.array(rank == (-1 if most is None else most))],
-                    ["a", "b", "more"])
+                    [pa.array(unit[rows]), pa.array(node[rows]), partners, pa.array(more)], ["unit", "a", "b", "more"])
 
             sizes = np.bincount(group)
             small = np.flatnonzero(sizes[group] <= SMALL_GROUP)
@@ -355,51 +388,97 @@ def _pairs(k: int, probes: list[tuple[int, int, list[int]]], similarity: float,
     return run
 
 
+def _bands(similarity: float) -> Column:
+    """Number of the length band: sets whose sizes allow the similarity are in one band or in
+    neighbouring ones."""
+    return F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / F.lit(-math.log(similarity)) + 1e-9).cast("int")
+
+
+def _in_units(pairs: DataFrame, payload: DataFrame, test: Callable, label: str) -> DataFrame:
+    """The pairs (``unit``, ``a``, a list of ``b``) whose ends' ``payload`` passes ``test``, as ``a``-``b``.
+
+    ``test`` gets a list of payloads and, for every pair, two places in it.  The payload of a node
+    goes to each unit that has pairs of it once, not once a pair.
+    """
+    needed = pairs.select(F.col("unit").alias("to"), F.explode(F.concat(F.array("a"), F.col("b"))).alias("node")).distinct().join(
+        payload.select("node", "payload"), "node")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        nodes = right["node"].to_numpy()
+        order = np.argsort(nodes)
+        b = left["b"].combine_chunks()
+        ends = np.repeat(left["a"].to_numpy(), b.value_lengths().to_numpy()), b.flatten().to_numpy()
+        ok = test([x.as_py() for x in right["payload"]], *(order[np.searchsorted(nodes, x, sorter=order)] for x in ends))
+        return pa.table({"a": pa.array(ends[0][ok]), "b": pa.array(ends[1][ok])})
+
+    return stored(pairs.select("unit", "a", "b").groupBy("unit").cogroup(needed.groupBy("to")).applyInArrow(
+        run, "a long, b long").distinct(), label)
+
+
+def _gathered(pairs: DataFrame, payload: DataFrame, size: Column, label: str) -> DataFrame:
+    """The pairs ``a``-``b`` in units for ``_in_units`` whose payload is bounded.
+
+    Nodes are put together by their smallest neighbour, so that most pairs of a group stay in its
+    unit; a large group is cut into chunks, and its pairs are dealt by pairs of chunks.
+    """
+    both = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(
+        pairs.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    near = both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("group"))
+    held = stored(near.join(payload.select("node", size.cast("long").alias("size")), "node"), f"{label}-nodes")
+    chunks = max(1, -(-(held.agg(F.sum("size")).first()[0] or 0) // UNIT_BYTES))
+    parts = held.groupBy("group").agg(F.ceil(F.sum("size") / UNIT_BYTES).alias("parts"))
+    placed = held.join(parts, "group").select("node", F.pmod(F.xxhash64(
+        "group", F.pmod(F.xxhash64("node"), F.col("parts"))), F.lit(chunks)).alias("chunk"))
+    ends = pairs.select("a", "b")
+    for end in ("a", "b"):
+        ends = ends.join(placed.select(F.col("node").alias(end), F.col("chunk").alias(f"{end}_chunk")), end)
+    unit = F.xxhash64(F.least("a_chunk", "b_chunk"), F.greatest("a_chunk", "b_chunk"))
+    return stored(ends.groupBy(unit.alias("unit"), "a").agg(F.collect_list("b").alias("b")), label)
+
+
 def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float, id_col: str,
              text_col: str) -> DataFrame:
     """The pairs whose sets of shingles have at least the Jaccard similarity.
 
     What two sets share is at most what their sketches share; only pairs that this allows are
-    checked on their texts.
+    checked on their sets.
     """
     def enough(shared, n_a, n_b):
         return shared >= similarity * (n_a + n_b - shared) - 1e-9
 
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches, 8_192):
-            if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, SKETCH)
-                        for c in ("a_sketch", "b_sketch"))
-                shared = np.minimum(a, b).sum(axis=1, dtype=np.int64)
-                full = (a == 255).any(axis=1) | (b == 255).any(axis=1)
-                ok = full | enough(shared, batch["a_n"].to_numpy(), batch["b_n"].to_numpy())
-                yield batch.select(["a", "b"]).filter(pa.array(ok))
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        set_of = lru_cache(64)(lambda text: _set_of(_digests(text, words)))
+    def allowed(sketches: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        # The number of shingles stands before the sketch.
+        table = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, 8 + SKETCH)
+        n, table = np.ascontiguousarray(table[:, :8]).view(np.int64).ravel(), table[:, 8:]
+        full = (table == 255).any(axis=1)
+        ok = np.empty(len(a), bool)
+        for at in range(0, len(a), 8_192):
+            x, y = a[at: at + 8_192], b[at: at + 8_192]
+            shared = np.minimum(table[x], table[y]).sum(axis=1, dtype=np.int64)
+            ok[at: at + 8_192] = full[x] | full[y] | enough(shared, n[x], n[y])
+        return ok
+
+    def equal(found: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        of = [np.frombuffer(x, np.uint64) for x in found]
+        return np.array([enough(len(np.intersect1d(of[x], of[y], assume_unique=True)), len(of[x]), len(of[y]))
+                         for x, y in zip(a, b)], bool)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches):
-            ok = []
-            for x, y in zip(*(batch[c].cast(pa.large_binary()).to_pylist() for c in ("a_text", "b_text"))):
-                own, other = set_of(x), set_of(y)
-                ok.append(enough(len(np.intersect1d(own, other, assume_unique=True)), len(own), len(other)))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    def with_both(table: DataFrame, left: DataFrame, *cols: str) -> DataFrame:
-        for end in ("a", "b"):
-            left = left.join(table.select(F.col("node").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in cols)), end)
-        return left
-
-    open_ = stored(with_both(nodes, pairs.select("a", "b"), "n", "sketch").mapInArrow(bound, "a long, b long"), "simhash-open")
+            found = [_set_of(_digests(t.as_py(), words)).tobytes() for t in batch["text"].cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(found, pa.binary())], ["node", "payload"])
+
+    open_ = _in_units(pairs, nodes.withColumnRenamed("sketch", "payload"), allowed, "simhash-open")
     needed = open_.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select(
         "node", "first.doc_id", "first.key")
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
-    texts = stored(
+    sets_ = stored(
         given.join(needed, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("text_key") == F.col("key")))
-        .select("node", "text").dropDuplicates(["node"]), "simhash-texts")
-    return stored(with_both(texts, open_, "text").mapInArrow(check, "a long, b long"), "simhash-similar")
+        .select("node", "text").dropDuplicates(["node"]).mapInArrow(hashed, "node long, payload binary"), "simhash-needed")
+    return _in_units(_gathered(open_, sets_, F.octet_length("payload"), "simhash-gathered"), sets_, equal, "simhash-similar")
 
 
-def similar_documents(docs: DataFrame, words: int = 5, k: int = 14, similarity: float = 0.8, id_col: str = "doc_id",
+def similar_documents(docs: DataFrame, words: int = 5, k: int = 16, similarity: float = 0.8, id_col: str = "doc_id",
                       text_col: str = "text", most: int = 16, unit_rows: int = UNIT_ROWS) -> DataFrame:
     """``doc_id``, ``key``, ``fp`` and ``component_id`` as of ``near_duplicates``, but linked are texts
     whose fingerprints differ in at most ``k`` bits and whose sets of shingles have at least
@@ -415,11 +494,15 @@ def similar_documents(docs: DataFrame, words: int = 5, k: int = 14, similarity:
         F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), first.alias("first")),
         "simhash-nodes")
     n, both = bit_counts(nodes)
-    probes = plan(n, both, k)
+    band = _bands(similarity)
+    sizes = dict(nodes.groupBy(band.alias("band")).count().collect())  # some hundred bands at most
+    probes = plan(n, both, k, [sizes.get(b, 0) for b in range(max(sizes, default=0) + 1)])
 
     def paired(labelled: DataFrame, most: int | None) -> DataFrame:
-        units = _units(labelled.select("fp", "node", "n", "label"), probes, ["fp", "node", "n", "label"], "node", unit_rows)
-        return stored(units.mapInArrow(_pairs(k, probes, similarity, most), "a long, b long, more boolean"), "simhash-pairs")
+        cols = ["fp", "node", "n", "label"]
+        units = _units(labelled.select(*cols), probes, cols, "node", unit_rows, band).withColumn(
+            "unit", F.xxhash64("part", "cell", "unit_i", "unit_j"))
+        return stored(units.mapInArrow(_pairs(k, probes, similarity, most), "unit long, a long, b array<long>, more boolean"), "simhash-pairs")
 
     def reached(links: DataFrame) -> DataFrame:
         reach = components(links, "simhash-links").withColumnRenamed("node", "end")
@@ -429,7 +512,7 @@ def similar_documents(docs: DataFrame, words: int = 5, k: int = 14, similarity:
     pairs = paired(nodes.withColumn("label", F.col("node")), most)
     found = _similar(pairs, nodes, docs, words, similarity, id_col, text_col)
     if not pairs.where("more").isEmpty():
-        rest = paired(stored(reached(found), "simhash-labels"), None).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+        rest = paired(stored(reached(found), "simhash-labels"), None)
         found = found.unionAll(_similar(rest, nodes, docs, words, similarity, id_col, text_col))
     named = stored(reached(found).select("node", "label", F.col("first.doc_id").alias("first_id")), "simhash-classes")
     smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
