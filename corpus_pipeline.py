@@ -28,9 +28,9 @@ def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """One document of each group of near-duplicates stays, that with the smallest id.
 
     Near-duplicates share four fifths of their five-word shingles; their fingerprints differ in
-    up to 14 bits.
+    up to 16 bits.
     """
-    return simhash.keep_one(docs, words=5, k=14, similarity=0.8)
+    return simhash.keep_one(docs, words=5, k=16, similarity=0.8)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
