@@ -177,7 +177,7 @@ def test_similarity_edges(spark):
     assert simhash.similar_documents(empty).collect() == [] and simhash.keep_one(empty, words=5, k=16, similarity=0.8).collect() == []
 
 
-@pytest.mark.parametrize("n", [10_000, 1_000_000, 100_000_000])
+@pytest.mark.parametrize("n", [1_000_000, 100_000_000])
 def test_bands_lower_the_rows_of_a_plan(n):
     both = np.full((64, 64), n / 4)
     np.fill_diagonal(both, n / 2)

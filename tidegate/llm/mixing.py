@@ -108,7 +108,7 @@ def mix(sizes: DataFrame, goals: DataFrame) -> DataFrame:
 
     A source's rows are taken in the order of ``draw``, over again in further epochs, until the
     words come to its target (rounded down); the row in which that happens is taken in part.  A
-    copy has ``epoch``, ``words`` and ``time``, the moment by which its source's schedule
+    copy has ``epoch``, ``words``, ``first`` (it is its source's first) and ``time``, the moment by which its source's schedule
     demands its first word.  Rows without words have no copies.  The order depends on ids and
     sizes alone, so that reruns agree.
 
@@ -140,7 +140,7 @@ def mix(sizes: DataFrame, goals: DataFrame) -> DataFrame:
     def copy(epoch: int) -> Column:
         at = F.col("offset") + F.col("source_size") * epoch
         words = F.greatest(F.least(F.col("size"), goal - at), F.lit(0)).cast("long")
-        return F.struct(F.lit(epoch).alias("epoch"), words.alias("words"),
+        return F.struct(F.lit(epoch).alias("epoch"), words.alias("words"), (at == 0).alias("first"),
                         F.when(words > 0, invert(F.col("schedule"), at / F.col("target"))).alias("time"))
 
     copies = F.filter(F.array(*map(copy, range(MAX_EPOCHS))), lambda c: c["words"] > 0)
@@ -154,10 +154,11 @@ def in_order(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", source_c
     """The rows of ``docs`` as often as ``mixed`` takes them, whole and in the order of training,
     sorted by range over the partitions.
 
-    A copy of which less than half is taken is left out.  Rows equal in id, source and text are
+    A copy of which less than half is taken is left out, unless it is its source's first: no source
+    with a positive target is lost.  Rows equal in id, source and text are
     one document that occurs several times.
     """
-    copy = F.explode(F.filter("copies", lambda c: c["words"] * 2 >= F.col("size")))
+    copy = F.explode(F.filter("copies", lambda c: c["first"] | (c["words"] * 2 >= F.col("size"))))
     times = mixed.select("doc_id", "key", "draw", copy.alias("copy"))
     rows = packed(docs).withColumn("row_key", row_key(f"row.{id_col}", f"row.{source_col}", f"row.{text_col}"))
     if not mixed.groupBy("doc_id", "key").count().where("count > 1").isEmpty():
