@@ -196,7 +196,7 @@ def test_no_source_is_lost(spark):
     rows = [(1, "huge", "w " * 5_000)] + [(i, "small", "v " * 4) for i in range(2, 40)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
     sizes = mixing.sized(docs)
-    goals = mixing.targets(sizes, mixing.cycle(sizes, [[(0, 0.001), (1, 0.001)], [(0, 9), (1, 9)]]), 0.05)
+    goals = mixing.targets(sizes, mixing.cycle(sizes, [[(0, 0.1), (1, 0.1)], [(0, 9), (1, 9)]]), 0.05)
     kept = Counter(r.source for r in mixing.in_order(docs, mixing.mix(sizes, goals)).collect())
     assert kept["huge"] == 1 and kept["small"] > 30
 
