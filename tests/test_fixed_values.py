@@ -83,6 +83,9 @@ def test_reshard_conserves_rows(spark):
     assert shards.reshard_check(before, after, 2).where("NOT conserved").count() == 0
     assert shards.reshard_check(before, after.limit(400), 2).where("NOT conserved").count() > 0
     assert shards.reshard(before, 2, 5) is before
+    assert shards.reshard(before, 2, 5, dedup=True) is before
+    with pytest.raises(ValueError, match="deduplication"):
+        shards.reshard(before, 5, 2, dedup=True)
 
 
 @pytest.mark.parametrize("source, target, recorded, requested", [

@@ -52,10 +52,16 @@ def shard_round_robin(
     )
 
 
-def reshard(df: DataFrame, old_n: int, new_n: int, shard: str = "shard") -> DataFrame:
-    """Shrink: shards above the new count fold onto ``i mod new``; the others stay."""
+def reshard(df: DataFrame, old_n: int, new_n: int, shard: str = "shard", dedup: bool = False) -> DataFrame:
+    """Shrink: shards above the new count fold onto ``i mod new``; the others stay.
+
+    Refused while the pipeline deduplicates (``dedup``): the anchors of keys that move would stay
+    behind with their old shard, and copies would get through.
+    """
     if new_n >= old_n:
         return df
+    if dedup:
+        raise ValueError(f"cannot shrink from {old_n} to {new_n} shards while deduplication is on")
     return df.withColumn(
         shard, F.when(F.col(shard) >= new_n, F.pmod(F.col(shard), F.lit(new_n))).otherwise(F.col(shard)).cast("int")
     )
