@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 
 from tidegate.operators import retention
@@ -51,6 +52,30 @@ def test_limits(spark, limit):
     assert keys(retention.trim_msgs(df, limit)) == walk(rows, limit, ONE, "last")
 
 
+@pytest.mark.parametrize("limit", [1, 40, 57, 300, 2000, 10**6])
+def test_fitting_over_many_blocks(spark, monkeypatch, limit):
+    """Few rows to a block, a stream with most of all rows, and one that holds a null."""
+    monkeypatch.setattr(retention, "SEQ_BLOCK", 16)
+    rows, df = make(spark, seed=3, n=400)
+    hot = [("hot", 7 * i + 1, "x" * (i * 37 % 90)) for i in range(500)]
+    both = df.unionByName(spark.createDataFrame(hot, df.schema))
+    kept, refused = retention.admit_bytes(both, limit, rule="fitting")
+    assert keys(kept) == walk(rows + hot, limit, BYTES, "fitting")
+    assert kept.count() + refused.count() == len(rows) + len(hot)
+
+
+def test_take_fitting():
+    rnd = random.Random(5)
+    for n in range(60):
+        sizes, room = [rnd.randrange(12) for _ in range(n)], rnd.randrange(60)
+        taken, left = retention.take_fitting(np.array(sizes, np.int64), room)
+        expected, at = [], room
+        for s in sizes:
+            expected.append(s <= at)
+            at -= s if s <= at else 0
+        assert taken.tolist() == expected and left == at
+
+
 def test_null_streams_are_limited(spark):
     df = spark.createDataFrame([(None, i, "0123456789") for i in range(5)], "stream string, seq long, data string")
     assert keys(retention.admit_msgs(df, 2)[0]) == {(None, 0), (None, 1)}

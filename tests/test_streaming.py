@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidegate.operators.dedup import dedup
 from tidegate.operators.joins import temporal_join
 from tidegate.operators.metrics import counter_stream
-from tidegate.plans.flows import DedupRule, Flow, Stage, TemporalJoin, Topic
+from tidegate.plans.flows import DedupRule, Feed, Flow, Stage, TemporalJoin, Topic
 from tidegate.sinks.tables import stream_sink
 from tidegate.sources.topics import replay
 from tidegate.streaming.dedup_stream import dedup_stream
@@ -231,3 +231,47 @@ def test_counters_cover_any_span_of_time(spark, two_months):
     from workloads import QUERIES
     got = QUERIES["counter_10s"](spark, two_months).agg(F.sum("n")).first()[0]
     assert got == spark.read.parquet(f"{two_months}/events.parquet").count()
+
+
+def payloads(spark, batches, path):
+    """Three payloads a number: two records, a cut one, none; every record comes with its time."""
+    for n, numbers in enumerate(batches):
+        rows = []
+        for i in numbers:
+            record = lambda at: f'{{"id":{at},"at":{at},"kind":"k{at % 3}"}}'
+            rows.append((f'{{"resourceLogs":[{{"scopeLogs":[{{"logRecords":[{record(2 * i)},{record(2 * i + 1)}]}}]}}]}}',))
+            rows += [(f'{{"resourceLogs":[{i}',), ('{"resourceLogs":[]}',)]
+        spark.createDataFrame(rows, "value string").coalesce(1).write.parquet(f"{path}/{n:03d}")
+    return replay(spark, f"{path}/*", "value string", files_per_batch=1)
+
+
+COLUMNS = {"id": "record.id", "ts": "timestamp_seconds(record.at + 1000)", "kind": "record.kind"}
+
+
+@pytest.mark.parametrize("window, available_now", [(None, False), (timedelta(seconds=30), True)])
+def test_a_streamed_feed_writes_rows_and_letters(spark, tmp_path, window, available_now):
+    feed = Feed(payloads(spark, [range(20), [*range(20, 50), END]], f"{tmp_path}/in"), "logs", "id long, at long, kind string", COLUMNS, "ts")
+    rule = window and DedupRule(["kind"], window, "id")
+    flow = Flow("feed-flow", feed=feed, stage=Stage(where="kind <> 'k2'", dedup=rule))
+
+    def run():
+        queries = run_flow(flow, f"{tmp_path}/out", f"{tmp_path}/work", available_now, partitions=2)
+        if not available_now:
+            # Each query reads what the one before has written.
+            for query in [q for _ in queries for q in queries]:
+                query.processAllAvailable()
+            for query in queries:
+                query.stop()
+
+    run()
+    run()  # nothing new: a restart repeats nothing
+    letters = spark.read.parquet(f"{tmp_path}/work/letters")
+    assert letters.count() == 51 and letters.select("dead_letter").distinct().count() == 51
+    # The rows at the end lift the watermark past all others.
+    ids = [r.id for r in spark.read.parquet(f"{tmp_path}/out").select("id").collect()]
+    still = spark.read.parquet(f"{tmp_path}/in/*")
+    batch = Flow("feed-flow", feed=Feed(still, "logs", feed.record, COLUMNS, "ts"), stage=flow.stage)
+    expected = {r.id for r in batch.build().collect()}
+    assert len(ids) == len(set(ids))
+    assert {i for i in ids if i < END} == {i for i in expected if i < END}
+    assert {r.dead_letter for r in letters.collect()} == {r.dead_letter for r in batch.dead_letters().collect()}

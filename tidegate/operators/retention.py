@@ -9,11 +9,14 @@ whose stream is null are a stream of their own.
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegate.functions.exprs import interval
+from tidegate.functions.exprs import block_of, interval
 from tidegate.operators.blocks import SEQ_BLOCK, admit
 from tidegate.operators.skew import lookup_join
 from tidegate.session import cut_lineage
@@ -55,30 +58,82 @@ def admit_bytes(messages: DataFrame, limit: int, data: str = "data", rule: str =
 
     With ``rule`` "prefix" a stream is full at the first row that lifts its running total over
     ``limit``.  With "fitting" later rows that still fit in what is left are taken, one by one in
-    the order of arrival, as a log does that refuses single messages.  Each round takes a
-    prefix of what could still fit; it ends when nothing is left that could.
+    the order of arrival, as a log does that refuses single messages.
     """
     if rule not in ("prefix", "fitting"):
         raise ValueError(f"unknown rule {rule}")
-    good, rest = _limited(messages, _size(data), limit)
     if rule == "prefix" or limit <= 0:
-        return good, rest
-    taken = cut_lineage(good.select("stream", "seq", _size(data).alias("size")))
+        return _limited(messages, _size(data), limit)
+    return _fitting(messages, limit, data)
+
+
+def take_fitting(sizes: np.ndarray, room: int) -> tuple[np.ndarray, int]:
+    """Which of ``sizes`` are taken one by one while they fit in ``room``, and what room is left.
+
+    Goes from one refused row to the next: between them the taken rows are a running sum.
+    """
+    taken, at = np.zeros(len(sizes), bool), 0
+    ahead = np.flatnonzero(sizes <= room)
+    while at < len(ahead):
+        run = np.cumsum(sizes[ahead[at:]])
+        fits = int(np.searchsorted(run, room, "right"))
+        taken[ahead[at:at + fits]] = True
+        room -= int(run[fits - 1]) if fits else 0
+        # The row that did not fit, and all that are too big by now, are out.
+        rest = ahead[at + fits + 1:]
+        ahead, at = rest[sizes[rest] <= room], 0
+    return taken, room
+
+
+def _fitting(messages: DataFrame, limit: int, data: str) -> tuple[DataFrame, DataFrame]:
+    """Round by round: all blocks of what could still fit that fit as a whole are taken by their
+    totals; the one block that does not is walked through, for each stream in a task of its own.
+
+    A round moves a stream past the block it walks, so there are at most as many rounds as
+    blocks; mostly far fewer, since each leaves less room and so fewer rows that could fit.  What
+    is kept are spans of blocks with the room that counted there, and the numbers taken in walked blocks.
+    """
+    run, block, size, room, after = "_tg_run", "_tg_block", "_tg_size", "_tg_room", "_tg_after"
+    # Text of the stream that is also there for a null one.
+    keyed = messages.withColumns({
+        run: F.to_json(F.struct("stream")), block: block_of(F.col("seq"), SEQ_BLOCK), size: _size(data).cast("bigint")})
+    slim = cut_lineage(keyed.select(run, block, "seq", size).where(F.col(size) <= limit))
+    upto = F.sum("total").over(Window.partitionBy(run).orderBy(block).rowsBetween(Window.unboundedPreceding, 0))
+    ahead = slim.withColumns({room: F.lit(limit).cast("bigint"), after: F.lit(None).cast("bigint")})
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("seq")
+        taken, left = take_fitting(rows[size].to_numpy(), int(rows[room].iloc[0]))
+        return rows.assign(taken=taken, **{room: left})[[run, block, "seq", room, "taken"]]
+
+    spans, walked = [], []
     while True:
-        # Sizes and numbers only: a row fits while it is no larger than what its stream has left.
-        left = taken.groupBy("stream").agg((F.lit(limit) - F.sum("size")).alias("left"), F.max("seq").alias("newest"))
-        slim = messages.select("stream", "seq", _size(data).alias("size")).withColumn("key", F.struct("stream"))
-        ahead = slim.join(left.select(F.struct("stream").alias("key"), "left", "newest"), "key", "left").where(
-            (F.col("seq") > F.coalesce("newest", F.lit(-(1 << 62)))) & (F.col("size") <= F.coalesce("left", F.lit(limit))))
-        run = F.sum("size").over(Window.partitionBy("stream").orderBy("seq"))
-        more = cut_lineage(ahead.withColumn("run", run).where(F.col("run") <= F.coalesce("left", F.lit(limit))).select(
-            "stream", "seq", "size"))
-        if more.isEmpty():
+        totals = ahead.groupBy(run, block).agg(F.sum(size).alias("total"), F.max(room).alias(room), F.max(after).alias(after))
+        totals = totals.withColumn("upto", upto)
+        over = F.when(F.col("upto") > F.col(room), F.col(block))
+        rounds = cut_lineage(totals.groupBy(run).agg(
+            F.max(room).alias(room), F.max(after).alias(after), F.min(over).alias("end"),
+            F.min_by(F.col(room) - F.col("upto") + F.col("total"), over).alias("inside")))
+        spans.append(rounds.select(run, F.struct(after, "end", room).alias("span")))
+        stops = rounds.where("end IS NOT NULL").select(run, F.col("end").alias(block), F.col("inside").alias(room))
+        inside = lookup_join(ahead.select(run, block, "seq", size), stops, [run, block], "inner")
+        done = cut_lineage(inside.groupBy(run).applyInPandas(
+            walk, f"{run} string, {block} bigint, seq bigint, {room} bigint, taken boolean"))
+        if done.isEmpty():
             break
-        taken = cut_lineage(taken.unionByName(more))
-    keys = taken.select(F.struct("stream", "seq").alias("_tg_key"))
-    keyed = messages.withColumn("_tg_key", F.struct("stream", "seq"))
-    return tuple(keyed.join(keys, "_tg_key", how).select(*messages.columns) for how in ("left_semi", "left_anti"))
+        walked.append(done.where("taken").select(run, "seq", F.lit(True).alias("_tg_taken")))
+        state = done.groupBy(run).agg(F.max(block).alias(after), F.min(room).alias(room))
+        ahead = lookup_join(slim, state, [run], "inner").where((F.col(block) > F.col(after)) & (F.col(size) <= F.col(room)))
+    by_run = reduce(DataFrame.unionByName, spans).groupBy(run).agg(F.collect_list("span").alias("_tg_spans"))
+    judged = lookup_join(keyed, by_run, [run])
+    good = F.exists("_tg_spans", lambda s: (
+        (s[after].isNull() | (F.col(block) > s[after])) & (s["end"].isNull() | (F.col(block) < s["end"]))
+        & (F.col(size) <= s[room])))
+    good = F.coalesce(good, F.lit(False))
+    if walked:
+        judged = lookup_join(judged, reduce(DataFrame.unionByName, walked), [run, "seq"])
+        good = good | F.coalesce("_tg_taken", F.lit(False))
+    return judged.where(good).select(*messages.columns), judged.where(~good).select(*messages.columns)
 
 
 def trim_bytes(messages: DataFrame, limit: int, data: str = "data") -> DataFrame:

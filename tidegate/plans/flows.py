@@ -11,17 +11,19 @@ from dataclasses import dataclass, field
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import functions as F
 
 from tidegate.functions.exprs import from_nanos
 from tidegate.operators.dedup import dedup
 from tidegate.operators.joins import temporal_join
 from tidegate.operators.stages import filter_stage, transform_stage
 from tidegate.schemas import Schema
-from tidegate.sources.otlp import otlp_source
+from tidegate.sources.otlp import otlp_source, otlp_tagged
 from tidegate.streaming.dedup_stream import dedup_stream
 from tidegate.streaming.joins import temporal_join_stream
 
 MIN_ID_LENGTH = 5
+LETTER = "dead_letter"
 
 
 @dataclass(frozen=True)
@@ -189,6 +191,22 @@ class Flow:
             raise ValueError("only a feed decodes payloads")
         return otlp_source(self.feed.rows, self.feed.signal, self.feed.record, component=self.id)[1]
 
+    def tagged(self) -> DataFrame:
+        """Of a feed: rows and letters of one parse, up to but not including deduplication.
+
+        ``dead_letter`` is null on a row; on a letter the other columns mean nothing.
+        """
+        if self.feed is None:
+            raise ValueError("only a feed decodes payloads")
+        both = otlp_tagged(self.feed.rows, self.feed.signal, self.feed.record, component=self.id)
+        both = transform_stage(both, {**self.feed.columns, LETTER: F.col(LETTER)})
+        if self.stage is not None and self.stage.where is not None:
+            where = self.stage.where
+            both = filter_stage(both, F.col(LETTER).isNotNull() | (F.expr(where) if isinstance(where, str) else where))
+        if self.stage is not None and self.stage.columns is not None:
+            both = transform_stage(both, {**self.stage.columns, LETTER: F.col(LETTER)})
+        return both
+
     def _deduped(self, topic: Topic) -> DataFrame:
         if topic.dedup is None:
             return topic.rows

@@ -49,6 +49,26 @@ def stream_sink(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def split_sink(
+    df: DataFrame, letter: str, target: str, letters: str, checkpoint: str, available_now: bool = True,
+) -> StreamingQuery:
+    """Write a stream's rows to ``target`` and those with a ``letter`` to ``letters``, that column alone.
+
+    Each micro-batch is computed once and kept on the executors for the second write.  Both
+    tables have a folder per batch id, which a repeated batch replaces.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        kept = batch.persist()
+        try:
+            table_sink(kept.where(F.col(letter).isNull()).drop(letter), f"{target}/batch_id={batch_id}", "overwrite")
+            table_sink(kept.where(F.col(letter).isNotNull()).select(letter), f"{letters}/batch_id={batch_id}", "overwrite")
+        finally:
+            kept.unpersist()
+
+    writer = df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 def append_letters(letters: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Dead letters are only ever appended; no retention limit applies to their table."""
     table_sink(letters, path, "append", partition_by=partition_by)

@@ -6,13 +6,15 @@ from contextlib import contextmanager
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidegate.plans.flows import Flow, Topic
+from tidegate.plans.flows import LETTER, Flow, Topic
 from tidegate.session import ENGINE_CONF, new_run_dir
-from tidegate.sinks.tables import stream_sink
+from tidegate.sinks.tables import split_sink, stream_sink
 from tidegate.sources.topics import replay
 
+_IS_LETTER = "_tg_is_letter"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -68,11 +70,42 @@ def _stage_table(topic: Topic, delay: str, path: str, available_now: bool) -> tu
     return query, replace(topic, rows=replay(rows.sparkSession, f"{path}/rows", rows.schema), dedup=None)
 
 
+def _run_feed(flow: Flow, target: str, letters: str, work: str, available_now: bool) -> list[StreamingQuery]:
+    """A telemetry flow: payloads are parsed once, and both rows and letters are written.
+
+    With deduplication the parsed rows become a table first, letters in a part of their own, and
+    a query for each reads on from there.
+    """
+    tagged, rule = flow.tagged(), flow.stage.dedup if flow.stage is not None else None
+    if rule is None:
+        queries = [split_sink(tagged, LETTER, target, letters, f"{work}/sink", available_now)]
+        if available_now:
+            queries[0].awaitTermination()
+        return queries
+    parted = tagged.withColumn(_IS_LETTER, F.col(LETTER).isNotNull())
+    writer = parted.writeStream.format("parquet").partitionBy(_IS_LETTER).option(
+        "checkpointLocation", f"{work}/parsed/checkpoint").option("path", f"{work}/parsed/rows")
+    queries = [(writer.trigger(availableNow=True) if available_now else writer).start()]
+    if available_now:
+        queries[0].awaitTermination()
+    staged = replay(parted.sparkSession, f"{work}/parsed/rows", parted.schema)
+    rows = rule.apply(staged.where(~F.col(_IS_LETTER)).drop(_IS_LETTER, LETTER), flow.feed.ts, flow.delay)
+    for df, path, name in ((rows, target, "sink"), (staged.where(_IS_LETTER).select(LETTER), letters, "letters-sink")):
+        queries.append(stream_sink(df, path, f"{work}/{name}", available_now=available_now))
+        if available_now:
+            queries[-1].awaitTermination()
+    return queries
+
+
 def run_flow(
-    flow: Flow, target: str, work: str, available_now: bool = True, partitions: int | None = None
+    flow: Flow, target: str, work: str, available_now: bool = True, partitions: int | None = None,
+    letters: str | None = None,
 ) -> list[StreamingQuery]:
     """Start a streaming flow into a table at ``target``; state and checkpoints go below ``work``.
 
+    A telemetry flow writes the letters of payloads that do not parse to ``letters`` (default:
+    ``letters`` below ``work``).
+
     A join flow runs as up to three queries: Spark takes no watermark after a custom
     stateful step, so each deduplicated topic becomes a table that the join reads on.
     With ``available_now`` the queries run one after the other over what is there.
@@ -80,6 +113,8 @@ def run_flow(
     spark = (flow.feed or flow.topics[0]).rows.sparkSession
     queries = []
     with rocksdb_state(spark, partitions):
+        if flow.feed is not None:
+            return _run_feed(flow, target, letters or f"{work}/letters", work, available_now)
         if flow.join is not None:
             topics = []
             for side, topic in zip(("left", "right"), flow.topics):

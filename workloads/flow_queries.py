@@ -115,6 +115,30 @@ def pipe_otlp(spark: SparkSession, sf: str) -> DataFrame:
     return Flow("otlp-flow", feed=feed, stage=stage).build()
 
 
+_REQUEST = """'{"resourceLogs":[{"scopeLogs":[{"scope":{"name":"' || event_type || '"},"logRecords":[{"id":' || %s || '}]}]}]}'"""
+_CUT = """'{"resourceLogs":[{"scopeLogs":"' || %s || '"}]}'"""
+
+
+@query("pipe_otlp_letters", f"""
+SELECT event_id, event_type AS kind, CAST(NULL AS VARCHAR) AS dead_letter FROM events WHERE event_id % 4 <> 1 AND event_type <> 'view'
+UNION ALL
+SELECT NULL, NULL, '{{"component":"otlp-flow","error":"malformed payload","original_message":"' ||
+  replace({_CUT % 'event_id'}, '"', '\\"') || '"}}' FROM events WHERE event_id % 4 = 1""")
+def pipe_otlp_letters(spark: SparkSession, sf: str) -> DataFrame:
+    """A telemetry flow on a stream: what its two tables hold, every fourth payload being malformed."""
+    events = I.table(spark, sf, "events")
+    payload = F.expr(f"CASE WHEN event_id % 4 = 1 THEN {_CUT % 'event_id'} ELSE {_REQUEST % 'event_id'} END")
+    stream = _as_stream(events.select("ts", payload.alias("value")), "ts", "letters-input", _cuts(events, "ts"))
+    feed = Feed(stream.select("value"), "logs", "id bigint", {"event_id": "record.id", "kind": "scope.name"}, "ts")
+    run = new_run_dir(spark, "otlp-flow")
+    run_flow(Flow("otlp-flow", feed=feed, stage=Stage(where="kind <> 'view'")), f"{run}/table", f"{run}/work",
+             letters=f"{run}/letters")
+    nothing = F.lit(None).cast("string")
+    rows = spark.read.parquet(f"{run}/table").select("event_id", "kind", nothing.alias("dead_letter"))
+    letters = spark.read.parquet(f"{run}/letters")
+    return rows.unionByName(letters.select(F.lit(None).cast("bigint").alias("event_id"), nothing.alias("kind"), "dead_letter"))
+
+
 # --- streams -----------------------------------------------------------------------------
 
 

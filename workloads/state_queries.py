@@ -139,6 +139,23 @@ def admit_bytes(spark: SparkSession, sf: str) -> DataFrame:
         refused.select(*cols, F.lit(False).alias("admitted")))
 
 
+@query("admit_bytes_fitting", f"""
+WITH RECURSIVE {I.MSGS}, numbered AS (
+  SELECT stream, seq, strlen(data) AS size, row_number() OVER (PARTITION BY stream ORDER BY seq) AS rn FROM msgs),
+walk AS (
+  SELECT stream, seq, rn, size <= 10240 AS admitted, CASE WHEN size <= 10240 THEN size ELSE 0 END AS used FROM numbered WHERE rn = 1
+  UNION ALL
+  SELECT n.stream, n.seq, n.rn, used + size <= 10240, CASE WHEN used + size <= 10240 THEN used + size ELSE used END
+  FROM walk w JOIN numbered n ON n.stream = w.stream AND n.rn = w.rn + 1)
+SELECT stream, seq, admitted FROM walk""")
+def admit_bytes_fitting(spark: SparkSession, sf: str) -> DataFrame:
+    """Single messages are refused, later ones that still fit are taken."""
+    kept, refused = retention.admit_bytes(_stored(spark, sf), 10240, rule="fitting")
+    cols = ["stream", "seq"]
+    return kept.select(*cols, F.lit(True).alias("admitted")).unionByName(
+        refused.select(*cols, F.lit(False).alias("admitted")))
+
+
 @query("trim_bytes", f"""
 WITH {I.MSGS} SELECT {_MSG_COLS} FROM (
   SELECT *, sum(strlen(data)) OVER (PARTITION BY stream ORDER BY seq DESC) AS run FROM msgs) WHERE run <= 10240""")
