@@ -303,3 +303,18 @@ def test_outliers_among_groups_of_copies_get_all_ranks(spark, monkeypatch):
     got = ann.search(frame, frame.where("vec_id >= 2000").dropDuplicates(["vec_id"]), 5, leaf_rows=5)
     ranks = got.groupBy("query_id").agg(F.sort_array(F.collect_list("rank")).alias("ranks")).collect()
     assert {r.query_id: r.ranks for r in ranks} == {i: [1, 2, 3, 4, 5] for i in range(2000, 2031)}
+
+
+def test_every_length_is_searched(spark):
+    """Queries of a rare length get the nearest of that length."""
+    short, long_ = vectors(7, n=300), np.random.default_rng(8).normal(size=(40, 3)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate([*short, *long_])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = ann.search(frame, frame.where("vec_id % 50 = 0"), 5, recall=1.0).collect()
+    for base, part in ((0, short), (len(short), long_)):
+        score = cosines(part)
+        for q in range(0, len(part), 50):
+            order = sorted((i for i in range(len(part)) if i != q), key=lambda i: (-score[q, i], i))[:5]
+            found = sorted(r for r in ((r.rank, r.vec_id, r.query_id) for r in got) if r[2] == base + q)
+            assert [r[1] - base for r in found] == order
+    assert len(got) == 5 * 13

@@ -169,6 +169,25 @@ def test_phrases_are_the_longest_matches(monkeypatch):
             assert count == want
 
 
+@pytest.mark.parametrize("letters", [250, 251, 600, 4_000, 20_000])
+def test_every_letter_of_the_samples_counts(letters):
+    """Beyond a byte's reach letters are spelled, each in its own way."""
+    chars = [chr(c) for c in range(0x110000) if chr(c).isalpha() and chr(c).lower() == chr(c)][:letters]
+    rnd = random.Random(4)
+    first, second = chars[::2], chars[1::2]
+    model = langid.LanguageModel((("a", "".join(first)), ("b", "".join(second))))
+    spelt = langid.symbols_of(chars, model.tables.symbol, model.tables.spelled)
+    words = np.split(spelt[0], np.cumsum(spelt[1])[:-1])
+    assert len({tuple(w.tolist()) for w in words}) == letters and spelt[0].min() > langid.OTHER
+    assert (spelt[1] == 1).all() == (letters <= langid.LETTER_SYMBOLS)
+    # Runs of either sample are known to that language alone.
+    texts = [" ".join("".join(own[i: i + 8]) for i in rnd.choices(range(len(own) - 8), k=5)) for own in (first, second)]
+    assert [x for x, _ in langid.classify(texts, model)] == ["a", "b"]
+    together = langid.symbols_of(["".join(chars[:50]) + " - " + chars[-1]], model.tables.symbol, model.tables.spelled)[0]
+    apart = [langid.symbols_of([c], model.tables.symbol, model.tables.spelled)[0] for c in [*chars[:50], " ", chars[-1]]]
+    assert together.tolist() == np.concatenate(apart).tolist()
+
+
 def test_long_texts_are_parsed_whole(monkeypatch):
     model = langid.LanguageModel((("a", "abra kadabra, abra"), ("b", "simsalabim bam ba")))
     text = "abra ka " * 100 + "simsalabim " * 400

@@ -12,6 +12,7 @@ import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -178,10 +179,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float = R
 
     Both tables have an id and a vector; a row with the query's own id is no candidate of it.
     Vectors that are null, empty or zero or hold a null or non-finite component take no part, nor
-    do rows without an id and vectors of another length than most have (of equally frequent
-    lengths the smallest).  Repeated rows are candidates of their own and may take several ranks.
+    do rows without an id.  Vectors of different lengths have no cosine: each length has a tree of
+    its own, and a query's candidates are those of its length.  Repeated rows are candidates of
+    their own and may take several ranks.  Empty tables give no rows.
 
-    The tree is fitted on the ``fit_rows`` rows with the smallest hash of their id.  Every row is
+    A tree is fitted on the ``fit_rows`` rows with the smallest hash of their id.  Every row is
     filed.  A query visits leaves until the calibrated number and ``k`` candidates are reached.  A
     leaf's rows and the queries that visit it are compared in units of bounded size.
     """
@@ -190,12 +192,22 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float = R
                             F.col(vector_col).cast("array<float>").alias("vec"))
         return rows.where(usable(F.col("vec")) & F.col("vec_id").isNotNull())
 
-    rows = prepared(vectors)
-    sizes = rows.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    dim, total = sizes if sizes else (0, 0)
-    rows = rows.where(F.size("vec") == dim)
+    rows, asked = prepared(vectors), prepared(queries)
+    dim = F.size("vec")
+    lengths = sorted(r.dim for r in asked.select(dim.alias("dim")).distinct().collect())
+    found = [_search(rows.where(dim == n), asked.where(dim == n), n, k, recall, fit_rows, leaf_rows, calibration_rows,
+                     unit_rows) for n in lengths]
+    if not found:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.unionAll, found)
+
+
+def _search(rows: DataFrame, asked: DataFrame, dim: int, k: int, recall: float, fit_rows: int, leaf_rows: int,
+            calibration_rows: int, unit_rows: int) -> DataFrame:
+    """``search`` among vectors of one length."""
+    total = rows.count()
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows).collect()
-    unit = np.array([r.vec for r in sample], np.float64).reshape(len(sample), max(dim, 1))
+    unit = np.array([r.vec for r in sample], np.float64).reshape(len(sample), dim)
     unit = unit / norms(unit)[:, None]
     tree = grow(unit, max(1, leaf_rows * len(sample) // max(total, 1)))
 
@@ -224,7 +236,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float = R
                     [*batch.select([0, 1]).take(pa.array(at)).columns, pa.array(np.concatenate(ways).astype(np.int32))],
                     ["vec_id", "vec", "leaf"])
 
-    asked = prepared(queries).where(F.size("vec") == dim)
     # Rows with a query's own id are no candidates of it.
     own = filed.join(asked.select("vec_id"), "vec_id", "left_semi").groupBy("vec_id").agg(F.count("*").alias("own"))
     asked = asked.join(own, "vec_id", "left").select("vec_id", "vec", F.coalesce("own", F.lit(0)).alias("own")) \

@@ -21,9 +21,11 @@ from tidegate.llm.common import portions, resident
 
 UNKNOWN = "und"
 # Symbols: 0 ends a piece, 1 is any run of characters that are no letters, 2 a letter that no
-# sample has, the rest the letters of the samples.
+# sample has, the rest the letters of the samples: the frequent ones as one symbol each, all others,
+# where a byte cannot number them, spelled in two or three.
 END, GAP, OTHER = 0, 1, 2
-MAX_LETTERS = 250
+LETTER_SYMBOLS = 250
+_SPELLED = 256
 # A text is parsed in pieces of so many symbols, all pieces of a batch in step.
 PIECE = 256
 _STEP_SYMBOLS = 1 << 22
@@ -43,7 +45,8 @@ class LanguageModel:
 @dataclass(frozen=True)
 class Tables:
     languages: tuple[str, ...]
-    symbol: np.ndarray  # by code point
+    symbol: np.ndarray  # by code point; from 256 on a row of spelled
+    spelled: np.ndarray  # the symbols of each letter that has several
     moves: np.ndarray  # next row of the table * 2 + 1 if a phrase ended
     starts: np.ndarray  # row of each language's first state
     bits: np.ndarray  # cost of a phrase
@@ -81,20 +84,34 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return moves
 
 
-def _tables(samples: tuple[tuple[str, str], ...]) -> Tables:
-    """Built in each Python worker: only the samples travel."""
-    letters = Counter(c for _, text in samples for c in text.lower() if c.isalpha())
-    known = [c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:MAX_LETTERS]]
-    symbol = np.full(0x110000, GAP, np.uint8)
+def _alphabet(letters: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols by code point for ``letters``, the most frequent first, and how the rarer ones are
+    spelled.  Each place of a spelling has symbols of its own, so no two letters run together."""
+    symbol = np.full(0x110000, GAP, np.int32)
     for code in range(0x110000):
         if chr(code).isalpha():
             symbol[code] = OTHER
-    for i, c in enumerate(known):
-        symbol[ord(c)] = OTHER + 1 + i
-    width = OTHER + 1 + len(known)
+    places, digits = 0, 0
+    if len(letters) > LETTER_SYMBOLS:
+        places, digits = next(
+            (n, d) for n in (2, 3, 4) for d in range(2, LETTER_SYMBOLS * 4 // 5 // n)
+            if d ** n >= len(letters) - (LETTER_SYMBOLS - n * d))
+    plain = min(len(letters), LETTER_SYMBOLS - places * digits)
+    for i, c in enumerate(letters):
+        symbol[ord(c)] = OTHER + 1 + i if i < plain else _SPELLED + i - plain
+    rare = np.arange(len(letters) - plain)
+    spelled = [OTHER + 1 + plain + at * digits + rare // digits ** at % digits for at in range(places)]
+    return symbol, np.array(spelled, np.uint8).reshape(places, len(rare)).T
+
+
+def _tables(samples: tuple[tuple[str, str], ...]) -> Tables:
+    """Built in each Python worker: only the samples travel."""
+    letters = Counter(c for _, text in samples for c in text.lower() if c.isalpha())
+    symbol, spelled = _alphabet([c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))])
+    width = OTHER + 1 + min(len(letters), LETTER_SYMBOLS)
     parts, starts, bits, rows = [], [], [], 0
     for _, text in samples:
-        own = symbols_of([text], symbol)[0]
+        own = symbols_of([text], symbol, spelled)[0]
         states = suffix_automaton(own.tolist())
         lost = len(states)  # one state more, after a symbol that no phrase can hold
         table = np.zeros((len(states) + 1, width), np.int64)
@@ -113,10 +130,13 @@ def _tables(samples: tuple[tuple[str, str], ...]) -> Tables:
     moves = np.concatenate(parts).ravel() if parts else np.empty(0, np.int64)
     if len(moves) < 1 << 30:
         moves = moves.astype(np.int32)
-    return Tables(tuple(name for name, _ in samples), symbol, moves, np.array(starts), np.array(bits), width)
+    return Tables(tuple(name for name, _ in samples), symbol, spelled, moves, np.array(starts), np.array(bits), width)
+
+
+_NONE = np.empty((0, 0), np.uint8)
 
 
-def symbols_of(texts: list[str], symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def symbols_of(texts: list[str], symbol: np.ndarray, spelled: np.ndarray = _NONE) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of all texts in a row, runs without letters as one, and how many each text has."""
     low = [t.lower() for t in texts]
     ends = np.cumsum([len(t) for t in low], dtype=np.int64)
@@ -125,8 +145,15 @@ def symbols_of(texts: list[str], symbol: np.ndarray) -> tuple[np.ndarray, np.nda
     keep = np.ones(len(found), bool)
     keep[1:] = (found[1:] != GAP) | (found[:-1] != GAP)
     keep[ends[:-1][ends[:-1] < len(found)]] = True  # each text for itself
-    before = np.concatenate([[0], np.cumsum(keep)])
-    return found[keep], np.diff(before[np.concatenate([[0], ends])])
+    times = np.where(found < _SPELLED, 1, max(spelled.shape[1], 1)) * keep
+    before = np.concatenate([[0], np.cumsum(times)])
+    sizes = np.diff(before[np.concatenate([[0], ends])])
+    out = np.repeat(found, times)
+    if spelled.size:
+        at = np.flatnonzero((found >= _SPELLED) & keep)
+        places = before[at][:, None] + np.arange(spelled.shape[1])
+        out[places] = spelled[found[at] - _SPELLED]
+    return out.astype(np.uint8), sizes
 
 
 def phrases(texts: list[str], tables: Tables) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +162,7 @@ def phrases(texts: list[str], tables: Tables) -> tuple[np.ndarray, np.ndarray]:
     Each piece of ``PIECE`` symbols is parsed from the first state, so that all pieces of a
     batch move on in step; a text is parsed to its end.
     """
-    found, sizes = symbols_of(texts, tables.symbol)
+    found, sizes = symbols_of(texts, tables.symbol, tables.spelled)
     pieces = -(-sizes // PIECE)
     owner = np.repeat(np.arange(len(texts)), pieces)
     counts = np.zeros((len(texts), len(tables.languages)), np.int64)
