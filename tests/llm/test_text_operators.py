@@ -1,5 +1,6 @@
 """Language ID, toxicity, BPE and token counts against brute force, and their edge cases."""
 
+import json
 import random
 
 import numpy as np
@@ -64,6 +65,27 @@ def test_bpe_forgets_and_learns_again(spec, monkeypatch):
         np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
+def test_bpe_without_special_tokens(spec):
+    given = json.loads(spec)
+    given["added_tokens"] = []
+    text = json.dumps(given)
+    library, own = Tokenizer.from_str(text), bpe.WordBPE(text)
+    for words in ("", "two words", "<|endoftext|> Größe, 12!"):
+        ids = library.encode(words, add_special_tokens=False).ids
+        assert np.frombuffer(own.encode([words])[0], "<u4").tolist() == ids
+
+
+@pytest.mark.parametrize("change", [
+    {"decoder": {"type": "BPEDecoder", "suffix": "</w>"}},
+    {"post_processor": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}},
+    {"added_tokens": [{"id": 49407, "content": "<|endoftext|>", "single_word": False, "lstrip": True,
+                       "rstrip": False, "normalized": False, "special": True}]},
+])
+def test_bpe_refuses_what_it_does_not_follow(spec, change):
+    with pytest.raises(ValueError, match="not supported"):
+        bpe.WordBPE(json.dumps({**json.loads(spec), **change}))
+
+
 def test_bpe_query(spark, spec):
     import hashlib
     library = Tokenizer.from_str(spec)

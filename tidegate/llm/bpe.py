@@ -25,6 +25,9 @@ from tidegate.llm.common import portions, resident
 # plain.  Of each as many as have come since it last was full, and as many from before.
 WORDS = 250_000
 CHUNKS = 50_000
+# Settings of a vocabulary that would change ids or text; none of them is followed here.
+_MODEL_OPTIONS = ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges")
+_TOKEN_FLAGS = ("single_word", "lstrip", "rstrip", "normalized")
 # Characters of text whose new words go into one trie.
 _TRIE_CHARS = 1 << 20
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -84,6 +87,12 @@ class WordBPE:
         model = given["model"]
         if model["type"] != "BPE" or not model.get("end_of_word_suffix"):
             raise ValueError("a BPE vocabulary with a word end is needed")
+        # What would change ids or text and is not followed here.
+        unread = [name for name in ("decoder", "post_processor") if given.get(name)]
+        unread += [name for name in _MODEL_OPTIONS if model.get(name)]
+        unread += [name for t in given["added_tokens"] for name in _TOKEN_FLAGS if t.get(name)]
+        if unread:
+            raise ValueError(f"a vocabulary with {', '.join(unread)} is not supported")
         library = Tokenizer.from_str(spec)
         self._normal, self._split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self._plain = [given["normalizer"], given["pre_tokenizer"]] == _PLAIN_SPEC
@@ -93,7 +102,9 @@ class WordBPE:
         self.names = [""] * (max([*self.vocab.values(), *self.special.values()]) + 1)
         for name, i in [*self.vocab.items(), *self.special.items()]:
             self.names[i] = name
-        self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
+        # Without special tokens a pattern that never fits: the empty one would fit everywhere.
+        names = "|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))
+        self._cut = re.compile(f"({names or '(?!)'})")
         vocab = self.vocab
         self._merge: dict[tuple[int, int], int] = {}
         self._made = [-1] * len(self.names)  # when a token is made; -1: it is a symbol
