@@ -1,6 +1,7 @@
 """Telemetry payloads lose nothing; flows follow stored specs."""
 
 import json
+from dataclasses import replace
 from datetime import timedelta
 
 import pytest
@@ -89,6 +90,14 @@ def test_flows_from_specs(spark):
     feed = Feed(payloads(spark, logs(("a", ["x"])), "broken"), "logs", "severityText string", {"level": "record.severityText"}, "ts")
     flow = Flow.from_spec(telemetry, {}, feed=feed, columns={"level": "upper(level)"})
     assert [r.level for r in flow.build().collect()] == ["X"] and flow.dead_letters().count() == 1
+    deduped = spec(spark, sources={"type": "otlp.logs"}, transform={"is_dedup_enabled": True})
+    with pytest.raises(ValueError, match="window"):
+        Flow.from_spec(deduped, {}, feed=feed)
+    twice = replace(
+        feed, rows=payloads(spark, *[logs(("a", ["x"]))] * 2, logs(("a", ["y"]))),
+        dedup=DedupRule(["level"], timedelta(minutes=1), "level"),
+        columns={"level": "record.severityText", "ts": "timestamp_seconds(0)"})
+    assert sorted(r.level for r in Flow.from_spec(deduped, {}, feed=twice).build().collect()) == ["x", "y"]
     with pytest.raises(ValueError):
         Flow.from_spec(telemetry, {})
     with pytest.raises(ValueError):

@@ -77,13 +77,17 @@ class TemporalJoin:
 
 @dataclass(frozen=True)
 class Feed:
-    """A telemetry feed: payload rows, the signal kind and how to project its flat rows."""
+    """A telemetry feed: payload rows, the signal kind and how to project its flat rows.
+
+    ``dedup`` is for a stored spec without topics: what it deduplicates by, if it does.
+    """
 
     rows: DataFrame
     signal: str
     record: Schema
     columns: Mapping[str, str | Column]
     ts: str
+    dedup: DedupRule | None = None
 
 
 @dataclass(frozen=True)
@@ -132,7 +136,8 @@ class Flow:
         join that is enabled takes deduplication from each topic's own switch and window, both
         in nanoseconds, and joins on ``on``.  Any other source has one stage if a transform is
         enabled: ``where`` counts if filters are, ``columns`` if the stateless transform is, and
-        deduplication in the first topic's window if that is.
+        deduplication if that is, in the first topic's window or, of a telemetry source without
+        topics, by the feed's own rule.
         """
         flags = spec["transform"] or {}
         on_ = lambda name: bool(flags and flags[name])
@@ -155,9 +160,12 @@ class Flow:
         if any(map(on_, ("is_dedup_enabled", "is_filter_enabled", "is_stateless_transform_enabled"))):
             dedup = None
             if on_("is_dedup_enabled"):
-                if not topics:
-                    raise ValueError("deduplication takes its window from a topic")
-                dedup = rule(topics[0], inputs[topics[0]["topic_name"]])
+                if topics:
+                    dedup = rule(topics[0], inputs[topics[0]["topic_name"]])
+                elif telemetry and feed is not None and feed.dedup is not None:
+                    dedup = feed.dedup
+                else:
+                    raise ValueError("deduplication takes its window from a topic or the feed")
             stage = Stage(where if on_("is_filter_enabled") else None,
                           columns if on_("is_stateless_transform_enabled") else None, dedup)
         if telemetry:
