@@ -76,6 +76,14 @@ def test_round_robin(spark, sources, targets, expected):
     assert rows.groupBy("subject").count().select("count").distinct().count() == 1
 
 
+def test_pipelines_with_one_hash_share_each_name_once(spark):
+    owners = spark.createDataFrame([("pipe-19297",), ("pipe-120186",), ("pipe-1",)], "pipeline_id string")
+    names = owners.select(F.concat(F.lit("etl-"), X.short_hash(F.col("pipeline_id")), F.lit("-DLQ")).alias("name"))
+    found = shards.list_shards(names, "etl", owners).collect()
+    assert sorted((r.name, r.pipeline_id) for r in found) == [
+        ("etl-1528386a-DLQ", "pipe-1"), ("etl-53645748-DLQ", "pipe-120186"), ("etl-53645748-DLQ", "pipe-19297")]
+
+
 def test_reshard_conserves_rows(spark):
     before = shards.shard_by_key(spark.range(500), ["id"], 5)
     after = shards.reshard(before, 5, 2)

@@ -94,11 +94,13 @@ def list_shards(names: DataFrame, prefix: str, pipelines: DataFrame) -> DataFram
     """The names that belong to the pipelines: those of the form ``prefix-hash-...``.
 
     The hash is cut out of each name, so this is an equi-join and not a prefix test per pair.
+    The hash is short: two pipelines may share it, and then share their names.  A name exists once
+    however often it is listed, so each row of ``pipelines`` gets it once.
     """
     head = f"{prefix}-"
     found = F.when(
         F.col("name").startswith(head) & (F.substring("name", len(head) + 9, 1) == "-"),
         F.substring("name", len(head) + 1, 8),
     )
-    owners = pipelines.select("pipeline_id", short_hash(F.col("pipeline_id")).alias("_tg_hash")).distinct()
-    return names.withColumn("_tg_hash", found).join(owners, "_tg_hash").drop("_tg_hash")
+    owners = pipelines.select("pipeline_id", short_hash(F.col("pipeline_id")).alias("_tg_hash"))
+    return names.distinct().withColumn("_tg_hash", found).join(owners, "_tg_hash").drop("_tg_hash")
