@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegate.operators.joins import consumer_map_join, latest_join, temporal_join
-from tidegate.operators.skew import lookup_join, salt_for_join, spread_by
+from tidegate.operators.skew import lookup_join, salt_both, salt_for_join, spread_by
 
 
 def sides(spark, n=400, span=600, seed=1):
@@ -69,6 +69,19 @@ def test_salt_splits_copies(spark):
     assert heavy.join(other, cols).count() == 400
 
 
+def test_salting_grows_with_the_rows(spark):
+    """Rows that are repeated per part of a hot key grow in proportion, not with the product of the sides."""
+    def repeated(n):
+        left = spark.range(n).selectExpr("'x' AS k", "id AS a")
+        right = spark.range(n).selectExpr("'x' AS k", "id AS b")
+        l, r, cols = salt_both(left, right, ["k"], 0)
+        assert l.join(r, cols).count() == n * n
+        assert l.select("_tg_salt_l").distinct().count() > 1 and r.select("_tg_salt_r").distinct().count() > 1
+        return l.count() + r.count()
+
+    assert repeated(600) <= 3 * repeated(200)
+
+
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
 def test_lookup_join_is_the_same_large_or_small(spark, how):
     facts = spark.range(600).selectExpr("id", "CASE WHEN id < 400 THEN 'hot' ELSE 'k' || (id % 7) END AS k")

@@ -6,6 +6,10 @@ the keys inside it counted, by their hash; those with more than ``floor`` rows a
 bound is absolute, so what one task gets does not grow with the data, and there are at most
 rows / ``floor`` hot keys.  Two keys with one hash are split together, which stays exact.
 
+The other side of a join is repeated for every part of a hot key, so many small parts would
+cost the product of the two sides.  A key is split into at most ``FEW`` parts of ``floor`` rows;
+into more only as parts of ``PIECE_ROWS`` or, if that is more, ``floor`` rows.
+
 The counting jobs run when the plan is built and read only the key columns.  Where a
 frame is costly to compute, pass ``measure``: any frame with the same key columns whose
 rows include those of the frame (say, the rows before deduplication).
@@ -24,6 +28,8 @@ from tidegate.session import cut_lineage
 
 HOT_ROWS = 2_000_000
 BUCKETS = 4096
+FEW = 8
+PIECE_ROWS = HOT_ROWS // FEW
 # A lookup table is broadcast up to so many rows and bytes (as JSON text).
 SMALL_ROWS = 200_000
 SMALL_BYTES = 64 << 20
@@ -40,15 +46,20 @@ def _bucket(cols: Sequence[str]) -> Column:
 
 
 class Hot(NamedTuple):
-    """The hot keys: by hash their rows, and which rows of a frame they are."""
+    """The hot keys: by hash their rows, and the columns they are made of."""
 
     keys: dict[int, int]
-    condition: Column
+    cols: list[str]
 
     @property
     def rows(self) -> int:
         return sum(self.keys.values())
 
+    @property
+    def condition(self) -> Column:
+        """Which rows of a frame they are."""
+        return _hash(self.cols).isin(sorted(self.keys))
+
 
 def hot_filter(df: DataFrame, cols: Sequence[str], floor: int = HOT_ROWS) -> Hot | None:
     """The keys with more than ``floor`` rows, or None."""
@@ -58,13 +69,18 @@ def hot_filter(df: DataFrame, cols: Sequence[str], floor: int = HOT_ROWS) -> Hot
     inside = df.where(_bucket(cols).isin(sorted(row["b"] for row in buckets)))
     counts = inside.groupBy(_hash(cols).alias("h")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > floor)
     keys = {row["h"]: row["n"] for row in counts.collect()}
-    return Hot(keys, _hash(cols).isin(sorted(keys))) if keys else None
+    return Hot(keys, list(cols)) if keys else None
+
+
+def _parts(rows: int, floor: int) -> int:
+    """How many ways a hot key is split."""
+    return max(ceil(rows / max(floor, PIECE_ROWS)), min(ceil(rows / max(floor, 1)), FEW))
 
 
 def _with_parts(df: DataFrame, cols: Sequence[str], hot: Hot, floor: int) -> DataFrame:
     """How many ways each row's key is split.  There are at most rows / floor hot keys: fit to broadcast."""
     parts = df.sparkSession.createDataFrame(
-        [(h, ceil(n / max(floor, 1))) for h, n in hot.keys.items()], f"{_HASH} bigint, {_PARTS} int")
+        [(h, _parts(n, floor)) for h, n in hot.keys.items()], f"{_HASH} bigint, {_PARTS} int")
     joined = df.withColumn(_HASH, _hash(cols)).join(F.broadcast(parts), _HASH, "left")
     return joined.withColumn(_PARTS, F.coalesce(_PARTS, F.lit(1))).drop(_HASH)
 
