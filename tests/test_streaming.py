@@ -275,3 +275,57 @@ def test_a_streamed_feed_writes_rows_and_letters(spark, tmp_path, window, availa
     assert len(ids) == len(set(ids))
     assert {i for i in ids if i < END} == {i for i in expected if i < END}
     assert {r.dead_letter for r in letters.collect()} == {r.dead_letter for r in batch.dead_letters().collect()}
+
+
+class Held(list):
+    """A list state without a store."""
+
+    def __init__(self):
+        self.get, self.appendList = lambda: list(self), self.extend
+
+    def put(self, values):
+        self[:] = values
+
+
+class Handle:
+    def __init__(self):
+        self.state, self.timers = {}, []
+
+    def getListState(self, name, schema):
+        return self.state.setdefault(name, Held())
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def given(width, *frames):
+    """What a group holds after these frames."""
+    import pandas as pd
+    from pyspark.sql.types import LongType
+
+    from tidegate.streaming import dedup_stream as D
+
+    handle, group = Handle(), D._Dedup(width, LongType())
+    group.init(handle)
+    rows = [pd.DataFrame([(n, at, tie, f"{n}{at}") for n, at, tie in f], columns=["name", "at", "tie", "body"]) for f in frames]
+    list(group.handleInputRows((0,), iter(rows), None))
+    return handle, D._unpacked(handle.state["held"], group.rows).to_pylist()
+
+
+def test_an_endless_window_holds_one_row_a_key():
+    from tidegate.streaming.dedup_stream import NEVER
+
+    handle, held = given(NEVER, [("a", 2000 + i, i) for i in range(500)] + [("b", 5000, 2), ("b", 5000, 1)])
+    assert [(r["name"], r["at"], r["tie"]) for r in held] == [("a", 2000, 0), ("b", 5000, 1)]
+    assert handle.timers == [2]
+
+
+def test_groups_grow_with_the_rows(spark):
+    from workloads.flow_queries import _groups
+
+    assert _groups(spark, 10) == _groups(spark, 1000) < _groups(spark, 36 * 10**6) == 720
+
+
+def test_a_frame_of_rows_is_one_value_of_the_state():
+    handle, held = given(100, [("a", i, i) for i in range(500)], [("b", i, i) for i in range(500)])
+    assert len(held) == 1000 and len(handle.state["held"]) == 2

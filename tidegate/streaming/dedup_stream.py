@@ -9,15 +9,19 @@ input was cut into micro-batches.
 from __future__ import annotations
 
 import sys
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from datetime import timedelta
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.types import DataType
 
 from tidegate.functions.exprs import identity, micros, to_micros
 
@@ -25,58 +29,112 @@ from tidegate.functions.exprs import identity, micros, to_micros
 _JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 GROUPS_PER_PARTITION = 32
+# Rows that go back to Spark at a time.
+OUT_ROWS = 10_000
 # Microseconds: a window that no later row is beyond.
 NEVER = 1 << 61
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+def _packed(table: pa.Table) -> tuple[bytes]:
+    """Rows as one value of the state: a call for each row would cost more than all else."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return (sink.getvalue().to_pybytes(),)
+
+
+def _unpacked(chunks: Iterable[tuple], schema: pa.Schema) -> pa.Table:
+    tables = [pa.ipc.open_stream(bytes(chunk)).read_all() for (chunk,) in chunks]
+    return pa.concat_tables([schema.empty_table(), *tables]).combine_chunks()
+
+
+def _in_order(table: pa.Table) -> pa.Table:
+    """Sorted by name, time and tie."""
+    keys = table.select(["name", "at", "tie"])
+    while any(pa.types.is_struct(column.type) for column in keys.columns):
+        keys = keys.flatten()
+    return table.take(pc.sort_indices(keys, [(name, "ascending") for name in keys.column_names]))
+
+
 class _Dedup(StatefulProcessor):
-    """State of one group of keys: ``held``, the rows waiting, and ``anchors``, last kept times."""
+    """State of one group of keys, as Arrow: ``held``, the rows waiting, and ``anchors``, last kept times."""
 
-    def __init__(self, width: int, tie_type: str):
-        self.width, self.tie_type = width, tie_type
+    def __init__(self, width: int, tie_type: DataType):
+        self.width = width
+        self.rows = pa.schema(
+            [("name", pa.string()), ("at", pa.int64()), ("tie", to_arrow_type(tie_type)), ("body", pa.string())])
+        self.times = pa.schema([("name", pa.string()), ("at", pa.int64())])
+        self.done = {}
 
     def init(self, handle):
         self.handle = handle
-        self.held = handle.getListState("held", f"name string, at bigint, tie {self.tie_type}, body string")
-        self.anchors = handle.getListState("anchors", "name string, at bigint")
+        self.held = handle.getListState("held", "chunk binary")
+        self.anchors = handle.getListState("anchors", "chunk binary")
 
     def handleInputRows(self, key, rows, timerValues):
-        columns = ["name", "at", "tie", "body"]
-        new = [row for frame in rows for row in frame[columns].itertuples(index=False, name=None)]
-        self.held.appendList(new)
-        self.wake(min(row[1] for row in new))
+        anchors, chunks, first = _unpacked(self.anchors.get(), self.times), [], None
+        for frame in rows:
+            new = self.open(pa.Table.from_pandas(frame[self.rows.names], self.rows, preserve_index=False), anchors)
+            if len(new):
+                start = pc.min(new["at"]).as_py()
+                first = start if first is None else min(first, start)
+                chunks.append(_packed(new))
+        if chunks:
+            self.held.appendList(chunks)
+            self.wake(first)
         return iter(())
 
+    def open(self, new, anchors):
+        """The new rows that may be kept: not those that an anchor holds back already, and in an endless window
+        only the first of each name."""
+        if len(anchors):
+            at = anchors["at"].take(pc.index_in(new["name"], anchors["name"].combine_chunks()))
+            new = new.filter(pc.fill_null(pc.greater_equal(new["at"], pc.add(at, self.width)), True))
+        if self.width >= NEVER and len(new):
+            new = _in_order(new)
+            names = new["name"].combine_chunks()
+            new = new.filter(pa.concat_arrays([pa.array([True]), pc.not_equal(names[1:], names[:-1])]))
+        return new
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         limit = timerValues.getCurrentWatermarkInMs() * 1000
-        due, waiting = [], []
-        for row in self.held.get():
-            (due if row[1] <= limit else waiting).append(tuple(row))
-        anchors = dict(tuple(row) for row in self.anchors.get())
+        # Several timers of a key may expire together; the first has done it all.
+        if self.done.get(key) == limit:
+            return
+        self.done[key] = limit
+        held, before = _unpacked(self.held.get(), self.rows), _unpacked(self.anchors.get(), self.times)
+        passed = pc.less_equal(held["at"], limit)
+        due, waiting = _in_order(held.filter(passed)), held.filter(pc.invert(passed))
+        del held
+        anchors = dict(zip(before["name"].to_pylist(), before["at"].to_pylist()))
         kept = []
-        for name, at, _, body in sorted(due, key=lambda row: row[:3]):
+        for row, (name, at) in enumerate(zip(due["name"].to_pylist(), due["at"].to_pylist())):
             anchor = anchors.get(name)
             if anchor is None or at >= anchor + self.width:
                 anchors[name] = at
-                kept.append(body)
+                kept.append(row)
         # An anchor a whole window behind the watermark can hold no later row back.
-        live = [(name, at) for name, at in anchors.items() if at + self.width > limit]
-        if waiting and due:
-            self.held.put(waiting)
-        elif not waiting:
-            self.held.clear()
-        if not live:
-            self.anchors.clear()
-        elif kept or len(live) < len(anchors):
-            self.anchors.put(live)
-        if waiting:
-            self.wake(min(row[1] for row in waiting))
+        live = {name: at for name, at in anchors.items() if at + self.width > limit}
+        if len(due):
+            if len(waiting):
+                self.held.put([_packed(waiting)])
+            else:
+                self.held.clear()
+        if kept or len(live) < len(before):
+            if live:
+                self.anchors.put([_packed(pa.table([list(live), list(live.values())], self.times))])
+            elif len(before):
+                self.anchors.clear()
+        if len(waiting):
+            self.wake(pc.min(waiting["at"]).as_py())
         elif live:
-            self.wake(min(max(at for _, at in live) + self.width, NEVER))
+            self.wake(min(max(live.values()) + self.width, NEVER))
         if kept:
-            yield pd.DataFrame({"body": kept})
+            bodies = due["body"].take(pa.array(kept))
+            for at in range(0, len(bodies), OUT_ROWS):
+                yield pd.DataFrame({"body": bodies[at: at + OUT_ROWS].to_pandas()})
 
     def wake(self, at):
         """Timers fire once the watermark (milliseconds) is past them."""
@@ -96,9 +154,10 @@ def dedup_stream(
     row of each key for good, which takes one anchor per key for ever.  Needs the RocksDB state store.
 
     Each access to the state is a call out of the Python worker, so keys share ``groups``
-    state entries by hash: more groups mean more calls, fewer mean that more anchors are
-    rewritten when one of them moves.  By default there are 32 per shuffle partition; like
-    that setting, the number must stay the same for the life of a checkpoint.
+    state entries by hash: more groups mean more calls, fewer mean that a worker holds more
+    rows at a time and that more anchors are rewritten when one of them moves.  By default
+    there are 32 per shuffle partition; like that setting, the number must stay the same for
+    the life of a checkpoint.
     """
     if groups is None:
         groups = GROUPS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -114,7 +173,7 @@ def dedup_stream(
         F.col(tie).alias("tie"),
         F.to_json(F.struct(*[F.col(c) for c in df.columns]), _JSON).alias("body"),
     )
-    tie_type = df.schema[tie].dataType.simpleString()
+    tie_type = df.schema[tie].dataType
     kept = (
         state_rows.groupBy("bucket")
         .transformWithStateInPandas(_Dedup(width if width > 0 else NEVER, tie_type), "body string", "Append", "EventTime")

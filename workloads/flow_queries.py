@@ -25,6 +25,8 @@ from workloads.registry import query
 H = timedelta(hours=1)
 # Parts of the time that a table is replayed in.
 PARTS = 4
+# Rows of a replayed table that share an entry of the state.
+GROUP_ROWS = 50_000
 # A time after all data: its row lifts the watermark past everything and stays in state itself.
 END_OF_TIME = "2100-01-01 00:00:00"
 
@@ -144,21 +146,23 @@ def pipe_otlp_letters(spark: SparkSession, sf: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Cuts:
-    """Times (microseconds) that cut a table into ``PARTS``, and how late a row of a part may come."""
+    """Times (microseconds) that cut a table into ``PARTS``, how late a row of a part may come, and the
+    number of rows."""
 
     at: list[int]
     late: str
+    rows: int = 0
 
 
 def _cuts(rows: DataFrame, ts: str) -> Cuts:
     """Measured on the column, whatever span of time it covers."""
     at = micros(F.col(ts))
     shares = [i / PARTS for i in range(1, PARTS)]
-    first, last, inner = rows.agg(F.min(at), F.max(at), F.percentile_approx(at, shares)).first()
+    first, last, inner, n = rows.agg(F.min(at), F.max(at), F.percentile_approx(at, shares), F.count(F.lit(1))).first()
     if first is None:
         return Cuts([], "0 seconds")
     edges = [first, *inner, last]
-    return Cuts(inner, f"{max(b - a for a, b in zip(edges, edges[1:])) // 10**6 + 2} seconds")
+    return Cuts(inner, f"{max(b - a for a, b in zip(edges, edges[1:])) // 10**6 + 2} seconds", n)
 
 
 def _as_stream(rows: DataFrame, ts: str, label: str, cuts: Cuts, end_row: DataFrame | None = None) -> DataFrame:
@@ -182,6 +186,11 @@ def _cores(spark: SparkSession) -> int:
     return spark.sparkContext.defaultParallelism
 
 
+def _groups(spark: SparkSession, rows: int) -> int:
+    """Groups of keys in the state: a few per part, and as many as keep the rows of one in bounds."""
+    return max(4 * _cores(spark), -(-rows // GROUP_ROWS))
+
+
 def _zoned(rows: DataFrame, *cols: str) -> DataFrame:
     return rows.withColumns({c: F.col(c).cast("timestamp") for c in cols})
 
@@ -205,7 +214,7 @@ def _dedup_stream(spark: SparkSession, sf: str, keys: list[str], window: timedel
     rows = _zoned(I.table(spark, sf, "events"), "ts")
     cuts = _cuts(rows, "ts")
     stream = _as_stream(rows, "ts", "dedup-input", cuts, _end_row(rows, "ts"))
-    kept = dedup_stream(stream, keys, "ts", window, "event_id", cuts.late, groups=4 * _cores(spark))
+    kept = dedup_stream(stream, keys, "ts", window, "event_id", cuts.late, groups=_groups(spark, cuts.rows))
     return _plain(drain(kept, "dedup", partitions=_cores(spark)), "ts")
 
 
