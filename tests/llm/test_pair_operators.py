@@ -318,3 +318,17 @@ def test_every_length_is_searched(spark):
             found = sorted(r for r in ((r.rank, r.vec_id, r.query_id) for r in got) if r[2] == base + q)
             assert [r[1] - base for r in found] == order
     assert len(got) == 5 * 13
+
+
+@pytest.mark.parametrize("size", [5, 300], ids=["small unit", "large unit"])
+def test_each_node_of_a_pair_has_a_record(size):
+    """Which nodes a unit needs is read off its records, without spreading the lists of partners."""
+    import pyarrow as pa
+
+    same = {c: np.zeros(size, np.int64) for c in ("part", "cell", "unit_i", "unit_j", "side", "unit")}
+    ids = np.arange(1, size + 1)
+    batch = pa.RecordBatch.from_pydict({
+        **same, "fp": ids % 7, "node": ids, "label": ids, "n": np.full(size, 9), "inner": np.ones(size, bool)})
+    found = [r for b in simhash._pairs(16, [(-1, 16, [])], 0.8, 4)(iter([batch])) for r in b.to_pylist()]
+    assert {r["a"] for r in found} == set(ids.tolist()) and len(found) == size
+    assert max(len(r["b"]) for r in found) == 4 and min(len(r["b"]) for r in found) == 0

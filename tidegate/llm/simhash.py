@@ -330,7 +330,8 @@ def _pairs(k: int, probes: list[tuple[int, int, list[int]]], similarity: float,
     from the first partition that finds it; of a row's pairs in a unit the ``most`` nearest, with
     ``more`` where there are others.
 
-    A record holds what one row ``a`` of a ``unit`` is paired with, ``b``.
+    A record holds what one row ``a`` of a ``unit`` is paired with, ``b``; each row of a unit that is in
+    a pair has a record, if only an empty one.
     """
     keys = ["part", "cell", "unit_i", "unit_j"]
     masks = [np.uint64(mask % (1 << BITS)) for mask, _, _ in probes]
@@ -340,6 +341,7 @@ def _pairs(k: int, probes: list[tuple[int, int, list[int]]], similarity: float,
             fp, node, label = (table[c].to_numpy() for c in ("fp", "node", "label"))
             fp, n, part = fp.view(np.uint64), table["n"].to_numpy(), table["part"].to_numpy() % BITS
             side, inner, unit = (table[c].to_numpy() for c in ("side", "inner", "unit"))
+            first_of, partner = np.zeros(len(fp), bool), np.zeros(len(fp), bool)
 
             def records(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
                 ok = (label[x] != label[y]) & (
@@ -358,6 +360,7 @@ def _pairs(k: int, probes: list[tuple[int, int, list[int]]], similarity: float,
                 if most is not None:
                     near = np.arange(len(x)) - np.repeat(first, counts) < most
                     more, y, counts = counts > most, y[near], np.minimum(counts, most)
+                first_of[rows], partner[y] = True, True
                 partners = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(node[y]))
                 return pa.RecordBatch.from_arrays(
                     [pa.array(unit[rows]), pa.array(node[rows]), partners, pa.array(more)], ["unit", "a", "b", "more"])
@@ -384,6 +387,11 @@ def _pairs(k: int, probes: list[tuple[int, int, list[int]]], similarity: float,
                     # Inside a unit each pair once, and no row with itself.
                     ok = (y > x) if within else np.ones(len(x), bool)
                     yield records(tile[x[ok]], right[first + y[ok]])
+            only = np.flatnonzero(partner & ~first_of)
+            empty = pa.ListArray.from_arrays(pa.array(np.zeros(len(only) + 1), pa.int32()), pa.array([], pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(unit[only]), pa.array(node[only]), empty, pa.array(np.zeros(len(only), bool))],
+                ["unit", "a", "b", "more"])
 
     return run
 
@@ -398,9 +406,10 @@ def _in_units(pairs: DataFrame, payload: DataFrame, test: Callable, label: str)
     """The pairs (``unit``, ``a``, a list of ``b``) whose ends' ``payload`` passes ``test``, as ``a``-``b``.
 
     ``test`` gets a list of payloads and, for every pair, two places in it.  The payload of a node
-    goes to each unit that has pairs of it once, not once a pair.
+    goes to each unit that has pairs of it once, not once a pair: every node of a unit's pairs has
+    a record of its own, so the lists need not be spread out to learn which nodes there are.
     """
-    needed = pairs.select(F.col("unit").alias("to"), F.explode(F.concat(F.array("a"), F.col("b"))).alias("node")).distinct().join(
+    needed = pairs.select(F.col("unit").alias("to"), F.col("a").alias("node")).distinct().join(
         payload.select("node", "payload"), "node")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -433,7 +442,10 @@ def _gathered(pairs: DataFrame, payload: DataFrame, size: Column, label: str) ->
     for end in ("a", "b"):
         ends = ends.join(placed.select(F.col("node").alias(end), F.col("chunk").alias(f"{end}_chunk")), end)
     unit = F.xxhash64(F.least("a_chunk", "b_chunk"), F.greatest("a_chunk", "b_chunk"))
-    return stored(ends.groupBy(unit.alias("unit"), "a").agg(F.collect_list("b").alias("b")), label)
+    ends = ends.withColumn("unit", unit)
+    # A record for each node of a unit's pairs: nulls are not collected, so it may be empty.
+    alone = ends.select("unit", F.col("b").alias("a"), F.lit(None).cast("long").alias("b")).distinct()
+    return stored(ends.select("unit", "a", "b").unionAll(alone).groupBy("unit", "a").agg(F.collect_list("b").alias("b")), label)
 
 
 def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float, id_col: str,
@@ -469,7 +481,7 @@ def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, si
             yield pa.RecordBatch.from_arrays([batch["node"], pa.array(found, pa.binary())], ["node", "payload"])
 
     open_ = _in_units(pairs, nodes.withColumnRenamed("sketch", "payload"), allowed, "simhash-open")
-    needed = open_.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select(
+    needed = open_.select(F.col("a").alias("node")).unionAll(open_.select("b")).distinct().join(nodes, "node").select(
         "node", "first.doc_id", "first.key")
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
     sets_ = stored(
