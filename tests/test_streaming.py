@@ -159,6 +159,94 @@ def test_flows_on_streams(spark, tmp_path):
     assert sorted((r.lid, r.rid) for r in got.collect()) == sorted((r.lid, r.rid) for r in batch.collect())
 
 
+BOTH_END = [("end", END, -2, 0), ("end", END, 10**6 + 1, 0)]
+
+
+def both_deduplicated(left, right, delay="0 seconds", on=("k",), right_window=timedelta(seconds=20)):
+    return Flow("join-flow", [
+        Topic(left, "lts", DedupRule(["k"], timedelta(seconds=30), "lid")),
+        Topic(right, "rts", DedupRule(["k"], right_window, "rid")),
+    ], join=TemporalJoin(list(on), timedelta(seconds=60), timedelta(seconds=25)), delay=delay)
+
+
+def ids(df):
+    return sorted((r.lid, r.rid) for r in df.collect())
+
+
+@pytest.mark.parametrize("batches, late, right_window", [(1, 0, 20), (5, 0, 0), (5, 300, 20)])
+def test_topics_deduplicated_by_the_join_key_are_joined_in_one_step(spark, tmp_path, batches, late, right_window):
+    """One query, and the state has entries for groups of keys and not for each row and time bucket."""
+    rows, window = make(21, 600, 3000), timedelta(seconds=right_window)
+    expected = ids(both_deduplicated(*sides(frame(spark, rows)), right_window=window).build())
+    source = stream(spark, [*cut(rows, batches, 1, late), BOTH_END], str(tmp_path / "in"))
+    flow = both_deduplicated(*sides(source), f"{late + 1} seconds", right_window=window)
+    queries = run_flow(flow, str(tmp_path / "out"), str(tmp_path / "work"), partitions=2, groups=3)
+    assert ids(spark.read.parquet(str(tmp_path / "out"))) == expected != []
+    assert len(queries) == 1
+    assert max(op.numRowsTotal for p in queries[0].recentProgress for op in p.stateOperators) < 100
+
+
+def test_a_one_step_join_survives_a_restart(spark, tmp_path):
+    """Kept rows wait for partners of the next run; a run without new rows repeats nothing."""
+    rows = make(22, 500, 2500)
+    expected = ids(both_deduplicated(*sides(frame(spark, rows))).build())
+    path = str(tmp_path / "in")
+    for name, part in (("0", rows[:250]), ("1", [*rows[250:], *BOTH_END]), ("2", [])):
+        if part:
+            frame(spark, part).coalesce(1).write.parquet(f"{path}/{name}")
+        source = replay(spark, f"{path}/*", frame(spark, []).schema, files_per_batch=1)
+        run_flow(both_deduplicated(*sides(source), "1 second"), str(tmp_path / "out"), str(tmp_path / "work"), partitions=2)
+    assert ids(spark.read.parquet(str(tmp_path / "out"))) == expected
+
+
+def test_a_one_step_join_forgets_rows_no_partner_can_meet(spark, tmp_path):
+    batches = [[("a", t, t, 0) for t in range(s, s + 100)] for s in range(0, 5000, 1000)]
+    source = stream(spark, [*batches, BOTH_END], str(tmp_path / "in"))
+    query, = run_flow(both_deduplicated(*sides(source), "1 second"), str(tmp_path / "out"), str(tmp_path / "work"), partitions=1, groups=1)
+    # The rows at the end and a timer are left.
+    assert query.recentProgress[-1].stateOperators[0].numRowsTotal <= 2 * 2
+
+
+def test_joins_by_other_keys_or_unequal_types_keep_a_table_for_each_topic(spark, tmp_path):
+    rows = make(23, 400, 2000)
+    left, right = sides(stream(spark, [*cut(rows, 3, 1, 50), BOTH_END], str(tmp_path / "in")))
+    join = TemporalJoin(["k"], timedelta(seconds=60), timedelta(seconds=25))
+    both = [Topic(left, "lts", DedupRule(["k", "lid"], timedelta(seconds=30), "lid")),
+            Topic(right, "rts", DedupRule(["k"], timedelta(seconds=20), "rid"))]
+    assert not Flow("join-flow", both, join=join).in_one_step()
+    assert both_deduplicated(left, right).in_one_step()
+    assert not both_deduplicated(left, right.withColumn("k", F.col("k").cast("long"))).in_one_step()
+    assert not both_deduplicated(left, right.withColumn("rid", F.col("rid").cast("string"))).in_one_step()
+    still = sides(frame(spark, rows))
+    expected = Flow("join-flow", [Topic(df, t.ts, t.dedup) for df, t in zip(still, both)], join=join).build()
+    queries = run_flow(Flow("join-flow", both, join=join, delay="51 seconds"), str(tmp_path / "out"), str(tmp_path / "work"), partitions=2)
+    assert len(queries) == 3 and ids(spark.read.parquet(str(tmp_path / "out"))) == ids(expected)
+
+
+def test_late_rows_of_a_one_step_join_are_dropped_and_counted(spark, tmp_path):
+    batches = [[("a", 1000, 2, 0), ("a", 1005, 3, 0)], [("a", 5000, 4, 0), ("a", 5001, 5, 0)], [("b", 10, 6, 0), ("b", 11, 7, 0)], BOTH_END]
+    source = stream(spark, batches, str(tmp_path / "in"))
+    query, = run_flow(both_deduplicated(*sides(source), "1 second"), str(tmp_path / "out"), str(tmp_path / "work"), partitions=2)
+    assert ids(spark.read.parquet(str(tmp_path / "out"))) == [(2, 3), (4, 5)]
+    assert sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators) == 2
+
+
+def test_pairs_in_slices_are_all_pairs(monkeypatch):
+    import pyarrow as pa
+
+    from tidegate.streaming import dedup_join as J
+
+    monkeypatch.setattr(J, "OUT_ROWS", 7)
+    rnd = random.Random(5)
+    left, right = ([(rnd.choice("abc"), rnd.randrange(-40, 60)) for _ in range(n)] for n in (50, 30))
+    tables = [pa.table({"name": [n for n, _ in side], "at": pa.array([at for _, at in side], pa.int64())}) for side in (left, right)]
+    slices = list(J._pairs(*tables, before=4, after=9))
+    assert all(len(l) == len(r) <= 7 for l, r in slices)
+    got = [pair for l, r in slices for pair in zip(l.tolist(), r.tolist())]
+    assert sorted(got) == [(i, j) for i, (n, a) in enumerate(left) for j, (m, b) in enumerate(right) if n == m and -4 <= b - a <= 9]
+    assert list(J._pairs(tables[0], tables[1].slice(0, 0), 4, 9)) == []
+
+
 def test_accepted_shapes(spark):
     topic = Topic(frame(spark, []), "ts")
     join = TemporalJoin.from_spec(["k"], 60 * 10**9, 120 * 10**9)

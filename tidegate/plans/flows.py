@@ -19,6 +19,7 @@ from tidegate.operators.joins import temporal_join
 from tidegate.operators.stages import filter_stage, transform_stage
 from tidegate.schemas import Schema
 from tidegate.sources.otlp import otlp_source, otlp_tagged
+from tidegate.streaming.dedup_join import dedup_join_stream, fits
 from tidegate.streaming.dedup_stream import dedup_stream
 from tidegate.streaming.joins import temporal_join_stream
 
@@ -174,15 +175,28 @@ class Flow:
             return Flow(spec["pipeline_id"], feed=feed, stage=stage, delay=delay)
         return Flow(spec["pipeline_id"], [read(t, False) for t in topics], stage=stage, delay=delay)
 
-    def build(self) -> DataFrame:
+    def in_one_step(self) -> bool:
+        """Whether deduplication and join of two streams run as one stateful step."""
+        if self.join is None or not all(topic.rows.isStreaming for topic in self.topics):
+            return False
+        left, right = self.topics
+        return fits(left.rows, right.rows, self.join.on, (left.dedup, right.dedup))
+
+    def build(self, groups: int | None = None) -> DataFrame:
+        """What the sink would write; ``groups`` as in ``dedup_join_stream``."""
         if self.feed is not None:
             flat, _ = otlp_source(self.feed.rows, self.feed.signal, self.feed.record)
             rows = transform_stage(flat, self.feed.columns)
             return rows if self.stage is None else self.stage.apply(rows, self.feed.ts, self.delay)
         if self.join is not None:
             left, right = self.topics
-            l, r = self._deduped(left), self._deduped(right)
             j = self.join
+            if self.in_one_step():
+                return dedup_join_stream(
+                    left.rows, right.rows, j.on, left.ts, right.ts, (left.dedup.window, right.dedup.window),
+                    (left.dedup.tie, right.dedup.tie), j.left_ttl, j.right_ttl, self.delay, groups,
+                )
+            l, r = self._deduped(left), self._deduped(right)
             if l.isStreaming or r.isStreaming:
                 return temporal_join_stream(l, r, j.on, left.ts, right.ts, j.left_ttl, j.right_ttl, self.delay)
             # Load is measured before deduplication, which would otherwise run twice.

@@ -26,7 +26,7 @@ from pyspark.sql.types import DataType
 from tidegate.functions.exprs import identity, micros, to_micros
 
 # Rows travel through the state as JSON, which keeps integers and microseconds exact.
-_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 GROUPS_PER_PARTITION = 32
 # Rows that go back to Spark at a time.
@@ -58,33 +58,31 @@ def _in_order(table: pa.Table) -> pa.Table:
     return table.take(pc.sort_indices(keys, [(name, "ascending") for name in keys.column_names]))
 
 
-class _Dedup(StatefulProcessor):
-    """State of one group of keys, as Arrow: ``held``, the rows waiting, and ``anchors``, last kept times."""
+class _Side:
+    """What a group of keys holds of one stream, as Arrow: the rows waiting, and the anchors, last kept times."""
 
     def __init__(self, width: int, tie_type: DataType):
         self.width = width
         self.rows = pa.schema(
             [("name", pa.string()), ("at", pa.int64()), ("tie", to_arrow_type(tie_type)), ("body", pa.string())])
         self.times = pa.schema([("name", pa.string()), ("at", pa.int64())])
-        self.done = {}
 
-    def init(self, handle):
-        self.handle = handle
-        self.held = handle.getListState("held", "chunk binary")
-        self.anchors = handle.getListState("anchors", "chunk binary")
+    def init(self, handle, suffix=""):
+        self.held = handle.getListState(f"held{suffix}", "chunk binary")
+        self.anchors = handle.getListState(f"anchors{suffix}", "chunk binary")
 
-    def handleInputRows(self, key, rows, timerValues):
+    def add(self, tables):
+        """Let new rows wait; the time of the first, or None."""
         anchors, chunks, first = _unpacked(self.anchors.get(), self.times), [], None
-        for frame in rows:
-            new = self.open(pa.Table.from_pandas(frame[self.rows.names], self.rows, preserve_index=False), anchors)
+        for table in tables:
+            new = self.open(table, anchors)
             if len(new):
                 start = pc.min(new["at"]).as_py()
                 first = start if first is None else min(first, start)
                 chunks.append(_packed(new))
         if chunks:
             self.held.appendList(chunks)
-            self.wake(first)
-        return iter(())
+        return first
 
     def open(self, new, anchors):
         """The new rows that may be kept: not those that an anchor holds back already, and in an endless window
@@ -98,12 +96,8 @@ class _Dedup(StatefulProcessor):
             new = new.filter(pa.concat_arrays([pa.array([True]), pc.not_equal(names[1:], names[:-1])]))
         return new
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        limit = timerValues.getCurrentWatermarkInMs() * 1000
-        # Several timers of a key may expire together; the first has done it all.
-        if self.done.get(key) == limit:
-            return
-        self.done[key] = limit
+    def keep(self, limit):
+        """The rows to keep of those up to ``limit``, and when to look again, or None."""
         held, before = _unpacked(self.held.get(), self.rows), _unpacked(self.anchors.get(), self.times)
         passed = pc.less_equal(held["at"], limit)
         due, waiting = _in_order(held.filter(passed)), held.filter(pc.invert(passed))
@@ -127,23 +121,63 @@ class _Dedup(StatefulProcessor):
                 self.anchors.put([_packed(pa.table([list(live), list(live.values())], self.times))])
             elif len(before):
                 self.anchors.clear()
+        wake = None
         if len(waiting):
-            self.wake(pc.min(waiting["at"]).as_py())
+            wake = pc.min(waiting["at"]).as_py()
         elif live:
-            self.wake(min(max(live.values()) + self.width, NEVER))
-        if kept:
-            bodies = due["body"].take(pa.array(kept))
-            for at in range(0, len(bodies), OUT_ROWS):
-                yield pd.DataFrame({"body": bodies[at: at + OUT_ROWS].to_pandas()})
+            wake = min(max(live.values()) + self.width, NEVER)
+        return due.take(pa.array(kept, pa.int64())), wake
+
+
+class _Grouped(StatefulProcessor):
+    """A group of keys that looks at its rows once the watermark has passed them."""
+
+    def init(self, handle):
+        self.handle, self.done = handle, {}
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        limit = timerValues.getCurrentWatermarkInMs() * 1000
+        # Several timers of a key may expire together; the first has done it all.
+        if self.done.get(key) == limit:
+            return
+        self.done[key] = limit
+        yield from self.passed(limit)
+
+    def passed(self, limit):
+        raise NotImplementedError
 
-    def wake(self, at):
+    def wake(self, *times):
         """Timers fire once the watermark (milliseconds) is past them."""
-        self.handle.registerTimer(-(-at // 1000))
+        times = [at for at in times if at is not None]
+        if times:
+            self.handle.registerTimer(-(-min(times) // 1000))
 
     def close(self):
         pass
 
 
+class _Dedup(_Grouped):
+    """State of one group of keys: one stream's rows and anchors."""
+
+    def __init__(self, width: int, tie_type: DataType):
+        self.side = _Side(width, tie_type)
+        self.rows = self.side.rows
+
+    def init(self, handle):
+        super().init(handle)
+        self.side.init(handle)
+
+    def handleInputRows(self, key, rows, timerValues):
+        self.wake(self.side.add(pa.Table.from_pandas(f[self.rows.names], self.rows, preserve_index=False) for f in rows))
+        return iter(())
+
+    def passed(self, limit):
+        kept, wake = self.side.keep(limit)
+        self.wake(wake)
+        for at in range(0, len(kept), OUT_ROWS):
+            yield pd.DataFrame({"body": kept["body"][at: at + OUT_ROWS].to_pandas()})
+
+
 def dedup_stream(
     df: DataFrame, keys: Sequence[str], ts: str, window: timedelta, tie: str, delay: str, groups: int | None = None
 ) -> DataFrame:
@@ -159,25 +193,37 @@ def dedup_stream(
     there are 32 per shuffle partition; like that setting, the number must stay the same for
     the life of a checkpoint.
     """
-    if groups is None:
-        groups = GROUPS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    width = to_micros(window)
+    groups = groups or default_groups(df)
     loose = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in [*keys, ts]])
     rows = df.withWatermark(ts, delay)
+    kept = (
+        state_rows(rows.where(~loose), keys, ts, tie, groups)
+        .groupBy("bucket")
+        .transformWithStateInPandas(_Dedup(state_width(window), df.schema[tie].dataType), "body string", "Append", "EventTime")
+        .select(F.from_json("body", df.schema, JSON).alias("r"))
+        .select("r.*")
+    )
+    return kept.unionByName(rows.where(loose))
+
+
+def default_groups(df: DataFrame) -> int:
+    return GROUPS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def state_width(window: timedelta) -> int:
+    """Microseconds between kept rows of a key."""
+    width = to_micros(window)
+    return width if width > 0 else NEVER
+
+
+def state_rows(rows: DataFrame, keys: Sequence[str], ts: str, tie: str, groups: int) -> DataFrame:
+    """Rows as a group of keys takes them."""
     # Spark hands these rows over as named tuples, so no name may begin with an underscore.
-    state_rows = rows.where(~loose).select(
+    return rows.select(
         F.pmod(F.xxhash64(*keys), F.lit(groups)).cast("int").alias("bucket"),
-        identity(df, keys).alias("name"),
+        identity(rows, keys).alias("name"),
         F.col(ts).alias("event_time"),
         micros(F.col(ts)).alias("at"),
         F.col(tie).alias("tie"),
-        F.to_json(F.struct(*[F.col(c) for c in df.columns]), _JSON).alias("body"),
+        F.to_json(F.struct(*[F.col(c) for c in rows.columns]), JSON).alias("body"),
     )
-    tie_type = df.schema[tie].dataType
-    kept = (
-        state_rows.groupBy("bucket")
-        .transformWithStateInPandas(_Dedup(width if width > 0 else NEVER, tie_type), "body string", "Append", "EventTime")
-        .select(F.from_json("body", df.schema, _JSON).alias("r"))
-        .select("r.*")
-    )
-    return kept.unionByName(rows.where(loose))

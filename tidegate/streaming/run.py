@@ -99,15 +99,16 @@ def _run_feed(flow: Flow, target: str, letters: str, work: str, available_now: b
 
 def run_flow(
     flow: Flow, target: str, work: str, available_now: bool = True, partitions: int | None = None,
-    letters: str | None = None,
+    letters: str | None = None, groups: int | None = None,
 ) -> list[StreamingQuery]:
     """Start a streaming flow into a table at ``target``; state and checkpoints go below ``work``.
 
     A telemetry flow writes the letters of payloads that do not parse to ``letters`` (default:
     ``letters`` below ``work``).
 
-    A join flow runs as up to three queries: Spark takes no watermark after a custom
-    stateful step, so each deduplicated topic becomes a table that the join reads on.
+    A join flow whose topics are deduplicated by the join's own keys is one query, with keys in
+    ``groups`` as in ``dedup_join_stream``.  Any other runs as up to three: Spark takes no watermark
+    after a custom stateful step, so each deduplicated topic becomes a table that the join reads on.
     With ``available_now`` the queries run one after the other over what is there.
     """
     spark = (flow.feed or flow.topics[0]).rows.sparkSession
@@ -115,7 +116,7 @@ def run_flow(
     with rocksdb_state(spark, partitions):
         if flow.feed is not None:
             return _run_feed(flow, target, letters or f"{work}/letters", work, available_now)
-        if flow.join is not None:
+        if flow.join is not None and not flow.in_one_step():
             topics = []
             for side, topic in zip(("left", "right"), flow.topics):
                 if topic.dedup is not None:
@@ -123,7 +124,7 @@ def run_flow(
                     queries.append(query)
                 topics.append(topic)
             flow = replace(flow, topics=topics)
-        queries.append(stream_sink(flow.build(), target, f"{work}/sink", available_now=available_now))
+        queries.append(stream_sink(flow.build(groups), target, f"{work}/sink", available_now=available_now))
         if available_now:
             queries[-1].awaitTermination()
     return queries

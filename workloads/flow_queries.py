@@ -248,7 +248,7 @@ def pipe_join_stream(spark: SparkSession, sf: str) -> DataFrame:
         _as_stream(right, "buy_ts", "flow-right", cuts, _end_row(right, "buy_ts")), cuts.late,
     )
     run = new_run_dir(spark, "flow")
-    run_flow(flow, f"{run}/table", f"{run}/work", partitions=_cores(spark))
+    run_flow(flow, f"{run}/table", f"{run}/work", partitions=_cores(spark), groups=_groups(spark, cuts.rows))
     written = spark.read.option("basePath", f"{run}/table").parquet(f"{run}/table").drop("batch_id")
     return _plain(written, "view_ts", "buy_ts")
 
